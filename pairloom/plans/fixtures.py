@@ -58,3 +58,59 @@ def instructions(t: Tables) -> DataFrame:
 INSTR_SQL = """instr AS (
   SELECT DISTINCT source AS subset, 'Retrieve a passage that continues this ' || source || ' text' AS instruction
   FROM documents WHERE source < 'src5')"""
+
+
+# ---------- conversations: query = first user turn, assistant turns in order ----------
+
+def conv_qa(t: Tables) -> DataFrame:
+    """(conv_id, query, answers[]) ; query = first user text, answers = assistant texts by turn."""
+    c = t.conversations
+    g = c.groupBy("conv_id").agg(
+        F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("query"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))).alias("_a"),
+    )
+    return g.select("conv_id", "query", F.transform("_a", lambda x: x["text"]).alias("answers")).filter(F.col("query").isNotNull())
+
+
+CONV_SQL = """conv AS (
+  SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS query,
+         coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), CAST([] AS VARCHAR[])) AS answers
+  FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0)"""
+
+
+def jsonl_lines(t: Tables) -> DataFrame:
+    """Raw JSONL "files" (file, line_no, value) in the four shapes, built from the tables."""
+    p = pairs(t)
+    nxt = p.select("subset", (F.col("id") - 1).alias("id"), F.col("anc").alias("_n"))
+    lp = p.select(F.lit("list_pairs").alias("file"), F.col("doc_id").alias("line_no"),
+                  F.to_json(F.array("anc", "pos")).alias("value"))
+    lt = p.join(nxt, ["subset", "id"], "left").select(
+        F.lit("list_triples").alias("file"), F.col("doc_id").alias("line_no"),
+        F.to_json(F.when(F.col("_n").isNull(), F.array("anc", "pos")).otherwise(F.array("anc", "pos", "_n"))).alias("value"))
+    st = t.documents.select(F.lit("sets").alias("file"), F.col("doc_id").alias("line_no"),
+                            F.to_json(F.struct(F.split("text", "\n").alias("set"))).alias("value"))
+    qa = conv_qa(t)
+    nq = qa.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answers").alias("_neg"))
+    qp = qa.select(F.lit("qpos").alias("file"), F.col("conv_id").alias("line_no"),
+                   F.to_json(F.struct("query", F.col("answers").alias("pos"))).alias("value"))
+    qpn = qa.join(nq, "conv_id", "left").select(
+        F.lit("qposneg").alias("file"), F.col("conv_id").alias("line_no"),
+        F.to_json(F.struct("query", F.col("answers").alias("pos"),
+                           F.coalesce("_neg", F.array().cast("array<string>")).alias("neg"))).alias("value"))
+    return lp.unionByName(lt).unionByName(st).unionByName(qp).unionByName(qpn)
+
+
+LINES_SQL = f"""{PAIR_SQL},
+{CONV_SQL},
+lines AS (
+  SELECT 'list_pairs' AS file, doc_id AS line_no, to_json([anc, pos])::VARCHAR AS value FROM pair
+  UNION ALL
+  SELECT 'list_triples', p.doc_id, to_json(CASE WHEN n.anc IS NULL THEN [p.anc, p.pos] ELSE [p.anc, p.pos, n.anc] END)::VARCHAR
+  FROM pair p LEFT JOIN pair n ON n.subset = p.subset AND n.id = p.id + 1
+  UNION ALL
+  SELECT 'sets', doc_id, to_json({{'set': string_split(text, chr(10))}})::VARCHAR FROM documents
+  UNION ALL
+  SELECT 'qpos', conv_id, to_json({{'query': query, 'pos': answers}})::VARCHAR FROM conv
+  UNION ALL
+  SELECT 'qposneg', c.conv_id, to_json({{'query': c.query, 'pos': c.answers, 'neg': coalesce(n.answers, CAST([] AS VARCHAR[]))}})::VARCHAR
+  FROM conv c LEFT JOIN conv n ON n.conv_id = c.conv_id + 1)"""
