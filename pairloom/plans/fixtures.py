@@ -114,3 +114,21 @@ lines AS (
   UNION ALL
   SELECT 'qposneg', c.conv_id, to_json({{'query': c.query, 'pos': c.answers, 'neg': coalesce(n.answers, CAST([] AS VARCHAR[]))}})::VARCHAR
   FROM conv c LEFT JOIN conv n ON n.conv_id = c.conv_id + 1)"""
+
+
+# ---------- TRIPLET fixture: negatives = anchors of the next two rows of the subset ----------
+
+def triplets(t: Tables) -> DataFrame:
+    """(anc, pos, neg[], label, subset, id): neg = [anc(id+1), anc(id+2)] (missing ones stay NULL)."""
+    p = pairs(t)
+    n1 = p.select("subset", (F.col("id") - 1).alias("id"), F.col("anc").alias("_n1"))
+    n2 = p.select("subset", (F.col("id") - 2).alias("id"), F.col("anc").alias("_n2"))
+    j = p.join(n1, ["subset", "id"], "left").join(n2, ["subset", "id"], "left")
+    return j.select("anc", "pos", F.array("_n1", "_n2").alias("neg"), "label", "subset", "id")
+
+
+TRIP_SQL = f"""{PAIR_SQL},
+trip AS (
+  SELECT p.anc, p.pos, [n1.anc, n2.anc] AS neg, p.label, p.subset, p.id
+  FROM pair p LEFT JOIN pair n1 ON n1.subset = p.subset AND n1.id = p.id + 1
+              LEFT JOIN pair n2 ON n2.subset = p.subset AND n2.id = p.id + 2)"""
