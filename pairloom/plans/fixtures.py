@@ -23,6 +23,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("__"):
+            raise AttributeError(name)
         if name not in TABLES:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -132,3 +134,28 @@ trip AS (
   SELECT p.anc, p.pos, [n1.anc, n2.anc] AS neg, p.label, p.subset, p.id
   FROM pair p LEFT JOIN pair n1 ON n1.subset = p.subset AND n1.id = p.id + 1
               LEFT JOIN pair n2 ON n2.subset = p.subset AND n2.id = p.id + 2)"""
+
+
+# ---------- R6: queries / corpus / qrels from conversations ----------
+
+def beir(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """queries(_id, text) = first user turn; corpus(_id, title, text) = assistant turns (id conv·1000+turn);
+    qrels(query-id, corpus-id) = the conversation's assistant turns plus ids that exist on one side only."""
+    qa = conv_qa(t)
+    queries = qa.select(F.col("conv_id").alias("_id"), F.col("query").alias("text"))
+    a = t.conversations.filter(F.col("role") == "assistant")
+    corpus = a.select((F.col("conv_id") * 1000 + F.col("turn")).alias("_id"), first_line(F.col("text")).alias("title"),
+                      F.coalesce(rest_lines(F.col("text")), F.lit("")).alias("text"))
+    real = a.select(F.col("conv_id").alias("query-id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("corpus-id"))
+    ghost_doc = qa.select(F.col("conv_id").alias("query-id"), (F.col("conv_id") * 1000 + 999).alias("corpus-id"))
+    ghost_q = qa.select((-(F.col("conv_id") + 1)).alias("query-id"), (F.col("conv_id") * 1000 + 1).alias("corpus-id"))
+    return queries, corpus, real.unionByName(ghost_doc).unionByName(ghost_q)
+
+
+BEIR_SQL = f"""{CONV_SQL},
+queries AS (SELECT conv_id AS _id, query AS text FROM conv),
+corpus AS (SELECT conv_id * 1000 + turn AS _id, {S.first_line('text')} AS title, coalesce({S.rest_lines('text')}, '') AS text
+           FROM conversations WHERE role = 'assistant'),
+qrels AS (SELECT conv_id AS "query-id", conv_id * 1000 + turn AS "corpus-id" FROM conversations WHERE role = 'assistant'
+          UNION ALL SELECT conv_id, conv_id * 1000 + 999 FROM conv
+          UNION ALL SELECT -(conv_id + 1), conv_id * 1000 + 1 FROM conv)"""

@@ -15,19 +15,20 @@ SEED = 42
 H = S.H
 INSTRUCT_SQL = ("CASE WHEN length(coalesce(i.instruction, '')) > 0 THEN 'Instruct:' || i.instruction || chr(10) || 'Query:' || p.anc "
                 "ELSE p.anc END")
-FLAT_SQL = f"""{PAIR_SQL}, {INSTR_SQL},
-flat AS (SELECT {INSTRUCT_SQL} AS text, p.subset, p.id, 'anc' AS "column", length({INSTRUCT_SQL}) AS len
+FLAT_BODY = f"""flat AS (SELECT {INSTRUCT_SQL} AS text, p.subset, p.id, 'anc' AS "column", length({INSTRUCT_SQL}) AS len
          FROM pair p LEFT JOIN instr i USING (subset)
          UNION ALL SELECT pos, subset, id, 'pos', length(pos) FROM pair),
 enc AS (SELECT *, row_number() OVER (ORDER BY len DESC, subset, id, "column") - 1 AS emb_idx FROM flat)"""
+FLAT_SQL = f"{PAIR_SQL}, {INSTR_SQL},\n{FLAT_BODY}"
 
-FLAT3_SQL = f"""{TRIP_SQL}, {INSTR_SQL},
-t3 AS (SELECT p.*, {INSTRUCT_SQL} AS a FROM trip p LEFT JOIN instr i USING (subset)),
+FLAT3_BODY = f"""t3 AS (SELECT p.*, {INSTRUCT_SQL} AS a FROM trip p LEFT JOIN instr i USING (subset)),
 negs AS (SELECT subset, id, label, unnest(neg) AS text, unnest(range(0, len(neg))) AS slot FROM trip),
 flat3 AS (SELECT a AS text, subset, id, 'anc' AS "column", -1 AS slot, label, length(a) AS len FROM t3
           UNION ALL SELECT pos, subset, id, 'pos', -1, label, length(pos) FROM t3
           UNION ALL SELECT text, subset, id, 'neg', slot, label, length(text) FROM negs WHERE text IS NOT NULL),
 enc3 AS (SELECT *, row_number() OVER (ORDER BY len DESC, subset, id, "column", slot) - 1 AS emb_idx FROM flat3)"""
+FLAT3_SQL = f"{TRIP_SQL}, {INSTR_SQL},\n{FLAT3_BODY}"
+BOTH_FLAT_SQL = f"{TRIP_SQL}, {INSTR_SQL},\n{FLAT_BODY},\n{FLAT3_BODY}"
 
 
 def flat_pairs(t: Tables):
