@@ -50,22 +50,22 @@ def hash_row_index(
     """
     group = list(group)
     oh = F.col(order_hash) if isinstance(order_hash, str) else order_hash
-    d = df.withColumn("_oh", oh)
+    d = df.withColumn("__hrioh", oh)
     if bits is None:
         bits = salt_bits_for(d, group, rows_per_slice)
-    d = d.withColumn("_slice", F.shiftright(F.col("_oh"), 32 - bits) if bits else F.lit(0))
-    keys = group + ["_slice"]
-    w = Window.partitionBy(*keys).orderBy(F.col("_oh"), *as_cols(ties))
-    local = d.withColumn("_rn", F.row_number().over(w) - 1)
+    d = d.withColumn("__hrislice", F.shiftright(F.col("__hrioh"), 32 - bits) if bits else F.lit(0))
+    keys = group + ["__hrislice"]
+    w = Window.partitionBy(*keys).orderBy(F.col("__hrioh"), *as_cols(ties))
+    local = d.withColumn("__hrirn", F.row_number().over(w) - 1)
     if bits == 0:
-        return local.withColumn(out, F.col("_rn").cast("bigint")).drop("_oh", "_slice", "_rn")
-    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        return local.withColumn(out, F.col("__hrirn").cast("bigint")).drop("__hrioh", "__hrislice", "__hrirn")
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hrin"))
+    before = Window.partitionBy(*group).orderBy("__hrislice").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, F.coalesce(F.sum("__hrin").over(before), F.lit(0)).alias("__hrioff"))
     return (
         local.join(offs, keys)
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_oh", "_slice", "_rn", "_off")
+        .withColumn(out, (F.col("__hrirn") + F.col("__hrioff")).cast("bigint"))
+        .drop("__hrioh", "__hrislice", "__hrirn", "__hrioff")
     )
 
 
