@@ -159,3 +159,33 @@ corpus AS (SELECT conv_id * 1000 + turn AS _id, {S.first_line('text')} AS title,
 qrels AS (SELECT conv_id AS "query-id", conv_id * 1000 + turn AS "corpus-id" FROM conversations WHERE role = 'assistant'
           UNION ALL SELECT conv_id, conv_id * 1000 + 999 FROM conv
           UNION ALL SELECT -(conv_id + 1), conv_id * 1000 + 1 FROM conv)"""
+
+
+# ---------- vectors for loss / geometry queries ----------
+
+def loss_inputs(t: Tables, per_batch: int = 16, student_dim: int = 32) -> DataFrame:
+    """Per anchor: batch_id = vec_id div 16, row_in_batch, teacher = embedding, student = components 33..64,
+    positive = next vector of the same label, negative = vector vec_id + 16 (when present).
+
+    The student takes the second half so that a teacher truncated to 32 dims differs from it.
+    """
+    e = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = range_row_index(e, [("vec_id", True)], out="_p", group=["label"])
+    nxt = e.select("label", (F.col("_p") - 1).alias("_p"), F.col("v").alias("pos_v"), F.col("vec_id").alias("pos_id"))
+    neg = e.select((F.col("vec_id") - per_batch).alias("vec_id"), F.col("v").alias("neg_v"))
+    j = e.join(nxt, ["label", "_p"]).join(neg, "vec_id", "left")
+    st = lambda c: F.slice(c, student_dim + 1, student_dim)
+    return j.select(
+        "vec_id", "label", F.floor(F.col("vec_id") / per_batch).cast("bigint").alias("batch_id"),
+        (F.col("vec_id") % per_batch).cast("int").alias("row_in_batch"),
+        F.col("v").alias("teacher"), st(F.col("v")).alias("student"), "pos_id",
+        F.col("pos_v").alias("pos_teacher"), st(F.col("pos_v")).alias("pos_student"),
+        F.col("neg_v").alias("neg_teacher"), F.when(F.col("neg_v").isNotNull(), st(F.col("neg_v"))).alias("neg_student"))
+
+
+LOSS_IN_SQL = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+                 row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p FROM embeddings),
+li AS (SELECT a.vec_id, a.label, a.vec_id // 16 AS batch_id, CAST(a.vec_id % 16 AS INT) AS row_in_batch,
+              a.v AS teacher, a.v[33:64] AS student, n.vec_id AS pos_id, n.v AS pos_teacher, n.v[33:64] AS pos_student,
+              g.v AS neg_teacher, g.v[33:64] AS neg_student
+       FROM e a JOIN e n ON n.label = a.label AND n.p = a.p + 1 LEFT JOIN e g ON g.vec_id = a.vec_id + 16)"""
