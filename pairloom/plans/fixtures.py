@@ -189,3 +189,79 @@ li AS (SELECT a.vec_id, a.label, a.vec_id // 16 AS batch_id, CAST(a.vec_id % 16
               a.v AS teacher, a.v[33:64] AS student, n.vec_id AS pos_id, n.v AS pos_teacher, n.v[33:64] AS pos_student,
               g.v AS neg_teacher, g.v[33:64] AS neg_student
        FROM e a JOIN e n ON n.label = a.label AND n.p = a.p + 1 LEFT JOIN e g ON g.vec_id = a.vec_id + 16)"""
+
+
+# ---------- benchmark scores from events ----------
+
+# fixed list used to name synthetic benchmark tasks (event type + one of these, chosen by event_id)
+TASK_SUFFIXES = ["Retrieval", "Reranking", "Classification", "PairClassification", "STS", "Clustering",
+                 "Summarization", "DupQuestions", "Quora", "Bitext"]
+
+
+def _task_col() -> F.Column:
+    suf = F.array(*[F.lit(s) for s in TASK_SUFFIXES])
+    cap = F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 100))
+    return F.concat(cap, F.element_at(suf, (F.col("event_id") % len(TASK_SUFFIXES) + 1).cast("int")))
+
+
+def run_configs(t: Tables) -> DataFrame:
+    e = t.events
+    g = e.groupBy("user_id").agg(
+        F.min_by("event_type", "event_id").alias("data_name"),
+        F.countDistinct("event_type").alias("num_epochs"),
+        F.sum("value").alias("_sum"), F.max("value").alias("_max"), F.count(F.lit(1)).alias("_n"),
+        F.sum((F.col("event_type") == "error").cast("int")).alias("_err"),
+        F.sum((F.col("event_type") == "click").cast("int")).alias("_clk"),
+        F.sum((F.col("event_type") == "view").cast("int")).alias("_view"))
+    return g.select(
+        F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_name"), "data_name", "num_epochs",
+        F.lit(16).alias("batch_size"), F.when(F.col("_sum") > 3000, 2).otherwise(1).alias("world_size"),
+        F.when(F.col("_max") > 200, 256).alias("global_batch_size"), F.lit("cosine").alias("scheduler"),
+        F.lit("2e-05").alias("lr"), F.when(F.col("_err") > 10, "kld").otherwise("ckd").alias("loss_type"),
+        F.when(F.col("_n") % 2 == 0, 0.5).otherwise(1.0).alias("distill_weight"), (F.col("_clk") > 10).alias("use_pos"),
+        (F.col("_view") > 10).alias("add_prefix"), F.lit(False).alias("use_lora"))
+
+
+def score_rows(t: Tables) -> DataFrame:
+    """(run_name, code_name, task, score): score = mean value of the run's events of that task."""
+    from ..operators.scores import run_code_name
+    cfg = run_configs(t)
+    cfg = cfg.select("run_name", run_code_name(cfg).alias("code_name"))
+    s = t.events.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_name"), _task_col().alias("task"), "value")
+    s = s.groupBy("run_name", "task").agg(F.avg("value").alias("score"))
+    return s.join(cfg, "run_name").select("run_name", "code_name", "task", "score")
+
+
+def task_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tasks, overrides, metadata), one row per task."""
+    tasks = t.events.select(_task_col().alias("task")).distinct()
+    overrides = tasks.filter(F.col("task").like("Click%Clustering")).select("task", F.lit("Classification").alias("category"))
+    metadata = tasks.filter(F.col("task").like("View%")).select("task", F.lit("Retrieval").alias("category"))
+    return tasks, overrides, metadata
+
+
+def _suffix_sql() -> str:
+    return "[" + ", ".join(f"'{s}'" for s in TASK_SUFFIXES) + "]"
+
+
+TASK_SQL = f"upper(substr(event_type, 1, 1)) || substr(event_type, 2) || {_suffix_sql()}[event_id % {len(TASK_SUFFIXES)} + 1]"
+CFG_SQL = """cfg AS (
+  SELECT 'run' || user_id AS run_name, arg_min(event_type, event_id) AS data_name, count(DISTINCT event_type) AS num_epochs,
+         16 AS batch_size, CASE WHEN sum(value) > 3000 THEN 2 ELSE 1 END AS world_size,
+         CASE WHEN max(value) > 200 THEN 256 END AS global_batch_size, 'cosine' AS scheduler, '2e-05' AS lr,
+         CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 10 THEN 'kld' ELSE 'ckd' END AS loss_type,
+         CASE WHEN count(*) % 2 = 0 THEN 0.5 ELSE 1.0 END AS distill_weight,
+         count(*) FILTER (WHERE event_type = 'click') > 10 AS use_pos, count(*) FILTER (WHERE event_type = 'view') > 10 AS add_prefix,
+         false AS use_lora
+  FROM events GROUP BY user_id),
+cn AS (SELECT run_name, data_name || '_e' || num_epochs || '_bs' || coalesce(global_batch_size, batch_size * world_size) || '_' ||
+              scheduler || lr || '_' || loss_type || CASE WHEN distill_weight <> 1.0 THEN CAST(CAST(distill_weight AS DOUBLE) AS VARCHAR) ELSE '' END ||
+              CASE WHEN use_pos THEN '_w-pos' ELSE '' END || CASE WHEN add_prefix THEN '_prefix' ELSE '' END ||
+              CASE WHEN use_lora THEN '_lora' ELSE '' END AS code_name FROM cfg)"""
+SCORES_SQL = f"""{CFG_SQL},
+sc AS (SELECT s.run_name, cn.code_name, s.task, s.score
+       FROM (SELECT 'run' || user_id AS run_name, {TASK_SQL} AS task, avg(value) AS score FROM events GROUP BY 1, 2) s
+       JOIN cn USING (run_name)),
+tasks AS (SELECT DISTINCT {TASK_SQL} AS task FROM events),
+overrides AS (SELECT task, 'Classification' AS category FROM tasks WHERE task LIKE 'Click%Clustering'),
+metadata AS (SELECT task, 'Retrieval' AS category FROM tasks WHERE task LIKE 'View%')"""
