@@ -111,12 +111,12 @@ def range_row_index(
     slicing is a pure function of each row and a recomputed task lands every row in the same slice.
     """
     if group:
-        full = range_row_index(df, [(g, True) for g in group] + list(order), "_gidx", rows_per_slice, min_slices, seed)
-        starts = full.groupBy(*group).agg(F.min("_gidx").alias("_g0"))
-        return full.join(starts, list(group)).withColumn(out, F.col("_gidx") - F.col("_g0")).drop("_gidx", "_g0")
+        full = range_row_index(df, [(g, True) for g in group] + list(order), "__rrigidx", rows_per_slice, min_slices, seed)
+        starts = full.groupBy(*group).agg(F.min("__rrigidx").alias("__rrig0"))
+        return full.join(starts, list(group)).withColumn(out, F.col("__rrigidx") - F.col("__rrig0")).drop("__rrigidx", "__rrig0")
     spark = df.sparkSession
     key = _order_key(order)
-    d = df.withColumn("_key", key)
+    d = df.withColumn("__rrikey", key)
     total = d.count()
     slices = max(min_slices or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_slice))
     if total <= rows_per_slice and min_slices is None:
@@ -125,23 +125,23 @@ def range_row_index(
     if slices > 1 and total > 0:
         want = 64 * slices
         frac = min(1.0, want / total)
-        sample = [tuple(r["_key"]) for r in d.select("_key").sample(False, frac, seed).limit(4 * want).collect()]
+        sample = [tuple(r["__rrikey"]) for r in d.select("__rrikey").sample(False, frac, seed).limit(4 * want).collect()]
         sample.sort()
         if sample:
             step = len(sample) / slices
             cand = [sample[min(len(sample) - 1, int(step * i))] for i in range(1, slices)]
             bounds = sorted(set(cand))
-    d = d.withColumn("_slice", _bucket_expr(F.col("_key"), bounds) if bounds else F.lit(0))
-    w = Window.partitionBy("_slice").orderBy("_key")
-    local = d.withColumn("_rn", F.row_number().over(w) - 1)
+    d = d.withColumn("__rrislice", _bucket_expr(F.col("__rrikey"), bounds) if bounds else F.lit(0))
+    w = Window.partitionBy("__rrislice").orderBy("__rrikey")
+    local = d.withColumn("__rrirn", F.row_number().over(w) - 1)
     if not bounds:
-        return local.withColumn(out, F.col("_rn").cast("bigint")).drop("_key", "_slice", "_rn")
-    counts = d.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        return local.withColumn(out, F.col("__rrirn").cast("bigint")).drop("__rrikey", "__rrislice", "__rrirn")
+    counts = d.groupBy("__rrislice").agg(F.count(F.lit(1)).alias("__rrin"))
+    before = Window.orderBy("__rrislice").rowsBetween(Window.unboundedPreceding, -1)
     # one row per slice: bounded by the slice count, safe to broadcast
-    offs = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offs = counts.select("__rrislice", F.coalesce(F.sum("__rrin").over(before), F.lit(0)).alias("__rrioff"))
     return (
-        local.join(F.broadcast(offs), "_slice")
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_key", "_slice", "_rn", "_off")
+        local.join(F.broadcast(offs), "__rrislice")
+        .withColumn(out, (F.col("__rrirn") + F.col("__rrioff")).cast("bigint"))
+        .drop("__rrikey", "__rrislice", "__rrirn", "__rrioff")
     )

@@ -223,3 +223,107 @@ def triplets_by_label(
         F.col("_key").alias(key), F.col("_anc").alias("anc"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"),
         "label", *carry
     )
+
+
+def triplets_given_pos(
+    df: DataFrame,
+    key: str,
+    anc: str,
+    pos: str,
+    label: str,
+    num_negs: int = 7,
+    seed: int = 42,
+    carry: tuple[str, ...] = (),
+    clean: bool = True,
+) -> DataFrame:
+    """M2/M3: anchor and positive are given (both cleaned and valid); negatives are other labels' positives
+    (texts ≠ the row's positive). ``anc``/``pos`` are column names of already composed texts."""
+    from ..functions.text import clean_text, is_valid_text
+
+    a = clean_text(F.col(anc)) if clean else F.col(anc)
+    p = clean_text(F.col(pos)) if clean else F.col(pos)
+    both = F.struct(a.alias("anc"), p.alias("pos"))
+    keep = F.filter(F.array(both), lambda s: is_valid_text(s["anc"]) & is_valid_text(s["pos"]))
+    valid = df.select(F.col(key), F.col(label).cast("string").alias("label"), *carry, F.explode(keep).alias("_ap"))
+    valid = valid.select(key, "label", *carry, F.col("_ap.anc").alias("anc"), F.col("_ap.pos").alias("pos")).persist()
+    pools = build_label_pools(valid.select(key, F.col("pos").alias("text"), "label"), key, "text", "label", seed)
+    anchors = valid.join(F.broadcast(pools.labels.select("label", "label_no")), "label").select(
+        F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("anc").alias("_anc"), F.col("pos").alias("_pos"),
+        "label", *carry)
+    negs = draw_negatives(anchors, pools, seed, num_negs, ["_pos"])
+    return anchors.join(negs, "_key").select(
+        F.col("_key").alias(key), F.col("_anc").alias("anc"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"),
+        "label", *carry)
+
+
+def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_negs: int = 7, seed: int = 42,
+                         first_round: int | None = None) -> DataFrame:
+    """M4: (text, label) rows, no cleaning. pos = uniform other row of the same label (the row itself when
+    alone); negatives = uniform draws over *all rows*, rejected when the row is the anchor, has the
+    anchor's label or repeats an accepted row; drawing stops after ``num_negs`` acceptances or
+    ``20·num_negs`` rejections, and a short list is padded with the previous row's text.
+
+    Anchors that are still undecided after ``first_round`` draws are recomputed over the full draw
+    budget, so the outcome equals the sequential process exactly.
+    """
+    from .indexing import range_row_index
+
+    K = num_negs
+    budget = 21 * K
+    base = df.select(F.col(key).alias("_key"), py_strip(F.coalesce(F.col(text), F.lit(""))).alias("text"),
+                     F.col(label).cast("string").alias("label"))
+    base = range_row_index(base, [("_key", True)], out="gi").persist()
+    n = base.count()
+    if n == 0:
+        return base.select(F.col("_key").alias(key), "text", "text", "label")
+    base = range_row_index(base, [("gi", True)], out="lp", group=["label"]).persist()
+    sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("nl"))
+    b = base.join(sizes, "label")
+    # positive: one draw among the other members (uniform), the row itself when alone
+    j = F.pmod(h(seed, F.col("_key"), "pos"), F.greatest(F.col("nl") - 1, F.lit(1)))
+    b = b.withColumn("_plp", F.when(F.col("nl") == 1, F.col("lp")).otherwise(j + (j >= F.col("lp")).cast("bigint")))
+    pos = base.select("label", F.col("lp").alias("_plp"), F.col("text").alias("pos"))
+    b = b.join(pos, ["label", "_plp"])
+    idx = base.select(F.col("gi").alias("j"), F.col("label").alias("_jl"), F.col("text").alias("_jt"))
+
+    def accept(rows: DataFrame, draws: int) -> DataFrame:
+        d = rows.select("_key", "gi", "label", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
+        d = d.withColumn("j", F.pmod(h(seed, F.col("_key"), F.col("d"), "neg"), F.lit(n)))
+        d = d.join(idx.select("j", "_jl"), "j")
+        ok = (F.col("j") != F.col("gi")) & (F.col("_jl") != F.col("label"))
+        w_first = Window.partitionBy("_key", "j").orderBy("d")
+        d = d.withColumn("_first_ok", F.min(F.when(ok, F.col("d"))).over(w_first))
+        d = d.withColumn("fv", ok & (F.col("_first_ok") == F.col("d")))
+        w = Window.partitionBy("_key").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn("acc_b", F.coalesce(F.sum(F.col("fv").cast("int")).over(w), F.lit(0)))
+        d = d.withColumn("rej_b", F.col("d") - F.col("acc_b"))
+        d = d.withColumn("considered", (F.col("acc_b") < K) & (F.col("rej_b") < 20 * K))
+        state = d.groupBy("_key").agg(
+            F.sum((F.col("considered") & F.col("fv")).cast("int")).alias("acc"),
+            F.sum((F.col("considered") & ~F.col("fv")).cast("int")).alias("rej"))
+        return d.filter(F.col("considered") & F.col("fv")).select("_key", "d", "j"), state
+
+    r1 = first_round or 2 * K
+    acc1, st1 = accept(b, r1)
+    open_keys = st1.filter((F.col("acc") < K) & (F.col("rej") < 20 * K)).select("_key")
+    open_keys = cut_lineage(open_keys)
+    if open_keys.isEmpty():
+        chosen = acc1
+    else:
+        acc2, _ = accept(b.join(open_keys, "_key"), budget)
+        chosen = acc1.join(open_keys, "_key", "left_anti").unionByName(acc2)
+    got = chosen.join(idx.select("j", "_jt"), "j").groupBy("_key").agg(
+        F.array_sort(F.collect_list(F.struct("d", "_jt"))).alias("_s"))
+    got = got.select("_key", F.transform("_s", lambda x: x["_jt"]).alias("_neg"))
+    prev = base.select(F.col("gi").alias("_pg"), F.col("text").alias("_pad"))
+    out = b.join(got, "_key", "left").withColumn("_neg", F.coalesce("_neg", F.array().cast("array<string>")))
+    out = out.withColumn("_pg", F.when(F.lit(n) == 1, F.col("gi")).otherwise(F.pmod(F.col("gi") - 1, F.lit(n))))
+    out = out.join(prev, "_pg")
+    pad = F.array_repeat(F.col("_pad"), F.greatest(F.lit(K) - F.size("_neg"), F.lit(0)).cast("int"))
+    return out.select(F.col("_key").alias(key), F.col("text").alias("anc"), "pos", F.concat("_neg", pad).alias("neg"), "label")
+
+
+def first_triplet(df: DataFrame, query: str = "query", pos: str = "pos", neg: str = "neg") -> DataFrame:
+    """M5: (anchor, first positive, first negative), each stripped."""
+    return df.select(py_strip(F.col(query)).alias("anc"), py_strip(F.try_element_at(pos, F.lit(1))).alias("pos"),
+                     py_strip(F.try_element_at(neg, F.lit(1))).alias("neg"))

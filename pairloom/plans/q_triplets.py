@@ -8,7 +8,8 @@ from ..operators import pairs as P
 from ..operators import stats as ST
 from ..operators import triplets as TR
 from . import sqltext as S
-from .fixtures import Tables
+from ..functions import text as TX
+from .fixtures import LINES_SQL, Tables, jsonl_lines
 from .registry import register
 
 SEED = 42
@@ -88,3 +89,99 @@ def flagship(t: Tables):
 
 
 register("triplet_length_stats", FLAT_STATS_SQL)(flagship)
+
+
+def given_pos_sql(src_cte: str, num_negs: int = NUM_NEGS, seed: int = SEED) -> str:
+    """CTEs ending in ``trip`` for M2/M3: ``src(key, anc, pos, label, subset)`` with raw texts (cleaned here)."""
+    D = 4 * num_negs
+    h = S.H
+    return f"""{src_cte},
+cleaned AS (SELECT key, {S.clean('anc')} AS anc, {S.clean('pos')} AS pos, CAST(label AS VARCHAR) AS label, subset FROM src),
+valid AS (SELECT * FROM cleaned WHERE {S.valid('anc')} AND {S.valid('pos')}),
+labs AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS label_no FROM valid GROUP BY label),
+nlab AS (SELECT count(*) AS L FROM labs),
+pool AS (SELECT l.label_no, row_number() OVER (PARTITION BY l.label_no ORDER BY {h(seed, "'pool'", 'v.key')}, v.key) - 1 AS idx,
+                v.pos AS text FROM valid v JOIN labs l USING (label)),
+ap AS (SELECT v.key, v.anc, v.pos, v.label, v.subset, l.label_no AS lno FROM valid v JOIN labs l USING (label)),
+d1 AS (SELECT a.key, a.pos, a.lno, t.d, {h(seed, 'a.key', 't.d', "'lab'")} % (nlab.L - 1) AS o
+       FROM ap a CROSS JOIN range(0, {D}) t(d) CROSS JOIN nlab WHERE nlab.L > 1),
+d2 AS (SELECT d1.*, o + CASE WHEN o >= lno THEN 1 ELSE 0 END AS nl FROM d1),
+d3 AS (SELECT d2.*, {h(seed, 'd2.key', 'd2.d', "'idx'")} % l.n AS ni FROM d2 JOIN labs l ON l.label_no = d2.nl),
+cand AS (SELECT d.key, d.d, d.nl, d.ni, p.text FROM d3 d JOIN pool p ON p.label_no = d.nl AND p.idx = d.ni
+         WHERE length(p.text) > 0 AND p.text <> d.pos),
+firsts AS (SELECT key, nl, ni, min(d) AS d, any_value(text) AS text FROM cand GROUP BY key, nl, ni),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d) AS r FROM firsts),
+negs AS (SELECT key, list(text ORDER BY d) AS neg FROM ranked WHERE r <= {num_negs} GROUP BY key),
+trip AS (SELECT ap.key, ap.anc, ap.pos, coalesce(negs.neg, CAST([] AS VARCHAR[])) AS neg, ap.label, ap.subset
+         FROM ap LEFT JOIN negs USING (key))"""
+
+
+TITLE_SRC = f"""src AS (SELECT doc_id AS key, {S.strip(S.first_line('text'))} AS anc, coalesce({S.rest_lines('text')}, '') AS pos,
+                      lang AS label, source AS subset FROM documents)"""
+
+
+@register("triplets_title_body", f"WITH {given_pos_sql(TITLE_SRC)} SELECT key AS doc_id, anc, pos, neg, label FROM trip")
+def q_triplets_title_body(t: Tables):
+    from ..functions.text import first_line, rest_lines
+    d = t.documents.select("doc_id", TX.py_strip(first_line(F.col("text"))).alias("title"),
+                           F.coalesce(rest_lines(F.col("text")), F.lit("")).alias("content"), "lang")
+    return TR.triplets_given_pos(d, "doc_id", "title", "content", "lang", NUM_NEGS, SEED)
+
+
+QA_SRC = f"""qa AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS answer FROM conversations u
+              JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+src AS (SELECT conv_id * 1000 + turn AS key,
+               CASE WHEN length({S.clean(S.rest_lines('q'))}) > 0
+                    THEN {S.clean(S.first_line('q'))} || chr(10) || chr(10) || {S.clean(S.rest_lines('q'))}
+                    ELSE {S.clean(S.first_line('q'))} END AS anc,
+               answer AS pos, CAST(conv_id % 5 AS VARCHAR) AS label, '' AS subset FROM qa)"""
+
+
+@register("triplets_qa", f"WITH {given_pos_sql(QA_SRC)} SELECT key, anc, pos, neg, label FROM trip")
+def q_triplets_qa(t: Tables):
+    from ..functions.text import clean_text, first_line, rest_lines
+    from ..operators.textops import compose_text
+    c = t.conversations
+    u = c.filter(F.col("role") == "user").alias("u")
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    qa = u.join(a, ["conv_id", "turn"])
+    title, body = clean_text(first_line(F.col("text"))), clean_text(rest_lines(F.col("text")))
+    qa = qa.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), compose_text(title, body).alias("anc"),
+                   "answer", (F.col("conv_id") % 5).cast("string").alias("label"))
+    return TR.triplets_given_pos(qa, "key", "anc", "answer", "label", NUM_NEGS, SEED)
+
+
+def row_uniform_sql(num_negs: int = NUM_NEGS, seed: int = SEED) -> str:
+    K = num_negs
+    h = S.H
+    return f"""WITH base AS (SELECT doc_id AS key, {S.strip("coalesce(text, '')")} AS text, lang AS label,
+                       row_number() OVER (ORDER BY doc_id) - 1 AS gi FROM documents),
+n AS (SELECT count(*) AS n FROM base),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gi) - 1 AS lp, count(*) OVER (PARTITION BY label) AS nl FROM base),
+pj AS (SELECT *, {h(seed, 'key', "'pos'")} % greatest(nl - 1, 1) AS j FROM b2),
+pp AS (SELECT p.*, CASE WHEN nl = 1 THEN lp ELSE j + CASE WHEN j >= lp THEN 1 ELSE 0 END END AS plp FROM pj p),
+wp AS (SELECT pp.key, pp.gi, pp.text, pp.label, q.text AS pos FROM pp JOIN b2 q ON q.label = pp.label AND q.lp = pp.plp),
+dr AS (SELECT w.key, w.gi, w.label, t.d, {h(seed, 'w.key', 't.d', "'neg'")} % n.n AS j FROM wp w CROSS JOIN range(0, {21 * K}) t(d) CROSS JOIN n),
+dl AS (SELECT dr.*, b.label AS jl, (dr.j <> dr.gi AND b.label <> dr.label) AS ok FROM dr JOIN base b ON b.gi = dr.j),
+df AS (SELECT *, ok AND d = min(CASE WHEN ok THEN d END) OVER (PARTITION BY key, j) AS fv FROM dl),
+dc AS (SELECT *, coalesce(sum(CASE WHEN fv THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc_b FROM df),
+acc AS (SELECT key, d, j FROM dc WHERE fv AND acc_b < {K} AND (d - acc_b) < {20 * K}),
+got AS (SELECT a.key, list(b.text ORDER BY a.d) AS neg FROM acc a JOIN base b ON b.gi = a.j GROUP BY a.key),
+o AS (SELECT w.*, coalesce(g.neg, CAST([] AS VARCHAR[])) AS neg0,
+             CASE WHEN n.n = 1 THEN w.gi ELSE (w.gi - 1 + n.n) % n.n END AS pg FROM wp w LEFT JOIN got g USING (key) CROSS JOIN n)
+SELECT o.key AS doc_id, o.text AS anc, o.pos, list_concat(o.neg0, list_transform(range(0, greatest({K} - len(o.neg0), 0)), lambda x: b.text)) AS neg, o.label
+FROM o JOIN base b ON b.gi = o.pg"""
+
+
+@register("triplets_row_uniform", row_uniform_sql())
+def q_triplets_row_uniform(t: Tables):
+    return TR.triplets_row_uniform(t.documents, "doc_id", "text", "lang", NUM_NEGS, SEED)
+
+
+@register("first_triplet", f"""WITH {LINES_SQL}
+SELECT {S.strip("json_extract_string(value, '$.query')")} AS anc, {S.strip("json_extract_string(value, '$.pos[0]')")} AS pos,
+       {S.strip("json_extract_string(value, '$.neg[0]')")} AS neg FROM lines WHERE file = 'qposneg'""")
+def q_first_triplet(t: Tables):
+    raw = jsonl_lines(t).filter(F.col("file") == "qposneg")
+    o = raw.select(F.from_json("value", "struct<query: string, pos: array<string>, neg: array<string>>").alias("_o"))
+    return TR.first_triplet(o.select("_o.*"))
