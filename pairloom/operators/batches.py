@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,107 @@ def micro_chunks(df: DataFrame, n_chunks: int, group: Sequence[str], pos: str) -
     big = r * (q + 1)
     chunk = F.when(p < big, F.floor(p / (q + 1))).otherwise(r + F.floor((p - big) / F.greatest(q, F.lit(1))))
     return df.withColumn("chunk", chunk.cast("int"))
+
+
+def _dyn_scan(neg: np.ndarray, s_eff: int, n_rem: int, e: int, per_rank: int, world: int, max_pairs: int | None,
+              max_neg: int | None, drop_last: bool) -> tuple[list[tuple[int, int]], int]:
+    """Replay the dynamic cut from offset ``e`` of a block: ([(start, length)], exit offset or -1 when the task ends)."""
+    G = per_rank * world
+    j, out = e, []
+    while j < s_eff and j < n_rem:
+        end = min(j + G, n_rem)
+        eff = per_rank
+        if max_pairs is not None and end > j:
+            kmin = int(neg[j:end].min())
+            if max_neg is not None:
+                kmin = min(kmin, max_neg)
+            c = 1 + max(0, kmin)
+            if c > 1:
+                eff = max(1, min(per_rank, max_pairs // c))
+        gs = eff * world
+        clen = min(gs, n_rem - j)
+        if clen < gs and drop_last:
+            return out, -1
+        out.append((j, clen))
+        j += clen
+    if j >= n_rem:
+        return out, -1
+    return out, j - s_eff
+
+
+def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int, max_pairs: int | None,
+                       max_neg: int | None = None, seed: int = 42, epoch: int = 0,
+                       label_group_subsets: Sequence[str] = (), drop_last: bool = True, shuffle_batches: bool = True,
+                       neg_len: str = "neg_len", block_rows: int = 1_000_000) -> DataFrame:
+    """Per task, the next batch's per-rank size shrinks to ``max(1, min(B, P // (1+Kmin)))`` where Kmin is the
+    smallest negative count (capped by ``max_neg``) among the next ``B·world`` rows; the batch then takes
+    ``size·world`` rows.
+
+    The cut is a sequential scan, made parallel by blocks of ``block_rows`` positions: each block (plus the
+    ``B·world - 1`` rows after it) computes where a scan entering at offset 0..B·world-1 leaves it and how many
+    batches it starts; the driver chains those maps (B·world numbers per block), and each block then replays
+    its scan from the known entry. Only the narrow (task, position, neg_len) columns move.
+    """
+    G = per_rank * world
+    s = seed + epoch
+    keys = [F.col(k) for k in key_cols]
+    d = df.withColumn("task", task_key(df, label_group_subsets)).withColumn("_nl", F.col(neg_len).cast("int"))
+    d = hash_row_index(d, ["task"], h(s, "row", *keys), list(key_cols), out="_pos")
+    narrow = d.select("task", "_pos", "_nl")
+    sizes = narrow.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
+    own = narrow.withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint")).withColumn("_la", F.lit(False))
+    look = (narrow.filter((F.col("_pos") % block_rows < G - 1) & (F.col("_pos") >= block_rows))
+            .withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint") - 1).withColumn("_la", F.lit(True)))
+    grp = own.unionByName(look).join(sizes, "task")  # one row per task on the right
+    args = (per_rank, world, max_pairs, max_neg, drop_last)
+
+    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        b = int(pdf["block"].iloc[0])
+        neg = pdf["_nl"].to_numpy()
+        s_eff = int((~pdf["_la"]).sum())
+        n_rem = int(pdf["_n"].iloc[0]) - b * block_rows
+        rows = []
+        for e in range(G):
+            starts, ex = _dyn_scan(neg, s_eff, n_rem, e, *args)
+            rows.append((pdf["task"].iloc[0], b, e, ex, len(starts)))
+        return pd.DataFrame(rows, columns=["task", "block", "entry", "exit", "nb"])
+
+    maps = grp.groupBy("task", "block").applyInPandas(transfer, "task string, block long, entry int, exit int, nb long")
+    # B·world small rows per block reach the driver; chained per task in block order
+    table: dict[tuple[str, int], dict[int, tuple[int, int]]] = {}
+    for r in maps.collect():
+        table.setdefault((r["task"], r["block"]), {})[r["entry"]] = (r["exit"], r["nb"])
+    starts_rows = []
+    for task in sorted({k[0] for k in table}):
+        entry, first = 0, 0
+        for b in sorted(k[1] for k in table if k[0] == task):
+            if entry < 0:
+                break
+            starts_rows.append((task, b, entry, first))
+            ex, nb = table[(task, b)][entry]
+            first += nb
+            entry = ex
+    start_df = d.sparkSession.createDataFrame(starts_rows, "task string, block long, entry int, first_batch long")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        b = int(pdf["block"].iloc[0])
+        neg = pdf["_nl"].to_numpy()
+        s_eff = int((~pdf["_la"]).sum())
+        n_rem = int(pdf["_n"].iloc[0]) - b * block_rows
+        starts, _ = _dyn_scan(neg, s_eff, n_rem, int(pdf["entry"].iloc[0]), *args)
+        first = int(pdf["first_batch"].iloc[0])
+        out = []
+        for i, (st, ln) in enumerate(starts):
+            for r in range(ln):
+                out.append((pdf["task"].iloc[0], b * block_rows + st + r, first + i, r))
+        return pd.DataFrame(out, columns=["task", "_pos", "batch_no", "row_in_batch"])
+
+    tagged = grp.join(F.broadcast(start_df), ["task", "block"]).groupBy("task", "block").applyInPandas(
+        assign, "task string, _pos long, batch_no long, row_in_batch int")
+    rows = d.join(tagged, ["task", "_pos"]).drop("_nl")
+    batches = rows.select("task", "batch_no").distinct()
+    border = h(s, "batch", F.col("task"), F.col("batch_no")) if shuffle_batches else F.lit(0)
+    batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id")
+    return rows.join(batches, ["task", "batch_no"]).drop("_pos")

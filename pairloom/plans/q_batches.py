@@ -80,3 +80,36 @@ SELECT subset, id, batch_id, CAST(CASE WHEN row_in_batch < r * (q + 1) THEN floo
                                    ELSE r + floor((row_in_batch - r * (q + 1)) / greatest(q, 1)) END AS INT) AS chunk FROM d""")
 def q_micro_chunks(t):
     return B.micro_chunks(_plan(t), 3, ["batch_id"], "row_in_batch").select("subset", "id", "batch_id", "chunk")
+
+
+P_MAX = 12
+
+
+def dyn_sql() -> str:
+    s = SEED + EPOCH
+    task = f"CASE WHEN subset IN ({_LT}) THEN subset || '|' || coalesce(label, '') ELSE subset END"
+    gs = f"(CASE WHEN c > 1 THEN greatest(1, least({PER_RANK}, {P_MAX} // c)) ELSE {PER_RANK} END) * {WORLD}"
+    kmin = f"(SELECT min(nl) FROM rn r WHERE r.task = s.task AND r.pos >= s.j AND r.pos < least(s.j + {G}, s.n))"
+    return f"""WITH RECURSIVE {ENC3_ROWS_SQL},
+tk AS (SELECT subset, id, len(neg) AS nl, {task} AS task FROM e3),
+rn AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY {H(s, "'row'", 'subset', 'id')}, subset, id) - 1 AS pos,
+              count(*) OVER (PARTITION BY task) AS n FROM tk),
+steps(task, j, bno, n) AS (
+  SELECT task, 0, 0, max(n) FROM rn GROUP BY task
+  UNION ALL
+  SELECT task, j + gs, bno + 1, n FROM (
+    SELECT *, {gs} AS gs FROM (SELECT s.*, 1 + greatest(0, {kmin}) AS c FROM steps s WHERE s.j < s.n) x) y
+  WHERE j + gs <= n),
+bt0 AS (SELECT *, {gs} AS gs FROM (SELECT s.*, 1 + greatest(0, {kmin}) AS c FROM steps s WHERE s.j < s.n) x),
+bt AS (SELECT * FROM bt0 WHERE j + gs <= n),
+ids AS (SELECT task, bno, row_number() OVER (ORDER BY {H(s, "'batch'", 'task', 'bno')}, task, bno) - 1 AS batch_id FROM bt)
+SELECT r.subset, r.id, r.task, CAST(b.bno AS BIGINT) AS batch_no, CAST(r.pos - b.j AS INT) AS row_in_batch, i.batch_id
+FROM rn r JOIN bt b ON b.task = r.task AND r.pos >= b.j AND r.pos < b.j + b.gs JOIN ids i ON i.task = b.task AND i.bno = b.bno"""
+
+
+@register("batch_plan_dynamic", dyn_sql())
+def q_batch_plan_dynamic(t):
+    enc = _encoded(t).withColumn("neg_len", F.size("neg"))
+    out = B.batch_plan_dynamic(enc, ["subset", "id"], PER_RANK, WORLD, P_MAX, None, SEED, EPOCH, LABEL_TASKS,
+                               block_rows=40)
+    return out.select("subset", "id", "task", "batch_no", "row_in_batch", "batch_id")
