@@ -1,0 +1,6 @@
+"""Incremental (Structured Streaming) forms of batch operators.
+
+The reference has no streams; its one incremental job is the resumable encoder (texts are encoded in
+chunks and a checkpoint lets a restarted job skip finished work). Here that is a file-source stream
+whose checkpoint records which input files are done.
+"""
