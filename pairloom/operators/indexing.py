@@ -104,19 +104,16 @@ def range_row_index(
 ) -> DataFrame:
     """0-based position under ``order`` = [(column, ascending), ...] (end with a unique key).
 
-    With ``group``, positions restart at 0 in every group: the global order is (group, order) and
-    each group's first position (one row per group) is subtracted.
-
-    Slice boundaries are literal keys taken from a bounded sample (``≈64`` keys per slice), so the
-    slicing is a pure function of each row and a recomputed task lands every row in the same slice.
+    With ``group``, positions restart at 0 in every group. Slice boundaries are literal keys of
+    (group, order) taken from a bounded sample (≈64 keys per slice), so a hot group spans many slices,
+    the slicing is a pure function of each row, and a recomputed task lands every row in the same
+    slice. Offsets come from the table of (slice, group) counts: one row per non-empty pair, at most
+    slices + groups rows.
     """
-    if group:
-        full = range_row_index(df, [(g, True) for g in group] + list(order), "__rrigidx", rows_per_slice, min_slices, seed)
-        starts = full.groupBy(*group).agg(F.min("__rrigidx").alias("__rrig0"))
-        return full.join(starts, list(group)).withColumn(out, F.col("__rrigidx") - F.col("__rrig0")).drop("__rrigidx", "__rrig0")
+    group = list(group)
     spark = df.sparkSession
-    key = _order_key(order)
-    d = df.withColumn("__rrikey", key)
+    full_order = [(g, True) for g in group] + list(order)
+    d = df.withColumn("__rrikey", _order_key(full_order))
     total = d.count()
     slices = max(min_slices or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_slice))
     if total <= rows_per_slice and min_slices is None:
@@ -132,16 +129,17 @@ def range_row_index(
             cand = [sample[min(len(sample) - 1, int(step * i))] for i in range(1, slices)]
             bounds = sorted(set(cand))
     d = d.withColumn("__rrislice", _bucket_expr(F.col("__rrikey"), bounds) if bounds else F.lit(0))
-    w = Window.partitionBy("__rrislice").orderBy("__rrikey")
+    w = Window.partitionBy("__rrislice", *group).orderBy("__rrikey")
     local = d.withColumn("__rrirn", F.row_number().over(w) - 1)
     if not bounds:
         return local.withColumn(out, F.col("__rrirn").cast("bigint")).drop("__rrikey", "__rrislice", "__rrirn")
-    counts = d.groupBy("__rrislice").agg(F.count(F.lit(1)).alias("__rrin"))
-    before = Window.orderBy("__rrislice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per slice: bounded by the slice count, safe to broadcast
-    offs = counts.select("__rrislice", F.coalesce(F.sum("__rrin").over(before), F.lit(0)).alias("__rrioff"))
+    counts = d.groupBy("__rrislice", *group).agg(F.count(F.lit(1)).alias("__rrin"))
+    before = Window.partitionBy(*group).orderBy("__rrislice").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("__rrislice", *group, F.coalesce(F.sum("__rrin").over(before), F.lit(0)).alias("__rrioff"))
+    # without groups the offset table has one row per slice: bounded by the slice count
+    offs = F.broadcast(offs) if not group else offs
     return (
-        local.join(F.broadcast(offs), "__rrislice")
+        local.join(offs, ["__rrislice", *group])
         .withColumn(out, (F.col("__rrirn") + F.col("__rrioff")).cast("bigint"))
         .drop("__rrikey", "__rrislice", "__rrirn", "__rrioff")
     )

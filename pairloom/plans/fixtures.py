@@ -17,22 +17,50 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Tables:
-    """Lazy parquet tables of one scale-factor folder."""
+    """Lazy parquet tables of one scale-factor folder; derived fixtures are built once per instance."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._memo: dict = {}
+
+    def memo(self, key, build):
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("__"):
-            raise AttributeError(name)
-        if name not in TABLES:
+        if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.memo(("table", name), lambda: spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")))
+
+
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than there are cores (e.g. one large row group), so
+    CPU-heavy text work is not stuck in one task. A scan of many files already has enough partitions and
+    is left alone (no extra shuffle at cluster scale)."""
+    import os
+
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = 0
+    for f in df.inputFiles():
+        local = f[len("file:"):] if f.startswith("file:") else f
+        if os.path.exists(local):
+            size += os.path.getsize(local)
+    return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
 
 
 # ---------- PAIR: documents → first line / remaining lines ----------
 
 def pairs(t: Tables) -> DataFrame:
+    return t.memo("pairs", lambda: _pairs(t))
+
+
+def _pairs(t: Tables) -> DataFrame:
     """PAIR (anc, pos, subset, id, label, doc_id): id = position inside the subset by doc_id."""
     d = t.documents.select("doc_id", "source", "lang", first_line(F.col("text")).alias("anc"),
                            rest_lines(F.col("text")).alias("pos"))
@@ -51,6 +79,10 @@ PAIR_SQL = f"""pair AS (
 # ---------- instruction map: one row per subset, derived from the sources ----------
 
 def instructions(t: Tables) -> DataFrame:
+    return t.memo("instructions", lambda: _instructions(t))
+
+
+def _instructions(t: Tables) -> DataFrame:
     """Sources sorting before ``src5`` get an instruction; the others have none (empty by default)."""
     s = t.documents.select(F.col("source").alias("subset")).distinct().filter(F.col("subset") < "src5")
     return s.select("subset", F.concat(F.lit("Retrieve a passage that continues this "), F.col("subset"),
@@ -65,6 +97,10 @@ INSTR_SQL = """instr AS (
 # ---------- conversations: query = first user turn, assistant turns in order ----------
 
 def conv_qa(t: Tables) -> DataFrame:
+    return t.memo("conv_qa", lambda: _conv_qa(t))
+
+
+def _conv_qa(t: Tables) -> DataFrame:
     """(conv_id, query, answers[]) ; query = first user text, answers = assistant texts by turn."""
     c = t.conversations
     g = c.groupBy("conv_id").agg(
@@ -81,6 +117,10 @@ CONV_SQL = """conv AS (
 
 
 def jsonl_lines(t: Tables) -> DataFrame:
+    return t.memo("jsonl_lines", lambda: _jsonl_lines(t))
+
+
+def _jsonl_lines(t: Tables) -> DataFrame:
     """Raw JSONL "files" (file, line_no, value) in the four shapes, built from the tables."""
     p = pairs(t)
     nxt = p.select("subset", (F.col("id") - 1).alias("id"), F.col("anc").alias("_n"))
@@ -121,6 +161,10 @@ lines AS (
 # ---------- TRIPLET fixture: negatives = anchors of the next two rows of the subset ----------
 
 def triplets(t: Tables) -> DataFrame:
+    return t.memo("triplets", lambda: _triplets(t))
+
+
+def _triplets(t: Tables) -> DataFrame:
     """(anc, pos, neg[], label, subset, id): neg = [anc(id+1), anc(id+2)] (missing ones stay NULL)."""
     p = pairs(t)
     n1 = p.select("subset", (F.col("id") - 1).alias("id"), F.col("anc").alias("_n1"))
@@ -139,6 +183,10 @@ trip AS (
 # ---------- R6: queries / corpus / qrels from conversations ----------
 
 def beir(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return t.memo("beir", lambda: _beir(t))
+
+
+def _beir(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """queries(_id, text) = first user turn; corpus(_id, title, text) = assistant turns (id conv·1000+turn);
     qrels(query-id, corpus-id) = the conversation's assistant turns plus ids that exist on one side only."""
     qa = conv_qa(t)
@@ -164,6 +212,10 @@ qrels AS (SELECT conv_id AS "query-id", conv_id * 1000 + turn AS "corpus-id" FRO
 # ---------- vectors for loss / geometry queries ----------
 
 def loss_inputs(t: Tables, per_batch: int = 16, student_dim: int = 32) -> DataFrame:
+    return t.memo(("loss_inputs", per_batch, student_dim), lambda: _loss_inputs(t, per_batch, student_dim))
+
+
+def _loss_inputs(t: Tables, per_batch: int = 16, student_dim: int = 32) -> DataFrame:
     """Per anchor: batch_id = vec_id div 16, row_in_batch, teacher = embedding, student = components 33..64,
     positive = next vector of the same label, negative = vector vec_id + 16 (when present).
 
@@ -205,6 +257,10 @@ def _task_col() -> F.Column:
 
 
 def run_configs(t: Tables) -> DataFrame:
+    return t.memo("run_configs", lambda: _run_configs(t))
+
+
+def _run_configs(t: Tables) -> DataFrame:
     e = t.events
     g = e.groupBy("user_id").agg(
         F.min_by("event_type", "event_id").alias("data_name"),
@@ -223,6 +279,10 @@ def run_configs(t: Tables) -> DataFrame:
 
 
 def score_rows(t: Tables) -> DataFrame:
+    return t.memo("score_rows", lambda: _score_rows(t))
+
+
+def _score_rows(t: Tables) -> DataFrame:
     """(run_name, code_name, task, score): score = mean value of the run's events of that task."""
     from ..operators.scores import run_code_name
     cfg = run_configs(t)
@@ -233,6 +293,10 @@ def score_rows(t: Tables) -> DataFrame:
 
 
 def task_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return t.memo("task_tables", lambda: _task_tables(t))
+
+
+def _task_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tasks, overrides, metadata), one row per task."""
     tasks = t.events.select(_task_col().alias("task")).distinct()
     overrides = tasks.filter(F.col("task").like("Click%Clustering")).select("task", F.lit("Classification").alias("category"))
