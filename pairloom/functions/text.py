@@ -33,13 +33,20 @@ MIN_LENGTH = 20
 # ---- end of fixed values ----
 
 
+# Python's whitespace (str.isspace / re's \s for str patterns), derived from the rule itself
+PY_WS = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+# Java's (?U)\s is Unicode White_Space; Python's set adds the separators U+001C..U+001F
+_WS_RUN = r"(?U)[\s\x{1c}-\x{1f}]+"
+
+
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: removes Unicode whitespace at both ends (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: removes Python whitespace at both ends (a character-set trim, no regex)."""
+    return F.btrim(c, F.lit(PY_WS))
 
 
 def collapse_ws(c: Column) -> Column:
-    return py_strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    """``re.sub(r'\\s+', ' ', s).strip()`` with Python's whitespace set."""
+    return py_strip(F.regexp_replace(c, _WS_RUN, " "))
 
 
 # the characters after "&" that html.unescape can act on; other rows are never shipped to Python
@@ -68,15 +75,20 @@ def _guarded(s: Column, needle: Column, pattern: str, repl: str = "") -> Column:
 
 
 def _clean_chain(s: Column) -> Column:
-    def has(x, lit):
-        return x.contains(lit)
+    """Each rule runs only where a match is possible; the tests are plain substring checks that every
+    match of the rule must contain (``<`` for tags, ``://``, ``w.``/``W.``, ``___`` for URLs, ``:`` for times)."""
+    def has(x, *subs):
+        out = F.lit(False)
+        for sub in subs:
+            out = out | x.contains(sub)
+        return out
 
     s = bind(s, lambda x: _guarded(x, has(x, "<"), IMG_TAG))
     s = bind(s, lambda x: _guarded(x, has(x, "<"), A_TAG, "$1"))
     s = bind(s, lambda x: _guarded(x, has(x, "<"), ANY_TAG))
-    s = bind(s, lambda x: _guarded(x, F.instr(F.lower(x), "http") > 0, URL_HTTP))
-    s = bind(s, lambda x: _guarded(x, F.instr(F.lower(x), "www.") > 0, URL_WWW))
-    s = bind(s, lambda x: _guarded(x, F.instr(F.lower(x), "http___") > 0, URL_UNDERSCORE))
+    s = bind(s, lambda x: _guarded(x, has(x, "://"), URL_HTTP))
+    s = bind(s, lambda x: _guarded(x, has(x, "w.", "W."), URL_WWW))
+    s = bind(s, lambda x: _guarded(x, has(x, "___"), URL_UNDERSCORE))
     s = bind(s, lambda x: _guarded(x, has(x, ":"), ISO_DATETIME))
     s = bind(s, lambda x: _guarded(x, has(x, ":"), RFC_DATE))
     s = bind(s, lambda x: _guarded(x, has(x, ":"), TIME_12H))
@@ -95,14 +107,17 @@ def clean_text(c: Column, unescape: bool = True) -> Column:
 
 
 def _valid_of(t: Column, min_alpha: int, min_length: int) -> Column:
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     n = F.length(t)
-    return (n > 0) & (t != "none") & ~t.rlike(r"^[\\/_-]+$") & (letters >= min_alpha) & (n >= min_length)
+    # "at least k letters" stops at the k-th letter instead of counting every letter of a long text
+    enough_letters = t.rlike(f"^(?:[^\\p{{L}}]*\\p{{L}}){{{min_alpha}}}") if min_alpha > 0 else F.lit(True)
+    is_none = (n == 4) & (F.lower(t) == "none")
+    return (n > 0) & ~is_none & ~t.rlike(r"^[\\/_-]+$") & enough_letters & (n >= min_length)
 
 
 def is_valid_text(c: Column, min_alpha: int = MIN_ALPHA, min_length: int = MIN_LENGTH) -> Column:
-    """Non-empty, not ``none``, not only ``\\ / - _``, at least ``min_alpha`` letters and ``min_length`` chars."""
-    return bind(F.lower(py_strip(F.coalesce(c, F.lit("")))), lambda t: _valid_of(t, min_alpha, min_length))
+    """Non-empty, not ``none``, not only ``\\ / - _``, at least ``min_alpha`` letters and ``min_length`` chars
+    (letters = Unicode category L, as Python's ``isalpha``; case does not change any of these tests)."""
+    return bind(py_strip(F.coalesce(c, F.lit(""))), lambda t: _valid_of(t, min_alpha, min_length))
 
 
 def clean_and_check(c: Column, min_alpha: int = MIN_ALPHA, min_length: int = MIN_LENGTH, unescape: bool = True) -> Column:

@@ -105,3 +105,25 @@ def chunk_lines(df: DataFrame, key: str, text: str = "text", ratio: float = 0.3,
     merged = merged.select(key, F.col("_g").cast("bigint").alias("part"),
                            F.array_join(F.transform("_p", lambda p: p["_t"]), "\n").alias("text"))
     return keep.unionByName(merged)
+
+
+MAX_PROMPTS = 10_000
+
+
+def prompt_variants(df: DataFrame, prompts: dict[str, str], text: str = "text") -> DataFrame:
+    """Every text once per prompt of a prompt map (name → prefix): rows (…, prompt_name, prompted).
+
+    The map is configuration (a handful of prompts, size-checked); it is inlined as a literal array and
+    exploded per row, so no join is planned.
+    """
+    if len(prompts) > MAX_PROMPTS:
+        raise ValueError("prompt map too large to inline")
+    arr = F.array(*[F.struct(F.lit(k).alias("prompt_name"), F.lit(v).alias("prompt")) for k, v in sorted(prompts.items())])
+    x = df.select("*", F.explode(arr).alias("_p"))
+    return x.select(*df.columns, F.col("_p.prompt_name").alias("prompt_name"),
+                    F.concat(F.col("_p.prompt"), F.col(text)).alias("prompted"))
+
+
+def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The first ``n`` rows by ``key`` (a top-n: Spark plans a bounded TakeOrdered)."""
+    return df.orderBy(key).limit(n)

@@ -141,7 +141,8 @@ def draw_negatives(
         raise NotImplementedError("more than MAX_LITERAL_LABELS labels")
     D = draws_per_round or 4 * num_negs
     excl_h = [f"{x}_h" for x in excl]
-    a = anchors.select("_key", "_lno", *excl, *[F.xxhash64(x).alias(f"{x}_h") for x in excl])
+    # narrow anchor table, reused by every round and check (persisted: recomputation is deterministic)
+    a = anchors.select("_key", "_lno", *excl, *[F.xxhash64(x).alias(f"{x}_h") for x in excl]).persist()
     if pools.n_labels < 2 or num_negs <= 0:
         return anchors.select("_key", F.array().cast("array<string>").alias("_neg"))
 
@@ -217,7 +218,7 @@ def triplets_by_label(
         anchors = anchors.orderBy(key).limit(limit)
     anchors = anchors.select(F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("text").alias("_anc"),
                              "label", *carry)
-    with_pos = draw_positive(anchors, pools, seed, pos_tries)
+    with_pos = draw_positive(anchors, pools, seed, pos_tries).persist()
     negs = draw_negatives(with_pos, pools, seed, num_negs, ["_anc", "_pos"])
     return with_pos.join(negs, "_key").select(
         F.col("_key").alias(key), F.col("_anc").alias("anc"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"),
@@ -249,7 +250,7 @@ def triplets_given_pos(
     pools = build_label_pools(valid.select(key, F.col("pos").alias("text"), "label"), key, "text", "label", seed)
     anchors = valid.join(F.broadcast(pools.labels.select("label", "label_no")), "label").select(
         F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("anc").alias("_anc"), F.col("pos").alias("_pos"),
-        "label", *carry)
+        "label", *carry).persist()
     negs = draw_negatives(anchors, pools, seed, num_negs, ["_pos"])
     return anchors.join(negs, "_key").select(
         F.col("_key").alias(key), F.col("_anc").alias("anc"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"),

@@ -136,3 +136,14 @@ FROM flat GROUP BY 1""")
 def q_length_buckets(t: Tables):
     flat = P.flatten_pairs(pairs(t), instructions(t))
     return ST.length_buckets(flat, "len", 512, 128).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+
+
+PROMPTS = {"query": "query: ", "passage": "document: "}
+
+
+@register("prompt_variants", f"""WITH {PAIR_SQL},
+p AS (SELECT * FROM (VALUES ('passage', 'document: '), ('query', 'query: ')) v(prompt_name, prompt))
+SELECT pair.subset, pair.id, p.prompt_name, p.prompt || pair.anc AS prompted FROM pair, p""")
+def q_prompt_variants(t: Tables):
+    p = pairs(t).select("subset", "id", F.col("anc").alias("text"))
+    return TO.prompt_variants(p, PROMPTS).select("subset", "id", "prompt_name", "prompted")
