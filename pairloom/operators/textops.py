@@ -123,7 +123,3 @@ def prompt_variants(df: DataFrame, prompts: dict[str, str], text: str = "text")
     return x.select(*df.columns, F.col("_p.prompt_name").alias("prompt_name"),
                     F.concat(F.col("_p.prompt"), F.col(text)).alias("prompted"))
 
-
-def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The first ``n`` rows by ``key`` (a top-n: Spark plans a bounded TakeOrdered)."""
-    return df.orderBy(key).limit(n)

@@ -118,7 +118,7 @@ def _resolve_clashes(cands: DataFrame, anchors: DataFrame, pools: LabelPools, ex
 def _usable(short: DataFrame, anchors: DataFrame, pools: LabelPools, excl: list[str]) -> DataFrame:
     """(_key, _usable): other-label pool entries whose text differs from every excluded text."""
     a = short.join(anchors, "_key")
-    total = sum(pools.counts) if pools.counts is not None else None
+    total = sum(pools.counts) if pools.counts is not None else pools.labels.agg(F.sum("n")).first()[0]
     a = _with_n(a, pools, "_lno", "_n_own")
     a = a.withColumn("_others", F.lit(total) - F.col("_n_own"))
     pool = pools.pool.select(F.col("label_no").alias("_pl"), F.col("idx").alias("_pi"), "text", "text_h")
@@ -137,8 +137,6 @@ def draw_negatives(
     anchors: DataFrame, pools: LabelPools, seed: int, num_negs: int, excl: list[str], draws_per_round: int | None = None
 ) -> DataFrame:
     """anchors(_key, _lno, *excl) → (_key, _neg ARRAY<STRING>) in draw order."""
-    if pools.counts is None:
-        raise NotImplementedError("more than MAX_LITERAL_LABELS labels")
     D = draws_per_round or 4 * num_negs
     excl_h = [f"{x}_h" for x in excl]
     # narrow anchor table, reused by every round and check (persisted: recomputation is deterministic)

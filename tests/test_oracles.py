@@ -1,4 +1,8 @@
-"""Every registered query against its DuckDB oracle at sf0.01 (the driver's correctness gate)."""
+"""Every registered query against its DuckDB oracle at sf0.01 (the driver's correctness gate), and no plan
+with a cartesian product, a nested-loop join or a row-at-a-time Python UDF."""
+
+import contextlib
+import io
 
 import pytest
 from conftest import SF001
@@ -15,9 +19,23 @@ def con():
     return duck(SF001)
 
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
+
+def plan_text(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, con, name):
-    ok, msg = compare(QUERIES[name](spark, SF001), con, ORACLES[name])
+    df = QUERIES[name](spark, SF001)
+    plan = plan_text(df)
+    bad = [x for x in FORBIDDEN if x in plan]
+    assert not bad, f"plan uses {bad}"
+    ok, msg = compare(df, con, ORACLES[name])
     assert ok, msg
 
 

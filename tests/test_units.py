@@ -238,3 +238,18 @@ def test_encode_stream_resumes(spark, tmp_path):
     q = start_encode_stream(spark, src + "/a", out, ck)  # restart: nothing new, nothing duplicated
     q.awaitTermination(120)
     assert spark.read.parquet(out).select("emb_idx").distinct().count() == 20 and spark.read.parquet(out).count() == 20
+
+
+def test_many_labels_join_path_matches_literal_path(spark, monkeypatch):
+    rows = [(i, f"sample text number {i} with plenty of letters", f"L{i % 7}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    lit = {r.doc_id: (r.pos, tuple(r.neg)) for r in TR.triplets_by_label(df, "doc_id", "text", "label", num_negs=5, seed=3).collect()}
+    monkeypatch.setattr(TR, "MAX_LITERAL_LABELS", 1)
+    joined = {r.doc_id: (r.pos, tuple(r.neg)) for r in TR.triplets_by_label(df, "doc_id", "text", "label", num_negs=5, seed=3).collect()}
+    assert lit == joined and all(len(v[1]) == 5 for v in lit.values())
+
+
+def test_prompt_variants(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "text string")
+    out = sorted((r.prompt_name, r.prompted) for r in TO.prompt_variants(df, {"q": "query: ", "d": "doc: "}).collect())
+    assert out == [("d", "doc: a"), ("d", "doc: b"), ("q", "query: a"), ("q", "query: b")]
