@@ -161,8 +161,9 @@ def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb
 def iso_score(vectors: DataFrame, col: str = "vec") -> DataFrame:
     """IsoScore of a set of vectors (Rudman et al. 2022) from the covariance spectrum.
 
-    Each partition emits its partial sums (n, Σx, Σxxᵀ); they are added up (d×d, bounded by the
-    dimension) and the eigenvalues are taken on the driver.
+    Each partition emits its partial sums in long form — (i, j, Σxᵢxⱼ) for the Gram matrix and (i, -1, Σxᵢ)
+    for the sums, plus its row count — so Spark adds them up by key with a map-side combine; only the
+    d×d result (bounded by the dimension) reaches the driver, where the eigenvalues are taken.
     """
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, sx, sxx = 0, None, None
@@ -174,17 +175,27 @@ def iso_score(vectors: DataFrame, col: str = "vec") -> DataFrame:
             sx = x.sum(0) if sx is None else sx + x.sum(0)
             sxx = x.T @ x if sxx is None else sxx + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "sx": [sx.tolist()], "sxx": [sxx.reshape(-1).tolist()]})
-
-    sums = vectors.select(col).mapInPandas(part, "n long, sx array<double>, sxx array<double>")
-    dim_row = vectors.select(F.size(col).alias("d")).first()
-    d = int(dim_row["d"])
-    agg = sums.agg(F.sum("n").alias("n"),
-                   F.array(*[F.sum(F.col("sx")[i]) for i in range(d)]).alias("sx"),
-                   F.array(*[F.sum(F.col("sxx")[i]) for i in range(d * d)]).alias("sxx")).first()
-    n = agg["n"]
-    mean = np.array(agg["sx"]) / n
-    cov = np.array(agg["sxx"]).reshape(d, d) / n - np.outer(mean, mean)
+            d = len(sx)
+            ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
+            yield pd.DataFrame({"i": np.concatenate([ii.ravel(), np.arange(d), [-1]]),
+                                "j": np.concatenate([jj.ravel(), np.full(d, -1), [-1]]),
+                                "v": np.concatenate([sxx.ravel(), sx, [float(n)]])})
+
+    sums = vectors.select(col).mapInPandas(part, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    cells = sums.collect()  # d·d + d + 1 numbers
+    if not cells:
+        return vectors.sparkSession.createDataFrame([(0, 0, 0.0)], "n long, dim long, iso_score double")
+    d = max(int(r["i"]) for r in cells) + 1
+    n = next(r["v"] for r in cells if r["i"] == -1)
+    sx = np.zeros(d)
+    sxx = np.zeros((d, d))
+    for r in cells:
+        if r["i"] >= 0 and r["j"] >= 0:
+            sxx[r["i"], r["j"]] = r["v"]
+        elif r["i"] >= 0:
+            sx[r["i"]] = r["v"]
+    mean = sx / n
+    cov = sxx / n - np.outer(mean, mean)
     cov = cov * n / (n - 1) if n > 1 else cov
     score = iso_from_cov(cov)
     return vectors.sparkSession.createDataFrame([(int(n), int(d), round(score, 6))], "n long, dim long, iso_score double")
