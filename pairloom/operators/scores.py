@@ -111,13 +111,21 @@ def restrict_scores(scores: DataFrame, benchmark: DataFrame | None = None, drop:
 
 def score_averages(scores: DataFrame, categories: DataFrame) -> DataFrame:
     """Per run: ``avg_<category>`` (NULL-skipping mean over the category's tasks), ``micro_ave`` (mean
-    over tasks), ``macro_ave`` (mean over the category averages). Long output (run_name, code_name, name, value)."""
+    over tasks), ``macro_ave`` (mean over the category averages). Long output (run_name, code_name, name, value).
+
+    One aggregation over the scores gives per-(run, category) sum, count and mean; micro and macro are
+    derived from that small table.
+    """
     s = scores.join(F.broadcast(categories.select("task", "category")), "task")
-    per_cat = s.groupBy("run_name", "code_name", "category").agg(F.avg("score").alias("value"))
+    per_cat = s.groupBy("run_name", "code_name", "category").agg(
+        F.sum("score").alias("_s"), F.count("score").alias("_c"), F.avg("score").alias("value"))
     cat_rows = per_cat.select("run_name", "code_name", F.concat(F.lit("avg_"), F.col("category")).alias("name"), "value")
-    micro = s.groupBy("run_name", "code_name").agg(F.avg("score").alias("value")).withColumn("name", F.lit("micro_ave"))
-    macro = per_cat.groupBy("run_name", "code_name").agg(F.avg("value").alias("value")).withColumn("name", F.lit("macro_ave"))
-    out = cat_rows.unionByName(micro).unionByName(macro)
+    tot = per_cat.groupBy("run_name", "code_name").agg(
+        F.try_divide(F.sum("_s"), F.sum("_c")).alias("micro_ave"), F.avg("value").alias("macro_ave"))
+    both = tot.select("run_name", "code_name", F.explode(F.array(
+        F.struct(F.lit("micro_ave").alias("name"), F.col("micro_ave").alias("value")),
+        F.struct(F.lit("macro_ave").alias("name"), F.col("macro_ave").alias("value")))).alias("_x"))
+    out = cat_rows.unionByName(both.select("run_name", "code_name", "_x.name", "_x.value"))
     return out.select("run_name", "code_name", "name", F.round("value", 6).alias("value"))
 
 

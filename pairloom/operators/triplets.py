@@ -104,15 +104,28 @@ def _neg_round(
     return c.withColumn("_clash", clash).select("_key", "_d", "_nl", "_ni", "_clash")
 
 
+MAX_BROADCAST_ROWS = 2_000_000
+
+
 def _resolve_clashes(cands: DataFrame, anchors: DataFrame, pools: LabelPools, excl: list[str]) -> DataFrame:
-    """Hash-equal candidates: keep only those whose text really differs from every excluded text."""
+    """Hash-equal candidates: keep only those whose text really differs from every excluded text.
+
+    ``cands`` must be materialised (checkpointed). Suspects are counted first: none → nothing to join;
+    few (≤ MAX_BROADCAST_ROWS, checked) → they are broadcast into the pool and anchor scans, so no
+    text column is shuffled for them.
+    """
     sus = cands.filter("_clash")
+    n_sus = sus.count()
+    if n_sus == 0:
+        return cands.filter(~F.col("_clash"))
+    small = n_sus <= MAX_BROADCAST_ROWS
     texts = pools.pool.select(F.col("label_no").alias("_nl"), F.col("idx").alias("_ni"), F.col("text").alias("_t"))
-    sus = sus.join(texts, ["_nl", "_ni"]).join(anchors.select("_key", *excl), "_key")
+    s1 = texts.join(F.broadcast(sus) if small else sus, ["_nl", "_ni"])
+    s2 = anchors.select("_key", *excl).join(F.broadcast(s1) if small else s1, "_key")
     keep = F.lit(True)
     for x in excl:
         keep = keep & (F.col("_t") != F.col(x))
-    return cands.filter(~F.col("_clash")).unionByName(sus.filter(keep).select(*cands.columns))
+    return cands.filter(~F.col("_clash")).unionByName(s2.filter(keep).select(*cands.columns))
 
 
 def _usable(short: DataFrame, anchors: DataFrame, pools: LabelPools, excl: list[str]) -> DataFrame:
@@ -153,7 +166,7 @@ def draw_negatives(
         )
         return g.select("_key", F.slice(firsts, 1, num_negs).alias("_c"))
 
-    cands = cut_lineage(_resolve_clashes(_neg_round(a, pools, seed, 0, D, excl_h), a, pools, excl))
+    cands = cut_lineage(_resolve_clashes(cut_lineage(_neg_round(a, pools, seed, 0, D, excl_h)), a, pools, excl))
     chosen = cut_lineage(pick(cands))
     start = D
     rounds = 1
@@ -168,7 +181,7 @@ def draw_negatives(
             break
         if rounds >= MAX_ROUNDS:
             raise RuntimeError("negative sampling did not converge")
-        more = _resolve_clashes(_neg_round(a.join(short, "_key"), pools, seed, start, D, excl_h), a, pools, excl)
+        more = _resolve_clashes(cut_lineage(_neg_round(a.join(short, "_key"), pools, seed, start, D, excl_h)), a, pools, excl)
         cands = cut_lineage(cands.unionByName(more))
         chosen = cut_lineage(pick(cands))
         start += D

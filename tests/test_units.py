@@ -215,6 +215,11 @@ def test_sinks_round_trip(spark, tmp_path):
     emb = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "emb_idx long, embedding array<double>")
     FS.write_embeddings(emb, str(tmp_path / "emb"))
     assert spark.read.parquet(str(tmp_path / "emb")).count() == 5
+    FS.write_jsonl(df.select("anc", "subset"), str(tmp_path / "jl"))
+    assert sorted(r.anc for r in spark.read.json(str(tmp_path / "jl")).collect()) == ["x", "y"]
+    FS.write_summary_json(df.groupBy("subset").count(), str(tmp_path / "summary"))
+    files = [f for f in os.listdir(tmp_path / "summary") if f.endswith(".json")]
+    assert len(files) == 1
 
 
 def test_task_lists(spark, tmp_path):
