@@ -111,6 +111,55 @@ def _dyn_scan(neg: np.ndarray, s_eff: int, n_rem: int, e: int, per_rank: int, wo
     return out, j - s_eff
 
 
+def _dyn_transfer(neg: np.ndarray, s_eff: int, n_rem: int, per_rank: int, world: int, max_pairs: int | None,
+                  max_neg: int | None, drop_last: bool) -> list[tuple[int, int]]:
+    """(exit offset or -1, batches started) for every entry offset 0..B·world-1 of a block.
+
+    Paths from different entries merge as soon as they reach a common position, so each position's
+    outcome is computed once (memo), making the whole map O(block + B·world) instead of one scan per entry.
+    """
+    G = per_rank * world
+    memo: dict[int, tuple[int, int]] = {}
+
+    def step(j: int) -> tuple[int, int] | int:
+        """Next position from a batch starting at j, or a final (exit, 0) outcome."""
+        if j >= n_rem:
+            return (-1, 0)
+        if j >= s_eff:
+            return (j - s_eff, 0)
+        end = min(j + G, n_rem)
+        eff = per_rank
+        if max_pairs is not None and end > j:
+            kmin = int(neg[j:end].min())
+            if max_neg is not None:
+                kmin = min(kmin, max_neg)
+            c = 1 + max(0, kmin)
+            if c > 1:
+                eff = max(1, min(per_rank, max_pairs // c))
+        gs = eff * world
+        clen = min(gs, n_rem - j)
+        if clen < gs and drop_last:
+            return (-1, 0)
+        return j + clen
+
+    out = []
+    for e in range(G):
+        path, j = [], e
+        while j not in memo:
+            nxt = step(j)
+            if isinstance(nxt, tuple):
+                memo[j] = nxt
+                break
+            path.append(j)
+            j = nxt
+        ex, nb = memo[j]
+        for p in reversed(path):
+            nb += 1
+            memo[p] = (ex, nb)
+        out.append(memo[e])
+    return out
+
+
 def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int, max_pairs: int | None,
                        max_neg: int | None = None, seed: int = 42, epoch: int = 0,
                        label_group_subsets: Sequence[str] = (), drop_last: bool = True, shuffle_batches: bool = True,
@@ -143,10 +192,8 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
         neg = pdf["_nl"].to_numpy()
         s_eff = int((~pdf["_la"]).sum())
         n_rem = int(pdf["_n"].iloc[0]) - b * block_rows
-        rows = []
-        for e in range(G):
-            starts, ex = _dyn_scan(neg, s_eff, n_rem, e, *args)
-            rows.append((pdf["task"].iloc[0], b, e, ex, len(starts)))
+        task = pdf["task"].iloc[0]
+        rows = [(task, b, e, ex, nb) for e, (ex, nb) in enumerate(_dyn_transfer(neg, s_eff, n_rem, *args))]
         return pd.DataFrame(rows, columns=["task", "block", "entry", "exit", "nb"])
 
     maps = grp.groupBy("task", "block").applyInPandas(transfer, "task string, block long, entry int, exit int, nb long")

@@ -23,15 +23,22 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._memo: dict = {}
 
-    def memo(self, key, build):
+    def memo(self, key, build, persist: bool = True):
+        """Build a derived table once per instance. Derived tables are read by several branches and by the
+        planning jobs of the operators above them (counts, boundary samples), so they are persisted
+        (memory and disk; a lost block is recomputed from lineage)."""
         if key not in self._memo:
-            self._memo[key] = build()
+            out = build()
+            if persist:
+                out = tuple(x.persist() for x in out) if isinstance(out, tuple) else out.persist()
+            self._memo[key] = out
         return self._memo[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
-        return self.memo(("table", name), lambda: spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")))
+        return self.memo(("table", name), lambda: spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")),
+                         persist=False)
 
 
 SPREAD_MIN_BYTES = 4 << 20

@@ -258,3 +258,23 @@ def test_prompt_variants(spark):
     df = spark.createDataFrame([("a",), ("b",)], "text string")
     out = sorted((r.prompt_name, r.prompted) for r in TO.prompt_variants(df, {"q": "query: ", "d": "doc: "}).collect())
     assert out == [("d", "doc: a"), ("d", "doc: b"), ("q", "query: a"), ("q", "query: b")]
+
+
+def test_dynamic_transfer_map_equals_scans():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        per_rank, world = int(rng.integers(1, 6)), int(rng.integers(1, 4))
+        G = per_rank * world
+        neg = rng.integers(0, 5, size=n + G)
+        s_eff = int(rng.integers(1, n + 1))
+        n_rem = int(rng.integers(s_eff, n + 1)) if rng.random() < 0.5 else n
+        mp = int(rng.integers(1, 20)) if rng.random() < 0.8 else None
+        mx = int(rng.integers(0, 4)) if rng.random() < 0.3 else None
+        dl = bool(rng.random() < 0.7)
+        fast = B._dyn_transfer(neg, s_eff, n_rem, per_rank, world, mp, mx, dl)
+        slow = []
+        for e in range(G):
+            st, ex = B._dyn_scan(neg, s_eff, n_rem, e, per_rank, world, mp, mx, dl)
+            slow.append((ex, len(st)))
+        assert fast == slow
