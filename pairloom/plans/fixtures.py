@@ -50,11 +50,15 @@ def spread(df: DataFrame) -> DataFrame:
     is left alone (no extra shuffle at cluster scale)."""
     import os
 
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        files = df.inputFiles()
+    except Exception:  # sessions without RDD access: leave the scan as it is
         return df
     size = 0
-    for f in df.inputFiles():
+    for f in files:
         local = f[len("file:"):] if f.startswith("file:") else f
         if os.path.exists(local):
             size += os.path.getsize(local)
