@@ -85,6 +85,9 @@ def micro_chunks(df: DataFrame, n_chunks: int, group: Sequence[str], pos: str) -
     return df.withColumn("chunk", chunk.cast("int"))
 
 
+MAX_DRIVER_MAP_ROWS = 1_000_000  # B·world per block
+
+
 def _dyn_scan(neg: np.ndarray, s_eff: int, n_rem: int, e: int, per_rank: int, world: int, max_pairs: int | None,
               max_neg: int | None, drop_last: bool) -> tuple[list[tuple[int, int]], int]:
     """Replay the dynamic cut from offset ``e`` of a block: ([(start, length)], exit offset or -1 when the task ends)."""
@@ -178,8 +181,12 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
     keys = [F.col(k) for k in key_cols]
     d = df.withColumn("task", task_key(df, label_group_subsets)).withColumn("_nl", F.col(neg_len).cast("int"))
     d = hash_row_index(d, ["task"], h(s, "row", *keys), list(key_cols), out="_pos")
-    narrow = d.select("task", "_pos", "_nl")
+    narrow = d.select("task", "_pos", "_nl").persist()
     sizes = narrow.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
+    # blocks grow with the input so the driver receives at most MAX_DRIVER_MAP_ROWS map rows
+    n_total, n_tasks = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    budget_blocks = max(1, MAX_DRIVER_MAP_ROWS // G - (n_tasks or 0))
+    block_rows = max(block_rows, -(-(n_total or 0) // budget_blocks))
     own = narrow.withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint")).withColumn("_la", F.lit(False))
     look = (narrow.filter((F.col("_pos") % block_rows < G - 1) & (F.col("_pos") >= block_rows))
             .withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint") - 1).withColumn("_la", F.lit(True)))

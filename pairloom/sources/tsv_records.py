@@ -24,6 +24,8 @@ from ..functions.text import py_strip
 from ..operators.indexing import range_row_index
 
 N_TABS = 8
+MAX_DRIVER_MAP_ROWS = 1_000_000  # 8 per block
+MAX_BLOCK_LINES = 5_000_000
 FIELDS = ["source", "url", "title", "none", "category", "content", "label_id", "ts", "null"]
 
 
@@ -42,12 +44,17 @@ def _run(tabs: np.ndarray, state: int) -> tuple[np.ndarray, int, int]:
 
 def parse_multiline_tsv(lines: DataFrame, file: str = "file", order: str = "line_no", line: str = "line",
                         block_lines: int = 100_000) -> DataFrame:
-    """(file, line order, line text without newline) → records (source, url, title, category, content, label, ts)."""
+    """(file, line order, line text without newline) → records (source, url, title, category, content, label, ts).
+
+    ``block_lines`` is a lower bound: blocks grow with the input so the driver never receives more than
+    MAX_DRIVER_MAP_ROWS map rows (8 per block), up to MAX_BLOCK_LINES lines per block.
+    """
     d = lines.select(F.col(file).alias("file"), F.col(order).alias("_o"), F.col(line).alias("line"))
     d = range_row_index(d, [("_o", True)], out="pos", group=["file"])
+    d = d.withColumn("tabs", (F.length("line") - F.length(F.regexp_replace("line", "\t", ""))).cast("int")).persist()
+    total = d.count()
+    block_lines = int(min(MAX_BLOCK_LINES, max(block_lines, -(-total * N_TABS // MAX_DRIVER_MAP_ROWS))))
     d = d.withColumn("block", F.floor(F.col("pos") / block_lines).cast("bigint"))
-    d = d.withColumn("tabs", (F.length("line") - F.length(F.regexp_replace("line", "\t", ""))).cast("int"))
-    d = d.persist()
 
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
         tabs = pdf.sort_values("pos")["tabs"].to_numpy()
