@@ -129,20 +129,20 @@ def _resolve_clashes(cands: DataFrame, anchors: DataFrame, pools: LabelPools, ex
 
 
 def _usable(short: DataFrame, anchors: DataFrame, pools: LabelPools, excl: list[str]) -> DataFrame:
-    """(_key, _usable): other-label pool entries whose text differs from every excluded text."""
+    """(_key, _usable): other-label pool entries whose text differs from every excluded text.
+
+    The pool is first reduced to (text, label) counts, so an anchor meets at most one row per label for
+    each of its excluded texts (no anchor × duplicate-entry pairs, however often a text repeats).
+    """
     a = short.join(anchors, "_key")
     total = sum(pools.counts) if pools.counts is not None else pools.labels.agg(F.sum("n")).first()[0]
     a = _with_n(a, pools, "_lno", "_n_own")
     a = a.withColumn("_others", F.lit(total) - F.col("_n_own"))
-    pool = pools.pool.select(F.col("label_no").alias("_pl"), F.col("idx").alias("_pi"), "text", "text_h")
-    hits = None
-    for x in excl:
-        m = a.select("_key", "_lno", *excl).join(pool, F.xxhash64(F.col(x)) == F.col("text_h"))
-        m = m.filter((F.col("text") == F.col(x)) & (F.col("_pl") != F.col("_lno")))
-        m = m.select("_key", "_pl", "_pi")
-        hits = m if hits is None else hits.unionByName(m)
-    # an entry equal to two excluded texts counts once
-    bad = hits.distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_bad"))
+    counts = pools.pool.groupBy("text_h", "text", F.col("label_no").alias("_pl")).agg(F.count(F.lit(1)).alias("_cnt"))
+    # distinct excluded texts per anchor (an entry equal to two excluded texts counts once)
+    ex = a.select("_key", "_lno", F.explode(F.array_distinct(F.array(*[F.col(x) for x in excl]))).alias("_x"))
+    m = ex.join(counts, (F.xxhash64("_x") == F.col("text_h")) & (F.col("_x") == F.col("text")))
+    bad = m.filter(F.col("_pl") != F.col("_lno")).groupBy("_key").agg(F.sum("_cnt").alias("_bad"))
     return a.join(bad, "_key", "left").select("_key", (F.col("_others") - F.coalesce("_bad", F.lit(0))).alias("_usable"))
 
 
