@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h
 
 
 def length_stats(df: DataFrame, len_col: str = "len", group: Sequence[str] = ()) -> DataFrame:
