@@ -107,7 +107,7 @@ def mine_hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFr
     top = top.join(queries.select("qid", "qtext"), "qid").join(pos, ["qtext", "cid"], "left_anti")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("cid"))
     return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        "qid", "rank", "cid", F.round("score", 6).alias("score"))
+        "qid", F.col("rank").cast("bigint").alias("rank"), "cid", F.round("score", 6).alias("score"))
 
 
 # ---------------- encoding ----------------
