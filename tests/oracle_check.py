@@ -37,7 +37,23 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_SIMPLE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+           "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def duck_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    return _SIMPLE.get(spark_type, spark_type.upper())
+
+
 def compare(sdf, con, sql: str) -> tuple[bool, str]:
+    rel0 = con.sql(sql)
+    want = {c: str(t) for c, t in zip(rel0.columns, rel0.types)}
+    got = {f.name: duck_type(f.dataType.simpleString()) for f in sdf.schema.fields}
+    bad = {c: (got.get(c), want.get(c)) for c in set(got) | set(want) if got.get(c) != want.get(c)}
+    if bad:
+        return False, f"types differ (spark, duck): {bad}"
     s_cols = sorted(sdf.columns)
     s_rows = [tuple(_norm(r[c]) for c in s_cols) for r in sdf.collect()]
     rel = con.sql(sql)
