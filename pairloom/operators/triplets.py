@@ -16,6 +16,7 @@ Label-pool sampling without holding any pool in memory:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h
 from ..functions.text import clean_and_check, py_strip
 from ..session import cut_lineage
-from .indexing import hash_row_index
+from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index
 
 MAX_LITERAL_LABELS = 10_000
 MAX_ROUNDS = 1_000
@@ -44,18 +45,32 @@ class LabelPools:
 
 
 def build_label_pools(valid: DataFrame, key: str, text: str, label: str, seed: int) -> LabelPools:
-    """``valid`` rows (key, text, label) → label numbering (sorted labels) and indexed pools."""
-    labels = valid.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct label: a classification label set, small by nature (checked below)
-    labels = labels.withColumn("label_no", (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint"))
-    labels = cut_lineage(labels)
-    n_labels = labels.count()
-    counts = None
-    if n_labels <= MAX_LITERAL_LABELS:
-        counts = [r["n"] for r in labels.orderBy("label_no").select("n").collect()]
-    lab_small = F.broadcast(labels) if n_labels <= MAX_LITERAL_LABELS else labels
+    """``valid`` rows (key, text, label) → label numbering (sorted labels) and indexed pools.
+
+    Label sizes are one aggregated row per label. Up to MAX_LITERAL_LABELS labels they are collected once
+    (that bound is the size check) and give the label numbering, the inlined count array and the salt for
+    the pool index without further jobs; above it the numbering stays a distributed table.
+    """
+    sizes = valid.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.limit(MAX_LITERAL_LABELS + 1).collect()
+    if len(few) <= MAX_LITERAL_LABELS:
+        # NULL label first, then the labels' natural order (Spark's ascending order)
+        rows = sorted(((r[label], int(r["n"])) for r in few), key=lambda x: (x[0] is not None, x[0] or ""))
+        spark = valid.sparkSession
+        ltype = valid.schema[label].dataType.simpleString()
+        labels = spark.createDataFrame([(lab, n, i) for i, (lab, n) in enumerate(rows)], f"{label} {ltype}, n long, label_no long")
+        counts = [n for _, n in rows]
+        n_labels = len(rows)
+        biggest = max(counts) if counts else 0
+        bits = 0 if biggest <= DEFAULT_ROWS_PER_SLICE else min(16, math.ceil(math.log2(biggest / DEFAULT_ROWS_PER_SLICE)))
+        lab_small = F.broadcast(labels)
+    else:
+        # many labels: numbering by a window over the label table (one row per label), kept distributed
+        labels = cut_lineage(sizes.withColumn("label_no", (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint")))
+        n_labels = labels.count()
+        counts, bits, lab_small = None, None, labels
     pool = valid.join(lab_small.select(label, "label_no"), label)
-    pool = hash_row_index(pool, ["label_no"], h(seed, "pool", F.col(key)), [key], out="idx")
+    pool = hash_row_index(pool, ["label_no"], h(seed, "pool", F.col(key)), [key], out="idx", bits=bits)
     pool = pool.select("label_no", "idx", F.col(text).alias("text"), F.xxhash64(text).alias("text_h")).persist()
     return LabelPools(labels, pool, n_labels, counts)
 
