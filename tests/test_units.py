@@ -278,3 +278,28 @@ def test_dynamic_transfer_map_equals_scans():
             st, ex = B._dyn_scan(neg, s_eff, n_rem, e, per_rank, world, mp, mx, dl)
             slow.append((ex, len(st)))
         assert fast == slow
+
+
+def test_chunk_lines_quirks(spark):
+    lines12 = "\n".join(f"line number {i} with some words" for i in range(12))
+    df = spark.createDataFrame([(1, "only\ntwo"), (2, lines12)], "doc_id long, text string")
+    out = TO.chunk_lines(df, "doc_id", "text", ratio=1.0, seed=5).collect()
+    assert not [r for r in out if r.doc_id == 1]  # fewer than 3 lines: the text vanishes
+    parts = sorted((r.part, r.text) for r in out if r.doc_id == 2)
+    kept = sum(p[1].count("\n") + 1 for p in parts)
+    assert 10 <= kept <= 12 and all(3 <= p[1].count("\n") + 1 for p in parts)
+
+
+def test_ckd_queue_keeps_first_rows_of_oldest(spark):
+    rng = np.random.default_rng(1)
+    rows = [(b, r, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for b in range(3) for r in range(4)]
+    df = spark.createDataFrame(rows, "batch_id long, row_in_batch int, s array<double>, t array<double>")
+    bv = df.select("batch_id", "row_in_batch", "s", "t", F.array().cast("array<array<double>>").alias("cs"),
+                   F.array().cast("array<array<double>>").alias("ct"), F.lit(0).alias("C"))
+    got = {r.batch_id: r for r in L.loss_ckd_queue(bv, queue_len=6, batch_rows=4).collect()}
+    assert [got[b].queue_rows for b in range(3)] == [0, 4, 6]
+    # batch 2's queue: batch 1 (4 rows, newest first) then the first 2 rows of batch 0
+    s2 = np.array([r[2] for r in rows if r[0] == 2])
+    keys = [r[3] for r in rows if r[0] == 2] + [r[3] for r in rows if r[0] == 1] + [r[3] for r in rows if r[0] == 0][:2]
+    want = L.ckd(s2, np.array([r[3] for r in rows if r[0] == 2]), None, None, 0, 0.05, None, np.array(keys[4:]))
+    assert got[2].loss == pytest.approx(round(want, 6))
