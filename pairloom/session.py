@@ -46,6 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    A ``rebalance`` hint first lets adaptive execution size the written partitions by data volume
+    (small results become few files, skewed ones are split) instead of one file per shuffle partition.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.hint("rebalance").checkpoint(eager=True)
