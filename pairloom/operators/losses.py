@@ -201,23 +201,33 @@ def loss_combined(distil: DataFrame, bv: DataFrame, weight: float, cse_temp: flo
                     "distill_loss", "cse_loss")
 
 
-def loss_ckd_queue(bv: DataFrame, queue_len: int, batch_rows: int, temp: float = CSE_TEMP) -> DataFrame:
+def loss_ckd_queue(bv: DataFrame, queue_len: int, batch_rows: int, temp: float = CSE_TEMP,
+                   train_col: str | None = None) -> DataFrame:
     """L4: CKD where batch b also scores against the teacher keys of earlier batches, newest first, the
-    queue holding at most ``queue_len`` rows (the oldest batch keeps its first rows).
+    queue holding at most ``queue_len`` rows (the oldest batch keeps its first rows). With ``train_col``,
+    only training batches push keys into the queue (validation batches read it but do not update it).
 
-    Bounded history join: a batch's keys travel to the next ``ceil(queue_len / batch_rows)`` batches only.
+    Bounded history join: a batch's keys travel to the next ``ceil(queue_len / batch_rows)`` batch ids only
+    (``batch_rows`` = the smallest batch, so the window always covers a full queue). The window counts
+    batch ids, so with ``train_col`` a validation run between training batches must be covered by a
+    smaller ``batch_rows``.
     """
     depth = -(-queue_len // batch_rows)
     keys = bv.select("batch_id", "row_in_batch", "t", "ct", "C")
-    hist = keys.select(F.explode(F.sequence(F.col("batch_id") + 1, F.col("batch_id") + depth)).alias("for_batch"),
-                       F.col("batch_id").alias("src_batch"), "row_in_batch", "t", "ct", "C")
+    if train_col is not None:
+        keys = keys.join(bv.select("batch_id", train_col).distinct(), "batch_id")
+    pushed = keys.filter(F.col(train_col)) if train_col is not None else keys
+    hist = pushed.select(F.explode(F.sequence(F.col("batch_id") + 1, F.col("batch_id") + depth)).alias("for_batch"),
+                         F.col("batch_id").alias("src_batch"), "row_in_batch", "t", "ct", "C")
     own = keys.select(F.col("batch_id").alias("for_batch"), F.col("batch_id").alias("src_batch"), "row_in_batch", "t", "ct", "C")
+    own = own.withColumn("_own", F.lit(True))
+    hist = hist.withColumn("_own", F.lit(False))
     own = own.join(bv.select(F.col("batch_id").alias("for_batch"), F.col("row_in_batch"), "s"), ["for_batch", "row_in_batch"])
     allrows = own.unionByName(hist.withColumn("s", F.lit(None).cast("array<double>")))
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["for_batch"].iloc[0])
-        cur = pdf[pdf["src_batch"] == b].sort_values("row_in_batch")
+        cur = pdf[pdf["_own"]].sort_values("row_in_batch")
         if cur.empty:
             return pd.DataFrame({"batch_id": [], "loss": [], "queue_rows": []})
         s = np.stack(cur["s"].to_numpy())
@@ -225,10 +235,11 @@ def loss_ckd_queue(bv: DataFrame, queue_len: int, batch_rows: int, temp: float =
         ct = np.concatenate([np.stack(list(x)) for x in cur["ct"]]) if C > 0 else None
         t = np.stack(cur["t"].to_numpy())
         q_parts, total = [], 0
-        for sb in sorted(pdf["src_batch"].unique(), reverse=True):
-            if sb == b or total >= queue_len:
-                continue
-            part = pdf[pdf["src_batch"] == sb].sort_values("row_in_batch")
+        past = pdf[~pdf["_own"]]
+        for sb in sorted(past["src_batch"].unique(), reverse=True):
+            if total >= queue_len:
+                break
+            part = past[past["src_batch"] == sb].sort_values("row_in_batch")
             kk = np.concatenate([np.stack(list(x)) for x in part["ct"]]) if C > 0 else np.stack(part["t"].to_numpy())
             kk = kk[: queue_len - total]
             q_parts.append(kk)

@@ -129,25 +129,37 @@ def hashing_encoder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.ndarr
 
 
 def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb_idx",),
-                 encoder: Callable[[list[str]], np.ndarray] | None = None, batch_rows: int = 64,
-                 done: DataFrame | None = None, length_col: str | None = "len") -> DataFrame:
+                 encoder: Callable[[list[str]], np.ndarray] | None = None, batch_rows: int | dict[str, int] = 64,
+                 done: DataFrame | None = None, length_col: str | None = "len", bucket_col: str = "bucket") -> DataFrame:
     """Vector per text via a user encoder ``list[str] → ndarray`` in Arrow batches.
 
     Rows are sorted by length inside each partition so batches hold similar lengths (less padding for
-    real models); ``done`` (already encoded keys) is anti-joined first, which makes a rerun resume.
+    real models); ``batch_rows`` may map length buckets (``bucket_col``, see ``length_buckets``) to their
+    own batch size; ``done`` (already encoded keys) is anti-joined first, which makes a rerun resume.
     """
     enc = encoder or hashing_encoder()
-    d = df.select(*key, text, *([length_col] if length_col and length_col in df.columns else []))
+    per_bucket = isinstance(batch_rows, dict)
+    extra = [c for c in ([length_col] if length_col else []) + ([bucket_col] if per_bucket else []) if c in df.columns]
+    d = df.select(*key, text, *extra)
     if done is not None:
         d = d.join(done.select(*key), list(key), "left_anti")
     if length_col and length_col in d.columns:
         d = d.sortWithinPartitions(F.desc(length_col))
     key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
 
+    def batches(pdf: pd.DataFrame):
+        if not per_bucket:
+            for s in range(0, len(pdf), batch_rows):
+                yield pdf.iloc[s:s + batch_rows]
+            return
+        for b, grp in pdf.groupby(bucket_col, sort=False):
+            size = int(batch_rows.get(b, 64))
+            for s in range(0, len(grp), size):
+                yield grp.iloc[s:s + size]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for s in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[s:s + batch_rows]
+            for part in batches(pdf):
                 vecs = enc(part[text].fillna("").tolist())
                 o = part[list(key)].copy()
                 o["embedding"] = [v.astype(np.float32) for v in vecs]

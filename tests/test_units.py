@@ -303,3 +303,40 @@ def test_ckd_queue_keeps_first_rows_of_oldest(spark):
     keys = [r[3] for r in rows if r[0] == 2] + [r[3] for r in rows if r[0] == 1] + [r[3] for r in rows if r[0] == 0][:2]
     want = L.ckd(s2, np.array([r[3] for r in rows if r[0] == 2]), None, None, 0, 0.05, None, np.array(keys[4:]))
     assert got[2].loss == pytest.approx(round(want, 6))
+
+
+def test_ckd_queue_validation_does_not_push(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, r, rng.normal(size=3).tolist(), rng.normal(size=3).tolist(), b != 1) for b in range(3) for r in range(2)]
+    df = spark.createDataFrame(rows, "batch_id long, row_in_batch int, s array<double>, t array<double>, train boolean")
+    bv = df.select("batch_id", "row_in_batch", "s", "t", F.array().cast("array<array<double>>").alias("cs"),
+                   F.array().cast("array<array<double>>").alias("ct"), F.lit(0).alias("C"), "train")
+    got = {r.batch_id: r.queue_rows for r in L.loss_ckd_queue(bv, queue_len=10, batch_rows=2, train_col="train").collect()}
+    assert got == {0: 0, 1: 2, 2: 2}  # batch 1 (validation) reads batch 0's keys but adds none
+
+
+def test_merge_fresh_and_anchor_limit(spark):
+    cached = spark.createDataFrame([("r", "A", 0.1), ("r", "B", 0.2)], "run string, task string, score double")
+    fresh = spark.createDataFrame([("r", "A", 0.9)], "run string, task string, score double")
+    got = sorted((r.task, r.score) for r in SC.merge_fresh(cached, fresh).collect())
+    assert got == [("A", 0.9), ("B", 0.2)]
+    rows = [(i, f"english sentence number {i} long enough", "en") for i in range(20)]
+    rows += [(100 + i, f"phrase francaise numero {i} assez longue", "fr") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    out = TR.triplets_by_label(df, "doc_id", "text", "label", num_negs=7, seed=4, limit=5).collect()
+    assert len(out) == 5
+    negs = {n for r in out for n in r.neg}
+    assert len(negs) > 7  # drawn from the whole pools, not from the 5 anchors
+
+
+def test_encode_per_bucket_batches(spark):
+    seen = []
+
+    def enc(texts):
+        seen.append(len(texts))
+        return np.ones((len(texts), 4))
+
+    df = spark.createDataFrame([(i, "x" * (5 if i < 6 else 500), 5 if i < 6 else 500, "short" if i < 6 else "long")
+                                for i in range(10)], "emb_idx long, text string, len long, bucket string").coalesce(1)
+    out = VO.encode_texts(df, encoder=enc, batch_rows={"short": 4, "long": 2}).collect()
+    assert len(out) == 10
