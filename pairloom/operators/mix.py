@@ -19,12 +19,18 @@ def exclude_subsets(df: DataFrame, excluded: DataFrame | Sequence[str], subset:
 
 
 def allocation_plan(df: DataFrame, total_target: int, cap: int = 1_000_000, excluded: Sequence[str] = (),
-                    subset: str = "subset") -> DataFrame:
+                    subset: str = "subset", replacements: DataFrame | None = None) -> DataFrame:
     """available = min(rows, cap) per subset; ratio = target / Σ available; alloc = min(avail, int(avail·ratio)).
 
-    One row per subset (aggregated map-side); the ratio is a window over that small table.
+    ``replacements`` (rows tagged with ``subset``) supply the rows of replaced subsets: those subsets count the
+    replacement's rows instead of the base table's. One row per subset (aggregated map-side); the ratio is a
+    window over that small table.
     """
-    sizes = exclude_subsets(df, list(excluded), subset).groupBy(subset).agg(F.count(F.lit(1)).alias("rows"))
+    base = exclude_subsets(df, list(excluded), subset).select(subset)
+    if replacements is not None:
+        rep = exclude_subsets(replacements, list(excluded), subset).select(subset)
+        base = base.join(F.broadcast(rep.distinct()), subset, "left_anti").unionByName(rep)
+    sizes = base.groupBy(subset).agg(F.count(F.lit(1)).alias("rows"))
     sizes = sizes.withColumn("len", F.least(F.col("rows"), F.lit(cap))).filter(F.col("len") > 0)
     total = F.sum("len").over(Window.partitionBy())
     ratio = F.when(total > 0, F.lit(float(total_target)) / total).otherwise(F.lit(0.0))

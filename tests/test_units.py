@@ -340,3 +340,11 @@ def test_encode_per_bucket_batches(spark):
                                 for i in range(10)], "emb_idx long, text string, len long, bucket string").coalesce(1)
     out = VO.encode_texts(df, encoder=enc, batch_rows={"short": 4, "long": 2}).collect()
     assert len(out) == 10
+
+
+def test_allocation_with_replaced_source(spark):
+    from pairloom.operators import mix as MX
+    base = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(30)], "subset string, id long")
+    rep = spark.createDataFrame([("b", i) for i in range(5)], "subset string, id long")
+    plan = {r.subset: (r.len, r.alloc) for r in MX.allocation_plan(base, 6, cap=100, replacements=rep).collect()}
+    assert plan == {"a": (10, 4), "b": (5, 2)}
