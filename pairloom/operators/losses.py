@@ -251,32 +251,127 @@ def loss_ckd_queue(bv: DataFrame, queue_len: int, batch_rows: int, temp: float =
     return allrows.groupBy("for_batch").applyInPandas(f, "batch_id long, loss double, queue_rows long")
 
 
+def _taid_fold(pdf: pd.DataFrame, run: str, step: str, loss: str, n: int, t_start: float, t_end: float, alpha: float,
+               beta: float, disable_adaptive: bool, t0: float | None = None, m0: float = 0.0,
+               prev0: float | None = None) -> list[tuple]:
+    """Sequential TAID update over rows in step order, from state (t, momentum, previous loss)."""
+    t, prev, m = (t_start if t0 is None else t0), prev0, m0
+    out = []
+    for st, lv in zip(pdf[step].to_numpy(), pdf[loss].to_numpy(), strict=True):
+        if prev is None:
+            prev = lv
+        else:
+            rel = (prev - lv) / (prev + 1e-15)
+            m = beta * m + (1 - beta) * rel
+            target = t_start + (t_end - t_start) * (st / n)
+            t = target if disable_adaptive else min(t_end, max(target, t + alpha * (1 / (1 + np.exp(-m))) * (1 - t)))
+            prev = lv
+        out.append((pdf[run].iloc[0], int(st), round(float(t), 6), round(float(m), 6)))
+    return out
+
+
+_BIG = 1e300
+
+
+def _compose(f: tuple[float, float, float, float], g: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """g ∘ f for maps x ↦ min(H, max(L, p·x + q)) with p ≥ 0 and L ≤ H."""
+    p1, q1, L1, H1 = f
+    p2, q2, L2, H2 = g
+    A, B = p2 * L1 + q2, p2 * H1 + q2
+    if B < L2:
+        return (0.0, L2, L2, L2)
+    if A > H2:
+        return (0.0, H2, H2, H2)
+    return (p2 * p1, p2 * q1 + q2, max(A, L2), min(B, H2))
+
+
 def taid_schedule(log: DataFrame, run: str = "run", step: str = "step", loss: str = "loss", total_steps: int | None = None,
                   t_start: float = 0.4, t_end: float = 1.0, alpha: float = 5e-4, beta: float = 0.99,
-                  disable_adaptive: bool = False) -> DataFrame:
-    """TAID's t after each logged step of a run (steps 1..n; the first step only stores the loss).
-
-    A run's log has one row per optimiser step (bounded by training length), folded in order per run.
+                  disable_adaptive: bool = False, block_rows: int = 100_000) -> DataFrame:
+    """TAID's t (and momentum) after each logged step of a run; the first step only stores the loss.
+
+    Steps are 0-based and dense per run (progress = step / steps of the run, or ``total_steps``). The fold
+    is made parallel by blocks of ``block_rows`` steps, so no run is held by one task:
+
+    1. momentum is linear (m ← β·m + (1−β)·r): each block reports (βⁿ, its own contribution), the driver
+       chains the blocks' entry momenta;
+    2. with momentum known, each step's update t ↦ min(t_end, max(lin, a + (1−a)·t)) is a clamped affine map
+       with non-negative slope; a block composes its steps into one such map and the driver chains the
+       blocks' entry values of t;
+    3. every block replays its steps from its entry state. The driver sees a few numbers per block.
     """
     if not (0.0 <= t_start < 1.0 and 0.0 < t_end <= 1.0 and 0.0 <= alpha <= 1.0):
         raise ValueError("TAID parameters out of range")
+    d = log.select(F.col(run).alias("_run"), F.col(step).cast("bigint").alias("_step"), F.col(loss).cast("double").alias("_loss"))
+    sizes = d.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    prev = d.select("_run", (F.col("_step") + 1).alias("_step"), F.col("_loss").alias("_prev"))
+    d = d.join(prev, ["_run", "_step"], "left").join(sizes, "_run")
+    d = d.withColumn("_block", F.floor(F.col("_step") / block_rows).cast("bigint")).persist()
     tot = total_steps
-
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step)
-        n = tot or len(pdf)
-        t, prev, m = t_start, None, 0.0
-        out = []
-        for st, lv in zip(pdf[step].to_numpy(), pdf[loss].to_numpy(), strict=True):
-            if prev is None:
-                prev = lv
+    args = dict(t_start=t_start, t_end=t_end, alpha=alpha, beta=beta, disable_adaptive=disable_adaptive)
+    rtype = log.schema[run].dataType.simpleString()
+
+    def rel_of(pdf):
+        p, lv = pdf["_prev"].to_numpy(), pdf["_loss"].to_numpy()
+        return (p - lv) / (p + 1e-15)
+
+    def pass1(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_step")
+        rows = pdf[pdf["_prev"].notna()]
+        pw, loc = 1.0, 0.0
+        for r in rel_of(rows):
+            loc = beta * loc + (1 - beta) * r
+            pw *= beta
+        return pd.DataFrame({"_run": [pdf["_run"].iloc[0]], "_block": [int(pdf["_block"].iloc[0])], "pw": [pw], "loc": [loc]})
+
+    m_sum = d.groupBy("_run", "_block").applyInPandas(pass1, f"_run {rtype}, _block long, pw double, loc double").collect()
+    m_in: dict = {}
+    for rr in sorted({(r["_run"],) for r in m_sum}):
+        m = 0.0
+        for r in sorted((x for x in m_sum if x["_run"] == rr[0]), key=lambda x: x["_block"]):
+            m_in[(rr[0], r["_block"])] = m
+            m = r["pw"] * m + r["loc"]
+    spark = log.sparkSession
+    m_df = spark.createDataFrame([(k[0], k[1], v) for k, v in m_in.items()], f"_run {rtype}, _block long, _m_in double")
+    d2 = d.join(F.broadcast(m_df), ["_run", "_block"])
+
+    def pass2(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_step")
+        n = tot or int(pdf["_n"].iloc[0])
+        m = float(pdf["_m_in"].iloc[0])
+        f = (1.0, 0.0, -_BIG, _BIG)  # identity (finite bounds: NaN would cross Arrow as NULL)
+        for st, pv, lv in zip(pdf["_step"].to_numpy(), pdf["_prev"].to_numpy(), pdf["_loss"].to_numpy(), strict=True):
+            if np.isnan(pv):
+                continue
+            m = beta * m + (1 - beta) * ((pv - lv) / (pv + 1e-15))
+            lin = t_start + (t_end - t_start) * (st / n)
+            if disable_adaptive:
+                g = (0.0, lin, lin, lin)
             else:
-                rel = (prev - lv) / (prev + 1e-15)
-                m = beta * m + (1 - beta) * rel
-                target = t_start + (t_end - t_start) * (st / n)
-                t = target if disable_adaptive else min(t_end, max(target, t + alpha * (1 / (1 + np.exp(-m))) * (1 - t)))
-                prev = lv
-            out.append((pdf[run].iloc[0], int(st), round(float(t), 6), round(float(m), 6)))
-        return pd.DataFrame(out, columns=[run, step, "t", "momentum"])
-
-    return log.groupBy(run).applyInPandas(f, f"{run} long, {step} long, t double, momentum double")
+                a = alpha * (1 / (1 + np.exp(-m)))
+                g = (1 - a, a, lin, t_end) if lin <= t_end else (0.0, t_end, t_end, t_end)
+            f = _compose(f, g)
+        return pd.DataFrame({"_run": [pdf["_run"].iloc[0]], "_block": [int(pdf["_block"].iloc[0])],
+                             "p": [f[0]], "q": [f[1]], "lo": [f[2]], "hi": [f[3]]})
+
+    t_maps = d2.groupBy("_run", "_block").applyInPandas(
+        pass2, f"_run {rtype}, _block long, p double, q double, lo double, hi double").collect()
+    t_in: dict = {}
+    for rr in sorted({(r["_run"],) for r in t_maps}):
+        t = t_start
+        for r in sorted((x for x in t_maps if x["_run"] == rr[0]), key=lambda x: x["_block"]):
+            t_in[(rr[0], r["_block"])] = t
+            t = min(r["hi"], max(r["lo"], r["p"] * t + r["q"]))
+    t_df = spark.createDataFrame([(k[0], k[1], v) for k, v in t_in.items()], f"_run {rtype}, _block long, _t_in double")
+    d3 = d2.join(F.broadcast(t_df), ["_run", "_block"])
+
+    def pass3(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_step")
+        n = tot or int(pdf["_n"].iloc[0])
+        first_prev = pdf["_prev"].iloc[0]
+        rows = _taid_fold(pdf, "_run", "_step", "_loss", n, t0=float(pdf["_t_in"].iloc[0]), m0=float(pdf["_m_in"].iloc[0]),
+                          prev0=None if np.isnan(first_prev) else float(first_prev), **args)
+        return pd.DataFrame(rows, columns=["_run", "_step", "t", "momentum"])
+
+    out = d3.groupBy("_run", "_block").applyInPandas(pass3, f"_run {rtype}, _step long, t double, momentum double")
+    return out.select(F.col("_run").alias(run), F.col("_step").alias(step), "t", "momentum")
