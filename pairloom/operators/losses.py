@@ -306,6 +306,9 @@ def taid_schedule(log: DataFrame, run: str = "run", step: str = "step", loss: st
     sizes = d.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
     prev = d.select("_run", (F.col("_step") + 1).alias("_step"), F.col("_loss").alias("_prev"))
     d = d.join(prev, ["_run", "_step"], "left").join(sizes, "_run")
+    # blocks grow with the log so the driver receives at most ~500k block summaries per pass
+    n_total, n_runs = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    block_rows = max(block_rows, -(-(n_total or 0) // max(1, 500_000 - (n_runs or 0))))
     d = d.withColumn("_block", F.floor(F.col("_step") / block_rows).cast("bigint")).persist()
     tot = total_steps
     args = dict(t_start=t_start, t_end=t_end, alpha=alpha, beta=beta, disable_adaptive=disable_adaptive)
