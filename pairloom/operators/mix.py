@@ -39,8 +39,9 @@ def allocation_plan(df: DataFrame, total_target: int, cap: int = 1_000_000, excl
 
 def build_mix(df: DataFrame, plan: DataFrame, seed: int, key_cols: Sequence[str], subset: str = "subset") -> DataFrame:
     """Per subset, the first ``alloc`` rows in hash order, normalised to TRIPLET and unioned."""
-    ranked = sample_per_key(df, None, seed, key_cols, group=[subset])
-    # plan has one row per subset
+    # the plan has one row per subset: its largest allocation is a literal group limit for every subset
+    top = plan.agg(F.max("alloc")).first()[0] or 0
+    ranked = sample_per_key(df, int(top), seed, key_cols, group=[subset])
     kept = ranked.join(F.broadcast(plan.select(subset, "alloc")), subset).filter(F.col("_rk") < F.col("alloc"))
     return triplet_schema(kept.drop("_rk", "alloc"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
@@ -37,14 +37,17 @@ def sample_per_key(df: DataFrame, n: int | None, seed: int, key_cols: Sequence[s
                    frac: float | None = None) -> DataFrame:
     """Seeded shuffle, then the first ``n`` rows (per group when ``group``); ``n=None`` keeps all, shuffled.
 
-    The order is ``h(seed, keys)``; positions come from the salted index so a huge group is numbered
-    by many tasks, and Spark's group limit prunes each task's candidates before any shuffle.
+    The order is ``h(seed, keys)``. With a literal ``n`` the filter ``row_number() <= n`` is planned as a
+    group limit: every task keeps at most ``n`` rows per group before the shuffle, so even a group holding a
+    third of all rows reaches one task as at most ``n × tasks`` rows. Without ``n`` every row needs its
+    position and the salted index numbers a hot group with many tasks.
     """
     hk = h(seed, *[F.col(k) for k in key_cols])
-    ranked = hash_row_index(df, list(group), hk, list(key_cols), out="_rk")
-    if n is not None:
-        ranked = ranked.filter(F.col("_rk") < n)
-    return ranked
+    if n is None:
+        return hash_row_index(df, list(group), hk, list(key_cols), out="_rk")
+    w = Window.partitionBy(*group).orderBy(hk, *[F.col(k) for k in key_cols])
+    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).withColumn(
+        "_rk", (F.col("_rk") - 1).cast("bigint"))
 
 
 def train_test_split(df: DataFrame, seed: int, key_cols: Sequence[str]) -> DataFrame:
