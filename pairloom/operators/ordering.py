@@ -51,11 +51,17 @@ def sample_per_key(df: DataFrame, n: int | None, seed: int, key_cols: Sequence[s
 
 
 def train_test_split(df: DataFrame, seed: int, key_cols: Sequence[str]) -> DataFrame:
-    """``split`` = test for the first ``max(1, int(min(0.1·n, 1000)))`` rows by hash order, else train."""
+    """``split`` = test for the first ``max(1, int(min(0.1·n, 1000)))`` rows by hash order, else train.
+
+    The test set is a top-k by hash (``orderBy(...).limit(k)``: each task keeps k rows before one merge), at
+    most 1000 keys, broadcast back to mark the rows.
+    """
     n = df.count()
     test = max(1, int(min(n * 0.1, 1000))) if n > 1 else 1
-    ranked = hash_row_index(df, [], h(seed, "split", *[F.col(k) for k in key_cols]), list(key_cols), out="_rk")
-    return ranked.withColumn("split", F.when(F.col("_rk") < test, "test").otherwise("train")).drop("_rk")
+    hk = h(seed, "split", *[F.col(k) for k in key_cols])
+    test_keys = df.select(*key_cols).orderBy(hk, *[F.col(k) for k in key_cols]).limit(test)
+    marked = df.join(F.broadcast(test_keys.withColumn("_test", F.lit(True))), list(key_cols), "left")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
