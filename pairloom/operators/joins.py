@@ -87,6 +87,9 @@ def raw_negatives_by_query(base: DataFrame, origin: DataFrame, seed: int = 42, c
     return j.withColumn("neg_num", F.size("neg").cast("bigint")).drop("_q")
 
 
+TOPK_MAX = 100_000
+
+
 def sample_corpus_keep_pos(corpus: DataFrame, qrels: DataFrame, queries: DataFrame, query_sample: int,
                            corpus_sample: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """First ``query_sample`` query ids (id order); keep all their positives; fill the corpus up to
@@ -104,7 +107,12 @@ def sample_corpus_keep_pos(corpus: DataFrame, qrels: DataFrame, queries: DataFra
     target = max(corpus_sample, n_req)
     need = target - n_req
     rest = c.select("corpus_id").join(req, "corpus_id", "left_anti")
-    extra = hash_row_index(rest, [], h(seed, "corpus", F.col("corpus_id")), ["corpus_id"], out="_r").filter(F.col("_r") < need)
+    hk = h(seed, "corpus", F.col("corpus_id"))
+    if need <= TOPK_MAX:
+        # a bounded top-k: each task keeps ``need`` ids before one merge
+        extra = rest.orderBy(hk, "corpus_id").limit(max(need, 0))
+    else:
+        extra = hash_row_index(rest, [], hk, ["corpus_id"], out="_r").filter(F.col("_r") < need)
     keep_ids = req.unionByName(extra.select("corpus_id"))
     kept = c.join(keep_ids, "corpus_id", "left_semi")
     return kept, r
