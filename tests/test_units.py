@@ -365,3 +365,21 @@ def test_taid_blocks_equal_sequential_fold(spark):
                 want[(rr[0], rr[1])] = (rr[2], rr[3])
         assert got.keys() == want.keys()
         assert all(abs(got[k][0] - want[k][0]) < 2e-6 and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
+
+
+def test_salted_index_plan_splits_hot_group(spark):
+    import contextlib
+    import io
+    import re
+
+    df = spark.range(0, 1000).select(F.col("id"), F.concat(F.lit("hot"), (F.col("id") * 0).cast("string")).alias("g"))
+    out = hash_row_index(df, ["g"], h(1, F.col("id")), ["id"], out="i", bits=3)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    plan = buf.getvalue()
+    # the numbering window's exchange is keyed by the slice (with the group, unless Catalyst folds a constant group)
+    assert re.search(r"hashpartitioning\([^)]*__hrislice", plan), plan
+    # the numbering window is keyed by (group, slice): the one hot group is spread over 8 slices
+    assert out.select(F.shiftright(h(1, F.col("id")), 29).alias("s")).distinct().count() == 8
+    assert sorted(r.i for r in out.collect()) == list(range(1000))
