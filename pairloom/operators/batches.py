@@ -7,6 +7,7 @@ epoch's plan does not depend on earlier epochs (Quirk 14).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from .indexing import hash_row_index
+from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index
+
+
+def _bits(rows: int, rows_per_slice: int = DEFAULT_ROWS_PER_SLICE) -> int:
+    """Salt bits for a group of ``rows`` rows (same rule as the index helper's own estimate)."""
+    return 0 if rows <= rows_per_slice else min(16, math.ceil(math.log2(rows / rows_per_slice)))
 
 
 def task_key(df: DataFrame, label_group_subsets: Sequence[str] = (), subset: str = "subset", label: str = "label") -> Column:
@@ -40,14 +46,16 @@ def batch_plan(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int
     keys = [F.col(k) for k in key_cols]
     d = df.withColumn("task", F.lit("all") if single_task else task_key(df, label_group_subsets))
     order = h(s, "row", *keys) if shuffle else F.lit(0)
-    d = hash_row_index(d, ["task"], order, list(key_cols), out="_rn")
+    # one small aggregate (a row per task) sizes both salted indices below
+    biggest, total = d.groupBy("task").count().agg(F.max("count"), F.sum("count")).first()
+    d = hash_row_index(d, ["task"], order, list(key_cols), out="_rn", bits=_bits(biggest or 0))
     d = d.withColumn("batch_no", F.floor(F.col("_rn") / g).cast("bigint")).withColumn("row_in_batch", (F.col("_rn") % g).cast("int"))
     if drop_last:
         full = d.groupBy("task", "batch_no").agg(F.count(F.lit(1)).alias("_sz")).filter(F.col("_sz") == g)
         d = d.join(full.select("task", "batch_no"), ["task", "batch_no"], "left_semi")
     batches = d.select("task", "batch_no").distinct()
     border = h(s, "batch", F.col("task"), F.col("batch_no")) if shuffle_batches else F.lit(0)
-    batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id")
+    batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id", bits=_bits(-(-(total or 0) // g)))
     return d.join(batches, ["task", "batch_no"]).drop("_rn")
 
 
