@@ -241,8 +241,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     total = np.zeros((n, n), dtype=np.float32)
-    width = max(256, (1 << 22) // max(n, 1))
-    for x in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, max(256, (1 << 22) // max(n, 1))))
+    for x in range(0, columns, width):
         a, b = np.searchsorted(column, [x, x + width])
         m = np.zeros((n, width), dtype=np.float32)
         m[owner[a:b], column[a:b] - x] = 1
