@@ -306,7 +306,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     info = kept_table(near.join(nodes.select("node", "docs", "one.id", "one.text_hash"), "node"), folder, "members")
     t = F.col(text).cast("string")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(t).alias("hash"), t.alias("text"))
-    member = info.join(texts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"]).select("component", "node", "docs", "text")
+    # one plan at every size: texts meet their members in a shuffle, also where the members would be small enough to broadcast
+    member = info.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"]).select("component", "node", "docs", "text")
     found = kept_table(verified(member), folder, "links")
     release(spark)
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
