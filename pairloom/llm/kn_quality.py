@@ -32,7 +32,7 @@ from .common import mix64, settle, slices, table, utf8_buffer, utf8_size
 
 ORDER, BITS = 5, 12
 BLOCK_BYTES = 24 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 20
 SHARDS = 64
 QUANTILE, MARGIN, LEAST = 0.99, 1.1, 100
 CLASSES = 1 << BITS
@@ -74,12 +74,24 @@ def packed(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def chunks(t: pa.Table):
-    """The batches of a block, in pieces of bounded size."""
+    """The batches of a block, joined or cut to pieces of about one size."""
+    waiting, size = [], 0
     for p in t.column("payload"):
         for b in pa.ipc.open_stream(p.as_buffer()):
-            _, off = utf8_buffer(b.column(2))
-            for i, j in slices(off, CHUNK_BYTES):
-                yield b.slice(i, j - i)
+            waiting.append(b)
+            size += b.column(2).nbytes
+            if size >= CHUNK_BYTES:
+                yield from cut(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield from cut(waiting)
+
+
+def cut(batches: list[pa.RecordBatch]):
+    for b in pa.Table.from_batches(batches).combine_chunks().to_batches():
+        _, off = utf8_buffer(b.column(2))
+        for i, j in slices(off, 2 * CHUNK_BYTES):
+            yield b.slice(i, j - i)
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
