@@ -31,19 +31,23 @@ DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 3, 3, 0.6
 
 
 def line_rows(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """``id, text_hash, place, surrounding, leaf, line, masked``: parsed lines; ``place`` counts from 0."""
+    """``id, text_hash, place, surrounding, leaf, line, masked``: the parsed lines; ``place`` counts from 0."""
     t = F.col(text).cast("string")
-    rows = docs.where(t.isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), F.split(t, "\n").alias("lines"))
-    hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(F.trim(x)))))
-    rows = rows.withColumn("h", hashes).select("id", "text_hash", F.col("h")[0].alias("m1"), F.get("h", F.lit(1)).alias("m2"), F.posexplode("lines").alias("place", "raw"))
-    line = F.trim(F.translate("raw", "\t\r", "  "))
-    rows = rows.select("id", "text_hash", "place", F.coalesce(F.when(F.xxhash64(F.trim("raw")) == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0)).alias("surrounding"), line.alias("l"))
-    masked = F.when(F.col("l").rlike("[0-9]"), F.regexp_replace("l", r"\S*[0-9]\S*", "<*>")).otherwise(F.col("l"))
-    rows = rows.withColumn("masked", masked)
+    rows = docs.where(t.isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), F.transform(F.split(t, "\n"), masked_line).alias("lines"))
+    hashes = F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))))
+    rows = rows.withColumn("h", hashes).select("id", "text_hash", F.col("h")[0].alias("m1"), F.get("h", F.lit(1)).alias("m2"), F.posexplode("lines").alias("place", "masked"))
+    rows = rows.withColumn("line", F.xxhash64("masked"))
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
     rows = rows.withColumn("tokens", tokens).where((F.col("masked") != "") & (F.col("tokens") >= min_tokens))
+    surrounding = F.coalesce(F.when(F.col("line") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0))
     leaf = F.xxhash64("tokens", F.substring_index("masked", " ", depth))
-    return rows.select("id", "text_hash", "place", "surrounding", leaf.alias("leaf"), F.xxhash64("masked").alias("line"), "tokens", "masked")
+    return rows.select("id", "text_hash", "place", surrounding.alias("surrounding"), leaf.alias("leaf"), "line", "masked")
+
+
+def masked_line(x):
+    """A trimmed line with tabs as blanks and ``<*>`` for each token that has a digit."""
+    flat = F.trim(F.when(F.contains(x, F.lit("\t")) | F.contains(x, F.lit("\r")), F.regexp_replace(x, "[\t\r]", " ")).otherwise(x))
+    return F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(flat, r"\S*[0-9]\S*", "<*>")).otherwise(flat)
 
 
 def kept_table(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -71,13 +75,14 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
                    min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """``id, text_hash, dropped``: per document the places of lines to drop (documents without such lines are absent)."""
     folder = shared_folder(docs.sparkSession, "lines")
-    lines = line_rows(docs, key, text, depth, min_tokens)
+    parsed = line_rows(docs, key, text, depth, min_tokens)
+    lines = kept_table(parsed.drop("masked"), folder, "lines")
     seen = kept_table(lines.groupBy("leaf", "line", "surrounding").agg(F.lit(1).alias("one")).drop("one"), folder, "seen")
     counted = seen.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("lines")).where(
         (F.col("total") >= min_docs) & (F.col("lines") > 1)).select("leaf")
     leaves = kept_table(leaves, folder, "leaves")
-    texts = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    texts = parsed.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     found = kept_table(texts.join(counted, ["leaf", "line"]), folder, "found")
     names = kept_table(templates(found, min_docs, similar), folder, "templates")
     named = seen.join(names, "line", "left").withColumn("template", F.coalesce("template", "line"))
