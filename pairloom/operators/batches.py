@@ -52,11 +52,11 @@ def batch_plan(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int
     d = d.withColumn("batch_no", F.floor(F.col("_rn") / g).cast("bigint")).withColumn("row_in_batch", (F.col("_rn") % g).cast("int"))
     if drop_last:
         full = d.groupBy("task", "batch_no").agg(F.count(F.lit(1)).alias("_sz")).filter(F.col("_sz") == g)
-        d = d.join(full.select("task", "batch_no"), ["task", "batch_no"], "left_semi")
+        d = null_safe_join(d, full.select("task", "batch_no"), ["task", "batch_no"], "left_semi")
     batches = d.select("task", "batch_no").distinct()
     border = h(s, "batch", F.col("task"), F.col("batch_no")) if shuffle_batches else F.lit(0)
     batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id", bits=_bits(-(-(total or 0) // g)))
-    return d.join(batches, ["task", "batch_no"]).drop("_rn")
+    return null_safe_join(d, batches, ["task", "batch_no"]).drop("_rn")
 
 
 def align_negatives(df: DataFrame, batch: str = "batch_id", neg: str = "neg", neg_idx: str = "neg_emb_idx",
@@ -96,78 +96,45 @@ def micro_chunks(df: DataFrame, n_chunks: int, group: Sequence[str], pos: str) -
 MAX_DRIVER_MAP_ROWS = 1_000_000  # B·world per block
 
 
-def _dyn_scan(neg: np.ndarray, s_eff: int, n_rem: int, e: int, per_rank: int, world: int, max_pairs: int | None,
-              max_neg: int | None, drop_last: bool) -> tuple[list[tuple[int, int]], int]:
-    """Replay the dynamic cut from offset ``e`` of a block: ([(start, length)], exit offset or -1 when the task ends)."""
-    G = per_rank * world
-    j, out = e, []
-    while j < s_eff and j < n_rem:
-        end = min(j + G, n_rem)
-        eff = per_rank
-        if max_pairs is not None and end > j:
-            kmin = int(neg[j:end].min())
-            if max_neg is not None:
-                kmin = min(kmin, max_neg)
-            c = 1 + max(0, kmin)
-            if c > 1:
-                eff = max(1, min(per_rank, max_pairs // c))
-        gs = eff * world
-        clen = min(gs, n_rem - j)
-        if clen < gs and drop_last:
-            return out, -1
-        out.append((j, clen))
-        j += clen
-    if j >= n_rem:
-        return out, -1
-    return out, j - s_eff
-
-
-def _dyn_transfer(neg: np.ndarray, s_eff: int, n_rem: int, per_rank: int, world: int, max_pairs: int | None,
-                  max_neg: int | None, drop_last: bool) -> list[tuple[int, int]]:
-    """(exit offset or -1, batches started) for every entry offset 0..B·world-1 of a block.
-
-    Paths from different entries merge as soon as they reach a common position, so each position's
-    outcome is computed once (memo), making the whole map O(block + B·world) instead of one scan per entry.
+def _batch_lengths(neg: np.ndarray, n_rem: int, per_rank: int, world: int, max_pairs: int | None, max_neg: int | None,
+                   drop_last: bool) -> np.ndarray:
+    """For each position of a block, the rows of a batch that would start there (0: none, the task ends).
+
+    The rows looked at are the next ``per_rank * world``; their smallest negative count sets the pairs per row, and
+    the pair budget divided by it the rows per rank.
     """
-    G = per_rank * world
-    memo: dict[int, tuple[int, int]] = {}
-
-    def step(j: int) -> tuple[int, int] | int:
-        """Next position from a batch starting at j, or a final (exit, 0) outcome."""
-        if j >= n_rem:
-            return (-1, 0)
-        if j >= s_eff:
-            return (j - s_eff, 0)
-        end = min(j + G, n_rem)
-        eff = per_rank
-        if max_pairs is not None and end > j:
-            kmin = int(neg[j:end].min())
-            if max_neg is not None:
-                kmin = min(kmin, max_neg)
-            c = 1 + max(0, kmin)
-            if c > 1:
-                eff = max(1, min(per_rank, max_pairs // c))
-        gs = eff * world
-        clen = min(gs, n_rem - j)
-        if clen < gs and drop_last:
-            return (-1, 0)
-        return j + clen
-
-    out = []
-    for e in range(G):
-        path, j = [], e
-        while j not in memo:
-            nxt = step(j)
-            if isinstance(nxt, tuple):
-                memo[j] = nxt
-                break
-            path.append(j)
-            j = nxt
-        ex, nb = memo[j]
-        for p in reversed(path):
-            nb += 1
-            memo[p] = (ex, nb)
-        out.append(memo[e])
+    ahead = per_rank * world
+    neg = neg[:max(n_rem, 0)]
+    size = np.full(len(neg), ahead, dtype=np.int64)
+    if max_pairs is not None and len(neg):
+        padded = np.concatenate([neg.astype(np.int64), np.full(ahead - 1, np.iinfo(np.int64).max)])
+        least = np.lib.stride_tricks.sliding_window_view(padded, ahead).min(axis=1)
+        pairs = 1 + np.clip(least, 0, None if max_neg is None else max(max_neg, 0))
+        size = np.where(pairs > 1, np.clip(max_pairs // pairs, 1, per_rank), per_rank) * world
+    left = np.maximum(n_rem - np.arange(len(neg)), 0)
+    return np.where((size > left) & drop_last, 0, np.minimum(size, left))
+
+
+def _block_map(length: np.ndarray, s_eff: int, n_rem: int, entries: int) -> list[tuple[int, int]]:
+    """(exit offset or -1, batches started) for every entry offset, by one pass over the block from its end."""
+    last = min(s_eff, n_rem)
+    out = [(-1, 0)] * max(last, entries)
+    for p in range(last, entries):
+        out[p] = (p - s_eff, 0) if s_eff <= p < n_rem else (-1, 0)
+    for p in range(last - 1, -1, -1):
+        to = p + int(length[p])
+        if to > p:
+            exit_, n = out[to] if to < last else (to - s_eff if to < n_rem else -1, 0)
+            out[p] = (exit_, n + 1)
+    return out[:entries]
+
+
+def _batch_starts(length: np.ndarray, s_eff: int, n_rem: int, entry: int) -> list[tuple[int, int]]:
+    """(start, rows) of the batches of a block that is entered at ``entry``."""
+    out, at = [], entry
+    while at < min(s_eff, n_rem) and length[at]:
+        out.append((at, int(length[at])))
+        at += int(length[at])
     return out
 
 
@@ -208,7 +175,8 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
         s_eff = int((~pdf["_la"]).sum())
         n_rem = int(pdf["_n"].iloc[0]) - b * block_rows
         task = pdf["task"].iloc[0]
-        rows = [(task, b, e, ex, nb) for e, (ex, nb) in enumerate(_dyn_transfer(neg, s_eff, n_rem, *args))]
+        rows = [(task, b, e, ex, nb) for e, (ex, nb) in enumerate(
+            _block_map(_batch_lengths(neg, n_rem, *args), s_eff, n_rem, G))]
         return pd.DataFrame(rows, columns=["task", "block", "entry", "exit", "nb"])
 
     maps = grp.groupBy("task", "block").applyInPandas(transfer, "task string, block long, entry int, exit int, nb long")
@@ -234,13 +202,12 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
         neg = pdf["_nl"].to_numpy()
         s_eff = int((~pdf["_la"]).sum())
         n_rem = int(pdf["_n"].iloc[0]) - b * block_rows
-        starts, _ = _dyn_scan(neg, s_eff, n_rem, int(pdf["entry"].iloc[0]), *args)
-        first = int(pdf["first_batch"].iloc[0])
-        out = []
-        for i, (st, ln) in enumerate(starts):
-            for r in range(ln):
-                out.append((pdf["task"].iloc[0], b * block_rows + st + r, first + i, r))
-        return pd.DataFrame(out, columns=["task", "_pos", "batch_no", "row_in_batch"])
+        starts = _batch_starts(_batch_lengths(neg, n_rem, *args), s_eff, n_rem, int(pdf["entry"].iloc[0]))
+        at, rows_in = np.array(starts, dtype=np.int64).reshape(-1, 2).T
+        inside = np.arange(rows_in.sum()) - np.repeat(np.cumsum(rows_in) - rows_in, rows_in)
+        return pd.DataFrame({"task": pdf["task"].iloc[0], "_pos": b * block_rows + np.repeat(at, rows_in) + inside,
+                             "batch_no": int(pdf["first_batch"].iloc[0]) + np.repeat(np.arange(len(at)), rows_in),
+                             "row_in_batch": inside.astype(np.int32)})
 
     tagged = grp.join(F.broadcast(start_df), ["task", "block"]).groupBy("task", "block").applyInPandas(
         assign, "task string, _pos long, batch_no long, row_in_batch int")

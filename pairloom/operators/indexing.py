@@ -62,11 +62,17 @@ def hash_row_index(
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hrin"))
     before = Window.partitionBy(*group).orderBy("__hrislice").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, F.coalesce(F.sum("__hrin").over(before), F.lit(0)).alias("__hrioff"))
-    return (
-        local.join(offs, keys)
-        .withColumn(out, (F.col("__hrirn") + F.col("__hrioff")).cast("bigint"))
-        .drop("__hrioh", "__hrislice", "__hrirn", "__hrioff")
-    )
+    joined = null_safe_join(local, offs, keys)
+    return joined.withColumn(out, (F.col("__hrirn") + F.col("__hrioff")).cast("bigint")).drop(
+        "__hrioh", "__hrislice", "__hrirn", "__hrioff")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL matches NULL; the result has the left table's key columns."""
+    names = {k: f"__nsj_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in right.columns if c not in names])
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(other, same, how).drop(*names.values())
 
 
 def _order_key(order: Sequence[tuple[str, bool]]) -> Column:

@@ -115,11 +115,23 @@ def infonce(s, cs, C, temp: float = CSE_TEMP) -> float:
     return _ce(z, np.arange(len(s)) * max(1, C))
 
 
-def _score_diff(e: np.ndarray) -> np.ndarray:
-    sc = e @ e.T
-    x = sc[np.triu_indices(len(e), k=1)]
-    d = x[None, :] - x[:, None]
-    return d[np.triu_indices(len(x), k=1)]
+def order_hinge(student: np.ndarray, teacher: np.ndarray, margin: float, cells: int = 1 << 22) -> float:
+    """Mean hinge over all pairs of row pairs: the student's similarities should stand in the teacher's order.
+
+    Works in slabs of about ``cells`` comparisons, so memory does not grow with the fourth power of the batch.
+    """
+    upper = np.triu_indices(len(student), k=1)
+    s, t = (student @ student.T)[upper], (teacher @ teacher.T)[upper]
+    n, total = len(s), 0.0
+    step = max(1, cells // max(n, 1))
+    for low in range(0, n - 1, step):
+        here = np.arange(low, min(low + step, n - 1))
+        later = np.arange(low + 1, n)
+        rises = t[later][None, :] >= t[here][:, None]
+        gap = s[later][None, :] - s[here][:, None]
+        loss = np.maximum(margin + np.where(rises, -gap, gap), 0)
+        total += float(loss[later[None, :] > here[:, None]].sum())
+    return total / (n * (n - 1) / 2) if n > 1 else 0.0
 
 
 def jasper_stella(s, t_side, taid_t: float | None = None) -> tuple[float, float, float, float]:
@@ -129,8 +141,7 @@ def jasper_stella(s, t_side, taid_t: float | None = None) -> tuple[float, float,
         tn = (1 - taid_t) * sn + taid_t * tn
     cos = float(np.mean(1 - (sn * tn).sum(1) / np.maximum(np.linalg.norm(sn, axis=1) * np.linalg.norm(tn, axis=1), 1e-8)))
     sim = float(np.mean((sn @ sn.T - tn @ tn.T) ** 2))
-    lab = np.where(_score_diff(tn) < 0, 1.0, -1.0)
-    tri = float(np.maximum(_score_diff(sn) * lab + JS_MARGIN, 0).mean()) if lab.size else 0.0
+    tri = order_hinge(sn, tn, JS_MARGIN)
     wc, ws, wt = JS_WEIGHTS
     return wc * cos + ws * sim + wt * tri, wc * cos, ws * sim, wt * tri
 

@@ -33,11 +33,13 @@ def local_session(cores: str = "*", app: str = "pairloom", **extra: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; only when it is unset (local tests) make one."""
+    """Return the cluster's ``spark.checkpoint.dir``; where it is unset, make one on a local master and fail on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pairloom-ckpt-", dir=os.environ.get("PAIRLOOM_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

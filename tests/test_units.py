@@ -19,6 +19,7 @@ from pairloom.operators import textops as TO
 from pairloom.operators import triplets as TR
 from pairloom.operators import vectors as VO
 from pairloom.operators.indexing import hash_row_index, range_row_index
+from pairloom.operators.losses import order_hinge
 from pairloom.sources import files as FS
 from pairloom.sources import tsv_records as TSV
 
@@ -272,12 +273,35 @@ def test_dynamic_transfer_map_equals_scans():
         mp = int(rng.integers(1, 20)) if rng.random() < 0.8 else None
         mx = int(rng.integers(0, 4)) if rng.random() < 0.3 else None
         dl = bool(rng.random() < 0.7)
-        fast = B._dyn_transfer(neg, s_eff, n_rem, per_rank, world, mp, mx, dl)
-        slow = []
+        length = B._batch_lengths(neg, n_rem, per_rank, world, mp, mx, dl)
+        fast = B._block_map(length, s_eff, n_rem, G)
         for e in range(G):
-            st, ex = B._dyn_scan(neg, s_eff, n_rem, e, per_rank, world, mp, mx, dl)
-            slow.append((ex, len(st)))
-        assert fast == slow
+            st = B._batch_starts(length, s_eff, n_rem, e)
+            end = sum(st[-1]) if st else e
+            stopped = end >= n_rem or (end < s_eff and not length[end])
+            assert fast[e] == (-1 if stopped else end - s_eff, len(st))
+            for a, n in st:
+                seen = neg[a:min(a + G, n_rem)].min()
+                pairs = 1 + (max(0, min(seen, mx)) if mx is not None else max(0, seen))
+                want = world * (max(1, min(per_rank, mp // pairs)) if mp is not None and pairs > 1 else per_rank)
+                assert n == min(want, n_rem - a) and (n == want or not dl)
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.range(400).selectExpr("id", "CASE WHEN id % 4 = 0 THEN NULL ELSE id % 3 END AS grp")
+    order = h(1, "x", F.col("id"))
+    whole = {r.id: r.idx for r in hash_row_index(df, ["grp"], order, ["id"], bits=0).collect()}
+    cut = {r.id: r.idx for r in hash_row_index(df, ["grp"], order, ["id"], bits=2).collect()}
+    assert len(whole) == 400 and whole == cut
+
+
+def test_order_hinge_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    s, t = rng.normal(size=(7, 5)), rng.normal(size=(7, 5))
+    pairs = [(i, j) for i in range(7) for j in range(i + 1, 7)]
+    a, b = [[float(x[i] @ x[j]) for i, j in pairs] for x in (s, t)]
+    terms = [max(0.015 + ((a[p] - a[q]) if b[q] >= b[p] else (a[q] - a[p])), 0) for p in range(len(pairs)) for q in range(p + 1, len(pairs))]
+    assert abs(order_hinge(s, t, 0.015, cells=10) - np.mean(terms)) < 1e-12
 
 
 def test_chunk_lines_quirks(spark):
