@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index
+from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index, null_safe_join
 
 
 def _bits(rows: int, rows_per_slice: int = DEFAULT_ROWS_PER_SLICE) -> int:
