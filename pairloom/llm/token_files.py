@@ -16,8 +16,12 @@ order of the hash of their texts. An empty table gives an empty folder that read
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import uuid
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +29,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_FRAGMENTS, read_spec
+from .bpe import byte_of_sign, read_spec
 from .common import shared_folder, slices, table, utf8_buffer
 
 CHUNK_BYTES = 4 << 20
+ENCODE_BYTES = 128 << 10  # texts encoded at a time: their words stay in the processor's cache
+KNOWN_WORDS = 600_000  # remembered by one task, at about 200 bytes each
 MANIFEST = "part long, name string, dtype string, docs long, tokens long"
 
 
+#: The normaliser and splitter for which ``WordEncoder`` may encode letters and signs apart.
+LETTER_RUNS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+#: Latin-1 letters, then visible ASCII signs other than the apostrophe and the bracket that opens added tokens.
+LETTERS_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
 class WordEncoder:
-    """Ids of white-space-separated words; remembers a bounded number of words."""
+    """Ids of white-space-separated words; remembers a bounded number of words and of their parts.
+
+    Most new words are letters followed by signs. Under the rules ``LETTER_RUNS`` these are two pieces that no normalisation or
+    lookahead joins, so lower-cased letters and signs go to the library's BPE model one by one and words that differ in case or
+    in closing signs share the work. Every other word, and any other tokenizer, goes through the library's whole chain.
+    """
 
     def __init__(self, spec: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,21 +66,54 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = dtype
+        self.model = self.tokenizer.model
+        self.kind = dtype[0] + {"u2": "%dH", "u4": "%dI"}[dtype[1:]]
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        rules = json.loads(spec)
+        self.splits = (all(rules.get(k) == v for k, v in LETTER_RUNS.items())
+                       and all(t["content"].startswith("<") for t in rules["added_tokens"]))
+        self.signs = str.maketrans({chr(b): sign for sign, b in byte_of_sign().items()})
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(self.kind % len(ids), *ids)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece: the bytes of its UTF-8, written as the vocabulary's signs."""
+        found = self.pieces.get(text)
+        if found is None:
+            if len(self.pieces) >= KNOWN_WORDS:
+                self.pieces.clear()
+            raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.signs)
+            found = self.pieces[text] = self.pack([t.id for t in self.model.tokenize(raw)])
+        return found
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, rest = {}, []
+        for w in words:
+            m = LETTERS_SIGNS.fullmatch(w.decode()) if self.splits else None
+            if m is None:
+                rest.append(w)
+                continue
+            letters, signs = m.groups()
+            out[w] = self.piece(letters.lower()) + self.piece(signs) if signs else self.piece(letters.lower())
+        if rest:
+            found = self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+            out.update((w, self.pack(e.ids)) for w, e in zip(rest, found))
+        return out
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         words = [t.split() for t in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > CACHE_FRAGMENTS:
-            self.known.clear()
-            new = list(distinct)
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, flat))
+        new = self.learn({w for w, i in zip(flat, ids) if i is None})
         if new:
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(new, found))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) + end for w in words]
+            ids = [new[w] if i is None else i for w, i in zip(flat, ids)]
+            if len(self.known) + len(new) > KNOWN_WORDS:
+                self.known.clear()
+            self.known.update(new)
+        stops = list(accumulate(map(len, words)))
+        return [b"".join(ids[i:j]) + end for i, j in zip([0, *stops], stops)]
 
 
 def vocabulary_dtype(spec: str, end_id: int) -> str:
@@ -85,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, end_id: int, text
         with fs.open_output_stream(f"{root}/{name}.tokens") as tokens, fs.open_output_stream(f"{root}/{name}.docs") as ids:
             for b in batches:
                 raw, off = utf8_buffer(b.column(1))
-                for i, j in slices(off, CHUNK_BYTES):
+                for i, j in slices(off, ENCODE_BYTES):
                     data, place = raw[off[i]:off[j]].tobytes(), (off[i:j + 1] - off[i]).tolist()
                     out = encoder.encode([data[x:y] for x, y in zip(place, place[1:])], end)
                     tokens.write(b"".join(out))

@@ -267,3 +267,22 @@ def test_digest_columns(spark):
     r = {x.doc_id: x for x in bpe.op2_bpe(spark, SF0001).collect()}
     text = spark.read.parquet(f"{SF0001}/documents.parquet").where("doc_id = 5").first().text
     assert r[5].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_word_encoder_equals_the_library_on_odd_words():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from pairloom.llm.bpe import read_spec
+    from pairloom.llm.token_files import WordEncoder
+
+    draw = random.Random(5)
+    signs = [*"abcXYZ éÉßÿÀ×÷'s<|>.,!`~^_0129İ", "́", "̱", "​", "\x01", "\x85", "\t", "漢", "ⅷ", "<|endoftext|>", "<|STARTOFTEXT|>", "'ll"]
+    texts = ["", *("".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(3000))]
+    spec = read_spec("word_bpe_49k.json")
+    want = [[*e.ids, 2] for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
+    encoder = WordEncoder(spec, "<u2")
+    for _ in range(2):  # the second time from memory
+        got = encoder.encode([t.encode() for t in texts], np.array([2], "<u2").tobytes())
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
