@@ -84,11 +84,16 @@ def _order_key(order: Sequence[tuple[str, bool]]) -> Column:
     return F.struct(*fields)
 
 
-def _bucket_expr(key: Column, bounds: list[tuple]) -> Column:
+def _nulls_first(key: tuple) -> list:
+    """Sort key that puts NULL first, as Spark orders struct fields."""
+    return [(v is not None, v) for v in key]
+
+
+def _bucket_expr(key: Column, bounds: list[tuple], types: Sequence[str]) -> Column:
     """Balanced binary search over literal boundaries: number of bounds strictly below ``key``."""
 
     def lit_struct(b: tuple) -> Column:
-        return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)])
+        return F.struct(*[F.lit(v).cast(types[i]).alias(f"k{i}") for i, v in enumerate(b)])
 
     def go(lo: int, hi: int) -> Column:  # answer in [lo, hi]
         if lo == hi:
@@ -129,12 +134,13 @@ def range_row_index(
         want = 64 * slices
         frac = min(1.0, want / total)
         sample = [tuple(r["__rrikey"]) for r in d.select("__rrikey").sample(False, frac, seed).limit(4 * want).collect()]
-        sample.sort()
+        sample.sort(key=_nulls_first)
         if sample:
             step = len(sample) / slices
             cand = [sample[min(len(sample) - 1, int(step * i))] for i in range(1, slices)]
-            bounds = sorted(set(cand))
-    d = d.withColumn("__rrislice", _bucket_expr(F.col("__rrikey"), bounds) if bounds else F.lit(0))
+            bounds = sorted(set(cand), key=_nulls_first)
+    types = [f.dataType.simpleString() for f in d.schema["__rrikey"].dataType.fields]
+    d = d.withColumn("__rrislice", _bucket_expr(F.col("__rrikey"), bounds, types) if bounds else F.lit(0))
     w = Window.partitionBy("__rrislice", *group).orderBy("__rrikey")
     local = d.withColumn("__rrirn", F.row_number().over(w) - 1)
     if not bounds:
@@ -145,7 +151,7 @@ def range_row_index(
     # without groups the offset table has one row per slice: bounded by the slice count
     offs = F.broadcast(offs) if not group else offs
     return (
-        local.join(offs, ["__rrislice", *group])
+        null_safe_join(local, offs, ["__rrislice", *group])
         .withColumn(out, (F.col("__rrirn") + F.col("__rrioff")).cast("bigint"))
         .drop("__rrikey", "__rrislice", "__rrirn", "__rrioff")
     )

@@ -44,18 +44,13 @@ def flatten_triplets(trip: DataFrame, instructions: DataFrame | None = None) ->
     """
     p = with_instruction(trip, instructions)
     p = p.withColumn("_anc", instruct(F.coalesce("anc", F.lit("")), F.col("instruction")))
-    ap = p.select(
-        "subset", "id", "label",
-        F.explode(F.array(
-            F.struct(F.lit("anc").alias("column"), F.lit(-1).alias("slot"), F.col("_anc").alias("text")),
-            F.struct(F.lit("pos").alias("column"), F.lit(-1).alias("slot"), F.coalesce("pos", F.lit("")).alias("text")),
-        )).alias("_x"),
-    ).select("subset", "id", "label", "_x.*")
-    ng = p.select("subset", "id", "label", F.posexplode("neg").alias("slot", "text")).filter(F.col("text").isNotNull())
-    ng = ng.select("subset", "id", "label", F.lit("neg").alias("column"), F.col("slot").cast("int"), "text")
-    out = ap.unionByName(ng)
-    return out.select("text", "subset", "id", "column", F.col("slot").cast("int").alias("slot"), "label",
-                      F.length("text").cast("bigint").alias("len"))
+    # one generator over the row's own texts: the input is planned and read once
+    part = lambda column, slot, text: F.struct(F.lit(column).alias("column"), slot.cast("int").alias("slot"), text.alias("text"))
+    negs = F.transform("neg", lambda t, i: part("neg", i, t))
+    kept = F.filter(negs, lambda x: x["text"].isNotNull())
+    own = F.array(part("anc", F.lit(-1), F.col("_anc")), part("pos", F.lit(-1), F.coalesce("pos", F.lit(""))))
+    out = p.select("subset", "id", "label", F.explode(F.when(F.col("neg").isNull(), own).otherwise(F.concat(own, kept))).alias("_x"))
+    return out.select("_x.text", "subset", "id", "_x.column", "_x.slot", "label", F.length("_x.text").cast("bigint").alias("len"))
 
 
 def regroup_pairs(flat: DataFrame) -> DataFrame:

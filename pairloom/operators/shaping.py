@@ -2,8 +2,8 @@
 
 A "file" is a group of lines; its shape comes from its first line, as in the reference:
 list rows ``[anc, pos(, neg)]``, ``{"set": [...]}``, ``{"query", "pos": [...]}``,
-``{"query", "pos": [...], "neg": [...]}``. Any other first-line key set, or a later line of another
-kind (object vs list), fails the job.
+``{"query", "pos": [...], "neg": [...]}``. Any other first line (blank and broken ones too), or a later line of another
+shape, fails the job, whichever columns are selected.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from .indexing import null_safe_join
 
 SHAPES = ("list", "pos,query", "neg,pos,query", "set")
 
@@ -25,18 +26,19 @@ def row_shape(value: Column) -> Column:
 def shape_jsonl(lines: DataFrame, file: str = "file", line_no: str = "line_no", value: str = "value") -> DataFrame:
     """(file, line_no, value) → (file, line_no, item, anc, pos, neg)."""
     d = lines.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), F.col(value).alias("value"))
-    d = d.withColumn("_rs", row_shape(F.col("value")))
+    # a blank or broken line has no keys: its shape is the empty name, which is never expected
+    d = d.withColumn("_rs", F.coalesce(row_shape(F.col("value")), F.lit("")))
     firsts = d.groupBy("file").agg(F.min_by("_rs", "line_no").alias("_fs"))
-    # one row per file
-    d = d.join(F.broadcast(firsts), "file")
-    bad_first = ~F.col("_fs").isin(*SHAPES)
-    kind_clash = (F.col("_fs") == "list") != (F.col("_rs") == "list")
-    d = d.withColumn(
-        "_chk",
-        F.when(bad_first, F.raise_error(F.concat(F.lit("unexpected keys in file "), F.col("file"), F.lit(": "), F.col("_fs"))))
-        .when(kind_clash, F.raise_error(F.concat(F.lit("mixed shapes in file "), F.col("file"))))
-        .otherwise(F.lit(None).cast("string")),
-    )
+    # one row per file; a NULL file name is a file of its own
+    d = null_safe_join(d, firsts, ["file"])
+    name = F.coalesce(F.col("file").cast("string"), F.lit("NULL"))
+    # the check is a filter, so no choice of output columns can prune it away
+    d = d.filter(
+        F.when(~F.col("_fs").isin(*SHAPES),
+               F.raise_error(F.concat(F.lit("unexpected keys in file "), name, F.lit(": "), F.col("_fs"))).cast("boolean"))
+        .when(F.col("_fs") != F.col("_rs"),
+              F.raise_error(F.concat(F.lit("mixed shapes in file "), name, F.lit(": "), F.col("_rs"))).cast("boolean"))
+        .otherwise(F.lit(True)))
     fs = F.col("_fs")
     arr = F.from_json("value", "array<string>")
     obj = F.from_json("value", "struct<set: array<string>, query: string, pos: array<string>, neg: array<string>>")
@@ -55,8 +57,8 @@ def shape_jsonl(lines: DataFrame, file: str = "file", line_no: str = "line_no",
                                                    F.when(F.size(n) > 0, n[F.least(i, F.size(n) - 1)]).alias("neg")))
     items = (F.when(fs == "list", lst).when(fs == "set", sets).when(fs == "pos,query", qpos)
              .when(fs == "neg,pos,query", qposneg))
-    d = d.select("file", "line_no", "_chk", F.posexplode(F.coalesce(items, F.array().cast(f"array<{pair}>"))).alias("item", "_x"))
-    return d.select("file", "line_no", F.col("item").cast("bigint").alias("item"), F.coalesce("_chk", "_x.anc").alias("anc"),
+    d = d.select("file", "line_no", F.posexplode(F.coalesce(items, F.array().cast(f"array<{pair}>"))).alias("item", "_x"))
+    return d.select("file", "line_no", F.col("item").cast("bigint").alias("item"), "_x.anc",
                     "_x.pos", "_x.neg")
 
 

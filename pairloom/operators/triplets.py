@@ -25,15 +25,14 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h
 from ..functions.text import clean_and_check, py_strip
 from ..session import cut_lineage
-from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index
+from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index, null_safe_join
 
 MAX_LITERAL_LABELS = 10_000
-MAX_ROUNDS = 1_000
 
 
 @dataclass
 class LabelPools:
-    labels: DataFrame  # label, label_no, n
+    labels: DataFrame  # label, label_no, n (a NULL label is a label); marked for broadcast when small
     pool: DataFrame  # label_no, idx, text, text_h
     n_labels: int
     counts: list[int] | None  # n per label_no when small enough to inline
@@ -63,13 +62,13 @@ def build_label_pools(valid: DataFrame, key: str, text: str, label: str, seed: i
         n_labels = len(rows)
         biggest = max(counts) if counts else 0
         bits = 0 if biggest <= DEFAULT_ROWS_PER_SLICE else min(16, math.ceil(math.log2(biggest / DEFAULT_ROWS_PER_SLICE)))
-        lab_small = F.broadcast(labels)
+        labels = F.broadcast(labels)
     else:
         # many labels: numbering by a window over the label table (one row per label), kept distributed
         labels = cut_lineage(sizes.withColumn("label_no", (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint")))
         n_labels = labels.count()
-        counts, bits, lab_small = None, None, labels
-    pool = valid.join(lab_small.select(label, "label_no"), label)
+        counts, bits = None, None
+    pool = null_safe_join(valid, labels.select(label, "label_no"), [label])
     pool = hash_row_index(pool, ["label_no"], h(seed, "pool", F.col(key)), [key], out="idx", bits=bits)
     pool = pool.select("label_no", "idx", F.col(text).alias("text"), F.xxhash64(text).alias("text_h")).persist()
     return LabelPools(labels, pool, n_labels, counts)
@@ -184,7 +183,6 @@ def draw_negatives(
     cands = cut_lineage(_resolve_clashes(cut_lineage(_neg_round(a, pools, seed, 0, D, excl_h)), a, pools, excl))
     chosen = cut_lineage(pick(cands))
     start = D
-    rounds = 1
     while True:
         have = a.select("_key").join(chosen, "_key", "left").select("_key", F.coalesce(F.size("_c"), F.lit(0)).alias("_k"))
         short = have.filter(F.col("_k") < num_negs)
@@ -194,13 +192,10 @@ def draw_negatives(
         short = cut_lineage(short.filter(F.col("_k") < F.least(F.lit(num_negs), F.col("_usable"))).select("_key"))
         if short.isEmpty():
             break
-        if rounds >= MAX_ROUNDS:
-            raise RuntimeError("negative sampling did not converge")
         more = _resolve_clashes(cut_lineage(_neg_round(a.join(short, "_key"), pools, seed, start, D, excl_h)), a, pools, excl)
         cands = cut_lineage(cands.unionByName(more))
         chosen = cut_lineage(pick(cands))
         start += D
-        rounds += 1
     texts = pools.pool.select(F.col("label_no").alias("_nl"), F.col("idx").alias("_ni"), F.col("text").alias("_t"))
     ex = chosen.select("_key", F.posexplode("_c").alias("_p", "_x")).select("_key", "_p", "_x._nl", "_x._ni")
     ex = ex.join(texts, ["_nl", "_ni"])
@@ -239,7 +234,7 @@ def triplets_by_label(
     base = df.select(F.col(key), F.col(text).alias("_raw"), F.col(label).cast("string").alias("label"), *carry)
     valid = clean_valid(base, "_raw").select(key, "text", "label", *carry).persist()
     pools = build_label_pools(valid, key, "text", "label", seed)
-    anchors = valid.join(F.broadcast(pools.labels.select("label", "label_no")), "label")
+    anchors = null_safe_join(valid, pools.labels.select("label", "label_no"), ["label"])
     if limit is not None:
         anchors = anchors.orderBy(key).limit(limit)
     anchors = anchors.select(F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("text").alias("_anc"),
@@ -274,7 +269,7 @@ def triplets_given_pos(
     valid = df.select(F.col(key), F.col(label).cast("string").alias("label"), *carry, F.explode(keep).alias("_ap"))
     valid = valid.select(key, "label", *carry, F.col("_ap.anc").alias("anc"), F.col("_ap.pos").alias("pos")).persist()
     pools = build_label_pools(valid.select(key, F.col("pos").alias("text"), "label"), key, "text", "label", seed)
-    anchors = valid.join(F.broadcast(pools.labels.select("label", "label_no")), "label").select(
+    anchors = null_safe_join(valid, pools.labels.select("label", "label_no"), ["label"]).select(
         F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("anc").alias("_anc"), F.col("pos").alias("_pos"),
         "label", *carry).persist()
     negs = draw_negatives(anchors, pools, seed, num_negs, ["_pos"])
@@ -305,19 +300,19 @@ def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_neg
         return base.select(F.col("_key").alias(key), "text", "text", "label")
     base = range_row_index(base, [("gi", True)], out="lp", group=["label"]).persist()
     sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("nl"))
-    b = base.join(sizes, "label")
+    b = null_safe_join(base, sizes, ["label"])
     # positive: one draw among the other members (uniform), the row itself when alone
     j = F.pmod(h(seed, F.col("_key"), "pos"), F.greatest(F.col("nl") - 1, F.lit(1)))
     b = b.withColumn("_plp", F.when(F.col("nl") == 1, F.col("lp")).otherwise(j + (j >= F.col("lp")).cast("bigint")))
     pos = base.select("label", F.col("lp").alias("_plp"), F.col("text").alias("pos"))
-    b = b.join(pos, ["label", "_plp"])
+    b = null_safe_join(b, pos, ["label", "_plp"])
     idx = base.select(F.col("gi").alias("j"), F.col("label").alias("_jl"), F.col("text").alias("_jt"))
 
     def accept(rows: DataFrame, draws: int) -> DataFrame:
         d = rows.select("_key", "gi", "label", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
         d = d.withColumn("j", F.pmod(h(seed, F.col("_key"), F.col("d"), "neg"), F.lit(n)))
         d = d.join(idx.select("j", "_jl"), "j")
-        ok = (F.col("j") != F.col("gi")) & (F.col("_jl") != F.col("label"))
+        ok = (F.col("j") != F.col("gi")) & ~F.col("_jl").eqNullSafe(F.col("label"))
         w_first = Window.partitionBy("_key", "j").orderBy("d")
         d = d.withColumn("_first_ok", F.min(F.when(ok, F.col("d"))).over(w_first))
         d = d.withColumn("fv", ok & (F.col("_first_ok") == F.col("d")))

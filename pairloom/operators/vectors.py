@@ -18,14 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indexing import range_row_index
+from .indexing import null_safe_join, range_row_index
 
 MAX_BLOCK_BYTES = 200 * 1024 * 1024
 
 
 def lookup_vectors(rows: DataFrame, emb: DataFrame, idx_cols: tuple[str, ...] = ("anc_emb_idx", "pos_emb_idx"),
-                   arr_col: str | None = "neg_emb_idx", key: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Attach ``<col>_vec`` for scalar index columns and ``neg_vecs`` (in array order) via equi-joins on emb_idx."""
+                   arr_col: str | None = "neg_emb_idx", key: tuple[str, ...] = ("subset", "id")) -> DataFrame:
+    """Attach ``<col>_vec`` for scalar index columns and ``neg_vecs`` (in array order) via equi-joins on emb_idx.
+
+    ``key`` names a row (NULL equals NULL); a row without negatives gets an empty ``neg_vecs``."""
     out = rows
     e = emb.select("emb_idx", "embedding")
     for c in idx_cols:
@@ -34,7 +36,8 @@ def lookup_vectors(rows: DataFrame, emb: DataFrame, idx_cols: tuple[str, ...] =
         ex = rows.select(*key, F.posexplode(arr_col).alias("_p", "emb_idx")).join(e, "emb_idx")
         g = ex.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_p", "embedding"))).alias("_s"))
         g = g.select(*key, F.transform("_s", lambda s: s["embedding"]).alias("neg_vecs"))
-        out = out.join(g, list(key), "left")
+        empty = F.array().cast(g.schema["neg_vecs"].dataType)
+        out = null_safe_join(out, g, list(key), "left").withColumn("neg_vecs", F.coalesce("neg_vecs", empty))
     return out
 
 
@@ -171,11 +174,11 @@ def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb
 # ---------------- geometry ----------------
 
 def iso_score(vectors: DataFrame, col: str = "vec") -> DataFrame:
-    """IsoScore of a set of vectors (Rudman et al. 2022) from the covariance spectrum.
+    """IsoScore of a set of vectors (Rudman et al. 2022): (n, dim, iso_score); 0 for a single point or dimension.
 
-    Each partition emits its partial sums in long form — (i, j, Σxᵢxⱼ) for the Gram matrix and (i, -1, Σxᵢ)
-    for the sums, plus its row count — so Spark adds them up by key with a map-side combine; only the
-    d×d result (bounded by the dimension) reaches the driver, where the eigenvalues are taken.
+    With C the covariance, its eigenvalues enter only by their sum tr(C) and their norm ‖C‖_F, and the score reduces to
+    (tr(C)²/‖C‖_F² − 1) / (dim − 1), so no spectrum is taken. Each partition emits the upper triangle of its partial sums
+    (i, j, Σxᵢxⱼ) and (i, -1, Σxᵢ) with its row count; Spark adds them up by key and everything stays distributed.
     """
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, sx, sxx = 0, None, None
@@ -186,42 +189,21 @@ def iso_score(vectors: DataFrame, col: str = "vec") -> DataFrame:
             n += len(x)
             sx = x.sum(0) if sx is None else sx + x.sum(0)
             sxx = x.T @ x if sxx is None else sxx + x.T @ x
-        if n:
-            d = len(sx)
-            ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-            yield pd.DataFrame({"i": np.concatenate([ii.ravel(), np.arange(d), [-1]]),
-                                "j": np.concatenate([jj.ravel(), np.full(d, -1), [-1]]),
-                                "v": np.concatenate([sxx.ravel(), sx, [float(n)]])})
-
-    sums = vectors.select(col).mapInPandas(part, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    cells = sums.collect()  # d·d + d + 1 numbers
-    if not cells:
-        return vectors.sparkSession.createDataFrame([(0, 0, 0.0)], "n long, dim long, iso_score double")
-    d = max(int(r["i"]) for r in cells) + 1
-    n = next(r["v"] for r in cells if r["i"] == -1)
-    sx = np.zeros(d)
-    sxx = np.zeros((d, d))
-    for r in cells:
-        if r["i"] >= 0 and r["j"] >= 0:
-            sxx[r["i"], r["j"]] = r["v"]
-        elif r["i"] >= 0:
-            sx[r["i"]] = r["v"]
-    mean = sx / n
-    cov = sxx / n - np.outer(mean, mean)
-    cov = cov * n / (n - 1) if n > 1 else cov
-    score = iso_from_cov(cov)
-    return vectors.sparkSession.createDataFrame([(int(n), int(d), round(score, 6))], "n long, dim long, iso_score double")
-
-
-def iso_from_cov(cov: np.ndarray) -> float:
-    lam = np.clip(np.linalg.eigvalsh(cov), 0.0, None)
-    n = len(lam)
-    if n < 2 or np.linalg.norm(lam) == 0:
-        return 0.0
-    big = math.sqrt(n) * lam / np.linalg.norm(lam)
-    delta = np.linalg.norm(big - 1) / math.sqrt(2 * (n - math.sqrt(n)))
-    phi = (n - delta ** 2 * (n - math.sqrt(n))) ** 2 / (n ** 2)
-    return float((n * phi - 1) / (n - 1))
+        for i in range(len(sx) if n else 0):
+            yield pd.DataFrame({"i": i, "j": np.arange(i - 1, len(sx)), "v": np.concatenate([sx[i:i + 1], sxx[i, i:]]), "n": n}).assign(
+                j=lambda d: d["j"].where(d["j"] >= i, -1))
+
+    sums = vectors.select(col).mapInPandas(part, "i long, j long, v double, n long")
+    sums = sums.groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    mean = sums.filter(F.col("j") < 0).select("i", (F.col("v") / F.col("n")).alias("m"))
+    cells = sums.filter(F.col("j") >= 0).join(mean.withColumnRenamed("m", "mi"), "i")
+    cells = cells.join(mean.select(F.col("i").alias("j"), F.col("m").alias("mj")), "j")
+    c, own = F.col("v") / F.col("n") - F.col("mi") * F.col("mj"), F.col("i") == F.col("j")
+    s = cells.agg(F.max("n").alias("n"), F.count_if(own).alias("dim"), F.sum(F.when(own, c)).alias("t"),
+                  F.sum(c * c * F.when(own, 1.0).otherwise(2.0)).alias("f"))
+    score = F.when((F.col("dim") > 1) & (F.col("f") > 0), (F.col("t") * F.col("t") / F.col("f") - 1) / (F.col("dim") - 1))
+    return s.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("dim").cast("long").alias("dim"),
+                    F.round(F.coalesce(score, F.lit(0.0)), 6).alias("iso_score"))
 
 
 def two_nn_dimension(vectors: DataFrame, id_col: str = "vid", col: str = "vec", discard: float = 0.1,

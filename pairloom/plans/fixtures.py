@@ -37,32 +37,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
-        return self.memo(("table", name), lambda: spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")),
-                         persist=False)
-
-
-SPREAD_MIN_BYTES = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than there are cores (e.g. one large row group), so
-    CPU-heavy text work is not stuck in one task. A scan of many files already has enough partitions and
-    is left alone (no extra shuffle at cluster scale)."""
-    import os
-
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-        files = df.inputFiles()
-    except Exception:  # sessions without RDD access: leave the scan as it is
-        return df
-    size = 0
-    for f in files:
-        local = f[len("file:"):] if f.startswith("file:") else f
-        if os.path.exists(local):
-            size += os.path.getsize(local)
-    return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
+        return self.memo(("table", name), lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), persist=False)
 
 
 # ---------- PAIR: documents → first line / remaining lines ----------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scores as SC
-from .fixtures import CFG_SQL, SCORES_SQL, TASK_SQL, Tables, run_configs, score_rows, task_tables
+from .fixtures import CFG_SQL, SCORES_SQL, TASK_SQL, TASK_SUFFIXES, Tables, run_configs, score_rows, task_tables
 from .registry import register
 
 DROP = ["ErrorSummarization"]
@@ -55,11 +55,20 @@ def q_score_averages(t: Tables):
     return SC.score_averages(_scores(t), _cats(t))
 
 
-@register("score_table", f"""SELECT * FROM
-  (PIVOT (WITH {AVG_SQL} SELECT code_name, run_name, name, value FROM av) ON name USING first(value) GROUP BY code_name, run_name) wa
-JOIN
-  (PIVOT (WITH {AVG_SQL} SELECT code_name, run_name, task, score FROM s) ON task USING first(score) GROUP BY code_name, run_name) wt
-USING (code_name, run_name)""")
+# fixed list: the event types that name tasks (the oracle needs every column by name)
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+TABLE_TASKS = [x for e in EVENT_TYPES for s in TASK_SUFFIXES if (x := e.capitalize() + s) not in DROP]
+TABLE_AVGS = ["macro_ave", "micro_ave", *(f"avg_{c}" for c in SC.CATEGORY_ORDER)]
+
+
+def _columns_sql(key: str, value: str, names: list[str]) -> str:
+    return ", ".join(f"max({value}) FILTER (WHERE {key} = '{n}') AS \"{n}\"" for n in names)
+
+
+@register("score_table", f"""WITH {AVG_SQL},
+wa AS (SELECT code_name, run_name, {_columns_sql("name", "value", TABLE_AVGS)} FROM av GROUP BY code_name, run_name),
+wt AS (SELECT code_name, run_name, {_columns_sql("task", "score", TABLE_TASKS)} FROM s GROUP BY code_name, run_name)
+SELECT * FROM wa JOIN wt USING (code_name, run_name)""")
 def q_score_table(t: Tables):
     return SC.score_table(_scores(t), _cats(t).filter(~F.col("task").isin(*DROP)))
 

@@ -32,7 +32,7 @@ def q_truncate_dim(t: Tables):
 @register("lookup_vectors", f"""WITH {LOSS_IN_SQL},
 emb AS (SELECT vec_id AS emb_idx, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)
 SELECT li.vec_id AS id, round(list_sum(a.embedding), 6) AS anc_sum, round(list_sum(p.embedding), 6) AS pos_sum,
-       CASE WHEN n.embedding IS NULL THEN NULL ELSE [round(list_sum(n.embedding), 6)] END AS neg_sums
+       CASE WHEN n.embedding IS NULL THEN CAST([] AS DOUBLE[]) ELSE [round(list_sum(n.embedding), 6)] END AS neg_sums
 FROM li JOIN emb a ON a.emb_idx = li.vec_id JOIN emb p ON p.emb_idx = li.pos_id LEFT JOIN emb n ON n.emb_idx = li.vec_id + 16""")
 def q_lookup_vectors(t: Tables):
     li = loss_inputs(t)
@@ -40,7 +40,7 @@ def q_lookup_vectors(t: Tables):
                      F.when(F.col("neg_teacher").isNotNull(), F.array(F.col("vec_id") + 16))
                      .otherwise(F.array().cast("array<bigint>")).alias("neg_emb_idx"))
     emb = _emb(t).select(F.col("vec_id").alias("emb_idx"), F.col("v").alias("embedding"))
-    out = VO.lookup_vectors(rows, emb)
+    out = VO.lookup_vectors(rows, emb, key=("id",))
     s = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
     return out.select("id", s(F.col("anc_emb_idx_vec")).alias("anc_sum"), s(F.col("pos_emb_idx_vec")).alias("pos_sum"),
                       F.transform("neg_vecs", lambda v: s(v)).alias("neg_sums"))
@@ -82,7 +82,10 @@ def q_two_nn(t: Tables):
     return VO.two_nn_dimension(e.select(F.col("vec_id").alias("vid"), F.col("v").alias("vec")))
 
 
-@register("iso_score")
+@register("iso_score", """WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+c AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS c, count(*) AS n FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i),
+s AS (SELECT max(n) AS n, count(*) FILTER (WHERE i = j) AS dim, sum(c) FILTER (WHERE i = j) AS t, sum(c * c) AS f FROM c)
+SELECT n, dim, round((t * t / f - 1) / (dim - 1), 6) AS iso_score FROM s""")
 def q_iso_score(t: Tables):
     return VO.iso_score(_emb(t).select(F.col("v").alias("vec")))
 

@@ -48,7 +48,8 @@ def duck_type(spark_type: str) -> str:
 
 
 def compare(sdf, con, sql: str) -> tuple[bool, str]:
-    rel0 = con.sql(sql)
+    con.sql(sql).create_view("oracle_under_test", replace=True)  # as the driver does
+    rel0 = con.table("oracle_under_test")
     want = {c: str(t) for c, t in zip(rel0.columns, rel0.types)}
     got = {f.name: duck_type(f.dataType.simpleString()) for f in sdf.schema.fields}
     bad = {c: (got.get(c), want.get(c)) for c in set(got) | set(want) if got.get(c) != want.get(c)}

@@ -162,13 +162,20 @@ def test_taid_first_step_keeps_t(spark):
 
 def test_iso_score_closed_forms(spark):
     rng = np.random.default_rng(0)
-    iso = rng.normal(size=(4000, 4))
-    assert VO.iso_from_cov(np.cov(iso.T)) > 0.95
-    line = np.zeros((100, 4))
-    line[:, 0] = rng.normal(size=100)
-    assert VO.iso_from_cov(np.cov(line.T)) == pytest.approx(0.0, abs=1e-9)
-    df = spark.createDataFrame([(v.tolist(),) for v in iso[:500]], "vec array<double>")
-    assert VO.iso_score(df).first()["iso_score"] > 0.9
+    iso, line = rng.normal(size=(4000, 4)), np.outer(rng.normal(size=200), [1.0, 2.0, -1.0])
+
+    def score(x):
+        df = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(3)
+        return VO.iso_score(df).first()
+
+    assert score(iso)["iso_score"] > 0.95 and (score(iso)["n"], score(iso)["dim"]) == (4000, 4)
+    assert score(line)["iso_score"] == pytest.approx(0.0, abs=1e-6)
+    lam = np.linalg.eigvalsh(np.cov((iso * [1, 2, 3, 4]).T))  # the published steps over the spectrum
+    n, unit = len(lam), np.sqrt(len(lam)) * lam / np.linalg.norm(lam)
+    delta = np.linalg.norm(unit - 1) / np.sqrt(2 * (n - np.sqrt(n)))
+    want = (n * ((n - delta ** 2 * (n - np.sqrt(n))) ** 2 / n ** 2) - 1) / (n - 1)
+    assert score(iso * [1, 2, 3, 4])["iso_score"] == pytest.approx(want, abs=1e-5)
+    assert score(iso[:1])["iso_score"] == 0.0 and VO.iso_score(spark.createDataFrame([], "vec array<double>")).first()["n"] == 0
 
 
 def test_file_sources(spark, tmp_path):
@@ -232,20 +239,6 @@ def test_task_lists(spark, tmp_path):
         SC.select_tasks(t, "eng", "on_train_tasks", only=["Z"])
 
 
-def test_encode_stream_resumes(spark, tmp_path):
-    from pairloom.streaming.encode_stream import start_encode_stream
-
-    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    spark.createDataFrame([(i, f"text {i}", 6) for i in range(20)], "emb_idx long, text string, len long").write.parquet(src + "/a")
-    os.makedirs(src, exist_ok=True)
-    q = start_encode_stream(spark, src + "/a", out, ck)
-    q.awaitTermination(120)
-    assert spark.read.parquet(out).count() == 20
-    q = start_encode_stream(spark, src + "/a", out, ck)  # restart: nothing new, nothing duplicated
-    q.awaitTermination(120)
-    assert spark.read.parquet(out).select("emb_idx").distinct().count() == 20 and spark.read.parquet(out).count() == 20
-
-
 def test_many_labels_join_path_matches_literal_path(spark, monkeypatch):
     rows = [(i, f"sample text number {i} with plenty of letters", f"L{i % 7}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
@@ -407,3 +400,39 @@ def test_salted_index_plan_splits_hot_group(spark):
     # the numbering window is keyed by (group, slice): the one hot group is spread over 8 slices
     assert out.select(F.shiftright(h(1, F.col("id")), 29).alias("s")).distinct().count() == 8
     assert sorted(r.i for r in out.collect()) == list(range(1000))
+
+
+def test_null_labels_are_a_label(spark):
+    rows = [(i, f"sample text number {i} with plenty of letters", lab) for i, lab in enumerate(["a"] * 3 + ["b"] * 2 + [None] * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    label_of = {t: lab for _, t, lab in rows}
+    out = TR.triplets_by_label(df, "doc_id", "text", "label", num_negs=7, seed=3).collect()
+    assert len(out) == 9
+    for r in out:
+        others = sum(lab != r.label for lab in label_of.values())
+        assert len(r.neg) == min(7, others) and all(label_of[t] != r.label for t in r.neg) and label_of[r.pos] == r.label
+    out = TR.triplets_row_uniform(df, "doc_id", "text", "label", num_negs=3, seed=3).collect()
+    assert sorted(r.doc_id for r in out) == list(range(9)) and all(label_of[r.pos] == r.label for r in out)
+
+
+def test_range_index_with_null_keys(spark):
+    rows = [(None if i % 4 == 0 else i % 3, None if i % 7 == 0 else f"s{i % 5}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, s string, i long")
+    order = [("s", True), ("i", True)]
+    for group in ([], ["g"]):
+        one, many = ({r.i: r.p for r in range_row_index(df, order, out="p", min_slices=n, group=group).collect()} for n in (1, 8))
+        assert len(one) == 1000 and one == many
+
+
+def test_lookup_vectors_keys_rows_by_subset_and_id(spark):
+    rows = spark.createDataFrame([("s1", 0, [1]), ("s2", 0, [2]), (None, 0, [1, 2]), ("s1", 1, [])], "subset string, id long, neg_emb_idx array<long>")
+    emb = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "emb_idx long, embedding array<double>")
+    out = {(r.subset, r.id): r.neg_vecs for r in VO.lookup_vectors(rows, emb, idx_cols=()).collect()}
+    assert out == {("s1", 0): [[1.0]], ("s2", 0): [[2.0]], (None, 0): [[1.0], [2.0]], ("s1", 1): []}
+
+
+@pytest.mark.parametrize("values", [["", '["a", "b"]'], ["{broken", '["a", "b"]'], ['{"query": "q", "pos": ["p"]}', '{"set": ["x", "y"]}']])
+def test_odd_lines_fail_whatever_is_selected(spark, values):
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file string, line_no long, value string")
+    with pytest.raises(Exception):
+        SH.shape_jsonl(lines).select("file", "line_no").collect()
