@@ -78,7 +78,8 @@ def lenient_list(c: Column) -> Column:
 def triplet_schema(df: DataFrame, pair_only: bool = False) -> DataFrame:
     """P14 + P15: normalise to TRIPLET (anc, pos, neg[], label, subset) with column fallbacks.
 
-    anc ← anc else query, pos ← pos else document; NULL → ''; scalar neg → [neg]; NULL neg → [];
+    anc ← anc else query else text, pos ← pos else document; NULL → ''; negatives come from the column ``negs``,
+    where there is none from ``neg``; scalar neg → [neg]; NULL neg → [];
     a pair source (``pair_only``) discards its negatives.
     """
     cols = set(df.columns)
@@ -87,14 +88,14 @@ def triplet_schema(df: DataFrame, pair_only: bool = False) -> DataFrame:
         present = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in cols]
         return F.coalesce(*present, F.lit("")) if present else F.lit("")
 
-    neg_field = [f for f in df.schema.fields if f.name == "neg"]
-    if pair_only or not neg_field:
+    source = next((n for n in ("negs", "neg") if n in cols), None)
+    if pair_only or source is None:
         neg = F.array().cast("array<string>")
-    elif neg_field[0].dataType.typeName() == "array":
-        neg = F.coalesce(F.col("neg").cast("array<string>"), F.array().cast("array<string>"))
+    elif df.schema[source].dataType.typeName() == "array":
+        neg = F.coalesce(F.col(source).cast("array<string>"), F.array().cast("array<string>"))
     else:
-        neg = F.when(F.col("neg").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("neg").cast("string")))
+        neg = F.when(F.col(source).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(source).cast("string")))
     label = F.coalesce(F.col("label").cast("string"), F.lit("")) if "label" in cols else F.lit("")
     subset = F.col("subset").cast("string") if "subset" in cols else F.lit("")
-    return df.select(pick("anc", "query").alias("anc"), pick("pos", "document").alias("pos"), neg.alias("neg"),
+    return df.select(pick("anc", "query", "text").alias("anc"), pick("pos", "document").alias("pos"), neg.alias("neg"),
                      label.alias("label"), subset.alias("subset"))

@@ -436,3 +436,8 @@ def test_odd_lines_fail_whatever_is_selected(spark, values):
     lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file string, line_no long, value string")
     with pytest.raises(Exception):
         SH.shape_jsonl(lines).select("file", "line_no").collect()
+
+
+def test_triplet_schema_fallback_columns(spark):
+    df = spark.createDataFrame([("t", "d", ["n"], "x"), ("", None, None, "x")], "text string, document string, negs array<string>, neg string")
+    assert [tuple(r) for r in SH.triplet_schema(df).collect()] == [("t", "d", ["n"], "", ""), ("", "", [], "", "")]
