@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from .indexing import hash_row_index, range_row_index
+from .indexing import hash_row_index, null_safe_join, range_row_index
 from .textops import normalize_query
 
 
@@ -61,6 +61,19 @@ def raw_negatives_by_pair(base: DataFrame, raw: DataFrame, keys: Sequence[str] =
     return j.withColumn("neg", F.coalesce("_negs", F.array().cast("array<string>"))).drop("_negs")
 
 
+def raw_negatives_by_shape(base: DataFrame, raw: DataFrame, keys: Sequence[str] = ("subset", "anc", "pos")) -> DataFrame:
+    """J3 with the raw files' own lists: ``base`` with ``neg`` as it stands in the source, in order and with repeats.
+
+    ``raw`` has the keys, ``shape`` (``query_pos_neg``: a line's whole list ``neg``; ``list``: a triplet whose items after
+    the second are ``neg``; any other shape has no negatives) and ``neg array<string>``. A base row comes once for each different list
+    of its pair; without a match or list its ``neg`` is empty. NULL keys match NULL keys.
+    """
+    keys = list(keys)
+    lists = raw.filter(F.col("shape").isin("query_pos_neg", "list")).select(*keys, F.col("neg").alias("_negs")).distinct()
+    j = null_safe_join(base.drop("neg"), lists, keys, "left")
+    return j.withColumn("neg", F.coalesce("_negs", F.array().cast("array<string>"))).drop("_negs")
+
+
 def raw_negatives_by_query(base: DataFrame, origin: DataFrame, seed: int = 42, cap: int = 7,
                            query: str = "anc", pos: str = "pos") -> DataFrame:
     """Candidate negatives by normalised query text.

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.vectors import sq_dist, truncate_dim
 
@@ -26,22 +27,31 @@ TAID_DEFAULTS = dict(t_start=0.4, t_end=1.0, alpha=5e-4, beta=0.99)
 def batch_vectors(df: DataFrame, student_dim: int, use_pos: bool = True, use_neg: bool = True) -> DataFrame:
     """L10 inputs: (batch_id, row_in_batch, s, t, cs[], ct[], C) from the loss-input rows.
 
-    Candidates are laid out positive first, then negatives; a batch uses negatives only when every
-    row has one (K = batch minimum, as in the batch collator).
+    Candidates are laid out positive first, then the first K negatives, K being the least number of negatives of
+    a row in the batch. ``neg_teacher`` / ``neg_student`` hold one vector or an array of vectors; NULL is none.
     """
     d = df.withColumn("t", truncate_dim(F.col("teacher"), student_dim)).withColumn("s", F.col("student"))
     if not use_pos:
         return d.select("batch_id", "row_in_batch", "s", "t", F.array().cast("array<array<double>>").alias("cs"),
                         F.array().cast("array<array<double>>").alias("ct"), F.lit(0).alias("C"))
-    k = F.min(F.col("neg_teacher").isNotNull().cast("int")).over(Window.partitionBy("batch_id")) if use_neg else F.lit(0)
-    d = d.withColumn("_k", k)
+    d = d.withColumn("_ns", _vector_list(d, "neg_student")).withColumn("_nt", _vector_list(d, "neg_teacher"))
+    own = F.least(F.size("_ns"), F.size("_nt"))
+    d = d.withColumn("_k", F.min(own).over(Window.partitionBy("batch_id")) if use_neg else F.lit(0))
     pt = truncate_dim(F.col("pos_teacher"), student_dim)
-    nt = truncate_dim(F.col("neg_teacher"), student_dim)
-    cs = F.when(F.col("_k") > 0, F.array("pos_student", "neg_student")).otherwise(F.array("pos_student"))
-    ct = F.when(F.col("_k") > 0, F.array(pt, nt)).otherwise(F.array(pt))
+    cs = F.concat(F.array("pos_student"), F.slice("_ns", F.lit(1), F.col("_k")))
+    ct = F.concat(F.array(pt), F.transform(F.slice("_nt", F.lit(1), F.col("_k")), lambda v: truncate_dim(v, student_dim)))
     return d.select("batch_id", "row_in_batch", "s", "t", cs.alias("cs"), ct.alias("ct"), (F.col("_k") + 1).alias("C"))
 
 
+def _vector_list(df: DataFrame, name: str) -> Column:
+    """A column of one vector or of an array of vectors as an array of vectors; NULL is empty."""
+    kind = df.schema[name].dataType
+    several = kind.elementType.typeName() == "array"
+    one = F.col(name) if several else F.array(name)
+    empty = F.array().cast(kind if several else ArrayType(kind))
+    return F.when(F.col(name).isNull(), empty).otherwise(one)
+
+
 def candidate_layout(bv: DataFrame) -> DataFrame:
     """One row per candidate with its flat index ``row·C + c`` and whether it is the row's target."""
     x = bv.select("batch_id", "row_in_batch", F.col("C").alias("_ncand"), F.posexplode("cs").alias("_slot", "_v"))

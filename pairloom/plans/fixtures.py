@@ -229,6 +229,20 @@ li AS (SELECT a.vec_id, a.label, a.vec_id // 16 AS batch_id, CAST(a.vec_id % 16
        FROM e a JOIN e n ON n.label = a.label AND n.p = a.p + 1 LEFT JOIN e g ON g.vec_id = a.vec_id + 16)"""
 
 
+NEG_STEPS = (16, 32, 48)
+
+
+def loss_inputs_multi(t: Tables, student_dim: int = 32) -> DataFrame:
+    """``loss_inputs`` with up to three negatives a row: the vectors vec_id + 16, + 32 and + 48 that exist, in this order."""
+    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    out = loss_inputs(t)
+    for n, step in enumerate(NEG_STEPS):
+        out = out.join(e.select((F.col("vec_id") - step).alias("vec_id"), F.col("v").alias(f"_n{n}")), "vec_id", "left")
+    lists = F.array_compact(F.array(*[f"_n{n}" for n in range(len(NEG_STEPS))]))
+    out = out.withColumn("neg_teacher", lists).drop(*[f"_n{n}" for n in range(len(NEG_STEPS))])
+    return out.withColumn("neg_student", F.transform("neg_teacher", lambda v: F.slice(v, student_dim + 1, student_dim)))
+
+
 # ---------- benchmark scores from events ----------
 
 # fixed list used to name synthetic benchmark tasks (event type + one of these, chosen by event_id)

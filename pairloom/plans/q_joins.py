@@ -90,6 +90,26 @@ def q_raw_negatives_by_pair(t: Tables):
     return J.raw_negatives_by_pair(base, raw)
 
 
+_SHAPE_SQL = "CASE conv_id % 3 WHEN 0 THEN 'query_pos_neg' WHEN 1 THEN 'list' ELSE 'query_pos' END"
+
+
+@register("raw_negatives_by_shape", f"""WITH {CONV_SQL},
+s AS (SELECT *, {_SHAPE_SQL} AS shape FROM conv),
+base AS (SELECT shape AS subset, query AS anc, p AS pos FROM (SELECT shape, query, unnest(answers) AS p FROM s)),
+raw AS (SELECT DISTINCT s.shape AS subset, s.query AS anc, s.answers[1] AS pos, n.answers AS neg
+        FROM s JOIN conv n ON n.conv_id = s.conv_id + 1 WHERE len(s.answers) > 0 AND s.shape <> 'query_pos')
+SELECT b.subset, b.anc, b.pos, coalesce(raw.neg, CAST([] AS VARCHAR[])) AS neg
+FROM base b LEFT JOIN raw ON raw.subset = b.subset AND raw.anc IS NOT DISTINCT FROM b.anc AND raw.pos IS NOT DISTINCT FROM b.pos""")
+def q_raw_negatives_by_shape(t: Tables):
+    """Each conversation stands in a file of one of three shapes; its negatives are the answers of the next one."""
+    qa = conv_qa(t).withColumn("shape", F.when(F.col("conv_id") % 3 == 0, "query_pos_neg").when(F.col("conv_id") % 3 == 1, "list").otherwise("query_pos"))
+    base = qa.select(F.col("shape").alias("subset"), F.col("query").alias("anc"), F.explode("answers").alias("pos"))
+    nxt = qa.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answers").alias("neg"))
+    raw = qa.filter(F.size("answers") > 0).join(nxt, "conv_id").select(
+        "shape", F.col("shape").alias("subset"), F.col("query").alias("anc"), F.element_at("answers", 1).alias("pos"), "neg")
+    return J.raw_negatives_by_shape(base, raw)
+
+
 _BQ = "'Instruct:Find the reply' || chr(10) || 'Query:' || query"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import losses as L
-from .fixtures import LOSS_IN_SQL, Tables, loss_inputs
+from .fixtures import LOSS_IN_SQL, NEG_STEPS, Tables, loss_inputs, loss_inputs_multi
 from .registry import register
 
 DIM = 32
@@ -17,6 +17,20 @@ cand AS (SELECT batch_id, i * (1 + k) AS j, pos_student AS cs, pt AS ct FROM bv
          UNION ALL SELECT batch_id, i * (1 + k) + 1, neg_student, nt FROM bv WHERE k = 1)"""
 
 
+#: The same CTEs with a list of negatives for each row; K is the least number of a batch.
+BV_MULTI_SQL = f"""{LOSS_IN_SQL},
+ng AS (SELECT li.vec_id, list(g.v ORDER BY g.vec_id) AS negs FROM li CROSS JOIN (SELECT unnest({list(NEG_STEPS)}) AS step) JOIN e g ON g.vec_id = li.vec_id + step GROUP BY li.vec_id),
+bv AS (SELECT li.batch_id, row_number() OVER (PARTITION BY li.batch_id ORDER BY li.row_in_batch) - 1 AS i, li.student AS s, li.teacher[1:{DIM}] AS t,
+              li.pos_student, li.pos_teacher[1:{DIM}] AS pt, ng.negs, min(coalesce(len(ng.negs), 0)) OVER (PARTITION BY li.batch_id) AS k
+       FROM li LEFT JOIN ng ON ng.vec_id = li.vec_id),
+cand AS (SELECT batch_id, i * (1 + k) AS j, pos_student AS cs, pt AS ct FROM bv
+         UNION ALL SELECT batch_id, i * (1 + k) + r.c, negs[r.c][33:64], negs[r.c][1:{DIM}] FROM bv JOIN (SELECT unnest([1, 2, 3]) AS c) r ON r.c <= k)"""
+
+
+def _bv_multi(t: Tables):
+    return L.batch_vectors(loss_inputs_multi(t), DIM)
+
+
 def _bv(t: Tables, use_pos: bool = True, use_neg: bool = True):
     return L.batch_vectors(loss_inputs(t), DIM, use_pos, use_neg)
 
@@ -27,9 +41,9 @@ def _lse(z: str, part: str = "batch_id, i") -> str:
 lse AS (SELECT {part}, max(m_) + ln(sum(exp({z} - m_))) AS lse FROM zm GROUP BY {part})"""
 
 
-def kld_sql(temp: float, taid: float | None = None) -> str:
+def kld_sql(temp: float, taid: float | None = None, inputs: str = BV_SQL) -> str:
     zt = "zt0" if taid is None else f"({1 - taid!r} * zs + {taid!r} * zt0)"
-    return f"""WITH {BV_SQL},
+    return f"""WITH {inputs},
 z0 AS (SELECT a.batch_id, a.i, c.j, list_cosine_similarity(a.s, c.cs) / {temp!r} AS zs, list_cosine_similarity(a.t, c.ct) / {temp!r} AS zt0
        FROM bv a JOIN cand c USING (batch_id)),
 z AS (SELECT batch_id, i, j, zs, {zt} AS zt FROM z0),
@@ -40,9 +54,9 @@ kl AS (SELECT z.batch_id, sum(exp(z.zt - l.lt) * ((z.zt - l.lt) - (z.zs - l.ls))
 SELECT batch_id, round(s / b * greatest(1.0, {temp!r} * {temp!r}), 6) AS loss FROM kl"""
 
 
-def ce_sql(key: str, temp: float = L.CSE_TEMP) -> str:
+def ce_sql(key: str, temp: float = L.CSE_TEMP, inputs: str = BV_SQL) -> str:
     """Cross-entropy of cos(s, cand.<key>)/temp with target i·C (CKD: key=ct, InfoNCE: key=cs)."""
-    return f"""{BV_SQL},
+    return f"""{inputs},
 zz AS (SELECT a.batch_id, a.i, a.k, c.j, list_cosine_similarity(a.s, c.{key}) / {temp!r} AS z FROM bv a JOIN cand c USING (batch_id)),
 {_lse('z')},
 ce AS (SELECT zz.batch_id, avg(lse.lse - zz.z) AS loss FROM zz JOIN lse USING (batch_id, i) WHERE zz.j = zz.i * (1 + zz.k) GROUP BY zz.batch_id)"""
@@ -58,6 +72,14 @@ def q_candidate_layout(t: Tables):
     return L.candidate_layout(_bv(t))
 
 
+@register("candidate_layout_multi", f"""WITH {BV_MULTI_SQL}
+SELECT r.batch_id, r.row_in_batch, CAST(c.c AS INT) AS c, CAST(r.row_in_batch * (1 + b.k) + c.c AS BIGINT) AS cand_index, c.c = 0 AS is_target
+FROM (SELECT batch_id, row_in_batch, row_number() OVER (PARTITION BY batch_id ORDER BY row_in_batch) - 1 AS i FROM li) r
+JOIN bv b ON b.batch_id = r.batch_id AND b.i = r.i JOIN (SELECT unnest([0, 1, 2, 3]) AS c) c ON c.c <= b.k""")
+def q_candidate_layout_multi(t: Tables):
+    return L.candidate_layout(_bv_multi(t))
+
+
 MSE_SQL = f"""WITH {BV_SQL}
 SELECT batch_id, round(sum(list_sum(list_transform(range(1, {DIM} + 1), lambda d: (s[d] - t[d]) * (s[d] - t[d])))) / (count(*) * {DIM}) {{scale}}, 6) AS loss
 FROM bv GROUP BY batch_id"""
@@ -83,6 +105,21 @@ def q_loss_infonce(t: Tables):
     return L.loss_infonce(_bv(t))
 
 
+@register("loss_kld_multi", kld_sql(1.0, inputs=BV_MULTI_SQL))
+def q_loss_kld_multi(t: Tables):
+    return L.loss_kld(_bv_multi(t), temp=1.0)
+
+
+@register("loss_ckd_multi", f"WITH {ce_sql('ct', inputs=BV_MULTI_SQL)} SELECT batch_id, round(loss, 6) AS loss FROM ce")
+def q_loss_ckd_multi(t: Tables):
+    return L.loss_ckd(_bv_multi(t))
+
+
+@register("loss_infonce_multi", f"WITH {ce_sql('cs', inputs=BV_MULTI_SQL)} SELECT batch_id, round(loss, 6) AS loss FROM ce")
+def q_loss_infonce_multi(t: Tables):
+    return L.loss_infonce(_bv_multi(t))
+
+
 @register("loss_combined", f"""WITH {ce_sql('cs')},
 kld AS ({kld_sql(1.0).replace('WITH ' + BV_SQL + ',', 'WITH ' + BV_SQL.replace('e AS (', 'e2 AS (').replace('FROM e ', 'FROM e2 ').replace('JOIN e ', 'JOIN e2 ') + ',', 1)})
 SELECT batch_id, round(0.5 * kld.loss + 0.5 * round(ce.loss, 6), 6) AS loss, kld.loss AS distill_loss, round(ce.loss, 6) AS cse_loss

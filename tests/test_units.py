@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import text as TX
 from pairloom.functions.hashing import h, sql_h
 from pairloom.operators import batches as B
+from pairloom.operators import joins as J
 from pairloom.operators import losses as L
 from pairloom.operators import ordering as O
 from pairloom.operators import scores as SC
@@ -441,3 +442,21 @@ def test_odd_lines_fail_whatever_is_selected(spark, values):
 def test_triplet_schema_fallback_columns(spark):
     df = spark.createDataFrame([("t", "d", ["n"], "x"), ("", None, None, "x")], "text string, document string, negs array<string>, neg string")
     assert [tuple(r) for r in SH.triplet_schema(df).collect()] == [("t", "d", ["n"], "", ""), ("", "", [], "", "")]
+
+
+def test_raw_negatives_by_shape_keeps_order_and_repeats(spark):
+    base = spark.createDataFrame([("s", "a", "p"), ("s", "b", "q"), ("t", "a", "p"), (None, "a", "p")], "subset string, anc string, pos string")
+    raw = spark.createDataFrame([("query_pos_neg", "s", "a", "p", ["z", "y", "z"]), ("query_pos_neg", "s", "a", "p", ["z", "y", "z"]), ("query_pos", "t", "a", "p", ["x"]), ("list", None, "a", "p", ["n"])],
+                                "shape string, subset string, anc string, pos string, neg array<string>")
+    out = {(r.subset, r.anc): r.neg for r in J.raw_negatives_by_shape(base, raw).collect()}
+    assert out == {("s", "a"): ["z", "y", "z"], ("s", "b"): [], ("t", "a"): [], (None, "a"): ["n"]}
+
+
+def test_batch_vectors_use_the_least_number_of_negatives(spark):
+    kind = "batch_id long, row_in_batch int, student array<double>, teacher array<double>, pos_student array<double>, pos_teacher array<double>, neg_student array<array<double>>, neg_teacher array<array<double>>"
+    v = [1.0, 2.0]
+    rows = [(1, 0, v, v, v, v, [[1.0, 0.0], [2.0, 0.0], [3.0, 0.0]], [[1.0, 5.0], [2.0, 5.0], [3.0, 5.0]]), (1, 1, v, v, v, v, [v, v], [v, v]), (2, 0, v, v, v, v, None, None)]
+    out = {(r.batch_id, r.row_in_batch): r for r in L.batch_vectors(spark.createDataFrame(rows, kind), 2).collect()}
+    assert out[1, 0].C == out[1, 1].C == 3 and out[2, 0].C == 1
+    assert out[1, 0].cs == [v, [1.0, 0.0], [2.0, 0.0]] and out[1, 0].ct == [v, [1.0, 5.0], [2.0, 5.0]]
+    assert out[2, 0].cs == [v]
