@@ -1,16 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model (operator 10).
 
-The model is over characters, order 5, trained on all trusted texts (rows that the label table marks as good), but for a fifth of them
-(by hash of the id), which only set the thresholds. A document whose perplexity is above the quantile of its
-language's held-out trusted documents is rejected; languages with few such documents use the quantile of all.
+Two models of order 5 are trained on all trusted texts (rows that the label table marks as good), but for a fifth of them
+(by hash of the id), which only set the thresholds: one over characters and one over the order of words. A document is rejected when either
+perplexity is above the quantile of its language's held-out trusted documents; languages with few such documents use the quantile of all.
+
+The word-order model sees what characters don't: plain words that repeat. A word's symbol is the distance to its last occurrence
+(0: none within ``REACH`` words), its form (lower case, capital first, capitals, digits, signs) and whether it ends a sentence.
 
 How it runs:
 
 * Documents are sent once to blocks of bounded text size, as compressed batches.
+* Both models go through the same steps together; bit 60 of a counted gram (bit 63 of a key) tells them apart.
 * Counts: each block counts the distinct 5-grams of its trusted texts; Spark sums them. All lower orders (continuation counts), context
   totals, discounts and interpolated probabilities are joins and aggregates over the n-gram tables.
 * Scoring: each block asks for its distinct n-grams and contexts. Requests and model meet in shards of the key space,
-  the answers go back to the blocks, and each document's log-probability is a sum over its characters. The model
+  the answers go back to the blocks, and each document's log-probability is a sum over its characters, or words. The model
   is never broadcast or collected; a block's request is bounded by the block.
 
 A character is its code point below 2048 and else one of 2048 classes by hash, so a 5-gram is one 60-bit
@@ -28,14 +32,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, slices, table, utf8_buffer, utf8_size
+from .common import mix64, settle, slices, table, utf8_buffer, utf8_size, word_hashes, word_spans
 
 ORDER, BITS = 5, 12
 BLOCK_BYTES = 24 << 20
 CHUNK_BYTES = 3 << 20
 SHARDS = 64
-QUANTILE, MARGIN, LEAST = 0.99, 1.1, 100
+QUANTILE, LEAST = 0.99, 100
 CLASSES = 1 << BITS
+REACH = 7
+WORD_CLASSES = 4 + 16 * (REACH + 1)
+WORDS = np.int64(1 << 60)  # marks a counted gram of the word-order model
 LOW = [np.int64((1 << BITS * k) - 1) for k in range(ORDER + 1)]
 
 
@@ -104,11 +111,16 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if high.any():
         code[high] = np.uint64(CLASSES // 2) + (mix64(code[high]) & np.uint64(CLASSES // 2 - 1))
     code[code == 0] = 1
-    n = len(off) - 1
+    return windows(code.astype(np.int64), start)
+
+
+def windows(code: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 5-gram that ends at each symbol (and end mark) of the texts that begin at ``start[:-1]``, and each text's first place."""
+    n = len(start) - 1
     size = np.diff(start)
     pad = ORDER - 1
     line = np.zeros(len(code) + n * ORDER, dtype=np.int64)
-    line[np.arange(len(code)) + np.repeat(np.arange(n) * ORDER + pad, size)] = code.astype(np.int64)
+    line[np.arange(len(code)) + np.repeat(np.arange(n) * ORDER + pad, size)] = code
     line[start[1:] + np.arange(n) * ORDER + pad] = 3
     out = line[pad:].copy()
     for back in range(1, ORDER):
@@ -119,6 +131,35 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[asked], start[:-1] + np.arange(n)
 
 
+UPPER, DIGIT, SIGN = (np.array([test(chr(i)) for i in range(128)] + [False] * 128) for test in (
+    str.isupper, str.isdigit, lambda c: " " < c < "\x7f" and not c.isalnum()))
+
+
+def word_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``grams``, over the symbols of the words."""
+    raw, off = utf8_buffer(texts)
+    start, stop, before = word_spans(raw, off)
+    if not len(start):
+        return windows(np.zeros(0, np.int64), before)
+    upper = UPPER[raw]
+    latin = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    upper[:-1] |= latin
+
+    def within(mark: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(mark, start, dtype=np.int32)
+
+    last = raw[stop - 1]
+    capitals = within(upper)
+    form = np.where(capitals == 0, 0, np.where((capitals == 1) & upper[start], 1, 2))
+    form[within(SIGN[raw]) > ((last == 46) | (last == 44))] = 4
+    form[within(DIGIT[raw]) > 0] = 3
+    word, text = word_hashes(raw, start, stop), np.repeat(np.arange(len(off) - 1), np.diff(before))
+    back = np.zeros(len(word), np.int64)
+    for d in range(REACH, 0, -1):
+        back[d:][(word[d:] == word[:-d]) & (text[d:] == text[:-d])] = d
+    return windows(4 + 16 * back + 2 * form + (last == 46), before)
+
+
 def count(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -144,7 +185,7 @@ def is_held(doc_id):
 
 
 def trusted_counts(blocks: DataFrame, trusted: DataFrame, n_blocks: int) -> DataFrame:
-    """``gram, n`` of all counted trusted documents. ``trusted``: distinct ``doc_id``."""
+    """``gram, n`` of all counted trusted documents, for both models. ``trusted``: distinct ``doc_id``."""
     ids = with_block(trusted.where(~is_held(F.col("doc_id"))), n_blocks, None)
 
     def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
@@ -153,7 +194,7 @@ def trusted_counts(blocks: DataFrame, trusted: DataFrame, n_blocks: int) -> Data
             for b in chunks(docs):
                 b = b.filter(pc.is_in(b.column(0), value_set=known.combine_chunks()))
                 if b.num_rows:
-                    total = add_counts(total, count(grams(b.column(2))[0]))
+                    total = add_counts(total, count(np.concatenate([grams(b.column(2))[0], word_grams(b.column(2))[0] | WORDS])))
         return pa.table({"gram": total[0], "n": total[1].astype(np.int64)})
 
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -177,10 +218,17 @@ def discounts(levels: list[DataFrame]) -> dict[int, tuple]:
     return out
 
 
-def model(top: DataFrame) -> DataFrame | None:
+def both_models(top: DataFrame) -> DataFrame | None:
+    """The rows of both models; ``top`` holds the counts of ``trusted_counts``."""
+    of_words = F.col("gram") >= int(WORDS)
+    kn = model(top.where(~of_words), CLASSES, 0)
+    return kn and kn.unionByName(model(top.where(of_words).select((F.col("gram") - int(WORDS)).alias("gram"), "n"), WORD_CLASSES, 8))
+
+
+def model(top: DataFrame, classes: int, mark: int) -> DataFrame | None:
     """``key, logp, logbo``: log-probability of every seen n-gram and log back-off weight of every seen context.
 
-    ``key`` is ``order << 60 | gram``. ``top`` holds the counts of the highest order; a lower order counts the distinct characters to the left.
+    ``key`` is ``(order + mark) << 60 | gram``. ``top`` holds the counts of the highest order; a lower order counts the distinct symbols to the left.
     """
     levels = [top]
     for k in range(ORDER - 1, 0, -1):
@@ -194,7 +242,7 @@ def model(top: DataFrame) -> DataFrame | None:
 
     total = float(d[1][6])
     free = (d[1][0] * d[1][3] + d[1][1] * d[1][4] + d[1][2] * d[1][5]) / total
-    p = levels[0].select("gram", ((F.col("n") - cut(1)) / total + free / CLASSES).alias("p"))
+    p = levels[0].select("gram", ((F.col("n") - cut(1)) / total + free / classes).alias("p"))
     rows = [p.select(F.col("gram").alias("g"), F.lit(1).alias("k"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("logbo"))]
     for k in range(2, ORDER + 1):
         level = levels[k - 1].select("gram", "n", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND(F.lit(int(LOW[k - 1]))).alias("suffix"))
@@ -209,7 +257,7 @@ def model(top: DataFrame) -> DataFrame | None:
     both = rows[0]
     for r in rows[1:]:
         both = both.unionByName(r)
-    key = F.shiftleft(F.col("k").cast("long"), 60).bitwiseOR(F.col("g"))
+    key = F.shiftleft((F.col("k") + mark).cast("long"), 60).bitwiseOR(F.col("g"))
     return both.groupBy(key.alias("key")).agg(F.max("logp").alias("logp"), F.max("logbo").alias("logbo"))
 
 
@@ -220,25 +268,27 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def tag(k: int, x: np.ndarray) -> np.ndarray:
-    return x | np.int64(k << 60)
+    return x | np.uint64(k << 60).astype(np.int64)
 
 
-def wanted(top: np.ndarray) -> np.ndarray:
-    """Sorted keys of all n-grams and contexts that the distinct 5-grams ``top`` need."""
+def wanted(*tops: np.ndarray) -> np.ndarray:
+    """Sorted keys of all n-grams and contexts that the distinct 5-grams of each model need."""
     out = []
-    for k in range(ORDER, 0, -1):
-        low = np.unique(top & LOW[k])
-        out.append(tag(k, low))
-        if k > 1:
-            out.append(tag(k - 1, np.unique(low >> np.int64(BITS))))
+    for mark, top in zip((0, 8), tops):
+        for k in range(ORDER, 0, -1):
+            low = np.unique(top & LOW[k])
+            out.append(tag(k + mark, low))
+            if k > 1:
+                out.append(tag(k - 1 + mark, np.unique(low >> np.int64(BITS))))
     return np.unique(np.concatenate(out))
 
 
-def block_grams(docs: pa.Table) -> np.ndarray:
-    top = np.zeros(0, np.int64)
+def block_grams(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 5-grams of each model."""
+    tops = [np.zeros(0, np.int64)] * 2
     for b in chunks(docs):
-        top = np.union1d(top, np.unique(grams(b.column(2))[0]))
-    return top
+        tops = [np.union1d(top, find(b.column(2))[0]) for top, find in zip(tops, (grams, word_grams))]
+    return tops[0], tops[1]
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -255,7 +305,7 @@ def requests(blocks: DataFrame, shards: int) -> DataFrame:
     """``block, shard, n, keys``: each block's wanted keys, sorted, as differences."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = wanted(block_grams(t))
+        keys = wanted(*block_grams(t))
         shard = shard_of(keys, shards)
         rows = []
         for s in np.unique(shard).tolist():
@@ -300,13 +350,13 @@ def answers(asked: DataFrame, kn: DataFrame) -> DataFrame:
     return asked.groupBy("shard").cogroup(kn.groupBy("shard")).applyInArrow(run, "block long, shard long, n long, data binary")
 
 
-def gram_logs(top: np.ndarray, keys: np.ndarray, logp: np.ndarray, logbo: np.ndarray) -> np.ndarray:
+def gram_logs(top: np.ndarray, keys: np.ndarray, logp: np.ndarray, logbo: np.ndarray, classes: int, mark: int) -> np.ndarray:
     """Interpolated log-probability of each distinct 5-gram, from the longest seen n-gram down."""
     def at(k, x):
-        return np.searchsorted(keys, tag(k, x))
+        return np.searchsorted(keys, tag(k + mark, x))
 
     value = logp[at(1, top & LOW[1])].astype(np.float64)
-    value = np.where(np.isnan(value), -np.log(CLASSES * 16.0), value)
+    value = np.where(np.isnan(value), -np.log(classes * 16.0), value)
     for k in range(2, ORDER + 1):
         low = top & LOW[k]
         seen = logp[at(k, low)]
@@ -316,31 +366,32 @@ def gram_logs(top: np.ndarray, keys: np.ndarray, logp: np.ndarray, logbo: np.nda
 
 
 def scores(blocks: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
-    """``doc_id, lang, text_hash, n_symbols, log_prob`` of every document."""
+    """``doc_id, lang, text_hash, n_symbols, log_prob, n_words, order_log_prob`` of every document (both counts with the end mark)."""
+    schema = "doc_id long, lang string, text string, n_symbols long, log_prob double, n_words long, order_log_prob double"
+    empty = pa.schema([(n, pa.type_for_alias(t)) for n, t in (x.split() for x in schema.replace("long", "int64").split(", "))])
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
         out = []
         if docs.num_rows:
-            top = block_grams(docs)
-            keys = wanted(top)
+            tops = block_grams(docs)
+            keys = wanted(*tops)
             shard = shard_of(keys, shards)
             logp, logbo = np.full(len(keys), np.nan, np.float32), np.full(len(keys), np.nan, np.float32)
             for r in got.to_pylist():
                 own = shard == r["shard"]
                 logp[own], logbo[own] = unsqueeze(r["data"], 2 * r["n"], np.float32).reshape(2, -1)
-            value = gram_logs(top, keys, logp, logbo)
+            values = [gram_logs(top, keys, logp, logbo, classes, mark) for top, classes, mark in zip(tops, (CLASSES, WORD_CLASSES), (0, 8))]
             for b in chunks(docs):
-                g, first = grams(b.column(2))
-                place = pc.index_in(pa.array(g), value_set=pa.array(top)).to_numpy(zero_copy_only=False)
-                total = np.add.reduceat(value[place], first)
-                size = np.diff(np.concatenate([first, [len(g)]]))
-                out.append(pa.table({"doc_id": b.column(0), "lang": b.column(1), "text": b.column(2), "n_symbols": size.astype(np.int64), "log_prob": total}))
-        if not out:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_symbols": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
-        return pa.concat_tables(out)
+                columns = [b.column(0), b.column(1), b.column(2)]
+                for find, top, value in zip((grams, word_grams), tops, values):
+                    g, first = find(b.column(2))
+                    place = pc.index_in(pa.array(g), value_set=pa.array(top)).to_numpy(zero_copy_only=False)
+                    columns += [pa.array(np.diff(np.concatenate([first, [len(g)]])).astype(np.int64)), pa.array(np.add.reduceat(value[place], first))]
+                out.append(pa.table(columns, names=empty.names))
+        return pa.concat_tables(out) if out else empty.empty_table()
 
-    rows = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, "doc_id long, lang string, text string, n_symbols long, log_prob double")
-    return rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "n_symbols", "log_prob")
+    rows = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
+    return rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "n_symbols", "log_prob", "n_words", "order_log_prob")
 
 
 def release(spark: SparkSession) -> None:
@@ -352,13 +403,13 @@ def release(spark: SparkSession) -> None:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
-    """``doc_id, lang, text_hash, n_symbols, perplexity`` of every document; None without trusted text."""
+    """``doc_id, lang, text_hash, n_symbols, perplexity, n_words, order_perplexity`` of every document; None without trusted text."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(utf8_size("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     shards = SHARDS * max(1, -(-n_blocks // 2048))
     top = settle(trusted_counts(packed(docs, n_blocks), trusted, n_blocks))
-    kn = model(top)
+    kn = both_models(top)
     if kn is None:
         return None
     kn = settle(sharded(kn, shards))
@@ -366,11 +417,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     blocks = packed(docs, n_blocks)
     found = settle(scores(blocks, answers(requests(blocks, shards), kn), shards))
     release(spark)
-    return found.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_symbols")))
+    return found.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_symbols"))).withColumn("order_perplexity", F.exp(-F.col("order_log_prob") / F.col("n_words")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST) -> DataFrame:
-    """``doc_id, lang, text_hash, n_symbols, perplexity, threshold, keep`` for every document.
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
+    """``doc_id, lang, text_hash, n_symbols, perplexity, threshold, order_perplexity, order_threshold, keep`` for every document.
 
     ``labels`` has ``doc_id, quality``; a document is trusted when a label of its id has quality 1.
     """
@@ -378,17 +429,18 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     found = perplexities(docs, trusted)
     if found is None:
         empty = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))
-        return empty.select("*", F.lit(None).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"),
-                            F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
+        unknown = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold", "order_perplexity", "order_threshold")]
+        return empty.select("*", F.lit(None).cast("long").alias("n_symbols"), *unknown, F.lit(True).alias("keep"))
     held = found.join(trusted.where(is_held(F.col("doc_id"))), "doc_id", "left_semi")
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
-    by_lang = held.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("seen"))
-    overall = held.agg(cut).first()[0]
-    limit = F.when(F.col("seen") >= least, F.col("own")).otherwise(F.lit(overall).cast("double")) * margin
+    cuts = [F.percentile_approx(c, F.lit(quantile), F.lit(10000)).alias(f"{c}_cut") for c in ("perplexity", "order_perplexity")]
+    by_lang = held.groupBy("lang").agg(*cuts, F.count("*").alias("seen"))
+    overall = held.agg(*cuts).first()
     lang = by_lang.withColumnRenamed("lang", "held_lang")
-    judged = found.join(lang, F.col("lang").eqNullSafe(F.col("held_lang")), "left").withColumn("threshold", limit)
-    keep = F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))
-    return judged.select("doc_id", "lang", "text_hash", "n_symbols", "perplexity", "threshold", keep.alias("keep"))
+    judged, keep = found.join(lang, F.col("lang").eqNullSafe(F.col("held_lang")), "left"), F.lit(True)
+    for c, limit in (("perplexity", "threshold"), ("order_perplexity", "order_threshold")):
+        judged = judged.withColumn(limit, F.when(F.col("seen") >= least, F.col(f"{c}_cut")).otherwise(F.lit(overall[f"{c}_cut"]).cast("double")))
+        keep = keep & (F.col(limit).isNull() | (F.col(c) <= F.col(limit)))
+    return judged.select("doc_id", "lang", "text_hash", "n_symbols", "perplexity", "threshold", "order_perplexity", "order_threshold", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

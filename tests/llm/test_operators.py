@@ -234,6 +234,18 @@ def test_kneser_ney_against_plain_python(spark, docs, none):
     assert kn_quality.judge(none, labels).count() == 0
 
 
+def test_repeated_plain_words_are_low_quality(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(BASE, size=60))) for i in range(600)]
+    bad = [(600 + i, " ".join([*rows[i][1].split()[:5], *[w] * 40])) for i, w in enumerate(BASE)]
+    bad += [(700 + i, " ".join([f"{v} {w}"] * 20)) for i, (v, w) in enumerate(zip(BASE, BASE[1:]))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows + bad], "doc_id long, text string, lang string")
+    got = kn_quality.judge(df, spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int")).collect()
+    assert len(got) == len(rows) + len(bad) and not any(r.keep for r in got if r.doc_id >= 600)
+    assert sum(r.perplexity <= r.threshold for r in got if r.doc_id >= 600) > len(bad) / 2  # what characters alone let through
+    assert sum(r.keep for r in got if r.doc_id < 600) >= 0.95 * 600
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(4)
     rows, labels = [], []
