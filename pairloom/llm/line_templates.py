@@ -9,7 +9,9 @@ Lines are parsed by a tree of fixed depth: the number of tokens, then the leadin
   stay fixed the result is its template, else the line (with its digit fields) is.
 
 A template recurs when its lines stand in ``MIN_DOCS`` different surroundings or more. The surrounding of a line is the smallest hash
-among the other lines of its document, so copies of a document count once. Every line of a recurring template is
+among the other lines of its document that stand in fewer than ``MIN_DOCS`` different texts; without such a line it is the hash of the set of the
+document's lines. Blank lines take no part. So copies of a document count once, and lines that recur together don't hide each other. Near copies count
+each when ``MIN_DOCS`` or more of them share their lines and differ elsewhere. Every line of a recurring template is
 dropped but its first one (smallest id, then place).
 
 Blank lines and lines of fewer than ``MIN_TOKENS`` tokens are never dropped, and a document keeps its place even when no line is left
@@ -31,17 +33,16 @@ DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 3, 3, 0.6
 
 
 def line_rows(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """``id, text_hash, place, surrounding, leaf, line, masked``: the parsed lines; ``place`` counts from 0."""
+    """``id, text_hash, place, whole, leaf, line, masked``: the parsed lines; ``place`` counts from 0, ``whole`` is the hash of the document's set of lines."""
     t = F.col(text).cast("string")
     rows = docs.where(t.isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), F.transform(F.split(t, "\n"), masked_line).alias("lines"))
-    hashes = F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))))
-    rows = rows.withColumn("h", hashes).select("id", "text_hash", F.col("h")[0].alias("m1"), F.get("h", F.lit(1)).alias("m2"), F.posexplode("lines").alias("place", "masked"))
+    whole = F.xxhash64(F.sort_array(F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))))
+    rows = rows.select("id", "text_hash", whole.alias("whole"), F.posexplode("lines").alias("place", "masked"))
     rows = rows.withColumn("line", F.xxhash64("masked"))
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
     rows = rows.withColumn("tokens", tokens).where((F.col("masked") != "") & (F.col("tokens") >= min_tokens))
-    surrounding = F.coalesce(F.when(F.col("line") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0))
     leaf = F.xxhash64("tokens", F.substring_index("masked", " ", depth))
-    return rows.select("id", "text_hash", "place", surrounding.alias("surrounding"), leaf.alias("leaf"), "line", "masked")
+    return rows.select("id", "text_hash", "place", "whole", leaf.alias("leaf"), "line", "masked")
 
 
 def masked_line(x):
@@ -50,6 +51,16 @@ def masked_line(x):
     return F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(flat, r"\S*[0-9]\S*", "<*>")).otherwise(flat)
 
 
+def surroundings(lines: DataFrame, folder: str, min_docs: int) -> DataFrame:
+    """Distinct ``leaf, line, surrounding`` of the parsed ``lines``; documents of one set of lines are one."""
+    texts = lines.select("whole", "leaf", "line").distinct()
+    common = kept_table(texts.groupBy("line").count().where(F.col("count") >= min_docs).select("line"), folder, "common")
+    rare = texts.join(common, "line", "left_anti").groupBy("whole").agg(F.slice(F.sort_array(F.collect_set("line")), 1, 2).alias("m"))
+    first = F.get("m", F.lit(0))
+    other = F.when(F.col("line") == first, F.get("m", F.lit(1))).otherwise(first)
+    return texts.join(rare, "whole", "left").select("leaf", "line", F.coalesce(other, "whole").alias("surrounding")).distinct()
+
+
 def kept_table(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes a step in the shared folder and reads it again, so that later joins know its size."""
     df.write.parquet(f"{folder}/{name}")
@@ -77,7 +88,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     folder = shared_folder(docs.sparkSession, "lines")
     parsed = line_rows(docs, key, text, depth, min_tokens)
     lines = kept_table(parsed.drop("masked"), folder, "lines")
-    seen = kept_table(lines.groupBy("leaf", "line", "surrounding").agg(F.lit(1).alias("one")).drop("one"), folder, "seen")
+    seen = kept_table(surroundings(lines, folder, min_docs), folder, "seen")
     counted = seen.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("lines")).where(
         (F.col("total") >= min_docs) & (F.col("lines") > 1)).select("leaf")

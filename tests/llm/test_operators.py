@@ -188,6 +188,16 @@ def test_lines(spark, docs, none):
     assert line_templates.drop_templates(none).count() == 0
 
 
+def test_lines_that_recur_together_or_with_blank_lines(spark):
+    own = [f"{a} {b} {c} {d}" for a, b, c, d in zip(BASE, BASE[3:], BASE[7:], BASE[1:])][:10]
+    licence = [f"licence {w} granted to all who {w} it" for w in ("use", "copy", "change", "sell")]
+    for shared in ([licence[0], ""], licence, ["", *licence]):
+        rows = [(i, "\n".join([*shared, o])) for i, o in enumerate(own)]
+        left = {r.doc_id: r.text.split("\n") for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert left[0] == [*shared, own[0]]
+        assert all(left[i] == [x for x in shared if not x] + [o] for i, o in enumerate(own) if i)
+
+
 def test_kneser_ney_against_plain_python(spark, docs, none):
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(BASE, size=20)) for _ in range(30)]
