@@ -4,9 +4,11 @@ Lines are parsed by a tree of fixed depth: the number of tokens, then the leadin
 ``<*>``. In a leaf, a token that few lines carry at its place is a variable field:
 
 * the leaf's main template has at each place the most frequent token, if enough lines carry it; a line belongs to it when it
-  carries these tokens at ``SIMILAR`` of all places or more;
-* any other line is generalised by itself: its rare tokens become fields, and if at least ``SIMILAR`` of its places
-  stay fixed the result is its template, else the line (with its digit fields) is.
+  carries these tokens at ``SIMILAR`` of the places after the leading tokens or more, one of them without a digit;
+* any other line is generalised by itself: its rare tokens become fields, and if at least ``SIMILAR`` of the places after the leading
+  tokens stay fixed, one of them without a digit, the result is its template, else the line (with its digit fields) is.
+
+The leading tokens alone, which all lines of a leaf share, make no template. A line whose tokens all have digits is itself and has no fields.
 
 A template recurs when its lines stand in ``MIN_DOCS`` different surroundings or more. The surrounding of a line is the smallest hash
 among the other lines of its document that stand in fewer than ``MIN_DOCS`` different texts; without such a line it is the hash of the set of the
@@ -48,7 +50,8 @@ def line_rows(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int)
 def masked_line(x):
     """A trimmed line with tabs as blanks and ``<*>`` for each token that has a digit."""
     flat = F.trim(F.when(F.contains(x, F.lit("\t")) | F.contains(x, F.lit("\r")), F.regexp_replace(x, "[\t\r]", " ")).otherwise(x))
-    return F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(flat, r"\S*[0-9]\S*", "<*>")).otherwise(flat)
+    masked = F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(flat, r"\S*[0-9]\S*", "<*>")).otherwise(flat)
+    return F.when(F.rlike(masked, F.lit(r"^(<\*> *)+$")), flat).otherwise(masked)
 
 
 def surroundings(lines: DataFrame, folder: str, min_docs: int) -> DataFrame:
@@ -67,19 +70,22 @@ def kept_table(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def templates(found: DataFrame, min_docs: int, similar: float) -> DataFrame:
+def templates(found: DataFrame, min_docs: int, similar: float, depth: int) -> DataFrame:
     """``line, template`` by the tokens' support in each (leaf, place). ``found``: ``leaf, line, masked, n``."""
     tokens = found.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support"))
     main = support.groupBy("leaf", "at").agg(F.max(F.struct("support", "token")).alias("top")).where(F.col("top.support") >= min_docs).select(
         "leaf", "at", F.col("top.token").alias("main"))
     marked = tokens.join(support, ["leaf", "at", "token"]).join(main, ["leaf", "at"], "left")
-    frequent = F.col("support") >= min_docs
+    frequent, after = F.col("support") >= min_docs, F.col("at") >= depth
+    word = after & ~F.rlike("token", F.lit(r"[0-9]|^<\*>$"))
+    same = F.coalesce(F.col("token") == F.col("main"), F.lit(False))
     rows = marked.groupBy("leaf", "line").agg(
-        F.count("*").alias("size"), F.count_if(F.col("token") == F.col("main")).alias("same"), F.count_if(frequent).alias("fixed"),
+        F.count_if(after).alias("size"), F.count_if(same & after).alias("same"), F.count_if(same & word).alias("same_words"),
+        F.count_if(frequent & after).alias("fixed"), F.count_if(frequent & word).alias("fixed_words"),
         F.sort_array(F.collect_list(F.struct("at", F.when(frequent, F.col("token")).otherwise("<*>").alias("token")))).alias("fields"))
-    own = F.when(F.col("fixed") >= similar * F.col("size"), F.xxhash64("leaf", F.col("fields.token"))).otherwise(F.col("line"))
-    return rows.select("line", F.when(F.col("same") >= similar * F.col("size"), F.xxhash64("leaf", F.lit("main"))).otherwise(own).alias("template"))
+    own = F.when((F.col("fixed") >= similar * F.col("size")) & (F.col("fixed_words") > 0), F.xxhash64("leaf", F.col("fields.token"))).otherwise(F.col("line"))
+    return rows.select("line", F.when((F.col("same") >= similar * F.col("size")) & (F.col("same_words") > 0), F.xxhash64("leaf", F.lit("main"))).otherwise(own).alias("template"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
@@ -95,7 +101,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     leaves = kept_table(leaves, folder, "leaves")
     texts = parsed.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     found = kept_table(texts.join(counted, ["leaf", "line"]), folder, "found")
-    names = kept_table(templates(found, min_docs, similar), folder, "templates")
+    names = kept_table(templates(found, min_docs, similar, depth), folder, "templates")
     named = seen.join(names, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template", "surrounding").agg(F.lit(1).alias("one")).groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     bad = named.join(recurring, "template", "left_semi").select("line", "template").distinct()

@@ -198,6 +198,12 @@ def test_lines_that_recur_together_or_with_blank_lines(spark):
         assert all(left[i] == [x for x in shared if not x] + [o] for i, o in enumerate(own) if i)
 
 
+def test_leading_tokens_alone_are_no_template(spark):
+    rows = [(i, f"Was erlytion that. {a}\nWas erlytion that. {a} {b}\n{i} {i + 1} {i + 2}\nthe server at port {i} {a} was started") for i, (a, b) in enumerate(zip(BASE[:10], BASE[4:]))]
+    got = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 10 and all(r["__dropped"] == ([3] if r.doc_id else []) for r in got)
+
+
 def test_kneser_ney_against_plain_python(spark, docs, none):
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(BASE, size=20)) for _ in range(30)]
