@@ -204,7 +204,8 @@ def read_token_files(spark: SparkSession, folder: str, key: str = "doc_id") -> D
                         names=["key", "start", "n_tokens", "tokens"])
 
     parts = read_manifest(spark, folder)
-    spread = parts.repartition(F.col("part"))  # a part is the unit of work; the window above left them in one partition
+    count = max(1, spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").count())
+    spread = parts.repartitionByRange(count, "part")  # a part is a task: the window left all in one, and adaptive execution keeps a given number
     return spread.mapInArrow(run, "key long, start long, n_tokens long, tokens binary").withColumnRenamed("key", key)
 
 

@@ -73,6 +73,24 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_token_files(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_token_files_are_read_by_many_tasks(spark, tmp_path):
+    folder, n = f"file://{tmp_path}/a", 12
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        token_files.write_token_files(rows, folder, bpe.read_spec("word_bpe_49k.json"), 2)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        parts = token_files.read_manifest(spark, folder).count()
+        got = token_files.read_token_files(spark, folder).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    assert sorted(r.doc_id for r in got) == list(range(600)) and parts >= n - 2
+    assert len({r.task for r in got}) == parts
+
+
 def test_shards_move_only_to_the_new_one(spark, docs, none):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     tree = shards.even_tree(16)
