@@ -4,7 +4,7 @@ Every row of the table goes to one shard of bounded size, every query to one blo
 (shard, block) pair and returns its best rows, and the lists of a query are merged. No group, broadcast or driver list grows
 with the table: a shard's rows are copied once per query block and a query once per shard.
 
-A vector takes part when it is not null, has the table's dimension (its longest vector), at least one component and only finite
+A vector takes part when it is not null, has the table's dimension (the most frequent one, of equals the larger), at least one component and only finite
 components. Rows with equal ids are candidates each; as queries they count once, with the smallest of their vectors. A table
 without such vectors gives no rows.
 """
@@ -33,8 +33,8 @@ def usable_vectors(df: DataFrame, key: str, vector: str, nonzero: bool) -> DataF
 
 
 def dimension(rows: DataFrame) -> tuple[int, int]:
-    """The largest dimension and the number of rows that have it: one small aggregate."""
-    by = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("d")).limit(1).collect()
+    """The most frequent dimension (of equals the larger) and the number of rows that have it: one small aggregate."""
+    by = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     return (by[0][0], by[0][1]) if by else (0, 0)
 
 

@@ -162,6 +162,13 @@ def test_searches(spark):
     assert ann.nearest(empty, F.col("id") % 20 == 0, 20).count() == 0 and ball_tree.exact_top(empty, F.col("id") % 50 == 0, 5).count() == 0
 
 
+def test_one_longer_vector_does_not_empty_the_searches(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)] + [(100, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for found in (ann.nearest(df, F.col("id") % 20 == 0, 5), ball_tree.exact_top(df, F.col("id") % 20 == 0, 5)):
+        assert {r.query_id for r in found.collect()} == {0, 20}
+
+
 def shingle_set(text):
     w = (text or "").split()
     w = [x.lower() for x in w]
