@@ -7,6 +7,7 @@ from .ball_tree import OP7_SQL, op7_ball_tree
 from .bpe import op2_bpe
 from .kn_quality import op10_kn_quality
 from .line_templates import op9_line_templates
+from .merkle import OP12_SQL, op12_merkle
 from .near_join import op4_near_join
 from .packing import op5_packing
 from .shards import op3_sharding
@@ -14,5 +15,5 @@ from .token_files import op8_token_files
 from .toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_ann, op2_bpe, op3_sharding, op4_near_join, op5_packing, op6_toxicity, op7_ball_tree, op8_token_files, op9_line_templates, op10_kn_quality)}
-ORACLES = {"op7_ball_tree": OP7_SQL}
+    op1_ann, op2_bpe, op3_sharding, op4_near_join, op5_packing, op6_toxicity, op7_ball_tree, op8_token_files, op9_line_templates, op10_kn_quality, op12_merkle)}
+ORACLES = {"op7_ball_tree": OP7_SQL, "op12_merkle": OP12_SQL}
