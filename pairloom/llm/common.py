@@ -62,14 +62,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and stop of every word (run of bytes above the space) and, for each text, the number of words before it."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, letter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of every word (run of bytes above the space, or where ``letter`` is true) and, for each text, the number of words before it."""
+    letter = raw > 32 if letter is None else letter
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = raw > 32
+    inside[1:-1] = letter
     edge = np.diff(inside)
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < len(raw))]
-    both = cut[(raw[cut - 1] > 32) & (raw[cut] > 32)] if len(cut) else cut
+    both = cut[letter[cut - 1] & letter[cut]] if len(cut) else cut
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(both):  # a text ends and the next begins without white space between them
         both = np.unique(both)
@@ -85,13 +86,20 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit tabulation hash of each word: the sum of a table entry per (place, byte)."""
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, letter: np.ndarray | None = None) -> np.ndarray:
+    """64-bit tabulation hash of each word (spans of ``word_spans`` with the same ``letter``): the sum of a table entry per (place, byte)."""
     if not len(start):
         return np.zeros(0, np.uint64)
     size = stop - start
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    byte = raw[raw > 32]
+    byte = raw[raw > 32 if letter is None else letter]
     part = LETTERS[place & 63, byte] * (place >> 6 << 1 | 1).astype(np.uint64)
     return mix64(np.add.reduceat(part, first) + size.astype(np.uint64))
+
+
+def byte_words(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (run of bytes that are no ``breaks``, 256 marks) and, for each text, the number of words before it."""
+    letter = ~breaks[raw]
+    start, stop, first = word_spans(raw, offsets, letter)
+    return word_hashes(raw, start, stop, letter), first
