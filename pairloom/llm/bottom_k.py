@@ -8,13 +8,13 @@
    missing, have lists of their own). A run is far rarer than a single value, so lists stay short where a common shingle stands in a third of all texts.
 3. Each list proposes its members a leader: the member whose values stand in most sketches (of a family of edited copies that is the text they stem from).
    The proposals, one per member and list, are verified exactly, and linked nodes become one component.
-4. Lists whose members are in several components after that are looked at again: members of different components whose set sizes allow it are compared by the estimate
-   from the union of both sketches (the share of its ``K`` smallest values that both hold), in memory, by blocks; pairs whose estimate is not below
-   ``LOWEST`` of ``K`` are verified exactly. The chance that a pair at 0.8 has a lower estimate is below 1e-6. These links close the components.
+4. Members of a list that are in several components after that meet again: all lists of one leader together, each member once. Members of different components whose
+   set sizes allow it are compared by the estimate from the union of both sketches (the share of its ``K`` smallest values that both hold), and where that is not below
+   ``LOWEST`` of ``K``, exactly by their whole sets. The chance that a pair at 0.8 has a lower estimate is below 1e-6. A spanning forest of these links closes the components.
 
-No list is gathered in one task: leaders come from aggregates, members of one size band of a list meet in blocks of bounded size, and a pair leaves a
-task only if the estimate allows it and its nodes are not yet connected. Exact verification ships each set once for each of its pairs, a leader's set once for each
-block of its followers. Nothing is capped or dropped.
+No list is gathered in one task: leaders come from aggregates, and a leader's many members are split by bands of their set size and into blocks of bounded size and bytes; pairs of
+blocks are the units of work, those inside the members' largest component excepted. No pair of such a unit is emitted as a row, only links that join components. Exact verification
+ships a set once for each of its proposals, a leader's set once for each block of its followers. Nothing is capped or dropped.
 
 A null or empty text, or one without words, has no shingle, is linked with nothing and is its own component. Rows with a null id are nodes like others; a component whose
 rows all lack ids is null, and rows without an id are never kept. Rows with equal ids are documents of their own (kept each). Extra columns are ignored. An
@@ -33,7 +33,7 @@ from .line_templates import kept_table
 
 WORDS, SHARE = 2, (80, 100)
 K, RUN, LOWEST = 48, 3, 24
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 CHUNK_BYTES = 1 << 20
 BREAKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -195,6 +195,12 @@ def sorted_groups(batches, names: list[str]):
         yield pa.Table.from_batches(waiting).select(names)
 
 
+def exact_share(a: np.ndarray, b: np.ndarray) -> bool:
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``hub, node`` whose whole sets are similar enough. A hub's set goes once to each block of at most about ``BLOCK`` of its pairs."""
     size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -203,7 +209,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     group = F.xxhash64("hub", "block").alias("g")
     centre = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select(group, F.lit(0).alias("kind"), "hub", F.col("hub").alias("node"), "members")
     others = dealt.join(sets, "node").select(group, F.lit(1).alias("kind"), "hub", "node", "members")
-    part, whole = SHARE
 
     def run(batches):
         for t in sorted_groups(batches, ["kind", "hub", "node", "members"]):
@@ -212,13 +217,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 own = np.frombuffer(m, dtype="<u8")
                 if kind == 0:
                     hub[h] = own  # two hubs can share a group when their hashes do
-                else:
-                    base = hub[h]
-                    at = np.searchsorted(base, own)
-                    both = int((base[np.minimum(at, len(base) - 1)] == own).sum()) if len(base) else 0
-                    if whole * both >= part * (len(base) + len(own) - both):
-                        a.append(h)
-                        b.append(n)
+                elif exact_share(hub[h], own):
+                    a.append(h)
+                    b.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return centre.unionByName(others).repartition("g").sortWithinPartitions("g", "kind").mapInArrow(run, "a binary, b binary")
@@ -226,71 +227,91 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 # ---------- candidates ----------
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
-    """``hub, node``: each member of a list with the list's leader. ``lists``: ``list, node, weight``."""
+def leaders(lists: DataFrame) -> DataFrame:
+    """``list, hub, node``: each member of a list but its leader. ``lists``: ``list, node, weight``."""
     leader = lists.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("top")).select("list", F.col("top.node").alias("hub"))
-    return lists.join(leader, "list").where(F.col("hub") != F.col("node")).select("hub", "node").distinct()
-
-
-def estimates(sketch: list[np.ndarray], one: int, others: np.ndarray, table_: np.ndarray) -> np.ndarray:
-    """For node ``one`` and each of ``others``: how many of the smallest ``K`` values of their union both hold, scaled to ``K``."""
-    own = sketch[one]
-    rows = table_[others]
-    common = np.isin(rows, own)
-    # rank of each value of a row in the union of the two sketches: values below it in the row, plus own values below it that the row lacks
-    below_row = np.arange(rows.shape[1])[None, :]
-    below_own = np.searchsorted(own, rows)
-    shared_before = np.cumsum(common, axis=1) - common
-    rank = below_row + below_own - shared_before
-    union = (rows != FILL).sum(axis=1) + len(own) - (common & (rows != FILL)).sum(axis=1)
+    return lists.join(leader, "list").where(F.col("hub") != F.col("node")).select("list", "hub", "node")
+
+
+def estimates(own: np.ndarray, others: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """For a sketch and each of ``others`` (rows of ``matrix``): how many of the smallest ``K`` values of their union both hold, scaled to ``K``."""
+    rows = matrix[others]
+    place = np.searchsorted(own, rows)
+    common = own[np.minimum(place, len(own) - 1)] == rows
+    # a value's rank in the union: the values before it in its row, and those of ``own`` that the row lacks
+    rank = np.arange(K)[None, :] + place - (np.cumsum(common, axis=1) - common)
+    union = (rows != FILL).sum(axis=1) + len(own) - common.sum(axis=1)
     limit = np.minimum(union, K)
-    both = (common & (rows != FILL) & (rank < limit[:, None])).sum(axis=1)
-    return both * K / np.maximum(limit, 1)
+    return (common & (rank < limit[:, None])).sum(axis=1) * K / limit
 
 
 FILL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def estimated_pairs(rest: DataFrame) -> DataFrame:
-    """``hub, node``: pairs of different components that meet in a list and may be similar by size and estimate.
+def units_of(rest: DataFrame) -> DataFrame:
+    """``g, cross, side, node, component, members``: the units of work. ``rest``: ``hub, node, component, size, members``.
 
-    ``rest``: ``list, node, component, size, sketch``. Sizes whose ratio is 0.8 or more lie in one band or in neighbouring bands, so a member goes to its own band and to the
-    next one; a band with many members is cut into blocks, and the pairs of blocks are the units of work.
+    A leader's few members are one unit. Many are dealt to bands first: sizes whose ratio is 0.8 or more lie in one band or in neighbouring ones, so a member goes
+    to its own band and, as ``upper``, to the next one. In a band the largest component (the major members) is compared with the others (minor), block by block,
+    and these with each other; what is inside the major one needs no comparison.
     """
+    heavy = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    many = rest.groupBy("hub").agg(heavy.alias("blocks"))
     band = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(SHARE[0] / SHARE[1])) + 1e-9)
-    rows = rest.withColumn("band", band).withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("meet", F.col("band") + F.col("upper"))
-    count = rows.groupBy("list", "meet").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("upper").alias("own"))
-    # a band without members of its own is compared where it is the own one
-    count = count.where((F.col("low") != F.col("high")) & (F.col("own") == 0)).select("list", "meet", "blocks")
-    rows = rows.join(count, ["list", "meet"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    units = rows.select(F.xxhash64("list", "meet", low, high).alias("g"), (low != high).alias("cross"), (F.col("own") != low).cast("int").alias("side"), "upper", "node", "component", "size", "sketch")
+    rows = rest.join(many, "hub").withColumn("upper", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    rows = rows.withColumn("meet", F.when(F.col("blocks") > 1, band + F.col("upper")).otherwise(F.lit(-1).cast("long"))).drop("blocks")
+    sizes = rows.groupBy("hub", "meet", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("upper").alias("low"))
+    top = sizes.groupBy("hub", "meet").agg(F.max(F.struct("n", "bytes", "component")).alias("major"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("low").alias("low"))
+    part = F.greatest(F.ceil((F.col("n") - F.col("major.n")) / BLOCK), F.ceil((F.col("bytes") - F.col("major.bytes")) / BLOCK_SHINGLES))
+    whole = F.greatest(F.ceil(F.col("major.n") / BLOCK), F.ceil(F.col("major.bytes") / BLOCK_SHINGLES))
+    # without minor members all are one component; without members of its own the band is compared below
+    top = top.where((F.col("n") > F.col("major.n")) & (F.col("low") == 0)).select("hub", "meet", F.col("major.component").alias("major"), part.alias("minors"), whole.alias("majors"))
+    rows = rows.join(top, ["hub", "meet"])
+    is_major = F.col("component") == F.col("major")
+    own = F.pmod(F.xxhash64("node"), F.when(is_major, F.col("majors")).otherwise(F.col("minors")))
+
+    def unit(kind: int, first, second, side):
+        return F.struct(F.lit(kind).alias("kind"), first.cast("long").alias("first"), second.cast("long").alias("second"), F.lit(side).alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+
+    minors, majors = (F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("minors", "majors"))
+    among = F.transform(minors, lambda x: unit(0, F.least(own, x), F.greatest(own, x), own > x))
+    against = F.transform(majors, lambda x: unit(1, own, x, 0))
+    units = rows.withColumn("u", F.explode(F.when(is_major, F.transform(minors, lambda x: unit(1, x, own, 1))).otherwise(F.concat(among, against))))
+    cross = (F.col("u.kind") == 1) | (F.col("u.first") != F.col("u.second"))
+    return units.select(F.xxhash64("hub", "meet", "u.kind", "u.first", "u.second").alias("g"), cross.alias("cross"), F.col("u.side").alias("side"), "upper", "node", "component", "members")
+
+
+def joining_links(units: DataFrame) -> DataFrame:
+    """``a, b``: links that join components, a spanning forest of each unit."""
     part, whole = SHARE
 
     def run(batches):
-        for t in sorted_groups(batches, ["cross", "side", "upper", "node", "component", "size", "sketch"]):
-            cross, names, sets = t.column(0)[0].as_py(), t.column(3).to_pylist(), [np.frombuffer(x, dtype="<u8") for x in t.column(6).to_pylist()]
-            side, upper, size = (t.column(i).to_numpy() for i in (1, 2, 5))
-            component = np.unique(np.array(t.column(4).to_pylist(), dtype=object), return_inverse=True)[1]
-            table_ = np.full((len(sets), K), FILL, dtype=np.uint64)
-            for i, s in enumerate(sets):
-                table_[i, :len(s)] = s
+        for t in sorted_groups(batches, ["cross", "side", "upper", "node", "component", "members"]):
+            cross, names, sets = t.column(0)[0].as_py(), t.column(3).to_pylist(), [np.frombuffer(x, dtype="<u8") for x in t.column(5).to_pylist()]
+            side, upper = (t.column(i).to_numpy() for i in (1, 2))
+            size = np.array([len(x) for x in sets])
+            component = np.unique(np.array([x.hex() for x in t.column(4).to_pylist()]), return_inverse=True)[1]
+            sketch = [x[:K] for x in sets]
+            matrix = np.full((len(sets), K), FILL, dtype=np.uint64)
+            for i, x in enumerate(sketch):
+                matrix[i, :len(x)] = x
             a, b = [], []
-            for i in range(len(sets)):
-                ok = (component[i + 1:] != component[i]) & ~((upper[i + 1:] == 1) & (upper[i] == 1))
-                ok &= (whole * size[i + 1:] >= part * size[i]) & (whole * size[i] >= part * size[i + 1:])
+            for i in np.flatnonzero(side == 0).tolist() if cross else range(len(sets)):
+                ok = (component != component[i]) & ~((upper == 1) & (upper[i] == 1)) & (whole * size >= part * size[i]) & (whole * size[i] >= part * size)
                 if cross:
-                    ok &= side[i + 1:] != side[i]
-                at = np.flatnonzero(ok) + i + 1
+                    ok &= side == 1
+                else:
+                    ok[:i] = False
+                at = np.flatnonzero(ok)
                 if len(at):
-                    at = at[estimates(sets, i, at, table_) >= LOWEST]
-                    a += [names[i]] * len(at)
-                    b += [names[j] for j in at.tolist()]
+                    for j in at[estimates(sketch[i], at, matrix) >= LOWEST].tolist():
+                        if component[j] != component[i] and exact_share(sets[i], sets[j]):
+                            component[component == component[j]] = component[i]
+                            a.append(names[i])
+                            b.append(names[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    found = units.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")).distinct()
+    return units.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary")
 
 
 # ---------- documents ----------
@@ -309,14 +330,15 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lists = met.drop("count").join(weight, "node")
     candidates = kept_table(weight.join(nodes.select("node", "one.id", "one.text_hash"), "node").select("node", "id", "text_hash"), folder, "candidates")
     sets = kept_table(set_tables(candidates, docs, key, text), folder, "sets")
-    first = kept_table(verified(kept_table(leader_pairs(lists), folder, "leaders"), sets), folder, "links-1")
+    led = kept_table(leaders(lists), folder, "led")
+    first = kept_table(verified(led.select("hub", "node").distinct(), sets), folder, "links-1")
     start = connected(first, folder, "first")
-    # lists whose members are not one component yet
-    now = met.drop("count").join(start, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = kept_table(now, folder, "now")
+    # lists whose members (without the leader, which has met all of them) are not one component yet
+    now = kept_table(led.join(start, "node", "left").withColumn("component", F.coalesce("component", "node")), folder, "now")
     split = now.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
-    rest = kept_table(now.join(split, "list", "left_semi"), folder, "rest").join(nodes.select("node", "size", "sketch"), "node")
-    second = kept_table(verified(kept_table(estimated_pairs(rest), folder, "estimated"), sets), folder, "links-2")
+    rest = now.join(split, "list", "left_semi").select("hub", "node", "component").distinct()
+    units = units_of(kept_table(rest.join(sets.join(nodes.select("node", "size"), "node"), "node"), folder, "rest"))
+    second = kept_table(joining_links(units), folder, "links-2")
     whole = connected(first.unionByName(second), folder, "whole")
     least = whole.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = kept_table(whole.join(least, "component").select("node", "component_id"), folder, "named")
