@@ -34,7 +34,7 @@ from .line_templates import kept_table
 DEPTH, LEAST, TOP, COVER = 4, 30, 2000, (80, 100)
 BUDGET = 2_000_000
 CELLS, MOST_EXTENDED = 1 << 16, 1 << 16
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 SLICE_ROWS = 100_000
 ENDS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E)))
 BREAKS = ENDS | np.isin(np.arange(256), [0x20, 0x09])
@@ -233,20 +233,29 @@ def leaves(texts: DataFrame, extended: list[np.ndarray], edges: np.ndarray) -> D
     """``part, words, suffixes, dictionary, places, counts``: for each task's part of the texts and each group the distinct suffixes with their counts.
 
     ``dictionary`` holds the group's distinct words, ``places`` the suffixes as places in it, sorted."""
+    def send(held):
+        suffix, n = distinct(np.concatenate([x for x, _ in held], axis=1), np.concatenate([x for _, x in held])) if len(held) > 1 else held[0]
+        group = np.searchsorted(edges, cell_of(extend(suffix, extended)[0]), side="right") - 1
+        order = np.argsort(group, kind="stable")
+        names, first = np.unique(group[order], return_index=True)
+        rows = []
+        for g, x, y in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            own = order[x:y]
+            known, at = np.unique(suffix[:, own], return_inverse=True)
+            rows.append((g, len(known), y - x, squeeze(known), squeeze(at.reshape(-1).astype("<u4")), squeeze(n[own].astype("<u4"))))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "words", "suffixes", "dictionary", "places", "counts"])
+
     def run(batches):
+        held, size = [], 0
         for w, _ in batches_of_words(batches):
-            suffix, n = distinct(w.suffixes(DEPTH), np.ones(len(w.code), np.int64))
-            prefix, _ = extend(suffix, extended)
-            group = np.searchsorted(edges, cell_of(prefix), side="right") - 1
-            order = np.argsort(group, kind="stable")
-            names, first = np.unique(group[order], return_index=True)
-            rows = []
-            for g, x, y in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-                own = order[x:y]
-                known, at = np.unique(suffix[:, own], return_inverse=True)
-                rows.append((g, len(known), y - x, squeeze(known), squeeze(at.reshape(-1).astype("<u4")), squeeze(n[own].astype("<u4"))))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "words", "suffixes", "dictionary", "places", "counts"])
+            held.append(distinct(w.suffixes(DEPTH), np.ones(len(w.code), np.int64)))
+            size += held[-1][0].shape[1]
+            if size > BUDGET:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
 
     return texts.mapInArrow(run, "part long, words long, suffixes long, dictionary binary, places binary, counts binary")
 
