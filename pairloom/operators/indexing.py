@@ -5,9 +5,10 @@
 of all rows) is spread over many window tasks; slice offsets come from a table of slice counts
 (at most one row per non-empty slice).
 
-``range_row_index``: global position under any total order. Literal boundary keys from a bounded
-sample cut the order into contiguous slices, rows are numbered inside each slice, and a per-slice
-offset table (one row per slice, so its size is bounded by the slice count) is broadcast back.
+``range_row_index``: position under any order, by Spark's range partitioning, a written result with row
+numbers, and offsets by partition.
+
+``select_first``: the first n rows of each group by hash, by radix selection.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._util import as_cols
+from ..functions.hashing import HASH_BITS
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 DEFAULT_ROWS_PER_SLICE = 2_000_000
 
@@ -75,83 +78,84 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, same, how).drop(*names.values())
 
 
-def _order_key(order: Sequence[tuple[str, bool]]) -> Column:
-    """Struct whose natural ascending order equals ``order`` (descending numerics are negated)."""
-    fields = []
-    for i, (name, asc) in enumerate(order):
-        c = F.col(name)
-        fields.append((c if asc else -c).alias(f"k{i}"))
-    return F.struct(*fields)
-
-
-def _nulls_first(key: tuple) -> list:
-    """Sort key that puts NULL first, as Spark orders struct fields."""
-    return [(v is not None, v) for v in key]
+def range_row_index(
+    df: DataFrame,
+    order: Sequence[tuple[str, bool]],
+    out: str = "idx",
+    group: Sequence[str] = (),
+) -> DataFrame:
+    """0-based position ``out`` under ``order`` = [(column, ascending), ...], NULL first; end with a unique key.
 
+    With ``group``, positions restart at 0 in every group (NULL is a group). The input is written once; Spark's
+    range partitioning deals it by (group, order), so a hot group spans many partitions, and each partition
+    is sorted and written with its row numbers. A position is the row number plus the counts of the group's earlier
+    partitions: one row per (partition, group) pair that occurs. The numbers are read from the written result, so a
+    task that runs again finds the rows where they were. Rows alike in all of ``order`` keep one arbitrary order.
+    """
+    group = list(group)
+    keys = [F.col(g).asc_nulls_first() for g in group]
+    keys += [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_first() for c, asc in order]
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.checkpoint(eager=True).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranked = dealt.withColumn("__rrirow", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright("__rrirow", 33)
+    runs = ranked.groupBy(part.alias("__rripart"), *group).agg(F.min("__rrirow").alias("__rrifirst"), F.count(F.lit(1)).alias("__rrin"))
+    before = Window.partitionBy(*group).orderBy("__rripart").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("__rrin").over(before), F.lit(0)) - F.col("__rrifirst")).alias("__rrishift")
+    joined = null_safe_join(ranked.withColumn("__rripart", part), runs.select("__rripart", *group, shift), ["__rripart", *group])
+    return joined.withColumn(out, F.col("__rrirow") + F.col("__rrishift")).drop("__rrirow", "__rripart", "__rrishift")
 
-def _bucket_expr(key: Column, bounds: list[tuple], types: Sequence[str]) -> Column:
-    """Balanced binary search over literal boundaries: number of bounds strictly below ``key``."""
 
-    def lit_struct(b: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(types[i]).alias(f"k{i}") for i, v in enumerate(b)])
+MAX_BROADCAST_GROUPS = 100_000
 
-    def go(lo: int, hi: int) -> Column:  # answer in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2  # bounds[mid] separates bucket <= mid from > mid
-        return F.when(key > lit_struct(bounds[mid]), go(mid + 1, hi)).otherwise(go(lo, mid))
 
-    return go(0, len(bounds))
+def _with_cells(d: DataFrame, cells: DataFrame, group: list[str], groups: int) -> DataFrame:
+    """``d`` with the columns of its group's row in ``cells`` (NULL where there is none)."""
+    if group:
+        return null_safe_join(d, F.broadcast(cells) if groups <= MAX_BROADCAST_GROUPS else cells, group, "left")
+    row = cells.first() or {}
+    return d.withColumns({c: F.lit(row[c] if row else None).cast("long") for c in cells.columns})
 
 
-def range_row_index(
-    df: DataFrame,
-    order: Sequence[tuple[str, bool]],
-    out: str = "idx",
-    rows_per_slice: int = DEFAULT_ROWS_PER_SLICE,
-    min_slices: int | None = None,
-    seed: int = 17,
-    group: Sequence[str] = (),
-) -> DataFrame:
-    """0-based position under ``order`` = [(column, ascending), ...] (end with a unique key).
+def mark_first(df: DataFrame, limits: DataFrame, order_hash: Column, ties: Sequence[str | Column], group: Sequence[str] = (),
+               limit: str = "n", out: str = "first", edge_rows: int = 100_000) -> DataFrame:
+    """``out``: whether a row is among the first ``limits[limit]`` of its group by (``order_hash`` in ``[0, 2**32)``, ``ties``).
 
-    With ``group``, positions restart at 0 in every group. Slice boundaries are literal keys of
-    (group, order) taken from a bounded sample (≈64 keys per slice), so a hot group spans many slices,
-    the slicing is a pure function of each row, and a recomputed task lands every row in the same
-    slice. Offsets come from the table of (slice, group) counts: one row per non-empty pair, at most
-    slices + groups rows.
+    A radix selection finds the hash where each group's limit lies: rows are counted by the next hash bits of the cell that
+    holds it, level by level, until no such cell holds more than ``edge_rows`` rows. Rows outside the cell need a plain comparison,
+    only rows of the cell are ranked. So no group is sorted or gathered, whatever its size or limit. ``limits`` has one row
+    per group (NULL is a group; without ``group``, one row); groups without a row, or with a limit of 0 or less, have no first rows.
     """
     group = list(group)
-    spark = df.sparkSession
-    full_order = [(g, True) for g in group] + list(order)
-    d = df.withColumn("__rrikey", _order_key(full_order))
-    total = d.count()
-    slices = max(min_slices or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_slice))
-    if total <= rows_per_slice and min_slices is None:
-        slices = 1
-    bounds: list[tuple] = []
-    if slices > 1 and total > 0:
-        want = 64 * slices
-        frac = min(1.0, want / total)
-        sample = [tuple(r["__rrikey"]) for r in d.select("__rrikey").sample(False, frac, seed).limit(4 * want).collect()]
-        sample.sort(key=_nulls_first)
-        if sample:
-            step = len(sample) / slices
-            cand = [sample[min(len(sample) - 1, int(step * i))] for i in range(1, slices)]
-            bounds = sorted(set(cand), key=_nulls_first)
-    types = [f.dataType.simpleString() for f in d.schema["__rrikey"].dataType.fields]
-    d = d.withColumn("__rrislice", _bucket_expr(F.col("__rrikey"), bounds, types) if bounds else F.lit(0))
-    w = Window.partitionBy("__rrislice", *group).orderBy("__rrikey")
-    local = d.withColumn("__rrirn", F.row_number().over(w) - 1)
-    if not bounds:
-        return local.withColumn(out, F.col("__rrirn").cast("bigint")).drop("__rrikey", "__rrislice", "__rrirn")
-    counts = d.groupBy("__rrislice", *group).agg(F.count(F.lit(1)).alias("__rrin"))
-    before = Window.partitionBy(*group).orderBy("__rrislice").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("__rrislice", *group, F.coalesce(F.sum("__rrin").over(before), F.lit(0)).alias("__rrioff"))
-    # without groups the offset table has one row per slice: bounded by the slice count
-    offs = F.broadcast(offs) if not group else offs
-    return (
-        null_safe_join(local, offs, ["__rrislice", *group])
-        .withColumn(out, (F.col("__rrirn") + F.col("__rrioff")).cast("bigint"))
-        .drop("__rrikey", "__rrislice", "__rrirn", "__rrioff")
-    )
+    d = df.withColumn("__mfh", order_hash)
+    cells = limits.where(F.col(limit) > 0).select(*group, F.lit(0).cast("long").alias("__mflow"), F.col(limit).cast("long").alias("__mfneed"))
+    cells, bits = cut_lineage(cells), HASH_BITS
+    groups = cells.count() if group else 1
+    for step in (12, 12, 8):
+        low = bits - step
+        inside = _with_cells(d.select(*group, "__mfh"), cells, group, groups).where(F.shiftright("__mfh", bits) == F.shiftright("__mflow", bits))
+        counts = inside.groupBy(*group, F.shiftright("__mfh", low).alias("__mfcell")).agg(F.count(F.lit(1)).alias("__mfn"), F.first("__mfneed").alias("__mfneed"))
+        w = Window.partitionBy(*group).orderBy("__mfcell")  # at most 4,096 cells a group
+        ahead = F.sum("__mfn").over(w) - F.col("__mfn")
+        reached = counts.withColumn("__mfneed", F.col("__mfneed") - ahead).where(F.col("__mfneed") > 0)
+        # the last cell that is reached holds the limit, or is the last one of a group with fewer rows
+        last = reached.groupBy(*group).agg(F.max(F.struct("__mfcell", "__mfneed", "__mfn")).alias("x"))
+        cells = cut_lineage(last.select(*group, F.shiftleft("x.__mfcell", low).alias("__mflow"), "x.__mfneed", "x.__mfn"))
+        most, bits = cells.agg(F.max("__mfn")).first()[0] or 0, low
+        cells = cells.drop("__mfn")
+        if most <= edge_rows:
+            break
+    j = _with_cells(d, cells, group, groups)
+    h, low = F.col("__mfh"), F.col("__mflow")
+    edge = F.coalesce((h >= low) & (h < low + (1 << bits)), F.lit(False))
+    w = Window.partitionBy(*group).orderBy("__mfh", *as_cols(ties))
+    ranked = j.where(edge).withColumn(out, F.row_number().over(w) <= F.col("__mfneed"))
+    other = j.where(~edge).withColumn(out, F.coalesce(h < low, F.lit(False)))
+    return other.unionByName(ranked).drop("__mfh", "__mflow", "__mfneed")
+
+
+def select_first(df: DataFrame, limits: DataFrame, order_hash: Column, ties: Sequence[str | Column], group: Sequence[str] = (),
+                 limit: str = "n", edge_rows: int = 100_000) -> DataFrame:
+    """The rows that :func:`mark_first` marks."""
+    marked = mark_first(df, limits, order_hash, ties, group, limit, "__sffirst", edge_rows)
+    return marked.where("__sffirst").drop("__sffirst")

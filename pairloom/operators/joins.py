@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from .indexing import hash_row_index, null_safe_join, range_row_index
+from .indexing import null_safe_join, range_row_index, select_first
+from .ordering import one_limit
 from .textops import normalize_query
 
 
@@ -100,9 +101,6 @@ def raw_negatives_by_query(base: DataFrame, origin: DataFrame, seed: int = 42, c
     return j.withColumn("neg_num", F.size("neg").cast("bigint")).drop("_q")
 
 
-TOPK_MAX = 100_000
-
-
 def sample_corpus_keep_pos(corpus: DataFrame, qrels: DataFrame, queries: DataFrame, query_sample: int,
                            corpus_sample: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """First ``query_sample`` query ids (id order); keep all their positives; fill the corpus up to
@@ -121,11 +119,7 @@ def sample_corpus_keep_pos(corpus: DataFrame, qrels: DataFrame, queries: DataFra
     need = target - n_req
     rest = c.select("corpus_id").join(req, "corpus_id", "left_anti")
     hk = h(seed, "corpus", F.col("corpus_id"))
-    if need <= TOPK_MAX:
-        # a bounded top-k: each task keeps ``need`` ids before one merge
-        extra = rest.orderBy(hk, "corpus_id").limit(max(need, 0))
-    else:
-        extra = hash_row_index(rest, [], hk, ["corpus_id"], out="_r").filter(F.col("_r") < need)
+    extra = select_first(rest, one_limit(rest, need), hk, ["corpus_id"])
     keep_ids = req.unionByName(extra.select("corpus_id"))
     kept = c.join(keep_ids, "corpus_id", "left_semi")
     return kept, r

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from .indexing import hash_row_index, range_row_index
+from .indexing import hash_row_index, range_row_index, select_first
 
 FLAT_ORDER = [("len", False), ("subset", True), ("id", True), ("column", True)]
 
@@ -37,17 +37,19 @@ def sample_per_key(df: DataFrame, n: int | None, seed: int, key_cols: Sequence[s
                    frac: float | None = None) -> DataFrame:
     """Seeded shuffle, then the first ``n`` rows (per group when ``group``); ``n=None`` keeps all, shuffled.
 
-    The order is ``h(seed, keys)``. With a literal ``n`` the filter ``row_number() <= n`` is planned as a
-    group limit: every task keeps at most ``n`` rows per group before the shuffle, so even a group holding a
-    third of all rows reaches one task as at most ``n × tasks`` rows. Without ``n`` every row needs its
-    position and the salted index numbers a hot group with many tasks.
+    The order is ``h(seed, keys)``. The first ``n`` rows are found by radix selection (``select_first``), so neither a
+    large group nor a large ``n`` is sorted in one task; positions come from the salted index over the chosen rows.
     """
     hk = h(seed, *[F.col(k) for k in key_cols])
     if n is None:
         return hash_row_index(df, list(group), hk, list(key_cols), out="_rk")
-    w = Window.partitionBy(*group).orderBy(hk, *[F.col(k) for k in key_cols])
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).withColumn(
-        "_rk", (F.col("_rk") - 1).cast("bigint"))
+    limits = df.select(*group).distinct().withColumn("n", F.lit(int(n))) if group else one_limit(df, n)
+    return hash_row_index(select_first(df, limits, hk, list(key_cols), group), list(group), hk, list(key_cols), out="_rk")
+
+
+def one_limit(df: DataFrame, n: int) -> DataFrame:
+    """``limits`` of :func:`select_first` without groups."""
+    return df.sparkSession.range(1).select(F.lit(int(n)).alias("n"))
 
 
 def train_test_split(df: DataFrame, seed: int, key_cols: Sequence[str]) -> DataFrame:

@@ -8,6 +8,8 @@ shape, fails the job, whichever columns are selected.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +77,12 @@ def lenient_list(c: Column) -> Column:
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
-def triplet_schema(df: DataFrame, pair_only: bool = False) -> DataFrame:
+def triplet_schema(df: DataFrame, pair_only: bool = False, keep: Sequence[Column] = ()) -> DataFrame:
     """P14 + P15: normalise to TRIPLET (anc, pos, neg[], label, subset) with column fallbacks.
 
     anc ← anc else query else text, pos ← pos else document; NULL → ''; negatives come from the column ``negs``,
     where there is none from ``neg``; scalar neg → [neg]; NULL neg → [];
-    a pair source (``pair_only``) discards its negatives.
+    a pair source (``pair_only``) discards its negatives. ``keep``: further columns of the result.
     """
     cols = set(df.columns)
 
@@ -98,4 +100,4 @@ def triplet_schema(df: DataFrame, pair_only: bool = False) -> DataFrame:
     label = F.coalesce(F.col("label").cast("string"), F.lit("")) if "label" in cols else F.lit("")
     subset = F.col("subset").cast("string") if "subset" in cols else F.lit("")
     return df.select(pick("anc", "query", "text").alias("anc"), pick("pos", "document").alias("pos"), neg.alias("neg"),
-                     label.alias("label"), subset.alias("subset"))
+                     label.alias("label"), subset.alias("subset"), *keep)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import null_safe_join
 
 
 def length_stats(df: DataFrame, len_col: str = "len", group: Sequence[str] = ()) -> DataFrame:
@@ -45,7 +46,7 @@ def dataset_summary(df: DataFrame, subset: str = "subset", order_key: str = "id"
     samples = top.groupBy(subset).agg(F.array_sort(F.collect_list(F.struct("_r", sample_col))).alias("_s"))
     samples = samples.select(subset, F.transform("_s", lambda s: s[sample_col]).alias("sample"))
     counts = df.groupBy(subset).agg(F.count(F.lit(1)).alias("len"))
-    return counts.join(samples, subset).select(subset, "len", F.lit(cols).alias("keys"), "sample")
+    return null_safe_join(counts, samples, [subset]).select(subset, "len", F.lit(cols).alias("keys"), "sample")
 
 
 def neg_histogram(df: DataFrame, subset: str = "subset", neg: str = "neg") -> DataFrame:

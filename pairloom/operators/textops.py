@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import h, spark_sql_h
 from ..functions.text import py_strip
-from .indexing import hash_row_index
+from .indexing import mark_first
+from .ordering import one_limit
 
 # fixed values: per-subset (query prefix, document prefix); other subsets use the defaults
 DEFAULT_PREFIX = ("query:", "document:")
@@ -85,9 +86,9 @@ def chunk_lines(df: DataFrame, key: str, text: str = "text", ratio: float = 0.3,
     """
     total = df.count()
     n_short = int(total * ratio)
-    ranked = hash_row_index(df.select(key, text), [], h(seed, "short", F.col(key)), [key], out="_r")
-    chosen = ranked.filter(F.col("_r") < n_short)
-    keep = ranked.filter(F.col("_r") >= n_short).select(key, F.lit(-1).cast("bigint").alias("part"), F.col(text).alias("text"))
+    marked = mark_first(df.select(key, text), one_limit(df, n_short), h(seed, "short", F.col(key)), [key], out="_first")
+    chosen = marked.filter("_first")
+    keep = marked.filter(~F.col("_first")).select(key, F.lit(-1).cast("bigint").alias("part"), F.col(text).alias("text"))
     lines = F.split(F.col(text), "\n")
     c = chosen.select(key, lines.alias("_l"), F.size(lines).alias("_n"))
     hk = spark_sql_h(seed, f"`{key}`", "acc.k", "'chunk'")

@@ -199,6 +199,41 @@ def q_mix_summary(t: Tables):
     return ST.mix_summary(MX.mix_kind(_mix(t)))
 
 
+FULL_SQL = f"""{TRIP_SQL}, {CONV_SQL},
+pool AS (SELECT nullif(subset, 'src4') AS subset, CAST(id AS VARCHAR) AS id, anc, pos, neg, '' AS label, 'planned' AS role FROM trip WHERE subset <> 'src1'
+  UNION ALL SELECT 'src1', CAST(conv_id AS VARCHAR), query, answers[1], CAST([] AS VARCHAR[]), 'reply', 'replacement' FROM conv),
+sizes AS (SELECT subset, least(count(*), 40) AS len FROM pool WHERE coalesce(subset NOT IN ({_EXCL_SQL}), true) GROUP BY subset),
+plan AS (SELECT subset, CAST(least(len, floor(len * (CAST(300 AS DOUBLE) / (SELECT sum(len) FROM sizes)))) AS BIGINT) AS alloc FROM sizes),
+rk AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY {H(SEED, 'subset', 'id')}, id) AS rk FROM pool),
+full_mix AS (
+  SELECT r.anc, r.pos, r.neg, r.label, r.subset, r.role FROM rk r JOIN plan p ON p.subset IS NOT DISTINCT FROM r.subset WHERE r.rk <= p.alloc
+  UNION ALL SELECT query, coalesce(answers[1], ''), answers[2:len(answers)], '', 'replies' || CAST(conv_id % 2 AS VARCHAR), 'whole' FROM conv
+  UNION ALL SELECT CAST(item_id AS VARCHAR), text, CAST([] AS VARCHAR[]), '', 'claims', 'whole' FROM benchmark),
+full_rows AS (SELECT coalesce(anc, '') AS anc, coalesce(pos, '') AS pos, neg, label, subset, role FROM full_mix)"""
+
+
+def _full_mix(t: Tables):
+    """Planned triplets (one subset without a name), one subset replaced by labelled replies, two whole subsets and one more with other column names."""
+    qa = conv_qa(t)
+    planned = triplets(t).withColumn("subset", F.nullif(F.col("subset"), F.lit("src4")))
+    replies = qa.select(F.col("conv_id").alias("id"), F.col("query").alias("anc"), F.try_element_at("answers", F.lit(1)).alias("pos"), F.lit("reply").alias("label"))
+    whole = qa.select(F.concat(F.lit("replies"), F.col("conv_id") % 2).alias("subset"), F.col("query").alias("anc"), F.try_element_at("answers", F.lit(1)).alias("pos"),
+                      F.expr("filter(answers, (x, i) -> i > 0)").alias("neg"), F.lit("unused").alias("label"))
+    claims = t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("document"))
+    sources = [MX.MixSource(planned), MX.MixSource(replies, "replacement", "src1"), MX.MixSource(whole, "whole"), MX.MixSource(claims, "whole", "claims")]
+    return MX.build_full_mix(sources, 300, SEED, ["id"], cap=40, excluded=EXCL)
+
+
+@register("build_full_mix", f"WITH {FULL_SQL} SELECT * FROM full_rows")
+def q_build_full_mix(t: Tables):
+    return _full_mix(t)
+
+
+@register("full_mix_counts", f"WITH {FULL_SQL} SELECT role, subset, count(*) AS rows FROM full_rows GROUP BY role, subset")
+def q_full_mix_counts(t: Tables):
+    return MX.full_mix_counts(_full_mix(t))
+
+
 @register("concat_rebase", f"""WITH {BOTH_FLAT_SQL},
 a AS (SELECT 'pairs' AS source, subset, id, max(emb_idx) FILTER (WHERE "column" = 'anc') AS anc_emb_idx,
              max(emb_idx) FILTER (WHERE "column" = 'pos') AS pos_emb_idx, CAST(NULL AS BIGINT[]) AS neg_emb_idx FROM enc GROUP BY subset, id),
