@@ -35,16 +35,15 @@ DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 3, 3, 0.6
 
 
 def line_rows(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """``id, text_hash, place, whole, leaf, line, masked``: the parsed lines; ``place`` counts from 0, ``whole`` is the hash of the document's set of lines."""
+    """``id, text_hash, place, leaf, line, masked``: the parsed lines that are not blank; ``place`` counts from 0, lines of few tokens have no leaf."""
     t = F.col(text).cast("string")
-    rows = docs.where(t.isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), F.transform(F.split(t, "\n"), masked_line).alias("lines"))
-    whole = F.xxhash64(F.sort_array(F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))))
-    rows = rows.select("id", "text_hash", whole.alias("whole"), F.posexplode("lines").alias("place", "masked"))
-    rows = rows.withColumn("line", F.xxhash64("masked"))
+    rows = docs.where(t.isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    # an outer generator gets no inferred filter that splits the text again
+    rows = rows.select("id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("place", "raw"))
+    rows = rows.select("id", "text_hash", "place", masked_line(F.col("raw")).alias("masked")).where(F.col("masked") != "")
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    rows = rows.withColumn("tokens", tokens).where((F.col("masked") != "") & (F.col("tokens") >= min_tokens))
-    leaf = F.xxhash64("tokens", F.substring_index("masked", " ", depth))
-    return rows.select("id", "text_hash", "place", "whole", leaf.alias("leaf"), "line", "masked")
+    leaf = F.when(tokens >= min_tokens, F.xxhash64(tokens, F.substring_index("masked", " ", depth)))
+    return rows.select("id", "text_hash", "place", leaf.alias("leaf"), F.xxhash64("masked").alias("line"), "masked")
 
 
 def masked_line(x):
@@ -56,7 +55,9 @@ def masked_line(x):
 
 def surroundings(lines: DataFrame, folder: str, min_docs: int) -> DataFrame:
     """Distinct ``leaf, line, surrounding`` of the parsed ``lines``; documents of one set of lines are one."""
-    texts = lines.select("whole", "leaf", "line").distinct()
+    sets = lines.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("line", F.col("leaf").alias("leaf")))).alias("lines"))
+    whole = sets.groupBy(F.xxhash64(F.transform("lines", lambda x: x["line"])).alias("whole")).agg(F.first("lines").alias("lines"))
+    texts = kept_table(whole.select("whole", F.explode_outer("lines").alias("l")).select("whole", "l.leaf", "l.line").where(F.col("leaf").isNotNull()), folder, "texts")
     common = kept_table(texts.groupBy("line").count().where(F.col("count") >= min_docs).select("line"), folder, "common")
     rare = texts.join(common, "line", "left_anti").groupBy("whole").agg(F.slice(F.sort_array(F.collect_set("line")), 1, 2).alias("m"))
     first = F.get("m", F.lit(0))
@@ -92,14 +93,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
                    min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """``id, text_hash, dropped``: per document the places of lines to drop (documents without such lines are absent)."""
     folder = shared_folder(docs.sparkSession, "lines")
-    parsed = line_rows(docs, key, text, depth, min_tokens)
-    lines = kept_table(parsed.drop("masked"), folder, "lines")
+    lines = kept_table(line_rows(docs, key, text, depth, min_tokens), folder, "lines")
     seen = kept_table(surroundings(lines, folder, min_docs), folder, "seen")
     counted = seen.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("lines")).where(
         (F.col("total") >= min_docs) & (F.col("lines") > 1)).select("leaf")
     leaves = kept_table(leaves, folder, "leaves")
-    texts = parsed.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    texts = lines.select("leaf", "line", "masked").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     found = kept_table(texts.join(counted, ["leaf", "line"]), folder, "found")
     names = kept_table(templates(found, min_docs, similar, depth), folder, "templates")
     named = seen.join(names, "line", "left").withColumn("template", F.coalesce("template", "line"))
@@ -108,20 +108,24 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dep
     bad = kept_table(bad, folder, "recurring")
     hits = kept_table(lines.select("id", "text_hash", "place", "line").join(bad, "line").select("id", "text_hash", "place", "template"), folder, "hits")
     first = hits.groupBy("template").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"))
-    drop = hits.join(first, "template").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("place") == F.col("first.place"))))
+    first = first.select(F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), F.col("first.place").alias("first_place"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("place") == F.col("first_place"))
+    drop = hits.join(first, same, "left_anti")  # by row, so a frequent template is no hot key
     return drop.groupBy("id", "text_hash").agg(F.collect_set("place").alias("dropped"))
 
 
 def drop_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The columns of ``docs`` with the cleaned text, then ``__lines`` and ``__dropped`` (sorted places)."""
-    drops = repeated_lines(docs, key, text, **options).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.sort_array("dropped").alias("__dropped"))
-    t = docs[text].cast("string")
-    joined = docs.join(drops, docs[key].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(t) == F.col("__hash")), "left")
-    lines = F.split(F.col(f"`{text}`").cast("string"), "\n")
-    clean = F.when(F.col("__dropped").isNull(), F.col(f"`{text}`").cast("string")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n"))
+    """The columns of ``docs`` with the cleaned text, then ``__lines`` and ``__dropped`` (sorted places); columns of ``docs`` with these two names are replaced."""
+    docs = docs.drop("__lines", "__dropped")
+    drops = repeated_lines(docs, key, text, **options).select(F.col("id").alias("__drop_id"), F.col("text_hash").alias("__drop_hash"), F.sort_array("dropped").alias("__dropped"))
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    t = F.col(names[text]).cast("string")
+    joined = own.join(drops, F.col(names[key]).cast("long").eqNullSafe(F.col("__drop_id")) & (F.xxhash64(t) == F.col("__drop_hash")), "left")
+    lines = F.split(t, "\n")
+    clean = F.when(F.col("__dropped").isNull(), t).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n"))
     none = F.array().cast("array<int>")
-    return joined.select(*[clean.alias(text) if c == text else docs[c] for c in docs.columns],
+    return joined.select(*[(clean if c == text else F.col(n)).alias(c) for c, n in names.items()],
                          F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce("__dropped", none).alias("__dropped"))
 
 
