@@ -29,10 +29,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, slices, table, utf8_buffer, utf8_size, word_hashes, word_spans
+from .common import mix64, settle, shared_folder, slices, table, utf8_buffer, utf8_size, word_hashes, word_spans
+from .line_templates import kept_table
 
 ORDER, BITS = 5, 12
 BLOCK_BYTES = 24 << 20
@@ -200,65 +201,75 @@ def trusted_counts(blocks: DataFrame, trusted: DataFrame, n_blocks: int) -> Data
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def discounts(levels: list[DataFrame]) -> dict[int, tuple]:
-    """For each order the three discounts, and the sums that order 1 needs: one row per order reaches the driver."""
-    def shape(k, df):
-        cells = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        return df.agg(F.lit(k).alias("k"), *cells, F.count_if(F.col("n") >= 3).alias("more"), F.sum("n").alias("total"))
+def marked(gram: Column, k: int) -> Column:
+    """The low ``k`` symbols of a counted gram with the mark of its model."""
+    return gram.bitwiseAND(F.lit(int(LOW[k] | WORDS)))
 
+
+def discounts(levels: list[DataFrame]) -> dict[tuple[int, bool], tuple]:
+    """For each order and model the three discounts, and the sums that order 1 needs: ten rows reach the driver."""
     rows = None
     for k, df in enumerate(levels, 1):
-        rows = shape(k, df) if rows is None else rows.unionByName(shape(k, df))
+        one = df.select(F.lit(k).alias("k"), (F.col("gram") >= int(WORDS)).alias("words"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    cells = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
     out = {}
-    for r in rows.collect():
+    for r in rows.groupBy("k", "words").agg(*cells, F.count_if(F.col("n") >= 3).alias("more"), F.sum("n").alias("total")).collect():
         y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 else 0.5
         n = (r.n1, r.n2, r.n3, r.n4)
         d = [(i + 1) - (i + 2) * y * n[i + 1] / n[i] if n[i] else y * (i + 1) for i in range(3)]
-        out[r.k] = (*[min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)], r.n1, r.n2, r.more, r.total or 0)
+        out[r.k, r.words] = (*[min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)], r.n1, r.n2, r.more, r.total or 0)
     return out
 
 
-def both_models(top: DataFrame) -> DataFrame | None:
-    """The rows of both models; ``top`` holds the counts of ``trusted_counts``."""
-    of_words = F.col("gram") >= int(WORDS)
-    kn = model(top.where(~of_words), CLASSES, 0)
-    return kn and kn.unionByName(model(top.where(of_words).select((F.col("gram") - int(WORDS)).alias("gram"), "n"), WORD_CLASSES, 8))
-
-
-def model(top: DataFrame, classes: int, mark: int) -> DataFrame | None:
-    """``key, logp, logbo``: log-probability of every seen n-gram and log back-off weight of every seen context.
+def both_models(top: DataFrame, folder: str) -> DataFrame | None:
+    """``key, logp, logbo``: log-probability of every seen n-gram and log back-off weight of every seen context, of both models.
 
-    ``key`` is ``(order + mark) << 60 | gram``. ``top`` holds the counts of the highest order; a lower order counts the distinct symbols to the left.
+    ``key`` is ``(order + 8 for the words) << 60 | gram``. ``top`` holds the counts of ``trusted_counts``; a lower order counts the distinct symbols to the
+    left. Each order's counts and probabilities are written once and read again, so no plan holds more than one order. A context has at most
+    ``CLASSES`` symbols after it, which bounds its window.
     """
     levels = [top]
     for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy(F.col("gram").bitwiseAND(F.lit(int(LOW[k]))).alias("gram")).agg(F.count("*").alias("n")))
+        levels.insert(0, kept_table(levels[0].groupBy(marked(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), folder, f"counts-{k}"))
     d = discounts(levels)
-    if not d[1][6]:
+    if not d:
         return None
+    words = F.col("gram") >= int(WORDS)
+
+    def of(k, f) -> Column:
+        """``f(discounts of order k, classes)`` of the gram's model."""
+        return F.when(words, float(f(d[k, True], WORD_CLASSES))).otherwise(float(f(d[k, False], CLASSES)))
 
     def cut(k):
-        return F.when(F.col("n") == 1, d[k][0]).when(F.col("n") == 2, d[k][1]).otherwise(d[k][2])
+        return F.when(F.col("n") == 1, of(k, lambda x, _: x[0])).when(F.col("n") == 2, of(k, lambda x, _: x[1])).otherwise(of(k, lambda x, _: x[2]))
 
-    total = float(d[1][6])
-    free = (d[1][0] * d[1][3] + d[1][1] * d[1][4] + d[1][2] * d[1][5]) / total
-    p = levels[0].select("gram", ((F.col("n") - cut(1)) / total + free / classes).alias("p"))
-    rows = [p.select(F.col("gram").alias("g"), F.lit(1).alias("k"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("logbo"))]
+    total = of(1, lambda x, _: x[6])
+    free = of(1, lambda x, c: (x[0] * x[3] + x[1] * x[4] + x[2] * x[5]) / x[6] / c)
+    p = levels[0].select("gram", ((F.col("n") - cut(1)) / total + free).alias("p"))
+    tables, none = [(1, p)], F.lit(None).cast("double")
     for k in range(2, ORDER + 1):
-        level = levels[k - 1].select("gram", "n", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND(F.lit(int(LOW[k - 1]))).alias("suffix"))
-        context = level.groupBy("context").agg(
-            F.sum("n").alias("total"), (F.count_if(F.col("n") == 1) * d[k][0] + F.count_if(F.col("n") == 2) * d[k][1] + F.count_if(F.col("n") >= 3) * d[k][2]).alias("cut"))
-        context = context.withColumn("bo", F.col("cut") / F.col("total"))
+        context = F.shiftright(F.col("gram").bitwiseAND(F.lit(int(LOW[k]))), BITS).bitwiseOR(F.col("gram").bitwiseAND(F.lit(int(WORDS))))
+        w = Window.partitionBy("context")
+        level = levels[k - 1].select("gram", "n", context.alias("context"), marked(F.col("gram"), k - 1).alias("suffix"), cut(k).alias("cut"))
+        level = level.withColumns({"total": F.sum("n").over(w), "bo": F.sum("cut").over(w), "head": F.min("gram").over(w) == F.col("gram")}).withColumn("bo", F.col("bo") / F.col("total"))
         lower = p.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        p = level.join(context, "context").join(lower, "suffix").select(
-            "gram", ((F.col("n") - cut(k)) / F.col("total") + F.col("bo") * F.col("lower")).alias("p"))
-        rows.append(p.select(F.col("gram").alias("g"), F.lit(k).alias("k"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("logbo")))
-        rows.append(context.select(F.col("context").alias("g"), F.lit(k - 1).alias("k"), F.lit(None).cast("double").alias("logp"), F.log("bo").alias("logbo")))
-    both = rows[0]
-    for r in rows[1:]:
-        both = both.unionByName(r)
-    key = F.shiftleft((F.col("k") + mark).cast("long"), 60).bitwiseOR(F.col("g"))
-    return both.groupBy(key.alias("key")).agg(F.max("logp").alias("logp"), F.max("logbo").alias("logbo"))
+        level = level.join(lower, "suffix").select(
+            "gram", "context", "head", "bo", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("bo") * F.col("lower")).alias("p"))
+        p = kept_table(level, folder, f"model-{k}")
+        tables.append((k, p))
+
+    def key(k, gram):
+        model = F.when(gram >= int(WORDS), F.lit(k + 8)).otherwise(F.lit(k))
+        return F.shiftleft(model.cast("long"), 60).bitwiseOR(gram.bitwiseAND(F.lit(int(LOW[ORDER])))).alias("key")
+
+    both = None
+    for k, t in tables:
+        rows = t.select(key(k, F.col("gram")), F.log("p").alias("logp"), none.alias("logbo"))
+        if k > 1:
+            rows = rows.unionByName(t.where("head").select(key(k - 1, F.col("context")), none.alias("logp"), F.log("bo").alias("logbo")))
+        both = rows if both is None else both.unionByName(rows)
+    return both.groupBy("key").agg(F.max("logp").alias("logp"), F.max("logbo").alias("logbo"))
 
 
 # ---------- scoring ----------
@@ -408,8 +419,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     size = docs.agg(F.sum(utf8_size("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     shards = SHARDS * max(1, -(-n_blocks // 2048))
-    top = settle(trusted_counts(packed(docs, n_blocks), trusted, n_blocks))
-    kn = both_models(top)
+    folder = shared_folder(spark, "kn")
+    kn = both_models(kept_table(trusted_counts(packed(docs, n_blocks), trusted, n_blocks), folder, "counts-5"), folder)
     if kn is None:
         return None
     kn = settle(sharded(kn, shards))
