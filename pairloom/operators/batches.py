@@ -138,10 +138,19 @@ def _batch_starts(length: np.ndarray, s_eff: int, n_rem: int, entry: int) -> lis
     return out
 
 
+def negative_count(df: DataFrame, column: str | None = None) -> Column:
+    """Negatives of a row: ``column``, else the first that is there of ``neg_len``, ``neg_num`` (counts), ``neg_emb_idx``, ``neg`` (arrays), else 0; NULL counts 0."""
+    count = column or next((c for c in ("neg_len", "neg_num") if c in df.columns), None)
+    if count is not None:
+        return F.coalesce(F.col(count).cast("int"), F.lit(0))
+    arrays = next((c for c in ("neg_emb_idx", "neg") if c in df.columns), None)
+    return F.lit(0) if arrays is None else F.greatest(F.coalesce(F.size(arrays), F.lit(0)), F.lit(0))
+
+
 def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int, max_pairs: int | None,
                        max_neg: int | None = None, seed: int = 42, epoch: int = 0,
                        label_group_subsets: Sequence[str] = (), drop_last: bool = True, shuffle_batches: bool = True,
-                       neg_len: str = "neg_len", block_rows: int = 1_000_000) -> DataFrame:
+                       neg_len: str | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """Per task, the next batch's per-rank size shrinks to ``max(1, min(B, P // (1+Kmin)))`` where Kmin is the
     smallest negative count (capped by ``max_neg``) among the next ``B·world`` rows; the batch then takes
     ``size·world`` rows.
@@ -149,12 +158,13 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
     The cut is a sequential scan, made parallel by blocks of ``block_rows`` positions: each block (plus the
     ``B·world - 1`` rows after it) computes where a scan entering at offset 0..B·world-1 leaves it and how many
     batches it starts; the driver chains those maps (B·world numbers per block), and each block then replays
-    its scan from the known entry. Only the narrow (task, position, neg_len) columns move.
+    its scan from the known entry. Only the narrow (task, position, neg_len) columns move. A NULL task is a task.
+    ``neg_len`` names the column of negative counts; None takes the first of ``negative_count``'s columns.
     """
     G = per_rank * world
     s = seed + epoch
     keys = [F.col(k) for k in key_cols]
-    d = df.withColumn("task", task_key(df, label_group_subsets)).withColumn("_nl", F.col(neg_len).cast("int"))
+    d = df.withColumn("task", task_key(df, label_group_subsets)).withColumn("_nl", negative_count(df, neg_len))
     d = hash_row_index(d, ["task"], h(s, "row", *keys), list(key_cols), out="_pos")
     narrow = d.select("task", "_pos", "_nl").persist()
     sizes = narrow.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
@@ -165,7 +175,7 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
     own = narrow.withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint")).withColumn("_la", F.lit(False))
     look = (narrow.filter((F.col("_pos") % block_rows < G - 1) & (F.col("_pos") >= block_rows))
             .withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint") - 1).withColumn("_la", F.lit(True)))
-    grp = own.unionByName(look).join(sizes, "task")  # one row per task on the right
+    grp = null_safe_join(own.unionByName(look), sizes, ["task"])  # one row per task on the right
     args = (per_rank, world, max_pairs, max_neg, drop_last)
 
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +195,7 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
     for r in maps.collect():
         table.setdefault((r["task"], r["block"]), {})[r["entry"]] = (r["exit"], r["nb"])
     starts_rows = []
-    for task in sorted({k[0] for k in table}):
+    for task in sorted({k[0] for k in table}, key=lambda x: (x is not None, x or "")):
         entry, first = 0, 0
         for b in sorted(k[1] for k in table if k[0] == task):
             if entry < 0:
@@ -209,10 +219,10 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
                              "batch_no": int(pdf["first_batch"].iloc[0]) + np.repeat(np.arange(len(at)), rows_in),
                              "row_in_batch": inside.astype(np.int32)})
 
-    tagged = grp.join(F.broadcast(start_df), ["task", "block"]).groupBy("task", "block").applyInPandas(
+    tagged = null_safe_join(grp, start_df, ["task", "block"]).groupBy("task", "block").applyInPandas(
         assign, "task string, _pos long, batch_no long, row_in_batch int")
-    rows = d.join(tagged, ["task", "_pos"]).drop("_nl")
+    rows = null_safe_join(d, tagged, ["task", "_pos"]).drop("_nl")
     batches = rows.select("task", "batch_no").distinct()
     border = h(s, "batch", F.col("task"), F.col("batch_no")) if shuffle_batches else F.lit(0)
     batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id")
-    return rows.join(batches, ["task", "batch_no"]).drop("_pos")
+    return null_safe_join(rows, batches, ["task", "batch_no"]).drop("_pos")

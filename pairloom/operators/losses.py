@@ -272,25 +272,6 @@ def loss_ckd_queue(bv: DataFrame, queue_len: int, batch_rows: int, temp: float =
     return allrows.groupBy("for_batch").applyInPandas(f, "batch_id long, loss double, queue_rows long")
 
 
-def _taid_fold(pdf: pd.DataFrame, run: str, step: str, loss: str, n: int, t_start: float, t_end: float, alpha: float,
-               beta: float, disable_adaptive: bool, t0: float | None = None, m0: float = 0.0,
-               prev0: float | None = None) -> list[tuple]:
-    """Sequential TAID update over rows in step order, from state (t, momentum, previous loss)."""
-    t, prev, m = (t_start if t0 is None else t0), prev0, m0
-    out = []
-    for st, lv in zip(pdf[step].to_numpy(), pdf[loss].to_numpy(), strict=True):
-        if prev is None:
-            prev = lv
-        else:
-            rel = (prev - lv) / (prev + 1e-15)
-            m = beta * m + (1 - beta) * rel
-            target = t_start + (t_end - t_start) * (st / n)
-            t = target if disable_adaptive else min(t_end, max(target, t + alpha * (1 / (1 + np.exp(-m))) * (1 - t)))
-            prev = lv
-        out.append((pdf[run].iloc[0], int(st), round(float(t), 6), round(float(m), 6)))
-    return out
-
-
 _BIG = 1e300
 
 
@@ -306,6 +287,16 @@ def _compose(f: tuple[float, float, float, float], g: tuple[float, float, float,
     return (p2 * p1, p2 * q1 + q2, max(A, L2), min(B, H2))
 
 
+def _step_map(momentum: float, linear: float, t_end: float, alpha: float, disable_adaptive: bool) -> tuple[float, float, float, float]:
+    """One step's update of t as (p, q, L, H) of x ↦ min(H, max(L, p·x + q)); ``linear`` is the step's linear schedule."""
+    if disable_adaptive:
+        return 0.0, linear, linear, linear
+    if linear > t_end:
+        return 0.0, t_end, t_end, t_end
+    gain = alpha / (1 + np.exp(-momentum))
+    return 1 - gain, gain, linear, t_end
+
+
 def taid_schedule(log: DataFrame, run: str = "run", step: str = "step", loss: str = "loss", total_steps: int | None = None,
                   t_start: float = 0.4, t_end: float = 1.0, alpha: float = 5e-4, beta: float = 0.99,
                   disable_adaptive: bool = False, block_rows: int = 100_000) -> DataFrame:
@@ -332,7 +323,6 @@ def taid_schedule(log: DataFrame, run: str = "run", step: str = "step", loss: st
     block_rows = max(block_rows, -(-(n_total or 0) // max(1, 500_000 - (n_runs or 0))))
     d = d.withColumn("_block", F.floor(F.col("_step") / block_rows).cast("bigint")).persist()
     tot = total_steps
-    args = dict(t_start=t_start, t_end=t_end, alpha=alpha, beta=beta, disable_adaptive=disable_adaptive)
     rtype = log.schema[run].dataType.simpleString()
 
     def rel_of(pdf):
@@ -369,11 +359,7 @@ def taid_schedule(log: DataFrame, run: str = "run", step: str = "step", loss: st
                 continue
             m = beta * m + (1 - beta) * ((pv - lv) / (pv + 1e-15))
             lin = t_start + (t_end - t_start) * (st / n)
-            if disable_adaptive:
-                g = (0.0, lin, lin, lin)
-            else:
-                a = alpha * (1 / (1 + np.exp(-m)))
-                g = (1 - a, a, lin, t_end) if lin <= t_end else (0.0, t_end, t_end, t_end)
+            g = _step_map(m, lin, t_end, alpha, disable_adaptive)
             f = _compose(f, g)
         return pd.DataFrame({"_run": [pdf["_run"].iloc[0]], "_block": [int(pdf["_block"].iloc[0])],
                              "p": [f[0]], "q": [f[1]], "lo": [f[2]], "hi": [f[3]]})
@@ -392,10 +378,14 @@ def taid_schedule(log: DataFrame, run: str = "run", step: str = "step", loss: st
     def pass3(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_step")
         n = tot or int(pdf["_n"].iloc[0])
-        first_prev = pdf["_prev"].iloc[0]
-        rows = _taid_fold(pdf, "_run", "_step", "_loss", n, t0=float(pdf["_t_in"].iloc[0]), m0=float(pdf["_m_in"].iloc[0]),
-                          prev0=None if np.isnan(first_prev) else float(first_prev), **args)
-        return pd.DataFrame(rows, columns=["_run", "_step", "t", "momentum"])
+        m, t, out = float(pdf["_m_in"].iloc[0]), float(pdf["_t_in"].iloc[0]), []
+        for st, rel in zip(pdf["_step"].to_numpy(), rel_of(pdf), strict=True):
+            if not np.isnan(rel):  # a run's first step only stores its loss
+                m = beta * m + (1 - beta) * rel
+                p, q, low, high = _step_map(m, t_start + (t_end - t_start) * (st / n), t_end, alpha, disable_adaptive)
+                t = min(high, max(low, p * t + q))
+            out.append((round(t, 6), round(m, 6)))
+        return pd.DataFrame(out, columns=["t", "momentum"]).assign(_run=pdf["_run"].to_numpy(), _step=pdf["_step"].to_numpy())[["_run", "_step", "t", "momentum"]]
 
     out = d3.groupBy("_run", "_block").applyInPandas(pass3, f"_run {rtype}, _step long, t double, momentum double")
     return out.select(F.col("_run").alias(run), F.col("_step").alias(step), "t", "momentum")

@@ -85,3 +85,18 @@ def test_full_mix_of_folders(spark, tmp_path):
     assert sorted((r.anc, r.pos, tuple(r.neg)) for r in mix if r.role == "whole") == [("q1", "p1", ("n1",)), ("q2", "d2", ()), ("q3", "", ())]
     with pytest.raises(ValueError):
         MX.build_full_mix([MX.MixSource(new, "replacement")], 1, 1, ["id"])
+
+
+def test_dynamic_plan_keeps_rows_without_a_task(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import batches as B
+
+    df = spark.range(400).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("subset"),
+                                 F.array_repeat(F.lit("n"), (F.col("id") % 3).cast("int")).alias("neg"))
+    plan = B.batch_plan_dynamic(df, ["id"], 4, 1, 6, drop_last=False, block_rows=50)
+    assert plan.count() == 400 and plan.where("subset IS NULL").count() == 100
+    counts = {c: [r.n for r in df.withColumn(c, v).select(B.negative_count(df.withColumn(c, v)).alias("n")).orderBy("id").collect()][:3]
+              for c, v in (("neg_emb_idx", F.array(F.lit(1))), ("neg_num", F.lit(5)), ("neg_len", F.lit(None).cast("int")))}
+    assert counts == {"neg_emb_idx": [1] * 3, "neg_num": [5] * 3, "neg_len": [0] * 3}
+    assert [r.n for r in df.select(B.negative_count(df).alias("n")).limit(3).collect()] == [0, 1, 2]

@@ -372,15 +372,19 @@ def test_taid_blocks_equal_sequential_fold(spark):
     rng = np.random.default_rng(3)
     rows = [(r, s, float(2.0 + rng.normal() * 0.3 - 0.001 * s)) for r in range(3) for s in range(200)]
     log = spark.createDataFrame(rows, "run long, step long, loss double")
-    import pandas as pd
     for adaptive in (False, True):
         got = {(r.run, r.step): (r.t, r.momentum)
                for r in L.taid_schedule(log, block_rows=37, alpha=0.2, disable_adaptive=not adaptive).collect()}
-        pdf = pd.DataFrame(rows, columns=["run", "step", "loss"])
         want = {}
-        for run, g in pdf.groupby("run"):
-            for rr in L._taid_fold(g.sort_values("step"), "run", "step", "loss", len(g), 0.4, 1.0, 0.2, 0.99, not adaptive):
-                want[(rr[0], rr[1])] = (rr[2], rr[3])
+        for run in range(3):
+            losses = [x for r, _, x in rows if r == run]
+            momentum, t = 0.0, 0.4
+            want[run, 0] = t, momentum
+            for i in range(1, len(losses)):
+                momentum += 0.01 * ((losses[i - 1] - losses[i]) / (losses[i - 1] + 1e-15) - momentum)
+                floor = 0.4 + 0.6 * i / len(losses)
+                t = float(np.clip(t + 0.2 / (1 + np.exp(-momentum)) * (1 - t), floor, 1.0)) if adaptive else floor
+                want[run, i] = t, momentum
         assert got.keys() == want.keys()
         assert all(abs(got[k][0] - want[k][0]) < 2e-6 and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
 
