@@ -457,9 +457,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
     out = judge(docs, labels).where(~F.col("keep")).select("doc_id", "text_hash").distinct()
-    bad = out.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = out.select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    same = F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(names["text"]) == F.col("__bad_hash"))
+    return own.join(bad, same, "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_kn_quality(spark, sf_dir: str) -> DataFrame:

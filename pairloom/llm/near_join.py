@@ -324,10 +324,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = settle(near_classes(docs, key, text))
     none = F.col("class_id").isNull()
     first = found.groupBy("class_id", F.when(none, F.col("text_hash")).alias("alone")).agg(F.min(F.struct("id", "text_hash")).alias("one"))
-    stay = first.select(F.col("one.id").alias("__id"), F.col("one.text_hash").alias("__hash"))
-    t = F.xxhash64(docs[text].cast("string"))
-    kept = docs.join(stay, docs[key].cast("long").eqNullSafe(F.col("__id")) & (t == F.col("__hash")))
-    return kept.dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    stay = first.select(F.col("one.id").alias("__stay_id"), F.col("one.text_hash").alias("__stay_hash"))
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    t = F.xxhash64(F.col(names[text]).cast("string"))
+    kept = own.join(stay, F.col(names[key]).cast("long").eqNullSafe(F.col("__stay_id")) & (t == F.col("__stay_hash"))).dropDuplicates(["__stay_id", "__stay_hash"])
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op4_near_join(spark, sf_dir: str) -> DataFrame:
