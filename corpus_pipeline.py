@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``documents``. Each stage works on every row that the stage before it kept.
+
+Null, empty and very long texts, null ids, repeated rows and ties have the results that the operators' modules state: null and empty texts pass quality,
+toxicity and line deduplication, and all of them are one class of near-duplicates, of which one row stays. Rows without an id are documents like others. Columns of any name pass
+unchanged; empty tables give empty tables, and without labels nothing is rejected.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines, and documents that had text and have none left."""
-    out = drop_templates(docs)
-    emptied = (F.size("__dropped") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
-    text = out.where(~emptied).drop("__lines", "__dropped")
-    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else text
+    """Drops recurring lines, and documents that had text and have none left; ``n_chars`` follows the text."""
+    names = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
+    out = drop_templates(docs.toDF(*names.values()), names["doc_id"], names["text"])
+    text = F.col(names["text"])
+    emptied = (F.size("__dropped") > 0) & (F.trim(F.translate(text, "\n\r\t", "   ")) == "")
+    changed = F.when(F.size("__dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"])) if "n_chars" in names else None
+    return out.where(~emptied).select(*[(changed if c == "n_chars" else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
 
-#: SQL can't express the language model, the classifier and the packing; the stages are tested against brute force instead.
+#: SQL can't express the language model, the classifier and the packing; tests/llm/test_pipeline.py compares the stages with plain Python on a small table.
 ORACLE_SQL = None
 
 
