@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
+from ..session import cut_lineage
+from .folds import chain_blocks
 from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index, null_safe_join
 
 
@@ -93,9 +95,6 @@ def micro_chunks(df: DataFrame, n_chunks: int, group: Sequence[str], pos: str) -
     return df.withColumn("chunk", chunk.cast("int"))
 
 
-MAX_DRIVER_MAP_ROWS = 1_000_000  # B·world per block
-
-
 def _batch_lengths(neg: np.ndarray, n_rem: int, per_rank: int, world: int, max_pairs: int | None, max_neg: int | None,
                    drop_last: bool) -> np.ndarray:
     """For each position of a block, the rows of a batch that would start there (0: none, the task ends).
@@ -150,15 +149,15 @@ def negative_count(df: DataFrame, column: str | None = None) -> Column:
 def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int, max_pairs: int | None,
                        max_neg: int | None = None, seed: int = 42, epoch: int = 0,
                        label_group_subsets: Sequence[str] = (), drop_last: bool = True, shuffle_batches: bool = True,
-                       neg_len: str | None = None, block_rows: int = 1_000_000) -> DataFrame:
+                       neg_len: str | None = None, block_rows: int = 100_000) -> DataFrame:
     """Per task, the next batch's per-rank size shrinks to ``max(1, min(B, P // (1+Kmin)))`` where Kmin is the
     smallest negative count (capped by ``max_neg``) among the next ``B·world`` rows; the batch then takes
     ``size·world`` rows.
 
     The cut is a sequential scan, made parallel by blocks of ``block_rows`` positions: each block (plus the
     ``B·world - 1`` rows after it) computes where a scan entering at offset 0..B·world-1 leaves it and how many
-    batches it starts; the driver chains those maps (B·world numbers per block), and each block then replays
-    its scan from the known entry. Only the narrow (task, position, neg_len) columns move. A NULL task is a task.
+    batches it starts. ``chain_blocks`` composes these maps on the cluster, and each block then replays its scan
+    from the known entry. Only the narrow (task, position, neg_len) columns move. A NULL task is a task.
     ``neg_len`` names the column of negative counts; None takes the first of ``negative_count``'s columns.
     """
     G = per_rank * world
@@ -166,12 +165,8 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
     keys = [F.col(k) for k in key_cols]
     d = df.withColumn("task", task_key(df, label_group_subsets)).withColumn("_nl", negative_count(df, neg_len))
     d = hash_row_index(d, ["task"], h(s, "row", *keys), list(key_cols), out="_pos")
-    narrow = d.select("task", "_pos", "_nl").persist()
+    narrow = cut_lineage(d.select("task", "_pos", "_nl"))
     sizes = narrow.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
-    # blocks grow with the input so the driver receives at most MAX_DRIVER_MAP_ROWS map rows
-    n_total, n_tasks = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    budget_blocks = max(1, MAX_DRIVER_MAP_ROWS // G - (n_tasks or 0))
-    block_rows = max(block_rows, -(-(n_total or 0) // budget_blocks))
     own = narrow.withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint")).withColumn("_la", F.lit(False))
     look = (narrow.filter((F.col("_pos") % block_rows < G - 1) & (F.col("_pos") >= block_rows))
             .withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint") - 1).withColumn("_la", F.lit(True)))
@@ -184,27 +179,12 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
         neg = pdf["_nl"].to_numpy()
         s_eff = int((~pdf["_la"]).sum())
         n_rem = int(pdf["_n"].iloc[0]) - b * block_rows
-        task = pdf["task"].iloc[0]
-        rows = [(task, b, e, ex, nb) for e, (ex, nb) in enumerate(
-            _block_map(_batch_lengths(neg, n_rem, *args), s_eff, n_rem, G))]
-        return pd.DataFrame(rows, columns=["task", "block", "entry", "exit", "nb"])
-
-    maps = grp.groupBy("task", "block").applyInPandas(transfer, "task string, block long, entry int, exit int, nb long")
-    # B·world small rows per block reach the driver; chained per task in block order
-    table: dict[tuple[str, int], dict[int, tuple[int, int]]] = {}
-    for r in maps.collect():
-        table.setdefault((r["task"], r["block"]), {})[r["entry"]] = (r["exit"], r["nb"])
-    starts_rows = []
-    for task in sorted({k[0] for k in table}, key=lambda x: (x is not None, x or "")):
-        entry, first = 0, 0
-        for b in sorted(k[1] for k in table if k[0] == task):
-            if entry < 0:
-                break
-            starts_rows.append((task, b, entry, first))
-            ex, nb = table[(task, b)][entry]
-            first += nb
-            entry = ex
-    start_df = d.sparkSession.createDataFrame(starts_rows, "task string, block long, entry int, first_batch long")
+        exits = _block_map(_batch_lengths(neg, n_rem, *args), s_eff, n_rem, G)
+        return pd.DataFrame({"task": [pdf["task"].iloc[0]], "block": [b], "exits": [[e for e, _ in exits]], "starts": [[n for _, n in exits]]})
+
+    maps = grp.groupBy("task", "block").applyInPandas(transfer, "task string, block long, exits array<int>, starts array<long>")
+    steps = F.zip_with("exits", "starts", lambda e, n: F.struct(e.alias("exit"), n.alias("n")))
+    start_df = chain_blocks(maps.select("task", "block", steps.alias("map")), ["task"]).withColumnRenamed("first", "first_batch")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")

@@ -33,7 +33,7 @@ def tsv_lines(t: Tables):
     rec = F.concat_ws("\t", "source", F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")), first_line(F.col("text")),
                       F.lit("none"), "lang", "text", F.col("doc_id").cast("string"), F.lit("0"), F.lit("null"))
     ex = d.select("doc_id", F.posexplode(F.split(rec, "\n")).alias("i", "line"))
-    return ex.select(F.lit("news").alias("file"), (F.col("doc_id") * 1_000_000 + F.col("i")).alias("line_no"), "line")
+    return ex.select(F.lit("news").alias("file"), F.struct("doc_id", "i").alias("line_no"), "line")
 
 
 @register("parse_multiline_tsv", f"""SELECT 'news' AS file, row_number() OVER (ORDER BY doc_id) - 1 AS record, source,
