@@ -164,8 +164,8 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
     s = seed + epoch
     keys = [F.col(k) for k in key_cols]
     d = df.withColumn("task", task_key(df, label_group_subsets)).withColumn("_nl", negative_count(df, neg_len))
-    d = hash_row_index(d, ["task"], h(s, "row", *keys), list(key_cols), out="_pos")
-    narrow = cut_lineage(d.select("task", "_pos", "_nl"))
+    d = cut_lineage(hash_row_index(d, ["task"], h(s, "row", *keys), list(key_cols), out="_pos"))
+    narrow = d.select("task", "_pos", "_nl")
     sizes = narrow.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
     own = narrow.withColumn("block", F.floor(F.col("_pos") / block_rows).cast("bigint")).withColumn("_la", F.lit(False))
     look = (narrow.filter((F.col("_pos") % block_rows < G - 1) & (F.col("_pos") >= block_rows))

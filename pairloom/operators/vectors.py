@@ -1,27 +1,24 @@
 """Vector operators: lookups, exact top-k mining, encoding, corpus geometry.
 
-Exact nearest neighbours are exhaustive by definition (the reference uses a flat exact index). The corpus
-stays where it is: each query block (size-checked, ``≤ max_block_bytes``) is broadcast once and every
-corpus partition computes a NumPy matmul and keeps only its local top-K per query (Arrow batches in
-``mapInPandas``); a per-query ``row_number() ≤ K`` then merges the partial lists (Spark applies the limit
-map-side first). Memory per task is block × partition-batch, never corpus × queries.
+Exact nearest neighbours are exhaustive by definition (the reference uses a flat exact index). Queries and corpus are
+cut into blocks, and each pair of blocks is one bounded group: a NumPy product keeps the best ``k`` of the corpus block for
+each query, and a per-query ``row_number() ≤ k`` merges the partial lists. Corpus blocks stand in order of norm: the
+first one gives every query a threshold, and a query goes only to those of the others that can still reach it.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import norm as norm_of
+from ..session import cut_lineage
 from .indexing import null_safe_join, range_row_index
 
-MAX_BLOCK_BYTES = 200 * 1024 * 1024
-
 
 def lookup_vectors(rows: DataFrame, emb: DataFrame, idx_cols: tuple[str, ...] = ("anc_emb_idx", "pos_emb_idx"),
                    arr_col: str | None = "neg_emb_idx", key: tuple[str, ...] = ("subset", "id")) -> DataFrame:
@@ -41,111 +38,158 @@ def lookup_vectors(rows: DataFrame, emb: DataFrame, idx_cols: tuple[str, ...] =
     return out
 
 
-def _blocks(queries: DataFrame, dim: int, max_block_bytes: int) -> list[DataFrame]:
-    n = queries.count()
-    per = max(1, max_block_bytes // max(1, dim * 8))
-    if n <= per:
-        return [queries]
-    nb = math.ceil(n / per)
-    q = range_row_index(queries, [("qid", True)], out="_qpos")
-    return [q.filter((F.col("_qpos") >= b * per) & (F.col("_qpos") < (b + 1) * per)).drop("_qpos") for b in range(nb)]
-
-
-def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, max_block_bytes: int = MAX_BLOCK_BYTES,
-                       metric: str = "ip") -> DataFrame:
-    """Exact top-``k`` per query: queries(qid, vec) × corpus(cid, vec) → (qid, cid, score, rank).
-
-    ``metric='ip'`` ranks by inner product (descending); ``'l2'`` by Euclidean distance (ascending).
-    Ties are broken by ``cid``.
+QUERY_BLOCK = 4096
+CORPUS_BLOCK = 16384
+
+
+def _block_search(metric: str, k: int, step: int = 256):
+    """Group function: left rows are queries (``vec``) and exclusions (``cid``, no vec), right rows the corpus block."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        q, x = left[left["vec"].notna()], left[left["vec"].isna()]
+        if q.empty or right.empty:
+            return pd.DataFrame({"qid": q["qid"][:0], "cid": right["cid"][:0], "score": np.zeros(0)})
+        right = right.sort_values("cid", kind="stable")  # equal scores: smaller cid first
+        cm = np.stack(right["vec"].to_numpy()).astype(np.float64)
+        cids, size = right["cid"].to_numpy(), (cm * cm).sum(1)
+        hidden = x[["grp", "cid"]].merge(pd.DataFrame({"cid": cids, "col": np.arange(len(cids))}), on="cid")[["grp", "col"]]
+        out = []
+        for low in range(0, len(q), step):
+            part = q.iloc[low:low + step]
+            qm = np.stack(part["vec"].to_numpy()).astype(np.float64)
+            cost = -(qm @ cm.T)
+            if metric == "l2":
+                cost = np.sqrt(np.maximum((qm * qm).sum(1)[:, None] + size[None, :] + 2 * cost, 0.0))
+            limit = part["limit"].to_numpy(dtype=np.float64)  # NaN: none known; a slack covers rounding
+            cost[cost > np.where(np.isnan(limit), np.inf, limit + 1e-9 * (1 + np.abs(limit)))[:, None]] = np.inf
+            if len(hidden):
+                gone = pd.DataFrame({"grp": part["grp"].to_numpy(), "row": np.arange(len(part))}).merge(hidden, on="grp")
+                cost[gone["row"].to_numpy(), gone["col"].to_numpy()] = np.inf
+            kk = min(k, len(cids))
+            edge = np.partition(cost, kk - 1, axis=1)[:, kk - 1]
+            row, col = np.nonzero((cost <= edge[:, None]) & (cost < np.inf))
+            order = np.lexsort((col, cost[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < kk
+            row, col = row[keep], col[keep]
+            found = cost[row, col]
+            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[row], "cid": cids[col], "score": -found if metric == "ip" else found}))
+        return pd.concat(out)
+
+    return run
+
+
+def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", excluded: DataFrame | None = None,
+                       query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """Exact top-``k`` per query: queries(qid, vec[, grp]) × corpus(cid, vec) → (qid, cid, score, rank).
+
+    ``metric='ip'`` ranks by inner product (descending); ``'l2'`` by Euclidean distance (ascending). Ties are broken by ``cid``; ids
+    are of any type that sorts. ``excluded``(grp, cid) names pairs to leave out before the top-k, by the group of the query.
+    Rows without a vector take no part. ``qid`` names one query; a ``cid`` may repeat.
     """
-    spark = queries.sparkSession
-    dim = len(queries.select("vec").first()[0]) if not queries.isEmpty() else 0
-    parts = []
-    for block in _blocks(queries.select("qid", "vec"), dim, max_block_bytes):
-        pdf = block.toPandas()  # bounded: one block of at most max_block_bytes of vectors
-        qids = pdf["qid"].to_numpy()
-        qm = np.stack(pdf["vec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
-        bq = spark.sparkContext.broadcast((qids, qm))
-
-        def scan(it: Iterator[pd.DataFrame], _bq=bq) -> Iterator[pd.DataFrame]:
-            q_ids, q_m = _bq.value
-            qn = (q_m * q_m).sum(1)
-            for cdf in it:
-                if cdf.empty or len(q_ids) == 0:
-                    continue
-                cm = np.stack(cdf["vec"].to_numpy()).astype(np.float64)
-                cids = cdf["cid"].to_numpy()
-                s = q_m @ cm.T
-                if metric == "l2":
-                    d2 = np.maximum(qn[:, None] + (cm * cm).sum(1)[None, :] - 2 * s, 0.0)
-                    key = np.sqrt(d2)
-                else:
-                    key = -s
-                kk = min(k, len(cids))
-                # local top-k per query (ties → smaller cid), then emit only those
-                order = np.lexsort((np.broadcast_to(cids, key.shape), key), axis=1)[:, :kk]
-                rows = np.repeat(np.arange(len(q_ids)), kk)
-                cols = order.reshape(-1)
-                score = (s if metric == "ip" else key)[rows, cols]
-                yield pd.DataFrame({"qid": q_ids[rows], "cid": cids[cols], "score": score})
-
-        parts.append(corpus.select("cid", "vec").mapInPandas(scan, "qid long, cid long, score double"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+    corpus = corpus.select("cid", "vec").where("vec IS NOT NULL")
+    norm = norm_of(F.col("vec"))
+    n_q, n_c = queries.count(), corpus.count()
+    q_blocks, c_blocks = max(1, -(-n_q // query_block)), max(1, -(-n_c // corpus_block))
+    grp = F.col("grp") if "grp" in queries.columns else F.lit(None).cast("string")
+    q = queries.where("vec IS NOT NULL").select("qid", "vec", grp.alias("grp"), F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb"))
+    c = corpus.withColumn("cb", F.lit(0).cast("long"))
+    if c_blocks > 1:
+        c = range_row_index(corpus.withColumn("norm", norm), [("norm", False), ("cid", True)], out="cb")
+        c = cut_lineage(c.withColumn("cb", F.floor(F.col("cb") / corpus_block).cast("long")))
+    hidden = None
+    if excluded is not None:
+        at = excluded.select("grp", "cid").join(q.select("grp", "qb").distinct(), "grp")
+        hidden = at.join(c.select("cid", "cb").distinct(), "cid").distinct()
+    schema = f"qid {q.schema['qid'].dataType.simpleString()}, cid {c.schema['cid'].dataType.simpleString()}, score double"
+
+    def search(asked: DataFrame, right: DataFrame, hidden: DataFrame | None) -> DataFrame:
+        left = asked.select("qb", "cb", "qid", "vec", "grp", "limit", F.lit(None).cast(c.schema["cid"].dataType).alias("cid"))
+        if hidden is not None:
+            none = {"qid": q.schema["qid"].dataType, "vec": q.schema["vec"].dataType, "limit": "double"}
+            rows = hidden.withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
+            left = left.unionByName(rows.select(*left.columns))
+        right = right.select("qb", "cb", "cid", "vec")
+        # both sides come from one table when a corpus is searched with itself: names of their own keep them apart
+        left, right = left.toDF(*left.columns), right.toDF("c_qb", "c_cb", "cid", "vec")
+        return left.groupBy("qb", "cb").cogroup(right.groupBy("c_qb", "c_cb")).applyInPandas(_block_search(metric, k), schema)
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
+    largest = c.where("cb = 0") if c_blocks > 1 else c
+    found = search(q.withColumns({"cb": F.lit(0).cast("long"), "limit": F.lit(None).cast("double")}), largest.withColumn("qb", every),
+                   hidden.where("cb = 0") if hidden is not None else None)
+    if c_blocks > 1:
+        found = cut_lineage(found)
+        cost = -F.col("score") if metric == "ip" else F.col("score")
+        # the k-th cost of the first block; a slack covers rounding in the norms
+        kth = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max(cost)).alias("limit"))
+        spans = c.where("cb > 0").groupBy("cb").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+        own = norm_of(F.col("vec"))
+        bound = -own * F.col("high") if metric == "ip" else F.greatest(own - F.col("high"), F.col("low") - own, F.lit(0.0))
+        reach = q.join(kth, "qid", "left").withColumn("cb", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(c_blocks - 1).cast("long"))))
+        slack = F.lit(1e-9) * (1 + own * F.col("high") + own)
+        reach = reach.join(spans, "cb").where(F.col("limit").isNull() | (bound <= F.col("limit") + slack)).drop("low", "high")
+        cells = reach.select("qb", "cb").distinct()
+        found = found.unionByName(search(reach, c.join(cells, "cb"), hidden.join(cells, ["qb", "cb"], "left_semi") if hidden is not None else None))
     order = F.desc("score") if metric == "ip" else F.asc("score")
     w = Window.partitionBy("qid").orderBy(order, F.asc("cid"))
-    return allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def mine_hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFrame, k: int = 10,
-                        max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def mine_hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK,
+                        corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """Per query the ``k`` corpus items of highest inner product that are not positives of the query's
     *text* (positives of every query id sharing the text). queries(qid, qtext, vec), corpus(cid, vec),
-    positives(qtext, cid) → (qid, rank, cid, score)."""
-    pos = positives.select("qtext", "cid").distinct()
-    npos = pos.groupBy("qtext").count().agg(F.max("count")).first()[0] or 0
-    kk = k + int(npos)
-    top = topk_inner_product(queries, corpus, kk, max_block_bytes)
-    top = top.join(queries.select("qid", "qtext"), "qid").join(pos, ["qtext", "cid"], "left_anti")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("cid"))
-    return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        "qid", F.col("rank").cast("bigint").alias("rank"), "cid", F.round("score", 6).alias("score"))
+    positives(qtext, cid) → (qid, rank, cid, score). Ids are of any type. Positives leave the blocks before the top-k, so a
+    query with many of them costs no more than others."""
+    excluded = positives.select(F.col("qtext").alias("grp"), "cid").distinct()
+    top = topk_inner_product(queries.select("qid", "vec", F.col("qtext").alias("grp")), corpus, k, "ip", excluded, query_block, corpus_block)
+    return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "cid", F.round("score", 6).alias("score"))
 
 
 # ---------------- encoding ----------------
 
-def hashing_encoder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.ndarray]:
-    """Deterministic stand-in encoder: character n-grams hashed (crc32) to signed buckets, L2-normalised."""
+def hashed_ngrams(text: Column, dim: int = 64, n: int = 3) -> Column:
+    """Vector of character n-grams as a column expression: each gram of `` text `` (NULL: empty) adds or subtracts one in a bucket
+    that the first 32 bits of its md5 name (bucket: modulo ``dim``; sign: bit 16), then the vector is scaled to length one.
+
+    The codes (bucket, sign) are sorted with one more of each, so a code's count is the gap between two first places.
+    """
+    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    chars = F.split(padded, "")
+    last = F.greatest(F.size(chars) - n, F.lit(0))
+    grams = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(
+        *[F.coalesce(F.get(c, i + j), F.lit("")) for j in range(n)])))[0]
 
-    def enc(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            s = f" {t or ''} "
-            for j in range(max(1, len(s) - n + 1)):
-                hv = zlib.crc32(s[j:j + n].encode("utf-8"))
-                out[i, hv % dim] += 1.0 if (hv >> 16) & 1 else -1.0
-        nrm = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, nrm, out=np.zeros_like(out), where=nrm > 0)
+    def code(gram: Column) -> Column:
+        draw = F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint")
+        return (F.pmod(draw, F.lit(dim)) * 2 + F.shiftright(draw, 16).bitwiseAND(F.lit(1))).cast("int")
 
-    return enc
+    codes = F.sort_array(F.concat(F.transform(grams, code), F.sequence(F.lit(0), F.lit(2 * dim))))
+    first = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.lit(2 * dim)), lambda j: F.array_position(c, j)))[0]
+    # of each bucket: (plus ones + 1) - (minus ones + 1)
+    sums = F.transform(F.array(first), lambda f: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (
+        F.get(f, 2 * b + 2) - 2 * F.get(f, 2 * b + 1) + F.get(f, 2 * b)).cast("double")))[0]
+    return F.transform(F.array(sums), lambda v: F.transform(F.array(norm_of(v)), lambda size: F.transform(
+        v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)).cast("float")))[0])[0]
 
 
 def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb_idx",),
                  encoder: Callable[[list[str]], np.ndarray] | None = None, batch_rows: int | dict[str, int] = 64,
                  done: DataFrame | None = None, length_col: str | None = "len", bucket_col: str = "bucket") -> DataFrame:
-    """Vector per text via a user encoder ``list[str] → ndarray`` in Arrow batches.
+    """Vector per text: ``hashed_ngrams``, or a user encoder ``list[str] → ndarray`` in Arrow batches.
 
-    Rows are sorted by length inside each partition so batches hold similar lengths (less padding for
+    For a user encoder, rows are sorted by length inside each partition so batches hold similar lengths (less padding for
     real models); ``batch_rows`` may map length buckets (``bucket_col``, see ``length_buckets``) to their
     own batch size; ``done`` (already encoded keys) is anti-joined first, which makes a rerun resume.
     """
-    enc = encoder or hashing_encoder()
     per_bucket = isinstance(batch_rows, dict)
     extra = [c for c in ([length_col] if length_col else []) + ([bucket_col] if per_bucket else []) if c in df.columns]
     d = df.select(*key, text, *extra)
     if done is not None:
-        d = d.join(done.select(*key), list(key), "left_anti")
+        d = null_safe_join(d, done.select(*key), key, "left_anti")
+    if encoder is None:
+        return d.select(*key, hashed_ngrams(F.col(text)).alias("embedding"))
     if length_col and length_col in d.columns:
         d = d.sortWithinPartitions(F.desc(length_col))
     key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
@@ -163,7 +207,7 @@ def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for part in batches(pdf):
-                vecs = enc(part[text].fillna("").tolist())
+                vecs = encoder(part[text].fillna("").tolist())
                 o = part[list(key)].copy()
                 o["embedding"] = [v.astype(np.float32) for v in vecs]
                 yield o
@@ -206,12 +250,11 @@ def iso_score(vectors: DataFrame, col: str = "vec") -> DataFrame:
                     F.round(F.coalesce(score, F.lit(0.0)), 6).alias("iso_score"))
 
 
-def two_nn_dimension(vectors: DataFrame, id_col: str = "vid", col: str = "vec", discard: float = 0.1,
-                     max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def two_nn_dimension(vectors: DataFrame, id_col: str = "vid", col: str = "vec", discard: float = 0.1) -> DataFrame:
     """TwoNN intrinsic dimension (Facco et al. 2017): μ = r₂/r₁ per point, drop r₁ = 0 and the
     largest ``discard`` share, fit −log(1 − i/N) = d·log μᵢ through the origin: d = Σxy / Σx²."""
     v = vectors.select(F.col(id_col).alias("qid"), F.col(col).alias("vec"))
-    nn = topk_inner_product(v, v.withColumnRenamed("qid", "cid"), 3, max_block_bytes, metric="l2")
+    nn = topk_inner_product(v, v.withColumnRenamed("qid", "cid"), 3, metric="l2")
     nn = nn.filter(F.col("qid") != F.col("cid"))
     w = Window.partitionBy("qid").orderBy("score", "cid")
     nn = nn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2)

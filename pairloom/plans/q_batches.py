@@ -111,8 +111,6 @@ FROM rn r JOIN bt b ON b.task = r.task AND r.pos >= b.j AND r.pos < b.j + b.gs J
 @register("batch_plan_dynamic", dyn_sql())
 def q_batch_plan_dynamic(t):
     enc = _encoded(t).withColumn("neg_len", F.size("neg"))
-    # small blocks (at least 40 rows, about 64 blocks in all) so the block chaining is exercised at every scale
-    block = max(40, enc.count() // 64)
     out = B.batch_plan_dynamic(enc, ["subset", "id"], PER_RANK, WORLD, P_MAX, None, SEED, EPOCH, LABEL_TASKS,
-                               block_rows=block)
+                               block_rows=200)
     return out.select("subset", "id", "task", "batch_no", "row_in_batch", "batch_id")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import joins as J
 from ..operators import vectors as VO
-from .fixtures import LOSS_IN_SQL, Tables, loss_inputs
-from .q_flat import flat_pairs
+from .fixtures import LOSS_IN_SQL, TRIP_SQL, Tables, loss_inputs
+from .q_flat import FLAT_SQL, flat_pairs
 from .registry import register
 
 
@@ -55,8 +55,7 @@ r AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score
 SELECT qid, rank, cid, round(score, 6) AS score FROM r WHERE rank <= 10"""
 
 
-@register("mine_hard_negatives", MINE_SQL)
-def q_mine_hard_negatives(t: Tables):
+def _mine_inputs(t: Tables):
     li = loss_inputs(t)
     e = _emb(t)
     # two vector ids share a query text (vec_id div 2), so positives are unioned over both
@@ -64,8 +63,31 @@ def q_mine_hard_negatives(t: Tables):
     corpus = e.select(F.col("vec_id").alias("cid"), F.col("v").alias("vec"))
     own = li.select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("cid")).unionByName(
         li.select(F.col("vec_id").alias("qid"), F.col("pos_id").alias("cid")))
-    positives = own.join(queries.select("qid", "qtext"), "qid").select("qtext", "cid")
-    return VO.mine_hard_negatives(queries, corpus, positives, k=10)
+    return queries, corpus, own.join(queries.select("qid", "qtext"), "qid").select("qtext", "cid")
+
+
+@register("mine_hard_negatives", MINE_SQL)
+def q_mine_hard_negatives(t: Tables):
+    return VO.mine_hard_negatives(*_mine_inputs(t), k=10)
+
+
+def _named(c: str, mark: str):
+    return F.concat(F.lit(mark), F.col(c).cast("string")).alias(c)
+
+
+@register("mine_hard_negatives_text_ids", f"""WITH {LOSS_IN_SQL},
+q AS (SELECT 'q' || vec_id AS qid, 'd' || vec_id AS did, CAST(vec_id // 2 AS VARCHAR) AS qtext, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+own AS (SELECT 'q' || vec_id AS qid, 'd' || vec_id AS cid FROM li UNION ALL SELECT 'q' || vec_id, 'd' || pos_id FROM li),
+pos AS (SELECT DISTINCT q.qtext, own.cid FROM q JOIN own USING (qid)),
+sc AS (SELECT q.qid, q.qtext, c.did AS cid, list_dot_product(q.v, c.v) AS score FROM q JOIN q c ON TRUE),
+f AS (SELECT sc.* FROM sc ANTI JOIN pos ON pos.qtext = sc.qtext AND pos.cid = sc.cid),
+r AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM f)
+SELECT qid, rank, cid, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def q_mine_hard_negatives_text_ids(t: Tables):
+    """Ids are text, and the blocks are small, so that several meet at every scale."""
+    queries, corpus, positives = _mine_inputs(t)
+    return VO.mine_hard_negatives(queries.select(_named("qid", "q"), "qtext", "vec"), corpus.select(_named("cid", "d"), "vec"),
+                                  positives.select("qtext", _named("cid", "d")), k=10, query_block=2048, corpus_block=400)
 
 
 @register("two_nn_dimension", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -90,14 +112,41 @@ def q_iso_score(t: Tables):
     return VO.iso_score(_emb(t).select(F.col("v").alias("vec")))
 
 
-@register("encode_texts")
+def encode_sql(texts: str, key: str, dim: int = 64, n: int = 3) -> str:
+    """CTEs from ``texts``(key, text) to ``vecs``(key, embedding): the default encoder in SQL."""
+    return f"""padded AS (SELECT {key}, ' ' || coalesce(text, '') || ' ' AS s FROM {texts}),
+grams AS (SELECT {key}, substr(s, CAST(i AS BIGINT), {n}) AS g FROM (SELECT {key}, s, unnest(range(1, greatest(length(s) - {n}, 0) + 2)) AS i FROM padded)),
+draws AS (SELECT {key}, ('0x' || substr(md5(g), 1, 8))::BIGINT AS d FROM grams),
+cells AS (SELECT {key}, d % {dim} AS b, CAST(sum(CASE WHEN (d >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM draws GROUP BY ALL),
+norms AS (SELECT {key}, sqrt(sum(v * v)) AS size FROM cells GROUP BY {key}),
+places AS (SELECT {key}, size, unnest(range({dim})) AS b FROM norms),
+vecs AS (SELECT p.{key}, list(CAST(CASE WHEN p.size > 0 THEN coalesce(c.v, 0) / p.size ELSE 0 END AS FLOAT) ORDER BY p.b) AS embedding
+  FROM places p LEFT JOIN cells c ON c.{key} = p.{key} AND c.b = p.b GROUP BY p.{key})"""
+
+
+def _rounded(v):
+    return F.transform(v, lambda x: F.round(x.cast("double"), 6))
+
+
+@register("encode_texts", f"""WITH {FLAT_SQL},
+{encode_sql('enc', 'emb_idx')}
+SELECT emb_idx, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding FROM vecs""")
 def q_encode_texts(t: Tables):
     from ..operators import ordering as O
     flat = O.dense_index(flat_pairs(t))
-    return VO.encode_texts(flat, "text", ("emb_idx",))
-
-
-@register("encode_unique")
+    return VO.encode_texts(flat, "text", ("emb_idx",)).select("emb_idx", _rounded("embedding").alias("embedding"))
+
+
+@register("encode_unique", f"""WITH {TRIP_SQL},
+ex AS (SELECT subset, id, unnest(neg) AS text, unnest(range(0, len(neg))) AS p FROM trip),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY subset, id, p) AS r FROM ex WHERE text IS NOT NULL) WHERE r = 1),
+ids AS (SELECT text, row_number() OVER (ORDER BY subset, id, p) - 1 AS text_id FROM f),
+{encode_sql('ids', 'text_id')},
+g AS (SELECT ex.subset, ex.id, list(ids.text_id ORDER BY ex.p) AS neg_emb_idx,
+        list(list_transform(v.embedding, lambda x: round(CAST(x AS DOUBLE), 6)) ORDER BY ex.p) AS neg_vecs
+      FROM ex JOIN ids USING (text) JOIN vecs v USING (text_id) GROUP BY ALL)
+SELECT t.subset, t.id, coalesce(g.neg_emb_idx, CAST([] AS BIGINT[])) AS neg_emb_idx, coalesce(g.neg_vecs, CAST([] AS DOUBLE[][])) AS neg_vecs
+FROM trip t LEFT JOIN g USING (subset, id)""")
 def q_encode_unique(t: Tables):
     """Encode each distinct negative text once, then map the vectors back in array order."""
     from .fixtures import triplets
@@ -105,4 +154,5 @@ def q_encode_unique(t: Tables):
     ids = J.unique_texts(tr, ["subset", "id"])
     vecs = VO.encode_texts(ids.withColumnRenamed("text_id", "emb_idx"), "text", ("emb_idx",), length_col=None)
     withids = J.neg_ids(tr, ids, ["subset", "id"], out="neg_emb_idx")
-    return VO.lookup_vectors(withids.select("subset", "id", "neg_emb_idx"), vecs, idx_cols=(), key=("subset", "id"))
+    out = VO.lookup_vectors(withids.select("subset", "id", "neg_emb_idx"), vecs, idx_cols=(), key=("subset", "id"))
+    return out.select("subset", "id", "neg_emb_idx", F.transform("neg_vecs", _rounded).alias("neg_vecs"))
