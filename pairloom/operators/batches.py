@@ -199,10 +199,10 @@ def batch_plan_dynamic(df: DataFrame, key_cols: Sequence[str], per_rank: int, wo
                              "batch_no": int(pdf["first_batch"].iloc[0]) + np.repeat(np.arange(len(at)), rows_in),
                              "row_in_batch": inside.astype(np.int32)})
 
-    tagged = null_safe_join(grp, start_df, ["task", "block"]).groupBy("task", "block").applyInPandas(
-        assign, "task string, _pos long, batch_no long, row_in_batch int")
+    tagged = cut_lineage(null_safe_join(grp, start_df, ["task", "block"]).groupBy("task", "block").applyInPandas(
+        assign, "task string, _pos long, batch_no long, row_in_batch int"))
     rows = null_safe_join(d, tagged, ["task", "_pos"]).drop("_nl")
-    batches = rows.select("task", "batch_no").distinct()
+    batches = tagged.where("row_in_batch = 0").select("task", "batch_no")
     border = h(s, "batch", F.col("task"), F.col("batch_no")) if shuffle_batches else F.lit(0)
     batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id")
     return null_safe_join(rows, batches, ["task", "batch_no"]).drop("_pos")

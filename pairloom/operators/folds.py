@@ -16,7 +16,7 @@ from ..session import cut_lineage
 from .indexing import null_safe_join
 
 #: blocks composed in one step; a group holds at most this many maps
-FAN_IN = 32
+FAN_IN = 64
 
 #: type of a block's map: the element at a state (0-based) is the exit state, -1 for an ended fold, and the count
 MAP_TYPE = "array<struct<exit: int, n: bigint>>"
@@ -33,19 +33,22 @@ def chain_blocks(maps: DataFrame, group: Sequence[str], block: str = "block", ma
     last = low.agg(F.max("__cbblock")).first()[0]
     if last is None:
         return low.select(*group, F.col("__cbblock").alias(block), F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("first"))
-    parents = []
-    while last > 0:
-        members = F.array_sort(F.collect_list(F.struct("__cbblock", "__cbmap")))
-        parent = low.groupBy(*group, F.floor(F.col("__cbblock") / fan_in).cast("bigint").alias("__cbup")).agg(members.alias("__cbm"))
-        parents.append(cut_lineage(parent))
-        low = cut_lineage(parents[-1].select(*group, F.col("__cbup").alias("__cbblock"), _composed("__cbm").alias("__cbmap")))
+    members = F.array_sort(F.collect_list(F.struct("__cbblock", "__cbmap"))).alias("__cbm")
+    up = F.floor(F.col("__cbblock") / fan_in).cast("bigint").alias("__cbup")
+    levels = [low]
+    while last >= fan_in:
+        parent = levels[-1].groupBy(*group, up).agg(members)
+        levels.append(cut_lineage(parent.select(*group, F.col("__cbup").alias("__cbblock"), _composed("__cbm").alias("__cbmap"))))
         last //= fan_in
-    known = low.select(*group, "__cbblock", F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("first"))
-    for parent in reversed(parents):
-        met = null_safe_join(parent.withColumnRenamed("__cbup", "__cbblock"), known, [*group, "__cbblock"])
-        known = met.select(*group, F.explode(_entries("__cbm")).alias("__cbx")).select(
-            *group, F.col("__cbx.block").alias("__cbblock"), "__cbx.entry", "__cbx.first").where("entry >= 0")
-        known = cut_lineage(known)
+    known = None
+    for level in reversed(levels):
+        parent = level.groupBy(*group, up).agg(members)
+        if known is None:  # one parent a group, entered at the start
+            met = parent.select(*group, "__cbm", F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("first"))
+        else:
+            met = null_safe_join(parent, known.withColumnRenamed("__cbblock", "__cbup"), [*group, "__cbup"])
+        entries = met.select(*group, F.explode(_entries("__cbm")).alias("__cbx"))
+        known = cut_lineage(entries.select(*group, F.col("__cbx.block").alias("__cbblock"), "__cbx.entry", "__cbx.first").where("entry >= 0"))
     return known.withColumnRenamed("__cbblock", block)
 
 

@@ -8,11 +8,11 @@ first one gives every query a threshold, and a query goes only to those of the o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm as norm_of
@@ -149,29 +149,25 @@ def mine_hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFr
 
 # ---------------- encoding ----------------
 
-def hashed_ngrams(text: Column, dim: int = 64, n: int = 3) -> Column:
-    """Vector of character n-grams as a column expression: each gram of `` text `` (NULL: empty) adds or subtracts one in a bucket
-    that the first 32 bits of its md5 name (bucket: modulo ``dim``; sign: bit 16), then the vector is scaled to length one.
+def hashed_ngrams(df: DataFrame, key: Sequence[str], text: str = "text", dim: int = 64, n: int = 3) -> DataFrame:
+    """(*key, text) → (*key, embedding): each character n-gram of `` text `` (NULL: empty) adds or subtracts one in a bucket that
+    the first 32 bits of its md5 name (bucket: modulo ``dim``; sign: bit 16); the vector is scaled to length one.
 
-    The codes (bucket, sign) are sorted with one more of each, so a code's count is the gap between two first places.
+    ``key`` names a text (NULL is a key). Grams are summed by (key, bucket) before they move, so at most ``dim`` rows a text are shuffled.
     """
-    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    chars = F.split(padded, "")
-    last = F.greatest(F.size(chars) - n, F.lit(0))
-    grams = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(
-        *[F.coalesce(F.get(c, i + j), F.lit("")) for j in range(n)])))[0]
-
-    def code(gram: Column) -> Column:
-        draw = F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint")
-        return (F.pmod(draw, F.lit(dim)) * 2 + F.shiftright(draw, 16).bitwiseAND(F.lit(1))).cast("int")
-
-    codes = F.sort_array(F.concat(F.transform(grams, code), F.sequence(F.lit(0), F.lit(2 * dim))))
-    first = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.lit(2 * dim)), lambda j: F.array_position(c, j)))[0]
-    # of each bucket: (plus ones + 1) - (minus ones + 1)
-    sums = F.transform(F.array(first), lambda f: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (
-        F.get(f, 2 * b + 2) - 2 * F.get(f, 2 * b + 1) + F.get(f, 2 * b)).cast("double")))[0]
-    return F.transform(F.array(sums), lambda v: F.transform(F.array(norm_of(v)), lambda size: F.transform(
-        v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)).cast("float")))[0])[0]
+    chars = F.split(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" ")), "")
+    d = df.select(*key, chars.alias("__hnc"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__hnc") - n, F.lit(0)))
+    gram = F.transform(starts, lambda i: F.concat(*[F.coalesce(F.get("__hnc", i + j), F.lit("")) for j in range(n)]))
+    d = d.select(*key, F.explode(gram).alias("__hng"))
+    d = d.select(*key, F.conv(F.substring(F.md5("__hng"), 1, 8), 16, 10).cast("bigint").alias("__hnd"))
+    sign = F.shiftright("__hnd", 16).bitwiseAND(F.lit(1)) * 2 - 1
+    cells = d.groupBy(*key, F.pmod("__hnd", F.lit(dim)).cast("int").alias("__hnb")).agg(F.sum(sign).cast("double").alias("__hnv"))
+    sums = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__hnb", "__hnv"))).alias("__hnm"),
+                                   F.sqrt(F.sum(F.col("__hnv") * F.col("__hnv"))).alias("__hns"))
+    size, value = F.col("__hns"), lambda b: F.coalesce(F.try_element_at("__hnm", b), F.lit(0.0))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.when(size > 0, value(b) / size).otherwise(F.lit(0.0)).cast("float"))
+    return sums.select(*key, parts.alias("embedding"))
 
 
 def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb_idx",),
@@ -189,7 +185,7 @@ def encode_texts(df: DataFrame, text: str = "text", key: tuple[str, ...] = ("emb
     if done is not None:
         d = null_safe_join(d, done.select(*key), key, "left_anti")
     if encoder is None:
-        return d.select(*key, hashed_ngrams(F.col(text)).alias("embedding"))
+        return hashed_ngrams(d, key, text)
     if length_col and length_col in d.columns:
         d = d.sortWithinPartitions(F.desc(length_col))
     key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
