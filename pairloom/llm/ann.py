@@ -129,7 +129,7 @@ def nearest(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
                          "score": np.concatenate([o[2] for o in out]).astype(np.float64)})
 
     found = blocked(rows, queries, n, n_queries, "query_id long, vec_id long, score double", search)
-    return best(found, k, F.col("score"), distinct=True)
+    return best(found, k, F.col("score"))
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:

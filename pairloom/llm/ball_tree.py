@@ -117,9 +117,9 @@ def exact_top(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vect
     # first round: the first shard only, so that every query has a k-th score to start from
     first = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-n // SHARD_ROWS)))) == 0)
     seeds = blocked(first, queries.withColumn("start", F.lit(float("-inf"))), 1, n_queries, result, search)
-    kth = best(seeds, k, F.col("score"), distinct=False).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("start"))
+    kth = best(seeds, k, F.col("score")).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("start"))
     informed = queries.join(kth, "id", "left").fillna(float("-inf"), ["start"])
-    return best(blocked(rows, informed, n, n_queries, result, search), k, F.col("score"), distinct=False)
+    return best(blocked(rows, informed, n, n_queries, result, search), k, F.col("score"))
 
 
 def op7_ball_tree(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ small ones at the end. Finally each bin is downsized to the smallest capacity th
 A document longer than the largest capacity is cut: full pieces fill bins of their own and the rest is packed like any
 other piece. No row is dropped.
 
-Blocks hold a bounded number of pieces by hash of (document, piece), so the packing is independent of the partitions. Rows that are
-alike in every field share a block, which is worked off in runs of bounded size.
+Blocks hold a bounded number of pieces by hash of (document, piece, copy), so the packing is independent of the partitions. Rows that are alike
+in id and length are counted before they move and numbered as copies, so they spread over all blocks.
 
 A null or empty text is one piece of its end mark alone (length 1). Repeated rows are packed each. An empty table gives no rows.
 """
@@ -28,6 +28,7 @@ from .common import table, utf8_size
 CAPACITIES = (2048, 4096, 8192, 16384)
 OVERHEAD = 64
 BLOCK_PIECES = 4096
+COPY_RUN = 65536  # copies of one row that are numbered at a time
 
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int) -> tuple[list[int], list[int], list[int]]:
@@ -67,28 +68,28 @@ def pack(docs: DataFrame, length: Column, key: str = "doc_id", capacities: tuple
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
     rows = docs.select(F.col(key).alias("key"), F.greatest(length.cast("long"), F.lit(1)).alias("n"))
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top)))).select(
-        "key", "piece", (F.col("piece") * top).alias("piece_start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
     total = rows.agg(F.sum(F.floor((F.col("n") - 1) / top) + 1)).first()[0] or 0
+    zero = F.lit(0).cast("long")
+    alike = rows.groupBy("key", "n").agg(F.count(F.lit(1)).alias("copies"))
+    runs = alike.withColumn("run", F.explode(F.sequence(zero, F.floor((F.col("copies") - 1) / COPY_RUN))))
+    last = F.least(F.lit(COPY_RUN), F.col("copies") - F.col("run") * COPY_RUN) - 1
+    copies = runs.withColumn("copy", F.explode(F.sequence(zero, last))).withColumn("copy", F.col("run") * COPY_RUN + F.col("copy"))
+    pieces = copies.withColumn("piece", F.explode(F.sequence(zero, F.floor((F.col("n") - 1) / top)))).select(
+        "key", "piece", "copy", (F.col("piece") * top).alias("piece_start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
     blocks = max(1, -(-total // block_pieces))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        order = [("length", "descending"), ("key", "ascending"), ("piece", "ascending")]
+        order = [("length", "descending"), ("key", "ascending"), ("piece", "ascending"), ("copy", "ascending")]
         t = t.sort_by(order)
-        block, out, bins = t.column("block")[0].as_py(), [], 0
-        for i in range(0, t.num_rows, 4 * block_pieces):
-            part = t.slice(i, 4 * block_pieces)
-            chosen, offset, size = best_fit(part.column("length").to_pylist(), capacities, overhead)
-            place = np.array(chosen, dtype=np.int64)
-            out.append(part.select(["key", "piece", "piece_start", "length"]).append_column(
-                "bin_id", pa.array(place + ((block << 32) + bins))).append_column(
-                "bin_offset", pa.array(offset, pa.int64())).append_column("capacity", pa.array(np.array(size, dtype=np.int64)[place])))
-            bins += len(size)
-        return pa.concat_tables(out)
+        block = t.column("block")[0].as_py()
+        chosen, offset, size = best_fit(t.column("length").to_pylist(), capacities, overhead)
+        place = np.array(chosen, dtype=np.int64)
+        return t.select(["key", "piece", "piece_start", "length"]).append_column("bin_id", pa.array(place + (block << 32))).append_column(
+            "bin_offset", pa.array(offset, pa.int64())).append_column("capacity", pa.array(np.array(size, dtype=np.int64)[place]))
 
     schema = f"key {kind}, piece long, piece_start long, length long, bin_id long, bin_offset long, capacity long"
-    return pieces.withColumn("block", F.pmod(F.xxhash64("key", "piece", "length"), F.lit(blocks))).groupBy("block").applyInArrow(
+    return pieces.withColumn("block", F.pmod(F.xxhash64("key", "piece", "length", "copy"), F.lit(blocks))).groupBy("block").applyInArrow(
         run, schema).withColumnRenamed("key", key)
 
 

@@ -64,10 +64,8 @@ def blocked(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, re
     return pairs.applyInArrow(run, result)
 
 
-def best(found: DataFrame, k: int, score: Column, distinct: bool) -> DataFrame:
+def best(found: DataFrame, k: int, score: Column) -> DataFrame:
     """The ``k`` best rows of each query: a merge of one short list per shard."""
-    if distinct:
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(score.desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -129,6 +129,44 @@ def test_packing(spark, docs, none):
     assert packing.best_fit([700, 400, 300, 200], (500, 1000), 10) == ([0, 1, 0, 2], [0, 0, 700, 0], [1000, 500, 500])
 
 
+def test_packing_spreads_rows_that_are_alike(spark):
+    """2,000 equal rows meet in no block of much more than 64 pieces, and the whole result is that of plain best fit over each block."""
+    rows = [(1, "x" * 300)] * 2000 + [(i, "y" * (i % 97)) for i in range(2, 600)] + [(None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs, packing.byte_length(), capacities=(512, 1024), block_pieces=64).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    blocks = collections.defaultdict(list)
+    for r in got:
+        blocks[r.bin_id >> 32].append(r)
+    assert max(len(b) for b in blocks.values()) < 130
+    for b in blocks.values():
+        want, open_bins = collections.Counter(), []
+        left = sum(r.length for r in b)
+        for n in sorted((r.length for r in b), reverse=True):
+            fits = [x for x in open_bins if x[0] - x[1] >= n]
+            if fits:
+                x = min(reversed(fits), key=lambda x: x[0] - x[1])  # of bins with equal room the one last used
+                open_bins = [y for y in open_bins if y is not x]
+            else:
+                x = [min((c for c in (512, 1024) if c >= n), key=lambda c: ((c + packing.OVERHEAD) / min(c, left), c)), 0]
+            open_bins.append(x)
+            x[1] += n
+            left -= n
+        want = collections.Counter((x[1], 512 if x[1] <= 512 else 1024) for x in open_bins)
+        have = collections.Counter()
+        for i in {r.bin_id for r in b}:
+            of = [r for r in b if r.bin_id == i]
+            have[(sum(r.length for r in of), of[0].capacity)] += 1
+        assert have == want
+
+
+def test_search_keeps_rows_of_one_id(spark):
+    x = [1.0, 0.5, 0.25]
+    df = spark.createDataFrame([(20, x), (3, x), (3, x), (3, [1.0, 0.5, 0.0]), (5, x)], "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id) for r in ann.nearest(df, F.col("id") % 20 == 0, 20).orderBy("rank").collect()]
+    assert got == [(1, 3), (2, 3), (3, 5), (4, 3)]
+
+
 VECTORS = "vec_id long, embedding array<float>, id string, v int"
 
 
