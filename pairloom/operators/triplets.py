@@ -1,209 +1,132 @@
 """Triplet construction by label pools (M1–M5).
 
-Label-pool sampling without holding any pool in memory:
-
-* ``pool``: every valid text gets a dense index inside its label (``hash_row_index``, ordered by
-  ``h(seed,'pool',key)``), so "pick a random member of label l" is the equi-join on ``(label_no, idx)``.
-* label counts are one number per label; they travel inside the plan as a literal array when the
-  label count is small (checked), otherwise as a joined table.
-* negatives: per anchor, draws ``d = 0..D-1`` pick a uniform *other* label then a uniform index;
-  repeats of ``(label, index)`` keep the first draw, texts equal to excluded texts are rejected,
-  the first ``num_negs`` accepted draws win. Anchors still short after a round draw again
-  (next ``D`` draws) until they are full or their usable pool is exhausted, so the result is
-  exactly "keep drawing until full" without ever looping forever (a short pool gives fewer).
-* text equality is tested on 64-bit hashes first; equal hashes are re-checked on the texts.
+Label-pool sampling without holding any pool in memory and without drawing again:
+
+* Every valid text gets one global position, ordered by (label, SHA-256 of the text, key), so a label is one run of
+  positions and so is each text inside a label. A row is known by its position: keys may repeat or be NULL.
+* What an anchor must not draw (its label, the texts equal to its anchor or positive) is a short list of runs. A pick is a number
+  below the count of the other positions, moved past the runs that lie before it. So no candidate is ever rejected.
+* Negatives: ``num_negs`` uniform draws of another label; a label drawn m times gives m of its usable positions by Floyd's subset
+  sampling, which is distinct by construction. A draw whose label has none left is taken from all other usable positions,
+  so a list is short only when the usable texts end. The order is by hash.
+* Picks are 60-bit hashes. Texts are joined once, by position, at the end.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h
+from ..functions.hashing import h, h60
 from ..functions.text import clean_and_check, py_strip
 from ..session import cut_lineage
-from .indexing import DEFAULT_ROWS_PER_SLICE, hash_row_index, null_safe_join
+from .indexing import null_safe_join, range_row_index
 
-MAX_LITERAL_LABELS = 10_000
+MAX_LITERAL_LABELS = 10_000  # label tables up to this many rows are broadcast
 
 
 @dataclass
 class LabelPools:
-    labels: DataFrame  # label, label_no, n (a NULL label is a label); marked for broadcast when small
-    pool: DataFrame  # label_no, idx, text, text_h
+    texts: DataFrame  # the rows with their position ``_gi``
+    rows: DataFrame  # _gi, _lno, _off, _n (of the row's label), _runs: the runs of the row's text in all labels
+    labels: DataFrame  # _lno, _off, _n; a NULL label is a label
     n_labels: int
-    counts: list[int] | None  # n per label_no when small enough to inline
+    total: int
 
-    def count_of(self, label_no: Column) -> Column:
-        if self.counts is not None:
-            return F.element_at(F.array(*[F.lit(int(c)) for c in self.counts]), (label_no + 1).cast("int"))
-        raise ValueError("counts not inlined")
 
+def build_label_pools(valid: DataFrame, key: str, text: str, label: str) -> LabelPools:
+    """Positions of ``valid`` rows, their label runs and the runs of each row's text."""
+    texts = range_row_index(valid.withColumn("_th", F.sha2(text, 256)), [(label, True), ("_th", True), (key, True)], out="_gi")
+    narrow = texts.select("_gi", label, "_th")
+    sizes = narrow.groupBy(label).agg(F.min("_gi").alias("_off"), F.count(F.lit(1)).alias("_n"))
+    # one row per label; up to MAX_LITERAL_LABELS of them are broadcast
+    labels = cut_lineage(sizes.withColumn("_lno", (F.row_number().over(Window.orderBy("_off")) - 1).cast("bigint")))
+    n_labels, total = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    small = F.broadcast(labels) if n_labels <= MAX_LITERAL_LABELS else labels
+    numbered = null_safe_join(narrow, small, [label]).drop(label)
+    runs = numbered.groupBy("_th", "_lno").agg(F.min("_gi").alias("start"), F.count(F.lit(1)).alias("cnt"))
+    runs = runs.groupBy("_th").agg(F.collect_list(F.struct("_lno", "start", "cnt")).alias("_runs"))  # at most one a label
+    rows = cut_lineage(numbered.join(runs, "_th").drop("_th"))
+    return LabelPools(texts.drop("_th"), rows, small.select("_lno", "_off", "_n"), n_labels, total)
 
-def build_label_pools(valid: DataFrame, key: str, text: str, label: str, seed: int) -> LabelPools:
-    """``valid`` rows (key, text, label) → label numbering (sorted labels) and indexed pools.
 
-    Label sizes are one aggregated row per label. Up to MAX_LITERAL_LABELS labels they are collected once
-    (that bound is the size check) and give the label numbering, the inlined count array and the salt for
-    the pool index without further jobs; above it the numbering stays a distributed table.
-    """
-    sizes = valid.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    few = sizes.limit(MAX_LITERAL_LABELS + 1).collect()
-    if len(few) <= MAX_LITERAL_LABELS:
-        # NULL label first, then the labels' natural order (Spark's ascending order)
-        rows = sorted(((r[label], int(r["n"])) for r in few), key=lambda x: (x[0] is not None, x[0] or ""))
-        spark = valid.sparkSession
-        ltype = valid.schema[label].dataType.simpleString()
-        labels = spark.createDataFrame([(lab, n, i) for i, (lab, n) in enumerate(rows)], f"{label} {ltype}, n long, label_no long")
-        counts = [n for _, n in rows]
-        n_labels = len(rows)
-        biggest = max(counts) if counts else 0
-        bits = 0 if biggest <= DEFAULT_ROWS_PER_SLICE else min(16, math.ceil(math.log2(biggest / DEFAULT_ROWS_PER_SLICE)))
-        labels = F.broadcast(labels)
-    else:
-        # many labels: numbering by a window over the label table (one row per label), kept distributed
-        labels = cut_lineage(sizes.withColumn("label_no", (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint")))
-        n_labels = labels.count()
-        counts, bits = None, None
-    pool = null_safe_join(valid, labels.select(label, "label_no"), [label])
-    pool = hash_row_index(pool, ["label_no"], h(seed, "pool", F.col(key)), [key], out="idx", bits=bits)
-    pool = pool.select("label_no", "idx", F.col(text).alias("text"), F.xxhash64(text).alias("text_h")).persist()
-    return LabelPools(labels, pool, n_labels, counts)
-
-
-def _with_n(df: DataFrame, pools: LabelPools, lno: str, out: str) -> DataFrame:
-    if pools.counts is not None:
-        return df.withColumn(out, pools.count_of(F.col(lno)))
-    return df.join(pools.labels.select(F.col("label_no").alias(lno), F.col("n").alias(out)), lno)
-
-
-def draw_positive(anchors: DataFrame, pools: LabelPools, seed: int, tries: int = 20) -> DataFrame:
-    """anchors(_key, _lno, _anc) → + ``_pos``: first of ``tries`` own-label draws whose text ≠ anchor, else anchor."""
-    a = _with_n(anchors, pools, "_lno", "_n_own")
-    pool = pools.pool.select(F.col("label_no").alias("_lno"), F.col("idx").alias("_pidx"), F.col("text").alias("_cand"))
-
-    def attempt(rows: DataFrame, d: Column) -> DataFrame:
-        return rows.withColumn("_pidx", F.pmod(h(seed, F.col("_key"), d, "pos"), F.col("_n_own")))
-
-    first = attempt(a.withColumn("_d", F.lit(0)), F.lit(0)).join(pool, ["_lno", "_pidx"], "left")
-    ok = first.filter(F.col("_cand") != F.col("_anc")).select(*anchors.columns, F.col("_cand").alias("_pos"))
-    retry = first.filter(~(F.col("_cand") != F.col("_anc"))).select(*anchors.columns, "_n_own")
-    if tries <= 1:
-        return ok.unionByName(retry.select(*anchors.columns, F.col("_anc").alias("_pos")))
-    more = attempt(retry.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(tries - 1)))), F.col("_d"))
-    more = more.join(pool, ["_lno", "_pidx"]).filter(F.col("_cand") != F.col("_anc"))
-    best = more.groupBy("_key").agg(F.min_by("_cand", "_d").alias("_pos"))
-    rest = retry.join(best, "_key", "left").select(*anchors.columns, F.coalesce("_pos", "_anc").alias("_pos"))
-    return ok.unionByName(rest)
-
-
-def _neg_round(
-    anchors: DataFrame, pools: LabelPools, seed: int, start: int, count: int, excl_h: list[str]
-) -> DataFrame:
-    """Accepted candidates of draws [start, start+count): (_key, _d, _nl, _ni) with hash-clear texts."""
-    L = pools.n_labels
-    d = anchors.select("_key", "_lno", *excl_h, F.explode(F.sequence(F.lit(start), F.lit(start + count - 1))).alias("_d"))
-    o = F.pmod(h(seed, F.col("_key"), F.col("_d"), "lab"), F.lit(L - 1))
-    d = d.withColumn("_nl", o + (o >= F.col("_lno")).cast("bigint"))
-    d = _with_n(d, pools, "_nl", "_nn")
-    d = d.withColumn("_ni", F.pmod(h(seed, F.col("_key"), F.col("_d"), "idx"), F.col("_nn")))
-    meta = pools.pool.select(F.col("label_no").alias("_nl"), F.col("idx").alias("_ni"), "text_h", F.length("text").alias("_tl"))
-    c = d.join(meta, ["_nl", "_ni"]).filter(F.col("_tl") > 0)
-    clash = F.lit(False)
-    for x in excl_h:
-        clash = clash | (F.col("text_h") == F.col(x))
-    return c.withColumn("_clash", clash).select("_key", "_d", "_nl", "_ni", "_clash")
-
-
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def _resolve_clashes(cands: DataFrame, anchors: DataFrame, pools: LabelPools, excl: list[str]) -> DataFrame:
-    """Hash-equal candidates: keep only those whose text really differs from every excluded text.
-
-    ``cands`` must be materialised (checkpointed). Suspects are counted first: none → nothing to join;
-    few (≤ MAX_BROADCAST_ROWS, checked) → they are broadcast into the pool and anchor scans, so no
-    text column is shuffled for them.
+def _skip(position: Column, runs: Column | str) -> Column:
+    """``position`` counted outside of ``runs`` (disjoint, ascending structs with start and cnt) as a position among all."""
+    return F.aggregate(runs, position, lambda p, r: F.when(p >= r["start"], p + r["cnt"]).otherwise(p))
+
+
+def _subset(size: Column, m: Column, draw) -> Column:
+    """``m`` distinct numbers below ``size`` by Floyd's method; ``draw(c)`` is the hash of step ``c`` = 1..m."""
+    none = F.array().cast("array<bigint>")
+    steps = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(m, F.lit(1)).cast("bigint")), lambda c: F.struct(
+        (size - m + c - 1).alias("j"), F.pmod(draw(c), F.greatest(size - m + c, F.lit(1))).alias("t")))
+    chosen = F.aggregate(steps, none, lambda s, x: F.concat(s, F.array(F.when(F.array_contains(s, x["t"]), x["j"]).otherwise(x["t"]))))
+    return F.when(m > 0, chosen).otherwise(none)
+
+
+def draw_positive(rows: DataFrame, pools: LabelPools, seed: int, tries: int = 20) -> DataFrame:
+    """``rows`` + ``_p``, the positive's position, and ``_excl``, the runs of both texts.
+
+    The positive is uniform over the label's positions with another text. As after ``tries`` tries in vain, the anchor is its own positive
+    with the chance that ``tries`` uniform draws all have its text, and when no other text is there.
     """
-    sus = cands.filter("_clash")
-    n_sus = sus.count()
-    if n_sus == 0:
-        return cands.filter(~F.col("_clash"))
-    small = n_sus <= MAX_BROADCAST_ROWS
-    texts = pools.pool.select(F.col("label_no").alias("_nl"), F.col("idx").alias("_ni"), F.col("text").alias("_t"))
-    s1 = texts.join(F.broadcast(sus) if small else sus, ["_nl", "_ni"])
-    s2 = anchors.select("_key", *excl).join(F.broadcast(s1) if small else s1, "_key")
-    keep = F.lit(True)
-    for x in excl:
-        keep = keep & (F.col("_t") != F.col(x))
-    return cands.filter(~F.col("_clash")).unionByName(s2.filter(keep).select(*cands.columns))
-
-
-def _usable(short: DataFrame, anchors: DataFrame, pools: LabelPools, excl: list[str]) -> DataFrame:
-    """(_key, _usable): other-label pool entries whose text differs from every excluded text.
-
-    The pool is first reduced to (text, label) counts, so an anchor meets at most one row per label for
-    each of its excluded texts (no anchor × duplicate-entry pairs, however often a text repeats).
+    own = F.filter("_runs", lambda r: r["_lno"] == F.col("_lno"))[0]
+    a = rows.withColumn("_own", own)
+    free = F.col("_n") - F.col("_own.cnt")
+    vain = h(seed, F.col("_gi"), "own") < F.pow(F.col("_own.cnt") / F.col("_n"), F.lit(tries)) * F.lit(float(1 << 32))
+    other = _skip(F.col("_off") + F.pmod(h60(seed, F.col("_gi"), "pos"), F.greatest(free, F.lit(1))), F.array("_own"))
+    a = a.withColumn("_p", F.when((free == 0) | vain, F.col("_gi")).otherwise(other)).drop("_own")
+    drawn = pools.rows.select(F.col("_gi").alias("_p"), F.col("_runs").alias("_pruns"))
+    both = F.array_sort(F.array_distinct(F.concat("_runs", "_pruns")))
+    return a.join(drawn, "_p").withColumn("_excl", both).drop("_pruns", "_runs")
+
+
+def draw_negatives(rows: DataFrame, pools: LabelPools, seed: int, num_negs: int) -> DataFrame:
+    """``rows(_gi, _lno, _off, _n, _excl)`` → ``_gi, _negs``: positions of the negatives, in their order.
+
+    ``_excl`` are the runs of the texts that the row excludes, ascending. Rows without any negative do not come back.
     """
-    a = short.join(anchors, "_key")
-    total = sum(pools.counts) if pools.counts is not None else pools.labels.agg(F.sum("n")).first()[0]
-    a = _with_n(a, pools, "_lno", "_n_own")
-    a = a.withColumn("_others", F.lit(total) - F.col("_n_own"))
-    counts = pools.pool.groupBy("text_h", "text", F.col("label_no").alias("_pl")).agg(F.count(F.lit(1)).alias("_cnt"))
-    # distinct excluded texts per anchor (an entry equal to two excluded texts counts once)
-    ex = a.select("_key", "_lno", F.explode(F.array_distinct(F.array(*[F.col(x) for x in excl]))).alias("_x"))
-    m = ex.join(counts, (F.xxhash64("_x") == F.col("text_h")) & (F.col("_x") == F.col("text")))
-    bad = m.filter(F.col("_pl") != F.col("_lno")).groupBy("_key").agg(F.sum("_cnt").alias("_bad"))
-    return a.join(bad, "_key", "left").select("_key", (F.col("_others") - F.coalesce("_bad", F.lit(0))).alias("_usable"))
-
-
-def draw_negatives(
-    anchors: DataFrame, pools: LabelPools, seed: int, num_negs: int, excl: list[str], draws_per_round: int | None = None
-) -> DataFrame:
-    """anchors(_key, _lno, *excl) → (_key, _neg ARRAY<STRING>) in draw order."""
-    D = draws_per_round or 4 * num_negs
-    excl_h = [f"{x}_h" for x in excl]
-    # narrow anchor table, reused by every round and check (persisted: recomputation is deterministic)
-    a = anchors.select("_key", "_lno", *excl, *[F.xxhash64(x).alias(f"{x}_h") for x in excl]).persist()
     if pools.n_labels < 2 or num_negs <= 0:
-        return anchors.select("_key", F.array().cast("array<string>").alias("_neg"))
-
-    def pick(c: DataFrame) -> DataFrame:
-        # first draw of each (label, index), then the first num_negs by draw
-        arr = F.array_sort(F.collect_list(F.struct("_d", "_nl", "_ni")))
-        g = c.groupBy("_key").agg(arr.alias("_c"))
-        firsts = F.filter(
-            "_c", lambda x, i: ~F.exists(F.slice("_c", 1, i), lambda y: (y["_nl"] == x["_nl"]) & (y["_ni"] == x["_ni"]))
-        )
-        return g.select("_key", F.slice(firsts, 1, num_negs).alias("_c"))
-
-    cands = cut_lineage(_resolve_clashes(cut_lineage(_neg_round(a, pools, seed, 0, D, excl_h)), a, pools, excl))
-    chosen = cut_lineage(pick(cands))
-    start = D
-    while True:
-        have = a.select("_key").join(chosen, "_key", "left").select("_key", F.coalesce(F.size("_c"), F.lit(0)).alias("_k"))
-        short = have.filter(F.col("_k") < num_negs)
-        if short.isEmpty():
-            break
-        short = short.join(_usable(short.select("_key"), a, pools, excl), "_key")
-        short = cut_lineage(short.filter(F.col("_k") < F.least(F.lit(num_negs), F.col("_usable"))).select("_key"))
-        if short.isEmpty():
-            break
-        more = _resolve_clashes(cut_lineage(_neg_round(a.join(short, "_key"), pools, seed, start, D, excl_h)), a, pools, excl)
-        cands = cut_lineage(cands.unionByName(more))
-        chosen = cut_lineage(pick(cands))
-        start += D
-    texts = pools.pool.select(F.col("label_no").alias("_nl"), F.col("idx").alias("_ni"), F.col("text").alias("_t"))
-    ex = chosen.select("_key", F.posexplode("_c").alias("_p", "_x")).select("_key", "_p", "_x._nl", "_x._ni")
-    ex = ex.join(texts, ["_nl", "_ni"])
-    negs = ex.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_s"))
-    negs = negs.select("_key", F.transform("_s", lambda s: s["_t"]).alias("_neg"))
-    return anchors.select("_key").join(negs, "_key", "left").select(
-        "_key", F.coalesce("_neg", F.array().cast("array<string>")).alias("_neg")
-    )
+        return rows.select("_gi", F.array().cast("array<bigint>").alias("_negs"))
+    gi = F.col("_gi")
+
+    def other_label(d: Column) -> Column:
+        return F.pmod(h60(seed, gi, d, "lab"), F.lit(pools.n_labels - 1))
+
+    labs = F.transform(F.sequence(F.lit(0), F.lit(num_negs - 1)), other_label)
+    a = rows.select("_gi", F.struct("_lno", "_off", "_n").alias("_own"), "_excl", labs.alias("_labs"))
+    a = a.withColumn("_labs", F.transform("_labs", lambda o: o + F.when(o >= F.col("_own._lno"), 1).otherwise(0)))
+    per = a.withColumn("_lno", F.explode(F.array_distinct("_labs")))
+    per = per.withColumn("_m", F.size(F.filter("_labs", lambda x: x == F.col("_lno"))).cast("bigint")).drop("_labs")
+    per = per.join(pools.labels, "_lno").withColumn("_in", F.filter("_excl", lambda r: r["_lno"] == F.col("_lno")))
+    usable = F.col("_n") - F.aggregate("_in", F.lit(0).cast("bigint"), lambda s, r: s + r["cnt"])
+    per = per.withColumn("_u", usable).withColumn("_take", F.least("_m", "_u"))
+    drawn = _subset(F.col("_u"), F.col("_take"), lambda c: h60(seed, gi, F.col("_lno"), c, "idx"))
+    picks = F.transform(drawn, lambda x: _skip(F.col("_off") + x, F.col("_in")))
+    per = per.select("_gi", "_own", "_excl", picks.alias("_picks"), (F.col("_m") - F.col("_take")).alias("_over"))
+    got = per.groupBy("_gi").agg(F.first("_own").alias("_own"), F.first("_excl").alias("_excl"),
+                                 F.array_sort(F.flatten(F.collect_list("_picks"))).alias("_picks"), F.sum("_over").alias("_over"))
+    # labels without enough texts: the missing ones come from all positions that are left
+    block = lambda start, cnt: F.struct(start.alias("start"), cnt.cast("bigint").alias("cnt"))
+    outer = F.transform(F.filter("_excl", lambda r: r["_lno"] != F.col("_own._lno")), lambda r: block(r["start"], r["cnt"]))
+    blocks = F.concat(F.array(block(F.col("_own._off"), F.col("_own._n"))), outer, F.transform("_picks", lambda p: block(p, F.lit(1))))
+    got = got.withColumn("_blocks", F.when(F.col("_over") > 0, F.array_sort(blocks)))
+    left = F.lit(pools.total) - F.aggregate("_blocks", F.lit(0).cast("bigint"), lambda s, r: s + r["cnt"])
+    got = got.withColumn("_left", left)
+    more = _subset(F.col("_left"), F.least("_over", "_left"), lambda c: h60(seed, gi, c, "fill"))
+    more = F.when(F.col("_over") > 0, F.transform(more, lambda x: _skip(x, F.col("_blocks")))).otherwise(F.array().cast("array<bigint>"))
+    ordered = F.array_sort(F.transform(F.concat("_picks", more), lambda g: F.struct(h60(seed, gi, g, "ord").alias("o"), g.alias("g"))))
+    return got.select("_gi", F.transform(ordered, lambda x: x["g"]).alias("_negs"))
+
+
+def _texts_at(lists: DataFrame, pools: LabelPools, positions: str, text: str, out: str) -> DataFrame:
+    """``_gi`` and the texts at the listed positions, in their order: the one join that moves texts."""
+    one = lists.select("_gi", F.posexplode(positions).alias("_at", "_g"))
+    one = one.join(pools.texts.select(F.col("_gi").alias("_g"), F.col(text).alias("_t")), "_g")
+    some = one.groupBy("_gi").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_s"))
+    return some.select("_gi", F.transform("_s", lambda s: s["_t"]).alias(out))
 
 
 def clean_valid(df: DataFrame, text: str, out: str = "text", **kw) -> DataFrame:
@@ -228,23 +151,24 @@ def triplets_by_label(
 ) -> DataFrame:
     """M1: (key, text, label) → (key, anc, pos, neg[], label, *carry).
 
-    Pools hold every valid text; ``limit`` (first anchors by key) cuts anchors only.
+    Pools hold every valid text; ``limit`` (first anchors by key) cuts anchors only. Every valid row is an anchor, whether its
+    key is NULL or occurs more than once; rows alike in label, text and key are numbered in an arbitrary order.
     """
     carry = tuple(carry)
     base = df.select(F.col(key), F.col(text).alias("_raw"), F.col(label).cast("string").alias("label"), *carry)
-    valid = clean_valid(base, "_raw").select(key, "text", "label", *carry).persist()
-    pools = build_label_pools(valid, key, "text", "label", seed)
-    anchors = null_safe_join(valid, pools.labels.select("label", "label_no"), ["label"])
+    pools = build_label_pools(clean_valid(base, "_raw").select(key, "text", "label", *carry), key, "text", "label")
+    anchors, rows = pools.texts, pools.rows
     if limit is not None:
-        anchors = anchors.orderBy(key).limit(limit)
-    anchors = anchors.select(F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("text").alias("_anc"),
-                             "label", *carry)
-    with_pos = draw_positive(anchors, pools, seed, pos_tries).persist()
-    negs = draw_negatives(with_pos, pools, seed, num_negs, ["_anc", "_pos"])
-    return with_pos.join(negs, "_key").select(
-        F.col("_key").alias(key), F.col("_anc").alias("anc"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"),
-        "label", *carry
-    )
+        anchors = anchors.orderBy(key, "_gi").limit(limit)
+        rows = rows.join(anchors.select("_gi"), "_gi", "left_semi")
+    with_pos = cut_lineage(draw_positive(rows, pools, seed, pos_tries))
+    negs = draw_negatives(with_pos, pools, seed, num_negs)
+    lists = with_pos.select("_gi", "_p").join(negs, "_gi", "left")
+    lists = lists.select("_gi", F.concat(F.array("_p"), F.coalesce("_negs", F.array().cast("array<bigint>"))).alias("_list"))
+    found = _texts_at(lists, pools, "_list", "text", "_texts")
+    return anchors.join(found, "_gi").select(
+        F.col(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
+        F.slice("_texts", F.lit(2), F.greatest(F.size("_texts") - 1, F.lit(0))).alias("neg"), "label", *carry)
 
 
 def triplets_given_pos(
@@ -259,7 +183,8 @@ def triplets_given_pos(
     clean: bool = True,
 ) -> DataFrame:
     """M2/M3: anchor and positive are given (both cleaned and valid); negatives are other labels' positives
-    (texts ≠ the row's positive). ``anc``/``pos`` are column names of already composed texts."""
+    (texts ≠ the row's positive). ``anc``/``pos`` are column names of already composed texts. Every valid row is an anchor,
+    whether its key is NULL or occurs more than once."""
     from ..functions.text import clean_text, is_valid_text
 
     a = clean_text(F.col(anc)) if clean else F.col(anc)
@@ -267,15 +192,12 @@ def triplets_given_pos(
     both = F.struct(a.alias("anc"), p.alias("pos"))
     keep = F.filter(F.array(both), lambda s: is_valid_text(s["anc"]) & is_valid_text(s["pos"]))
     valid = df.select(F.col(key), F.col(label).cast("string").alias("label"), *carry, F.explode(keep).alias("_ap"))
-    valid = valid.select(key, "label", *carry, F.col("_ap.anc").alias("anc"), F.col("_ap.pos").alias("pos")).persist()
-    pools = build_label_pools(valid.select(key, F.col("pos").alias("text"), "label"), key, "text", "label", seed)
-    anchors = null_safe_join(valid, pools.labels.select("label", "label_no"), ["label"]).select(
-        F.col(key).alias("_key"), F.col("label_no").alias("_lno"), F.col("anc").alias("_anc"), F.col("pos").alias("_pos"),
-        "label", *carry).persist()
-    negs = draw_negatives(anchors, pools, seed, num_negs, ["_pos"])
-    return anchors.join(negs, "_key").select(
-        F.col("_key").alias(key), F.col("_anc").alias("anc"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"),
-        "label", *carry)
+    valid = valid.select(key, "label", *carry, F.col("_ap.anc").alias("anc"), F.col("_ap.pos").alias("pos"))
+    pools = build_label_pools(valid, key, "pos", "label")
+    negs = draw_negatives(pools.rows.withColumn("_excl", F.array_sort("_runs")), pools, seed, num_negs)
+    found = _texts_at(negs, pools, "_negs", "pos", "_neg")
+    return pools.texts.join(found, "_gi", "left").select(
+        key, "anc", "pos", F.coalesce("_neg", F.array().cast("array<string>")).alias("neg"), "label", *carry)
 
 
 def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_negs: int = 7, seed: int = 42,
@@ -288,8 +210,6 @@ def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_neg
     Anchors that are still undecided after ``first_round`` draws are recomputed over the full draw
     budget, so the outcome equals the sequential process exactly.
     """
-    from .indexing import range_row_index
-
     K = num_negs
     budget = 21 * K
     base = df.select(F.col(key).alias("_key"), py_strip(F.coalesce(F.col(text), F.lit(""))).alias("text"),

@@ -17,41 +17,64 @@ NUM_NEGS = 7
 POS_TRIES = 20
 
 
-def label_triplets_sql(src_cte: str, num_negs: int = NUM_NEGS, seed: int = SEED, pos_tries: int = POS_TRIES,
-                       excl_anchor: bool = True, clean: bool = True) -> str:
+def floyd_sql(name: str, src: str, size: str, m: str, steps: int, draw) -> str:
+    """CTE ``name``: ``src`` with ``s``, a list of ``m`` (at most ``steps``) distinct numbers below ``size`` by Floyd's method."""
+    ctes = [f"{name}_0 AS (SELECT *, CAST([] AS BIGINT[]) AS s FROM {src})"]
+    for c in range(1, steps + 1):
+        t = f"{draw(c)} % greatest({size} - {m} + {c}, 1)"
+        ctes.append(f"""{name}_{c} AS (SELECT * REPLACE (CASE WHEN {c} > {m} THEN s
+            WHEN list_contains(s, {t}) THEN list_append(s, {size} - {m} + {c - 1}) ELSE list_append(s, {t}) END AS s) FROM {name}_{c - 1})""")
+    return ",\n".join([*ctes, f"{name} AS (SELECT * FROM {name}_{steps})"])
+
+
+POOL_SQL = """pool AS (SELECT *, sha256(text) AS th, row_number() OVER (ORDER BY label NULLS FIRST, sha256(text), key NULLS FIRST) - 1 AS gi FROM valid),
+labs AS (SELECT label, min(gi) AS off, count(*) AS n, row_number() OVER (ORDER BY min(gi)) - 1 AS lno FROM pool GROUP BY label),
+tot AS (SELECT count(*) AS L FROM labs),
+num AS (SELECT p.gi, p.th, l.lno, l.off, l.n FROM pool p JOIN labs l ON p.label IS NOT DISTINCT FROM l.label),
+runs AS (SELECT th, lno, min(gi) AS start, count(*) AS cnt FROM num GROUP BY th, lno)"""
+
+
+def negatives_sql(num_negs: int, seed: int) -> str:
+    """From ``num``, ``runs``, ``labs``, ``tot`` and ``exth(gi, th)`` (texts that an anchor excludes) to ``negs(gi, neg)``."""
+    h = S.H60
+    return f"""lab_runs AS (SELECT e.gi, r.lno, sum(r.cnt)::BIGINT AS c, list({{'start': r.start, 'cnt': r.cnt}} ORDER BY r.start) AS rs
+             FROM exth e JOIN runs r USING (th) GROUP BY e.gi, r.lno),
+dr AS (SELECT a.gi, a.lno AS own, {h(seed, 'a.gi', 't.d', "'lab'")} % (tot.L - 1) AS o
+       FROM num a CROSS JOIN range(0, {num_negs}) t(d) CROSS JOIN tot WHERE tot.L > 1),
+dl AS (SELECT gi, o + CASE WHEN o >= own THEN 1 ELSE 0 END AS lno, count(*) AS m FROM dr GROUP BY ALL),
+pe AS (SELECT dl.gi, dl.lno, l.off, dl.m, l.n - coalesce(x.c, 0) AS u, least(dl.m, l.n - coalesce(x.c, 0)) AS take, x.rs
+       FROM dl JOIN labs l USING (lno) LEFT JOIN lab_runs x ON x.gi = dl.gi AND x.lno = dl.lno),
+{floyd_sql('fl', 'pe', 'u', 'take', num_negs, lambda c: h(seed, 'gi', 'lno', str(c), "'idx'"))},
+p0 AS (SELECT gi, rs, off + unnest(s) AS g FROM fl),
+p1 AS (SELECT gi, rs, CASE WHEN g >= rs[1].start THEN g + rs[1].cnt ELSE g END AS g FROM p0),
+pk AS (SELECT gi, CASE WHEN g >= rs[2].start THEN g + rs[2].cnt ELSE g END AS g FROM p1),
+ov AS (SELECT gi, sum(m - take)::BIGINT AS over FROM pe GROUP BY gi HAVING sum(m - take) > 0),
+rest AS (SELECT ov.gi, ov.over, p.gi AS g, row_number() OVER (PARTITION BY ov.gi ORDER BY p.gi) - 1 AS x
+         FROM ov JOIN num a USING (gi) JOIN num p ON p.lno <> a.lno ANTI JOIN exth e ON e.gi = ov.gi AND e.th = p.th
+         ANTI JOIN pk ON pk.gi = ov.gi AND pk.g = p.gi),
+re AS (SELECT gi, count(*) AS l, least(any_value(over), count(*)) AS e FROM rest GROUP BY gi),
+{floyd_sql('fi', 're', 'l', 'e', num_negs, lambda c: h(seed, 'gi', str(c), "'fill'"))},
+fx AS (SELECT gi, unnest(s) AS x FROM fi),
+picked AS (SELECT gi, g FROM pk UNION ALL SELECT gi, rest.g FROM fx JOIN rest USING (gi, x)),
+negs AS (SELECT k.gi, list(p.text ORDER BY {h(seed, 'k.gi', 'k.g', "'ord'")}, k.g) AS neg FROM picked k JOIN pool p ON p.gi = k.g GROUP BY k.gi)"""
+
+
+def label_triplets_sql(src_cte: str, num_negs: int = NUM_NEGS, seed: int = SEED, pos_tries: int = POS_TRIES) -> str:
     """CTEs ending in ``trip(key, anc, pos, neg, label, subset)`` replaying label-pool sampling.
 
-    ``src_cte`` defines ``src(key, text, label, subset)`` (raw text; cleaned here when ``clean``).
+    ``src_cte`` defines ``src(key, text, label, subset)`` (raw text).
     """
-    D = 4 * num_negs
-    txt = S.clean(S.strip("text")) if clean else "text"
-    ok = S.valid("text")
-    excl = "p.text <> d.anc AND p.text <> d.pos" if excl_anchor else "p.text <> d.pos"
-    h = S.H
     return f"""{src_cte},
-cleaned AS (SELECT key, {txt} AS text, CAST(label AS VARCHAR) AS label, subset FROM src),
-valid AS (SELECT * FROM cleaned WHERE {ok}),
-labs AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS label_no FROM valid GROUP BY label),
-nlab AS (SELECT count(*) AS L FROM labs),
-pool AS (SELECT l.label_no, row_number() OVER (PARTITION BY l.label_no ORDER BY {h(seed, "'pool'", 'v.key')}, v.key) - 1 AS idx,
-                v.text FROM valid v JOIN labs l USING (label)),
-anc AS (SELECT v.key, v.text AS anc, v.label, v.subset, l.label_no AS lno, l.n AS n_own FROM valid v JOIN labs l USING (label)),
-pd AS (SELECT a.key, t.d, p.text FROM anc a CROSS JOIN range(0, {pos_tries}) t(d)
-       JOIN pool p ON p.label_no = a.lno AND p.idx = {h(seed, 'a.key', 't.d', "'pos'")} % a.n_own
-       WHERE p.text <> a.anc),
-posb AS (SELECT key, arg_min(text, d) AS pos FROM pd GROUP BY key),
-ap AS (SELECT a.*, coalesce(p.pos, a.anc) AS pos FROM anc a LEFT JOIN posb p USING (key)),
-d1 AS (SELECT a.key, a.anc, a.pos, a.lno, t.d, {h(seed, 'a.key', 't.d', "'lab'")} % (nlab.L - 1) AS o
-       FROM ap a CROSS JOIN range(0, {D}) t(d) CROSS JOIN nlab WHERE nlab.L > 1),
-d2 AS (SELECT d1.*, o + CASE WHEN o >= lno THEN 1 ELSE 0 END AS nl FROM d1),
-d3 AS (SELECT d2.*, {h(seed, 'd2.key', 'd2.d', "'idx'")} % l.n AS ni FROM d2 JOIN labs l ON l.label_no = d2.nl),
-cand AS (SELECT d.key, d.d, d.nl, d.ni, p.text FROM d3 d JOIN pool p ON p.label_no = d.nl AND p.idx = d.ni
-         WHERE length(p.text) > 0 AND {excl}),
-firsts AS (SELECT key, nl, ni, min(d) AS d, any_value(text) AS text FROM cand GROUP BY key, nl, ni),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d) AS r FROM firsts),
-negs AS (SELECT key, list(text ORDER BY d) AS neg FROM ranked WHERE r <= {num_negs} GROUP BY key),
-trip AS (SELECT ap.key, ap.anc, ap.pos, coalesce(negs.neg, CAST([] AS VARCHAR[])) AS neg, ap.label, ap.subset
-         FROM ap LEFT JOIN negs USING (key))"""
+cleaned AS (SELECT key, {S.clean(S.strip("text"))} AS text, CAST(label AS VARCHAR) AS label, subset FROM src),
+valid AS (SELECT * FROM cleaned WHERE {S.valid('text')}),
+{POOL_SQL},
+own AS (SELECT num.*, r.start, r.cnt, num.off + {S.H60(seed, 'num.gi', "'pos'")} % greatest(num.n - r.cnt, 1) AS x FROM num JOIN runs r USING (th, lno)),
+ps AS (SELECT gi, th, CASE WHEN n = cnt OR {S.H(seed, 'gi', "'own'")} < pow(cnt::DOUBLE / n, {pos_tries}) * 4294967296 THEN gi
+                           WHEN x >= start THEN x + cnt ELSE x END AS p FROM own),
+exth AS (SELECT gi, th FROM ps UNION SELECT ps.gi, q.th FROM ps JOIN num q ON q.gi = ps.p),
+{negatives_sql(num_negs, seed)},
+trip AS (SELECT a.key, a.text AS anc, p.text AS pos, coalesce(negs.neg, CAST([] AS VARCHAR[])) AS neg, a.label, a.subset
+         FROM pool a JOIN ps USING (gi) JOIN pool p ON p.gi = ps.p LEFT JOIN negs ON negs.gi = a.gi)"""
 
 
 DOC_SRC = "src AS (SELECT doc_id AS key, text, lang AS label, source AS subset FROM documents)"
@@ -93,27 +116,13 @@ register("triplet_length_stats", FLAT_STATS_SQL)(flagship)
 
 def given_pos_sql(src_cte: str, num_negs: int = NUM_NEGS, seed: int = SEED) -> str:
     """CTEs ending in ``trip`` for M2/M3: ``src(key, anc, pos, label, subset)`` with raw texts (cleaned here)."""
-    D = 4 * num_negs
-    h = S.H
     return f"""{src_cte},
 cleaned AS (SELECT key, {S.clean('anc')} AS anc, {S.clean('pos')} AS pos, CAST(label AS VARCHAR) AS label, subset FROM src),
-valid AS (SELECT * FROM cleaned WHERE {S.valid('anc')} AND {S.valid('pos')}),
-labs AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS label_no FROM valid GROUP BY label),
-nlab AS (SELECT count(*) AS L FROM labs),
-pool AS (SELECT l.label_no, row_number() OVER (PARTITION BY l.label_no ORDER BY {h(seed, "'pool'", 'v.key')}, v.key) - 1 AS idx,
-                v.pos AS text FROM valid v JOIN labs l USING (label)),
-ap AS (SELECT v.key, v.anc, v.pos, v.label, v.subset, l.label_no AS lno FROM valid v JOIN labs l USING (label)),
-d1 AS (SELECT a.key, a.pos, a.lno, t.d, {h(seed, 'a.key', 't.d', "'lab'")} % (nlab.L - 1) AS o
-       FROM ap a CROSS JOIN range(0, {D}) t(d) CROSS JOIN nlab WHERE nlab.L > 1),
-d2 AS (SELECT d1.*, o + CASE WHEN o >= lno THEN 1 ELSE 0 END AS nl FROM d1),
-d3 AS (SELECT d2.*, {h(seed, 'd2.key', 'd2.d', "'idx'")} % l.n AS ni FROM d2 JOIN labs l ON l.label_no = d2.nl),
-cand AS (SELECT d.key, d.d, d.nl, d.ni, p.text FROM d3 d JOIN pool p ON p.label_no = d.nl AND p.idx = d.ni
-         WHERE length(p.text) > 0 AND p.text <> d.pos),
-firsts AS (SELECT key, nl, ni, min(d) AS d, any_value(text) AS text FROM cand GROUP BY key, nl, ni),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d) AS r FROM firsts),
-negs AS (SELECT key, list(text ORDER BY d) AS neg FROM ranked WHERE r <= {num_negs} GROUP BY key),
-trip AS (SELECT ap.key, ap.anc, ap.pos, coalesce(negs.neg, CAST([] AS VARCHAR[])) AS neg, ap.label, ap.subset
-         FROM ap LEFT JOIN negs USING (key))"""
+valid AS (SELECT *, pos AS text FROM cleaned WHERE {S.valid('anc')} AND {S.valid('pos')}),
+{POOL_SQL},
+exth AS (SELECT gi, th FROM num),
+{negatives_sql(num_negs, seed)},
+trip AS (SELECT a.key, a.anc, a.pos, coalesce(negs.neg, CAST([] AS VARCHAR[])) AS neg, a.label, a.subset FROM pool a LEFT JOIN negs USING (gi))"""
 
 
 TITLE_SRC = f"""src AS (SELECT doc_id AS key, {S.strip(S.first_line('text'))} AS anc, coalesce({S.rest_lines('text')}, '') AS pos,
