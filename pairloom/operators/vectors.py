@@ -22,20 +22,25 @@ from .indexing import null_safe_join, range_row_index
 
 def lookup_vectors(rows: DataFrame, emb: DataFrame, idx_cols: tuple[str, ...] = ("anc_emb_idx", "pos_emb_idx"),
                    arr_col: str | None = "neg_emb_idx", key: tuple[str, ...] = ("subset", "id")) -> DataFrame:
-    """Attach ``<col>_vec`` for scalar index columns and ``neg_vecs`` (in array order) via equi-joins on emb_idx.
+    """Attach ``<col>_vec`` for scalar index columns and ``neg_vecs`` (in array order): one join on emb_idx for all of a row's indices.
 
-    ``key`` names a row (NULL equals NULL); a row without negatives gets an empty ``neg_vecs``."""
-    out = rows
-    e = emb.select("emb_idx", "embedding")
-    for c in idx_cols:
-        out = out.join(e.select(F.col("emb_idx").alias(c), F.col("embedding").alias(f"{c}_vec")), c, "left")
+    ``key`` names a row (NULL equals NULL); a row without negatives gets an empty ``neg_vecs``. An index that ``emb`` lacks gives
+    NULL, or no vector in ``neg_vecs``. On a table of ``write_vector_store`` the vectors are not shuffled before the join."""
+    ask = lambda slot, at, idx: F.struct(F.lit(slot).alias("s"), at.cast("int").alias("p"), idx.cast("bigint").alias("emb_idx"))
+    asked = F.array(*[ask(i, F.lit(0), F.col(c)) for i, c in enumerate(idx_cols)]) if idx_cols else None
     if arr_col:
-        ex = rows.select(*key, F.posexplode(arr_col).alias("_p", "emb_idx")).join(e, "emb_idx")
-        g = ex.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_p", "embedding"))).alias("_s"))
-        g = g.select(*key, F.transform("_s", lambda s: s["embedding"]).alias("neg_vecs"))
-        empty = F.array().cast(g.schema["neg_vecs"].dataType)
-        out = null_safe_join(out, g, list(key), "left").withColumn("neg_vecs", F.coalesce("neg_vecs", empty))
-    return out
+        listed = F.coalesce(F.transform(arr_col, lambda x, p: ask(len(idx_cols), p, x)), F.array().cast("array<struct<s:int,p:int,emb_idx:bigint>>"))
+        asked = listed if asked is None else F.concat(asked, listed)
+    ex = rows.select(*key, F.explode(asked).alias("_a")).select(*key, "_a.*")
+    found = ex.join(emb.select("emb_idx", "embedding"), "emb_idx")
+    g = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("s", "p", "embedding"))).alias("_s"))
+    of = lambda slot: F.transform(F.filter("_s", lambda x: x["s"] == slot), lambda x: x["embedding"])
+    out = null_safe_join(rows, g, list(key), "left")
+    new = {f"{c}_vec": F.get(of(i), 0) for i, c in enumerate(idx_cols)}
+    if arr_col:
+        negs = of(len(idx_cols))
+        new["neg_vecs"] = F.coalesce(negs, F.array().cast(f"array<{emb.schema['embedding'].dataType.simpleString()}>"))
+    return out.withColumns(new).drop("_s")
 
 
 QUERY_BLOCK = 4096

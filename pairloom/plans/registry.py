@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_batches, q_flat, q_joins, q_losses, q_scores, q_shapes, q_sources, q_text, q_triplets, q_vectors  # noqa: F401
+    from . import q_batches, q_files, q_flat, q_joins, q_losses, q_scores, q_shapes, q_sources, q_text, q_triplets, q_vectors  # noqa: F401
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

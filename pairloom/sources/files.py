@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from ..session import cut_lineage
 
+MAX_BROADCAST_FILES = 100_000
 QA_CSV_SCHEMA = "label string, q_title string, q_body string, answer string"
 
 
@@ -39,30 +43,50 @@ def with_source_dir(df: DataFrame, out: str = "source") -> DataFrame:
     return df.withColumn(out, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
-def read_source_dirs(spark: SparkSession, root: str, seed: int = 42) -> DataFrame:
-    """``root/<source>/*.jsonl`` rows (query, pos[]) → (anc, pos = first positive, source), hash-shuffled."""
+def read_source_dirs(spark: SparkSession, root: str, seed: int = 42, pattern: str = "*.jsonl") -> DataFrame:
+    """``root/<source>/<pattern>`` rows (query, pos[]) → (anc, pos = first positive, source), hash-shuffled."""
     from ..functions.hashing import h
 
-    d = spark.read.schema("query string, pos array<string>").json(os.path.join(root, "*", "*.jsonl"))
+    d = spark.read.schema("query string, pos array<string>").json(os.path.join(root, "*", pattern))
     d = with_source_dir(d.select("*", "_metadata"))
     d = d.select(F.col("query").alias("anc"), F.try_element_at("pos", F.lit(1)).alias("pos"), "source")
     return d.orderBy(h(seed, "src", F.col("source"), F.col("anc"), F.col("pos")), "source", "anc", "pos")
 
 
+def _header_names(line: Column, width: int) -> Column:
+    """Names in a CSV header line; an empty or repeated name gets its place, as Spark's own reader does."""
+    end = "\u0001"  # a field behind the last one tells where the line ends: quoted names may hold commas
+    fields = F.from_csv(F.concat(line, F.lit(f",{end}")), ", ".join(f"c{i} string" for i in range(width + 1)))
+    names = F.array(*[fields[f"c{i}"] for i in range(width + 1)])
+    names = F.slice(names, F.lit(1), F.array_position(names, end).cast("int") - 1)
+    named = F.transform(names, lambda x, i: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.concat(F.lit("_c"), i.cast("string"))))
+    return F.transform(named, lambda x, i: F.when(F.size(F.filter(named, lambda y: y == x)) > 1, F.concat(x, i.cast("string"))).otherwise(x))
+
+
 def csv_union_with_path(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Every ``file_name`` CSV below ``root``; ``model_path`` = the file's folder. Files with other headers
-    are unioned by name (missing columns NULL)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_name) \
-        .load(root).select("path").collect()  # file names only: one row per file
-    paths = sorted(r["path"] for r in files)
-    out = None
-    for p in paths:
-        d = spark.read.option("header", True).csv(p)
-        d = d.withColumn("model_path", F.lit(p.rsplit("/", 2)[-2]))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    if out is None:
+    are unioned by name (missing columns NULL); all columns are text. Empty files give no rows, no file at all is an error.
+
+    One scan whatever the number of files: rows are read by place, the headers are a table of one row per file, and each row's values
+    take the names of its file's header. The driver gets the distinct names and the number of files.
+    """
+    path = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root)
+    lines = lines.where(F.col("_metadata.file_block_start") == 0).withColumn("at", F.monotonically_increasing_id())
+    heads = cut_lineage(lines.groupBy(path.alias("path")).agg(F.min_by("value", "at").alias("head")))
+    files, width = heads.agg(F.count(F.lit(1)), F.max(F.size(F.split("head", ",")))).first()
+    if not files:
         raise FileNotFoundError(f"no {file_name} under {root}")
-    return out.select("model_path", *[c for c in out.columns if c != "model_path"])
+    heads = heads.select("path", _header_names(F.col("head"), width).alias("names"))
+    names = heads.select("path", F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min(F.struct("path", "at")).alias("first"))
+    columns = [r["name"] for r in names.orderBy("first").collect()]  # the columns of the result
+    rows = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", True).option(
+        "recursiveFileLookup", True).option("pathGlobFilter", file_name).csv(root)
+    rows = rows.select(path.alias("path"), F.array(*[f"c{i}" for i in range(width)]).alias("v"))
+    rows = rows.join(F.broadcast(heads) if files <= MAX_BROADCAST_FILES else heads, "path")
+    rows = rows.withColumn("m", F.map_from_arrays("names", F.slice("v", F.lit(1), F.size("names"))))
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    return rows.select(folder.alias("model_path"), *[F.col("m")[F.lit(c)].alias(c) for c in columns])
 
 
 def read_json_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -71,17 +95,28 @@ def read_json_tree(spark: SparkSession, root: str) -> DataFrame:
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def resolve_version(data_dir: str, wanted: int) -> tuple[str, int | None]:
+def resolve_version(spark: SparkSession, data_dir: str, wanted: int) -> tuple[str, int | None]:
     """(directory to load, rows to sample or None). Exact size folder if present; else the largest
-    numeric folder when it is bigger than ``wanted`` (then sample ``wanted`` rows); else an error."""
-    exact = os.path.join(data_dir, str(wanted))
-    if os.path.isdir(exact):
-        return exact, None
-    nums = [int(x) for x in os.listdir(data_dir) if x.isdigit()] if os.path.isdir(data_dir) else []
-    biggest = max(nums) if nums else 0
-    if wanted < biggest:
-        return os.path.join(data_dir, str(biggest)), wanted
-    raise ValueError(f"Data path {exact} does not exist.")
+    numeric folder when it is bigger than ``wanted`` (then sample ``wanted`` rows); else an error.
+
+    ``data_dir`` is any path or URI that the session reads. Spark lists the files, and the driver gets the distinct
+    numeric folder names; a folder without files does not count.
+    """
+    root = data_dir.rstrip("/")
+    below = posixpath.normpath(re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root)).strip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        files = listed.load(root).select("path")
+    except AnalysisException as e:
+        raise ValueError(f"Data path {root}/{wanted} does not exist.") from e
+    name = F.regexp_extract("path", f"/\\Q{below}\\E/([0-9]+)/", 1)
+    found = [r[0] for r in files.select(name.alias("n")).where("n <> ''").distinct().collect()]
+    if str(wanted) in found:
+        return f"{root}/{wanted}", None
+    biggest = max(found, key=int, default="0")
+    if wanted < int(biggest):
+        return f"{root}/{biggest}", wanted
+    raise ValueError(f"Data path {root}/{wanted} does not exist.")
 
 
 def read_task_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -108,6 +143,15 @@ def write_embeddings(emb: DataFrame, path: str, mode: str = "overwrite", rows_pe
     emb.repartitionByRange(n, "emb_idx").sortWithinPartitions("emb_idx").write.mode(mode).parquet(path)
 
 
+def write_vector_store(emb: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """(emb_idx, embedding) as a table in ``buckets`` files by hash of ``emb_idx``, sorted in each. A lookup join on ``emb_idx``
+    reads it in place: only the asking rows move. Take about 256 MB a bucket; returns the table."""
+    spark = emb.sparkSession
+    dealt = emb.select("emb_idx", "embedding").repartition(buckets, "emb_idx")  # one file a bucket
+    dealt.write.bucketBy(buckets, "emb_idx").sortBy("emb_idx").option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def write_summary_json(df: DataFrame, path: str) -> None:
     """Small side tables (summaries, plans, stats) as one JSON document per row."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -207,15 +207,6 @@ def test_file_sources(spark, tmp_path):
     assert got == [("café", "x"), ("hi there", "3")]
 
 
-def test_resolve_version(tmp_path):
-    os.makedirs(tmp_path / "1000")
-    os.makedirs(tmp_path / "5000")
-    assert FS.resolve_version(str(tmp_path), 1000) == (str(tmp_path / "1000"), None)
-    assert FS.resolve_version(str(tmp_path), 2000) == (str(tmp_path / "5000"), 2000)
-    with pytest.raises(ValueError):
-        FS.resolve_version(str(tmp_path), 9000)
-
-
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "subset string, anc string, id long")
     FS.write_dataset(df, str(tmp_path / "ds"))
