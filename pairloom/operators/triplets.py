@@ -121,10 +121,10 @@ def draw_negatives(rows: DataFrame, pools: LabelPools, seed: int, num_negs: int)
     return got.select("_gi", F.transform(ordered, lambda x: x["g"]).alias("_negs"))
 
 
-def _texts_at(lists: DataFrame, pools: LabelPools, positions: str, text: str, out: str) -> DataFrame:
+def _texts_at(lists: DataFrame, texts: DataFrame, positions: str, text: str, out: str) -> DataFrame:
     """``_gi`` and the texts at the listed positions, in their order: the one join that moves texts."""
     one = lists.select("_gi", F.posexplode(positions).alias("_at", "_g"))
-    one = one.join(pools.texts.select(F.col("_gi").alias("_g"), F.col(text).alias("_t")), "_g")
+    one = one.join(texts.select(F.col("_gi").alias("_g"), F.col(text).alias("_t")), "_g")
     some = one.groupBy("_gi").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_s"))
     return some.select("_gi", F.transform("_s", lambda s: s["_t"]).alias(out))
 
@@ -165,7 +165,7 @@ def triplets_by_label(
     negs = draw_negatives(with_pos, pools, seed, num_negs)
     lists = with_pos.select("_gi", "_p").join(negs, "_gi", "left")
     lists = lists.select("_gi", F.concat(F.array("_p"), F.coalesce("_negs", F.array().cast("array<bigint>"))).alias("_list"))
-    found = _texts_at(lists, pools, "_list", "text", "_texts")
+    found = _texts_at(lists, pools.texts, "_list", "text", "_texts")
     return anchors.join(found, "_gi").select(
         F.col(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
         F.slice("_texts", F.lit(2), F.greatest(F.size("_texts") - 1, F.lit(0))).alias("neg"), "label", *carry)
@@ -195,7 +195,7 @@ def triplets_given_pos(
     valid = valid.select(key, "label", *carry, F.col("_ap.anc").alias("anc"), F.col("_ap.pos").alias("pos"))
     pools = build_label_pools(valid, key, "pos", "label")
     negs = draw_negatives(pools.rows.withColumn("_excl", F.array_sort("_runs")), pools, seed, num_negs)
-    found = _texts_at(negs, pools, "_negs", "pos", "_neg")
+    found = _texts_at(negs, pools.texts, "_negs", "pos", "_neg")
     return pools.texts.join(found, "_gi", "left").select(
         key, "anc", "pos", F.coalesce("_neg", F.array().cast("array<string>")).alias("neg"), "label", *carry)
 
@@ -205,64 +205,48 @@ def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_neg
     """M4: (text, label) rows, no cleaning. pos = uniform other row of the same label (the row itself when
     alone); negatives = uniform draws over *all rows*, rejected when the row is the anchor, has the
     anchor's label or repeats an accepted row; drawing stops after ``num_negs`` acceptances or
-    ``20·num_negs`` rejections, and a short list is padded with the previous row's text.
+    ``20·num_negs`` rejections, and a short list is padded with the text of the previous row by key (of the last row for the first).
 
-    Anchors that are still undecided after ``first_round`` draws are recomputed over the full draw
-    budget, so the outcome equals the sequential process exactly.
+    Rows are numbered by (label, key), so a label is one run of positions and a draw is judged by its position alone: the whole
+    process is one fold in a row, and texts are joined once. Draws after the first ``first_round`` are made only for rows still undecided.
+    Rows are known by position; keys may repeat or be NULL.
     """
     K = num_negs
-    budget = 21 * K
     base = df.select(F.col(key).alias("_key"), py_strip(F.coalesce(F.col(text), F.lit(""))).alias("text"),
                      F.col(label).cast("string").alias("label"))
-    base = range_row_index(base, [("_key", True)], out="gi").persist()
-    n = base.count()
-    if n == 0:
-        return base.select(F.col("_key").alias(key), "text", "text", "label")
-    base = range_row_index(base, [("gi", True)], out="lp", group=["label"]).persist()
-    sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("nl"))
-    b = null_safe_join(base, sizes, ["label"])
-    # positive: one draw among the other members (uniform), the row itself when alone
-    j = F.pmod(h(seed, F.col("_key"), "pos"), F.greatest(F.col("nl") - 1, F.lit(1)))
-    b = b.withColumn("_plp", F.when(F.col("nl") == 1, F.col("lp")).otherwise(j + (j >= F.col("lp")).cast("bigint")))
-    pos = base.select("label", F.col("lp").alias("_plp"), F.col("text").alias("pos"))
-    b = null_safe_join(b, pos, ["label", "_plp"])
-    idx = base.select(F.col("gi").alias("j"), F.col("label").alias("_jl"), F.col("text").alias("_jt"))
-
-    def accept(rows: DataFrame, draws: int) -> DataFrame:
-        d = rows.select("_key", "gi", "label", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
-        d = d.withColumn("j", F.pmod(h(seed, F.col("_key"), F.col("d"), "neg"), F.lit(n)))
-        d = d.join(idx.select("j", "_jl"), "j")
-        ok = (F.col("j") != F.col("gi")) & ~F.col("_jl").eqNullSafe(F.col("label"))
-        w_first = Window.partitionBy("_key", "j").orderBy("d")
-        d = d.withColumn("_first_ok", F.min(F.when(ok, F.col("d"))).over(w_first))
-        d = d.withColumn("fv", ok & (F.col("_first_ok") == F.col("d")))
-        w = Window.partitionBy("_key").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-        d = d.withColumn("acc_b", F.coalesce(F.sum(F.col("fv").cast("int")).over(w), F.lit(0)))
-        d = d.withColumn("rej_b", F.col("d") - F.col("acc_b"))
-        d = d.withColumn("considered", (F.col("acc_b") < K) & (F.col("rej_b") < 20 * K))
-        state = d.groupBy("_key").agg(
-            F.sum((F.col("considered") & F.col("fv")).cast("int")).alias("acc"),
-            F.sum((F.col("considered") & ~F.col("fv")).cast("int")).alias("rej"))
-        return d.filter(F.col("considered") & F.col("fv")).select("_key", "d", "j"), state
-
-    r1 = first_round or 2 * K
-    acc1, st1 = accept(b, r1)
-    open_keys = st1.filter((F.col("acc") < K) & (F.col("rej") < 20 * K)).select("_key")
-    open_keys = cut_lineage(open_keys)
-    if open_keys.isEmpty():
-        chosen = acc1
-    else:
-        acc2, _ = accept(b.join(open_keys, "_key"), budget)
-        chosen = acc1.join(open_keys, "_key", "left_anti").unionByName(acc2)
-    got = chosen.join(idx.select("j", "_jt"), "j").groupBy("_key").agg(
-        F.array_sort(F.collect_list(F.struct("d", "_jt"))).alias("_s"))
-    got = got.select("_key", F.transform("_s", lambda x: x["_jt"]).alias("_neg"))
-    prev = base.select(F.col("gi").alias("_pg"), F.col("text").alias("_pad"))
-    out = b.join(got, "_key", "left").withColumn("_neg", F.coalesce("_neg", F.array().cast("array<string>")))
-    out = out.withColumn("_pg", F.when(F.lit(n) == 1, F.col("gi")).otherwise(F.pmod(F.col("gi") - 1, F.lit(n))))
-    out = out.join(prev, "_pg")
-    pad = F.array_repeat(F.col("_pad"), F.greatest(F.lit(K) - F.size("_neg"), F.lit(0)).cast("int"))
-    return out.select(F.col("_key").alias(key), F.col("text").alias("anc"), "pos", F.concat("_neg", pad).alias("neg"), "label")
+    base = range_row_index(base, [("label", True), ("_key", True)], out="_gi")
+    sizes = cut_lineage(base.groupBy("label").agg(F.min("_gi").alias("_off"), F.count(F.lit(1)).alias("_n")))
+    n_labels, n = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    rows = null_safe_join(base.select("_gi", "_key", "label"), F.broadcast(sizes) if n_labels <= MAX_LITERAL_LABELS else sizes, ["label"])
+    gi, off, size = F.col("_gi"), F.col("_off"), F.col("_n")
+    other = off + F.pmod(h60(seed, gi, "pos"), F.greatest(size - 1, F.lit(1)))
+    pos = F.when(size == 1, gi).otherwise(other + (other >= gi).cast("bigint"))
+
+    def step(s: Column, j: Column) -> Column:
+        done = (F.size(s["acc"]) >= K) | (s["rej"] >= 20 * K)
+        ok = ((j < off) | (j >= off + size)) & ~F.array_contains(s["acc"], j)
+        return F.struct(F.when(done | ~ok, s["acc"]).otherwise(F.concat(s["acc"], F.array(j))).alias("acc"),
+                        F.when(done | ok, s["rej"]).otherwise(s["rej"] + 1).alias("rej"))
+
+    def fold(state: Column, start: int, stop: int) -> Column:
+        draws = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda d: F.pmod(h60(seed, gi, d, "neg"), F.lit(max(n, 1))))
+        return F.aggregate(draws, state, step)
+
+    start = F.struct(F.array().cast("array<bigint>").alias("acc"), F.lit(0).alias("rej"))
+    some = first_round or 2 * K
+    rows = rows.withColumn("_s", fold(start, 0, some))
+    undecided = (F.size("_s.acc") < K) & (F.col("_s.rej") < 20 * K)
+    rows = rows.withColumn("_s", F.when(undecided, fold(F.col("_s"), some, 21 * K)).otherwise(F.col("_s")) if some < 21 * K else F.col("_s"))
+    lists = cut_lineage(rows.select("_gi", "_key", F.concat(F.array(pos), "_s.acc").alias("_list")))
+    missing = F.lit(K + 1) - F.size("_list")
+    if not lists.where(missing > 0).isEmpty():
+        by_key = range_row_index(lists.select("_gi", "_key"), [("_key", True), ("_gi", True)], out="_k")
+        before = by_key.select(F.col("_gi").alias("_prev"), F.pmod(F.col("_k") + 1, F.lit(n)).alias("_k"))
+        prev = by_key.join(before, "_k").select("_gi", "_prev")
+        lists = lists.join(prev, "_gi").withColumn("_list", F.concat("_list", F.array_repeat("_prev", F.greatest(missing, F.lit(0)))))
+    found = _texts_at(lists, base, "_list", "text", "_texts")
+    return base.join(found, "_gi").select(F.col("_key").alias(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
+                                          F.slice("_texts", 2, K).alias("neg"), "label")
 
 
 def first_triplet(df: DataFrame, query: str = "query", pos: str = "pos", neg: str = "neg") -> DataFrame:

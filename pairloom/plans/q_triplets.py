@@ -162,24 +162,24 @@ def q_triplets_qa(t: Tables):
 
 def row_uniform_sql(num_negs: int = NUM_NEGS, seed: int = SEED) -> str:
     K = num_negs
-    h = S.H
+    h = S.H60
     return f"""WITH base AS (SELECT doc_id AS key, {S.strip("coalesce(text, '')")} AS text, lang AS label,
-                       row_number() OVER (ORDER BY doc_id) - 1 AS gi FROM documents),
+                       row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST) - 1 AS gi FROM documents),
 n AS (SELECT count(*) AS n FROM base),
-b2 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gi) - 1 AS lp, count(*) OVER (PARTITION BY label) AS nl FROM base),
-pj AS (SELECT *, {h(seed, 'key', "'pos'")} % greatest(nl - 1, 1) AS j FROM b2),
+kb AS (SELECT *, row_number() OVER (ORDER BY key NULLS FIRST, gi) - 1 AS kn FROM base),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gi) - 1 AS lp, count(*) OVER (PARTITION BY label) AS nl FROM kb),
+pj AS (SELECT *, {h(seed, 'gi', "'pos'")} % greatest(nl - 1, 1) AS j FROM b2),
 pp AS (SELECT p.*, CASE WHEN nl = 1 THEN lp ELSE j + CASE WHEN j >= lp THEN 1 ELSE 0 END END AS plp FROM pj p),
-wp AS (SELECT pp.key, pp.gi, pp.text, pp.label, q.text AS pos FROM pp JOIN b2 q ON q.label = pp.label AND q.lp = pp.plp),
-dr AS (SELECT w.key, w.gi, w.label, t.d, {h(seed, 'w.key', 't.d', "'neg'")} % n.n AS j FROM wp w CROSS JOIN range(0, {21 * K}) t(d) CROSS JOIN n),
-dl AS (SELECT dr.*, b.label AS jl, (dr.j <> dr.gi AND b.label <> dr.label) AS ok FROM dr JOIN base b ON b.gi = dr.j),
-df AS (SELECT *, ok AND d = min(CASE WHEN ok THEN d END) OVER (PARTITION BY key, j) AS fv FROM dl),
-dc AS (SELECT *, coalesce(sum(CASE WHEN fv THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc_b FROM df),
-acc AS (SELECT key, d, j FROM dc WHERE fv AND acc_b < {K} AND (d - acc_b) < {20 * K}),
-got AS (SELECT a.key, list(b.text ORDER BY a.d) AS neg FROM acc a JOIN base b ON b.gi = a.j GROUP BY a.key),
-o AS (SELECT w.*, coalesce(g.neg, CAST([] AS VARCHAR[])) AS neg0,
-             CASE WHEN n.n = 1 THEN w.gi ELSE (w.gi - 1 + n.n) % n.n END AS pg FROM wp w LEFT JOIN got g USING (key) CROSS JOIN n)
+wp AS (SELECT pp.key, pp.gi, pp.kn, pp.text, pp.label, q.text AS pos FROM pp JOIN b2 q ON q.label IS NOT DISTINCT FROM pp.label AND q.lp = pp.plp),
+dr AS (SELECT w.gi, w.label, t.d, {h(seed, 'w.gi', 't.d', "'neg'")} % n.n AS j FROM wp w CROSS JOIN range(0, {21 * K}) t(d) CROSS JOIN n),
+dl AS (SELECT dr.*, (dr.j <> dr.gi AND b.label IS DISTINCT FROM dr.label) AS ok FROM dr JOIN base b ON b.gi = dr.j),
+df AS (SELECT *, ok AND d = min(CASE WHEN ok THEN d END) OVER (PARTITION BY gi, j) AS fv FROM dl),
+dc AS (SELECT *, coalesce(sum(CASE WHEN fv THEN 1 ELSE 0 END) OVER (PARTITION BY gi ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc_b FROM df),
+acc AS (SELECT gi, d, j FROM dc WHERE fv AND acc_b < {K} AND (d - acc_b) < {20 * K}),
+got AS (SELECT a.gi, list(b.text ORDER BY a.d) AS neg FROM acc a JOIN base b ON b.gi = a.j GROUP BY a.gi),
+o AS (SELECT w.*, coalesce(g.neg, CAST([] AS VARCHAR[])) AS neg0, (w.kn - 1 + n.n) % n.n AS pk FROM wp w LEFT JOIN got g USING (gi) CROSS JOIN n)
 SELECT o.key AS doc_id, o.text AS anc, o.pos, list_concat(o.neg0, list_transform(range(0, greatest({K} - len(o.neg0), 0)), lambda x: b.text)) AS neg, o.label
-FROM o JOIN base b ON b.gi = o.pg"""
+FROM o JOIN kb b ON b.kn = o.pk"""
 
 
 @register("triplets_row_uniform", row_uniform_sql())

@@ -81,6 +81,15 @@ def test_triplets_given_pos_cases(spark, case):
     assert out.count() == len(rows)
 
 
+@pytest.mark.parametrize("case", CASES)
+def test_triplets_row_uniform_cases(spark, case):
+    rows, df, con = frames(spark, case)
+    out = TR.triplets_row_uniform(df, "doc_id", "text", "lang", 7, 42)
+    assert out.count() == len(rows)
+    ok, msg = compare(out, con, Q.row_uniform_sql())
+    assert ok, msg
+
+
 def test_negatives_are_uniform_over_labels_and_texts(spark):
     rows = [(i, text(i), "a" if i < 200 else "b" if i < 220 else "c") for i in range(420)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
