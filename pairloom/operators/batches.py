@@ -34,6 +34,9 @@ def task_key(df: DataFrame, label_group_subsets: Sequence[str] = (), subset: str
     return F.when(F.col(subset).isin(*label_group_subsets), F.concat(F.col(subset), F.lit("|"), lab)).otherwise(F.col(subset))
 
 
+BATCH_RUN = 65_536  # batch numbers of a task that are listed at a time
+
+
 def batch_plan(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int, seed: int = 42, epoch: int = 0,
                label_group_subsets: Sequence[str] = (), drop_last: bool = True, shuffle: bool = True,
                shuffle_batches: bool = True, single_task: bool = False) -> DataFrame:
@@ -48,14 +51,17 @@ def batch_plan(df: DataFrame, key_cols: Sequence[str], per_rank: int, world: int
     keys = [F.col(k) for k in key_cols]
     d = df.withColumn("task", F.lit("all") if single_task else task_key(df, label_group_subsets))
     order = h(s, "row", *keys) if shuffle else F.lit(0)
-    # one small aggregate (a row per task) sizes both salted indices below
-    biggest, total = d.groupBy("task").count().agg(F.max("count"), F.sum("count")).first()
+    # one small aggregate (a row per task) sizes both salted indices below and gives all batches: no row is counted again
+    sizes = cut_lineage(d.groupBy("task").agg(F.count(F.lit(1)).alias("_n")))
+    biggest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
     d = hash_row_index(d, ["task"], order, list(key_cols), out="_rn", bits=_bits(biggest or 0))
     d = d.withColumn("batch_no", F.floor(F.col("_rn") / g).cast("bigint")).withColumn("row_in_batch", (F.col("_rn") % g).cast("int"))
-    if drop_last:
-        full = d.groupBy("task", "batch_no").agg(F.count(F.lit(1)).alias("_sz")).filter(F.col("_sz") == g)
-        d = null_safe_join(d, full.select("task", "batch_no"), ["task", "batch_no"], "left_semi")
-    batches = d.select("task", "batch_no").distinct()
+    count = F.floor(F.col("_n") / g) if drop_last else F.ceil(F.col("_n") / g)
+    zero = F.lit(0).cast("bigint")
+    runs = sizes.select("task", count.cast("bigint").alias("_c")).where("_c > 0").withColumn(
+        "_r", F.explode(F.sequence(zero, F.floor((F.col("_c") - 1) / BATCH_RUN))))
+    low = F.col("_r") * BATCH_RUN
+    batches = runs.select("task", F.explode(F.sequence(low, F.least(low + BATCH_RUN, "_c") - 1)).alias("batch_no"))
     border = h(s, "batch", F.col("task"), F.col("batch_no")) if shuffle_batches else F.lit(0)
     batches = hash_row_index(batches, [], border, ["task", "batch_no"], out="batch_id", bits=_bits(-(-(total or 0) // g)))
     return null_safe_join(d, batches, ["task", "batch_no"]).drop("_rn")

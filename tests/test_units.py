@@ -458,3 +458,18 @@ def test_batch_vectors_use_the_least_number_of_negatives(spark):
     assert out[1, 0].C == out[1, 1].C == 3 and out[2, 0].C == 1
     assert out[1, 0].cs == [v, [1.0, 0.0], [2.0, 0.0]] and out[1, 0].ct == [v, [1.0, 5.0], [2.0, 5.0]]
     assert out[2, 0].cs == [v]
+
+
+def test_batch_plan_keeps_or_drops_short_batches(spark, monkeypatch):
+    monkeypatch.setattr(B, "BATCH_RUN", 2)
+    rows = [(i, ["a", "b", None][i % 3] if i < 60 else "c") for i in range(63)]
+    df = spark.createDataFrame(rows, "id long, subset string")
+    for drop in (True, False):
+        out = B.batch_plan(df, ["id"], 4, 2, drop_last=drop).collect()
+        per = {}
+        for r in out:
+            per.setdefault((r.task, r.batch_no), []).append(r)
+        want = {(t, n) for t, size in (("a", 20), ("b", 20), (None, 20), ("c", 3)) for n in range(size // 8 if drop else -(-size // 8))}
+        assert set(per) == want and len(out) == (48 if drop else 63) and len({r.id for r in out}) == len(out)
+        assert sorted(v[0].batch_id for v in per.values()) == list(range(len(want)))
+        assert all(len({r.batch_id for r in v}) == 1 and sorted(r.row_in_batch for r in v) == list(range(len(v))) for v in per.values())
