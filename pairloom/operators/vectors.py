@@ -1,9 +1,9 @@
 """Vector operators: lookups, exact top-k mining, encoding, corpus geometry.
 
 Exact nearest neighbours are exhaustive by definition (the reference uses a flat exact index). Queries and corpus are
-cut into blocks, and each pair of blocks is one bounded group: a NumPy product keeps the best ``k`` of the corpus block for
-each query, and a per-query ``row_number() ≤ k`` merges the partial lists. Corpus blocks stand in order of norm: the
-first one gives every query a threshold, and a query goes only to those of the others that can still reach it.
+dealt into bounded groups, and each pair of groups is one task's work. Inside it the corpus stands in blocks in order of norm: a NumPy
+product with a block keeps the best ``k`` so far of each query, and a query skips the blocks that cannot reach its k-th.
+A per-query ``row_number() ≤ k`` merges the lists of the groups.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import norm as norm_of
 from ..session import cut_lineage
 from .indexing import null_safe_join, range_row_index
 
@@ -45,97 +46,131 @@ def lookup_vectors(rows: DataFrame, emb: DataFrame, idx_cols: tuple[str, ...] =
 
 QUERY_BLOCK = 4096
 CORPUS_BLOCK = 16384
-
-
-def _block_search(metric: str, k: int, step: int = 256):
-    """Group function: left rows are queries (``vec``) and exclusions (``cid``, no vec), right rows the corpus block."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q, x = left[left["vec"].notna()], left[left["vec"].isna()]
-        if q.empty or right.empty:
-            return pd.DataFrame({"qid": q["qid"][:0], "cid": right["cid"][:0], "score": np.zeros(0)})
-        right = right.sort_values("cid", kind="stable")  # equal scores: smaller cid first
-        cm = np.stack(right["vec"].to_numpy()).astype(np.float64)
-        cids, size = right["cid"].to_numpy(), (cm * cm).sum(1)
-        hidden = x[["grp", "cid"]].merge(pd.DataFrame({"cid": cids, "col": np.arange(len(cids))}), on="cid")[["grp", "col"]]
-        out = []
-        for low in range(0, len(q), step):
-            part = q.iloc[low:low + step]
-            qm = np.stack(part["vec"].to_numpy()).astype(np.float64)
-            cost = -(qm @ cm.T)
-            if metric == "l2":
-                cost = np.sqrt(np.maximum((qm * qm).sum(1)[:, None] + size[None, :] + 2 * cost, 0.0))
-            limit = part["limit"].to_numpy(dtype=np.float64)  # NaN: none known; a slack covers rounding
-            cost[cost > np.where(np.isnan(limit), np.inf, limit + 1e-9 * (1 + np.abs(limit)))[:, None]] = np.inf
-            if len(hidden):
-                gone = pd.DataFrame({"grp": part["grp"].to_numpy(), "row": np.arange(len(part))}).merge(hidden, on="grp")
-                cost[gone["row"].to_numpy(), gone["col"].to_numpy()] = np.inf
-            kk = min(k, len(cids))
-            edge = np.partition(cost, kk - 1, axis=1)[:, kk - 1]
-            row, col = np.nonzero((cost <= edge[:, None]) & (cost < np.inf))
-            order = np.lexsort((col, cost[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < kk
-            row, col = row[keep], col[keep]
-            found = cost[row, col]
-            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[row], "cid": cids[col], "score": -found if metric == "ip" else found}))
-        return pd.concat(out)
+GROUP_VALUES = 1 << 22  # vector components on each side of a group: 65,536 vectors of 64
+QUERY_GROUPS = 8  # at least, where there are as many query blocks
+
+
+def _matrix(vecs: pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
+    """A list column without nulls as rows of doubles; null components are NaN."""
+    vecs = vecs.combine_chunks()
+    sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+    dim = int(sizes[0]) if dim is None else dim
+    if (sizes != dim).any():
+        raise ValueError("all vectors must have the same size")
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), dim)
+
+
+def _group_search(metric: str, k: int, step: int, block: int):
+    """Group function: left rows are queries (``vec``) and exclusions (``cid``, no vec), right rows the corpus group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = pa.schema([("qid", left.schema.field("qid").type), ("cid", right.schema.field("cid").type), ("score", pa.float64())])
+        asked = pc.is_valid(left.column("vec"))
+        q, x = left.filter(asked), left.filter(pc.invert(asked))
+        if not q.num_rows or not right.num_rows:
+            return names.empty_table()
+        by_id = pc.sort_indices(right.column("cid"), null_placement="at_start")
+        right = right.take(by_id)  # equal scores: smaller cid first
+        cm = _matrix(right.column("vec"))
+        qm = _matrix(q.column("vec"), cm.shape[1])
+        size, own = (cm * cm).sum(1), np.sqrt((qm * qm).sum(1))
+        place = np.argsort(-size, kind="stable")  # blocks in order of norm, NaN last
+        cm, size = cm[place], size[place]
+        both = pa.chunked_array([*q.column("grp").chunks, *x.column("grp").chunks], left.schema.field("grp").type)
+        codes = pd.factorize(both.to_pandas())[0]  # NULL: -1, has no exclusions
+        grp, hidden = codes[:q.num_rows], pd.DataFrame({"cid": x.column("cid").to_pandas(), "grp": codes[q.num_rows:]})
+        where = np.empty(len(place), dtype=np.int64)
+        where[place] = np.arange(len(place))
+        hidden = hidden.merge(pd.DataFrame({"cid": right.column("cid").to_pandas(), "col": where}), on="cid") if len(hidden) else hidden.assign(col=0)
+        hidden = hidden.sort_values("col")
+        hid_col, hid_grp = hidden["col"].to_numpy(dtype=np.int64), hidden["grp"].to_numpy(dtype=np.int64)
+        found = []
+        for low in range(0, len(qm), step):
+            part, norms = qm[low:low + step], own[low:low + step]
+            of = np.argsort(grp[low:low + step], kind="stable")
+            sorted_grp = grp[low:low + step][of]
+            kth = np.full(len(part), np.inf)
+            best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # row, cost, place by cid
+            for start in range(0, len(cm), block):
+                c, sizes = cm[start:start + block], size[start:start + block]
+                top, least = np.sqrt(sizes.max()), np.sqrt(sizes.min())
+                bound = -norms * top if metric == "ip" else np.maximum(np.maximum(norms - top, least - norms), 0.0)
+                # a slack covers rounding; what is not comparable is looked at
+                rows = np.flatnonzero(~(bound > kth + 1e-9 * (1 + norms * top + norms)))
+                if not len(rows):
+                    continue
+                some = part if len(rows) == len(part) else part[rows]
+                cost = -(some @ c.T)
+                if metric == "l2":
+                    cost = np.sqrt(np.maximum((some * some).sum(1)[:, None] + sizes[None, :] + 2 * cost, 0.0))
+                h = slice(*np.searchsorted(hid_col, [start, start + len(c)]))
+                if h.stop > h.start:
+                    first = np.searchsorted(sorted_grp, hid_grp[h], side="left")
+                    n = np.searchsorted(sorted_grp, hid_grp[h], side="right") - first
+                    at = of[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    col = np.repeat(hid_col[h] - start, n)
+                    back = np.full(len(part), -1)
+                    back[rows] = np.arange(len(rows))
+                    seen = back[at] >= 0
+                    cost[back[at[seen]], col[seen]] = np.inf
+                edge = kth[rows]
+                if np.isinf(edge).any():
+                    kk = min(k, len(c))
+                    edge = np.minimum(edge, np.partition(cost, kk - 1, axis=1)[:, kk - 1]) if kk == k else edge
+                row, col = np.nonzero((cost <= edge[:, None]) & (cost < np.inf))
+                if not len(row):
+                    continue
+                row, value = rows[row], cost[row, col]
+                row, value, at = (np.concatenate(z) for z in zip(best, (row, value, place[start + col])))
+                order = np.lexsort((at, value, row))
+                row, value, at = row[order], value[order], at[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                kth[row[nth == k - 1]] = value[nth == k - 1]
+                best = tuple(z[nth < k] for z in (row, value, at))
+            found.append((best[0] + low, best[1], best[2]))
+        row, value, at = (np.concatenate(z) for z in zip(*found))
+        return pa.Table.from_arrays([q.column("qid").take(pa.array(row)), right.column("cid").take(pa.array(at)),
+                                     pa.array(-value if metric == "ip" else value)], schema=names)
 
     return run
 
 
 def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", excluded: DataFrame | None = None,
-                       query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+                       query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, group_rows: int | None = None) -> DataFrame:
     """Exact top-``k`` per query: queries(qid, vec[, grp]) × corpus(cid, vec) → (qid, cid, score, rank).
 
     ``metric='ip'`` ranks by inner product (descending); ``'l2'`` by Euclidean distance (ascending). Ties are broken by ``cid``; ids
     are of any type that sorts. ``excluded``(grp, cid) names pairs to leave out before the top-k, by the group of the query.
     Rows without a vector take no part. ``qid`` names one query; a ``cid`` may repeat.
+
+    Both sides are dealt by hash into groups of about ``group_rows`` rows (default: ``GROUP_VALUES`` components), and each query group
+    meets each corpus group in one task, so a row moves once for each group of the other side, not for each of its blocks.
     """
     corpus = corpus.select("cid", "vec").where("vec IS NOT NULL")
-    norm = norm_of(F.col("vec"))
-    n_q, n_c = queries.count(), corpus.count()
-    q_blocks, c_blocks = max(1, -(-n_q // query_block)), max(1, -(-n_c // corpus_block))
+    n_q = queries.count()
+    n_c, dim = corpus.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    most = group_rows or max(1, GROUP_VALUES // max(1, dim or 1))
+    q_groups = max(1, min(-(-n_q // query_block), max(QUERY_GROUPS, -(-n_q // most))))
+    c_groups = max(1, -(-n_c // most))
     grp = F.col("grp") if "grp" in queries.columns else F.lit(None).cast("string")
-    q = queries.where("vec IS NOT NULL").select("qid", "vec", grp.alias("grp"), F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb"))
-    c = corpus.withColumn("cb", F.lit(0).cast("long"))
-    if c_blocks > 1:
-        c = range_row_index(corpus.withColumn("norm", norm), [("norm", False), ("cid", True)], out="cb")
-        c = cut_lineage(c.withColumn("cb", F.floor(F.col("cb") / corpus_block).cast("long")))
-    hidden = None
+    q = queries.where("vec IS NOT NULL").select("qid", "vec", grp.alias("grp"), F.pmod(F.xxhash64("qid"), F.lit(q_groups)).cast("long").alias("qb"))
+    c = corpus.withColumn("c_cb", F.pmod(F.xxhash64("cid", "vec"), F.lit(c_groups)).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    id_type = c.schema["cid"].dataType
+    left = q.select("qb", "qid", "vec", "grp", F.lit(None).cast(id_type).alias("cid"))
     if excluded is not None:
-        at = excluded.select("grp", "cid").join(q.select("grp", "qb").distinct(), "grp")
-        hidden = at.join(c.select("cid", "cb").distinct(), "cid").distinct()
-    schema = f"qid {q.schema['qid'].dataType.simpleString()}, cid {c.schema['cid'].dataType.simpleString()}, score double"
-
-    def search(asked: DataFrame, right: DataFrame, hidden: DataFrame | None) -> DataFrame:
-        left = asked.select("qb", "cb", "qid", "vec", "grp", "limit", F.lit(None).cast(c.schema["cid"].dataType).alias("cid"))
-        if hidden is not None:
-            none = {"qid": q.schema["qid"].dataType, "vec": q.schema["vec"].dataType, "limit": "double"}
-            rows = hidden.withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
-            left = left.unionByName(rows.select(*left.columns))
-        right = right.select("qb", "cb", "cid", "vec")
-        # both sides come from one table when a corpus is searched with itself: names of their own keep them apart
-        left, right = left.toDF(*left.columns), right.toDF("c_qb", "c_cb", "cid", "vec")
-        return left.groupBy("qb", "cb").cogroup(right.groupBy("c_qb", "c_cb")).applyInPandas(_block_search(metric, k), schema)
-
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
-    largest = c.where("cb = 0") if c_blocks > 1 else c
-    found = search(q.withColumns({"cb": F.lit(0).cast("long"), "limit": F.lit(None).cast("double")}), largest.withColumn("qb", every),
-                   hidden.where("cb = 0") if hidden is not None else None)
-    if c_blocks > 1:
-        found = cut_lineage(found)
-        cost = -F.col("score") if metric == "ip" else F.col("score")
-        # the k-th cost of the first block; a slack covers rounding in the norms
-        kth = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max(cost)).alias("limit"))
-        spans = c.where("cb > 0").groupBy("cb").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-        own = norm_of(F.col("vec"))
-        bound = -own * F.col("high") if metric == "ip" else F.greatest(own - F.col("high"), F.col("low") - own, F.lit(0.0))
-        reach = q.join(kth, "qid", "left").withColumn("cb", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-        slack = F.lit(1e-9) * (1 + own * F.col("high") + own)
-        reach = reach.join(spans, "cb").where(F.col("limit").isNull() | (bound <= F.col("limit") + slack)).drop("low", "high")
-        cells = reach.select("qb", "cb").distinct()
-        found = found.unionByName(search(reach, c.join(cells, "cb"), hidden.join(cells, ["qb", "cb"], "left_semi") if hidden is not None else None))
+        hidden = excluded.where("cid IS NOT NULL").select("grp", "cid").join(q.select("grp", "qb").distinct(), "grp").distinct()
+        none = {"qid": q.schema["qid"].dataType, "vec": q.schema["vec"].dataType}
+        rows = hidden.withColumn("cid", F.col("cid").cast(id_type)).withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
+        left = left.unionByName(rows.select(*left.columns))
+    cells = q_groups * c_groups
+    tasks = 1 if cells == 1 else 3 * cells
+    left = left.withColumn("cb", every(c_groups)).repartition(tasks, "qb", "cb")
+    # both sides come from one table when a corpus is searched with itself: names of their own keep them apart
+    right = c.select(every(q_groups).alias("c_qb"), "c_cb", "cid", "vec").toDF("c_qb", "c_cb", "cid", "vec").repartition(tasks, "c_qb", "c_cb")
+    step = max(1, min(n_q or 1, max(256, (1 << 22) // corpus_block), 1 << 14))
+    schema = f"qid {q.schema['qid'].dataType.simpleString()}, cid {id_type.simpleString()}, score double"
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("c_qb", "c_cb")).applyInArrow(_group_search(metric, k, step, corpus_block), schema)
     order = F.desc("score") if metric == "ip" else F.asc("score")
     w = Window.partitionBy("qid").orderBy(order, F.asc("cid"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

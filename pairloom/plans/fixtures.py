@@ -221,6 +221,12 @@ def _loss_inputs(t: Tables, per_batch: int = 16, student_dim: int = 32) -> DataF
         F.col("neg_v").alias("neg_teacher"), F.when(F.col("neg_v").isNotNull(), st(F.col("neg_v"))).alias("neg_student"))
 
 
+def next_of_label(t: Tables) -> DataFrame:
+    """``vec_id, pos_id`` of ``loss_inputs``, without its vectors: only ids and labels are numbered and joined."""
+    e = range_row_index(t.embeddings.select("vec_id", "label"), [("vec_id", True)], out="_p", group=["label"])
+    return e.join(e.select("label", (F.col("_p") - 1).alias("_p"), F.col("vec_id").alias("pos_id")), ["label", "_p"]).select("vec_id", "pos_id")
+
+
 LOSS_IN_SQL = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
                  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p FROM embeddings),
 li AS (SELECT a.vec_id, a.label, a.vec_id // 16 AS batch_id, CAST(a.vec_id % 16 AS INT) AS row_in_batch,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import joins as J
 from ..operators import vectors as VO
-from .fixtures import LOSS_IN_SQL, TRIP_SQL, Tables, loss_inputs
+from .fixtures import LOSS_IN_SQL, TRIP_SQL, Tables, loss_inputs, next_of_label
 from .q_flat import FLAT_SQL, flat_pairs
 from .registry import register
 
@@ -56,7 +56,7 @@ SELECT qid, rank, cid, round(score, 6) AS score FROM r WHERE rank <= 10"""
 
 
 def _mine_inputs(t: Tables):
-    li = loss_inputs(t)
+    li = t.memo("next_of_label", lambda: next_of_label(t))
     e = _emb(t)
     # two vector ids share a query text (vec_id div 2), so positives are unioned over both
     queries = e.select(F.col("vec_id").alias("qid"), F.floor(F.col("vec_id") / 2).cast("string").alias("qtext"), F.col("v").alias("vec"))

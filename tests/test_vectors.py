@@ -32,6 +32,35 @@ def test_block_grid_equals_brute_force(spark, metric):
         assert [(c, round(abs(s), 6)) for s, c in rows] == [(c, round(abs(s), 6)) for c, s in (got[f"q{i}"][k + 1] for k in range(8))]
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_several_groups_a_side_equal_brute_force(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4)) * rng.uniform(0.1, 3, size=(90, 1))
+    x[20:40] = x[1]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "qid long, vec array<double>")
+    c = v.withColumnRenamed("qid", "cid")
+    hidden = {(str(i % 6), i) for i in range(90)}
+    out = VO.topk_inner_product(v.selectExpr("*", "string(qid % 6) AS grp"), c, 4, metric, spark.createDataFrame(sorted(hidden), "grp string, cid long"),
+                                query_block=4, corpus_block=5, group_rows=16)
+    assert out._jdf.queryExecution().toString().count("FlatMapCoGroups") > 0
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.qid, {})[r["rank"]] = round(abs(r.score), 6)
+    cost = -(x @ x.T) if metric == "ip" else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * (x @ x.T), 0))
+    for i in range(90):
+        want = sorted(cost[i, j] for j in range(90) if (str(i % 6), j) not in hidden)[:4]
+        assert np.allclose([got[i][k] for k in range(1, 5)], np.abs(want), atol=1e-5)
+
+
+def test_a_vector_moves_once_for_each_group_of_the_other_side(spark):
+    """Not once for each block: 300 blocks of one row and one group of 300 rows move the same."""
+    v = spark.range(1, 301).selectExpr("id AS qid", "array(double(id), 1D) AS vec")
+    moved = VO.topk_inner_product(v, v.withColumnRenamed("qid", "cid"), 2, query_block=300, corpus_block=1)
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 299" not in plan and plan.count("FlatMapCoGroups") == 1
+    assert {(r.qid, r.cid) for r in moved.where("rank = 1").collect()} == {(i, 300) for i in range(1, 301)}
+
+
 def test_empty_sides_and_no_negatives_left(spark):
     v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "qid long, vec array<double>")
     c = v.withColumnRenamed("qid", "cid")
