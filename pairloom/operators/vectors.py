@@ -295,7 +295,7 @@ def two_nn_dimension(vectors: DataFrame, id_col: str = "vid", col: str = "vec",
     w = Window.partitionBy("qid").orderBy("score", "cid")
     nn = nn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2)
     mu = nn.groupBy("qid").agg(F.min_by("score", "_r").alias("r1"), F.max_by("score", "_r").alias("r2"))
-    mu = mu.filter(F.col("r1") > 0).select("qid", (F.col("r2") / F.col("r1")).alias("mu"))
+    mu = cut_lineage(mu.filter(F.col("r1") > 0).select("qid", (F.col("r2") / F.col("r1")).alias("mu")))
     n_all = mu.count()
     keep = int(n_all * (1 - discard))
     ranked = range_row_index(mu, [("mu", True), ("qid", True)], out="_i").filter(F.col("_i") < keep)

@@ -61,6 +61,15 @@ def test_a_vector_moves_once_for_each_group_of_the_other_side(spark):
     assert {(r.qid, r.cid) for r in moved.where("rank = 1").collect()} == {(i, 300) for i in range(1, 301)}
 
 
+def test_two_nn_searches_once(spark, monkeypatch):
+    cut = []
+    monkeypatch.setattr(VO, "cut_lineage", lambda df: cut.append(df.columns) or df.localCheckpoint())
+    rng = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(rng.normal(size=(80, 3)))], "vid long, vec array<double>")
+    row = VO.two_nn_dimension(v).first()
+    assert row.n == 72 and 1 < row.dimension < 6 and ["qid", "mu"] in cut
+
+
 def test_empty_sides_and_no_negatives_left(spark):
     v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "qid long, vec array<double>")
     c = v.withColumnRenamed("qid", "cid")
