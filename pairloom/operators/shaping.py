@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from .indexing import null_safe_join
+from ..session import cut_lineage
+from .indexing import MAX_BROADCAST_GROUPS, null_safe_join
 
+FILE_SALTS = 64
 SHAPES = ("list", "pos,query", "neg,pos,query", "set")
 
 
@@ -30,9 +32,14 @@ def shape_jsonl(lines: DataFrame, file: str = "file", line_no: str = "line_no",
     d = lines.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), F.col(value).alias("value"))
     # a blank or broken line has no keys: its shape is the empty name, which is never expected
     d = d.withColumn("_rs", F.coalesce(row_shape(F.col("value")), F.lit("")))
-    firsts = d.groupBy("file").agg(F.min_by("_rs", "line_no").alias("_fs"))
     # one row per file; a NULL file name is a file of its own
-    d = null_safe_join(d, firsts, ["file"])
+    firsts = cut_lineage(d.groupBy("file").agg(F.min_by("_rs", "line_no").alias("_fs")))
+    if firsts.count() <= MAX_BROADCAST_GROUPS:
+        d = null_safe_join(d, F.broadcast(firsts), ["file"])
+    else:  # the lines of a file are dealt to several tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1)))
+        d = d.withColumn("_salt", F.pmod(F.xxhash64("line_no", "value"), F.lit(FILE_SALTS)).cast("int"))
+        d = null_safe_join(d, firsts.withColumn("_salt", salts), ["file", "_salt"])
     name = F.coalesce(F.col("file").cast("string"), F.lit("NULL"))
     # the check is a filter, so no choice of output columns can prune it away
     d = d.filter(

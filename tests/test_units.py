@@ -75,6 +75,24 @@ def test_mixed_shapes_fail(spark):
         SH.shape_jsonl(_lines(spark, [["a", "b"], {"set": ["x", "y"]}])).collect()
 
 
+@pytest.mark.parametrize("most", [SH.MAX_BROADCAST_GROUPS, 1])
+def test_lines_of_a_file_stay_in_several_tasks(spark, monkeypatch, most):
+    """The first line's shape goes to the lines; the lines of one file are not gathered by its name."""
+    monkeypatch.setattr(SH, "MAX_BROADCAST_GROUPS", most)
+    rows = [("hot", i, json.dumps(["a", str(i)])) for i in range(300)] + [(None, i, json.dumps({"set": ["x", str(i)]})) for i in range(3)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, value string")
+    out = SH.shape_jsonl(lines)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.file, r.line_no, r.item, r.anc, r.pos, r.neg) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan if most > 1 else "_salt" in plan
+    assert got == {("hot", i, 0, "a", str(i), None) for i in range(300)} | {(None, i, 0, "x", str(i), None) for i in range(3)}
+
+
 def test_instruction_strip(spark):
     df = spark.createDataFrame([("Instruct:x\nQuery:q Query: r",)], "t string")
     r = df.select(TO.strip_after_query(F.col("t")).alias("a"), TO.normalize_query(F.col("t")).alias("b")).first()
