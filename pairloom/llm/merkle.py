@@ -10,7 +10,8 @@ How it runs:
 * Places are cut into aligned blocks of ``SPAN = FAN ** 3`` leaves. A block is built by one task as a subtree, its root is a node of the next level,
   and the same step runs on these nodes until each source has one root, then on the roots of the sources. A source of any size is many blocks.
 * The tree is persistent: a changed leaf makes a version of its block that copies the ancestors of that leaf and shares every other node. The copied
-  block root goes on through the path of the block: at each upper level the version is one new node between the shared ones.
+  block root goes on through the nodes above the block: at each upper level the version is one new node between the shared ones. The root of the
+  version is the folded root of a tampered row; that of any other row is folded from its leaf and siblings.
 
 Order and edge cases: sources sort bytewise, null first (null is a source of its own). Null ids come first and are never tampered with. Rows with equal
 source and id sort by their leaf, so equal rows are neighbours; each keeps a leaf and a proof of its own. A tampered text without A-Z, or a null or
@@ -97,11 +98,59 @@ class Block:
         return out
 
 
-def version(path: list[tuple[bytes, bytes]], changed: bytes) -> bytes:
-    """Root of the version that shares all nodes but the copied ancestors of ``changed``."""
+class Node:
+    """One node of a persistent tree: never changed after it is made, so versions of a tree can share it."""
+
+    __slots__ = ("digest", "children")
+
+    def __init__(self, digest: bytes, children: tuple["Node", ...] = ()):
+        self.digest, self.children = digest, children
+
+
+def parent(children: tuple[Node, ...]) -> Node:
+    return Node(node([c.digest for c in children]), children)
+
+
+def tree_of(block: Block) -> Node:
+    """The nodes of a block's subtree."""
+    level = [Node(x) for x in block.levels[0]]
+    for digests in block.levels[1:]:
+        level = [Node(digest, tuple(level[i * FAN:(i + 1) * FAN])) for i, digest in enumerate(digests)]
+    return level[0]
+
+
+def copy_path(root: Node, at: int, height: int, leaf: Node) -> Node:
+    """The root of the version with ``leaf`` at place ``at``: the ancestors of the leaf are copied and hashed, all other nodes are shared."""
+    if not height:
+        return leaf
+    i = at // FAN ** (height - 1)
+    new = copy_path(root.children[i], at - i * FAN ** (height - 1), height - 1, leaf)
+    return parent((*root.children[:i], new, *root.children[i + 1:]))
+
+
+def path_tree(rest: list[tuple[bytes, bytes]], below: Node) -> tuple[Node, list[int]]:
+    """The nodes above the block root ``below``, whose siblings are ``rest``, and its place among the children at each level, root first."""
+    places = []
+    for before, after in rest:
+        split = lambda raw: tuple(Node(raw[i:i + 64]) for i in range(0, len(raw), 64))
+        places.append(len(before) // 64)
+        below = parent((*split(before), below, *split(after)))
+    return below, places[::-1]
+
+
+def copy_above(root: Node, places: list[int], new: Node) -> Node:
+    """``copy_path`` through the nodes above a block: ``new`` is the version of the block's root."""
+    if not places:
+        return new
+    i = places[0]
+    return parent((*root.children[:i], copy_above(root.children[i], places[1:], new), *root.children[i + 1:]))
+
+
+def folded_root(leaf: bytes, path: list[tuple[bytes, bytes]]) -> bytes:
+    """The root as a verifier recomputes it from a leaf and its siblings."""
     for before, after in path:
-        changed = sha256(before + changed + after).hexdigest().encode()
-    return changed
+        leaf = sha256(before + leaf + after).hexdigest().encode()
+    return leaf
 
 
 def hexes(raw: pa.Array) -> list[bytes]:
@@ -199,12 +248,18 @@ def manifest(docs: DataFrame) -> DataFrame:
                 raw, n = r["leaves"], len(r["doc_id"])
                 tree = Block([raw[i:i + 32].hex().encode() for i in range(0, len(raw), 32)], r["total"] <= SPAN)
                 rest = [(s["before"].encode(), s["after"].encode()) for s in r["path"]]
+                block, height = tree_of(tree), len(tree.levels) - 1
+                upper, places = path_tree(rest, block)
                 proof, folded = [], []
                 for i in range(n):
                     path = tree.path(i) + rest
                     proof.append(sha256(b"".join([x + y for x, y in path])).hexdigest())
                     changed = r["changed"][i]
-                    folded.append(whole if changed is None else version(path, changed.hex().encode()).decode())
+                    if changed is None:
+                        folded.append(folded_root(tree.levels[0][i], path).decode())
+                    else:
+                        version = copy_path(block, i, height, Node(changed.hex().encode()))
+                        folded.append(copy_above(upper, places, version).digest.decode())
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"], pa.int64()), pa.array([x.decode() for x in tree.levels[0]], pa.string()), pa.array([r["subroot"]] * n, pa.string()),
                                                   pa.array([whole] * n, pa.string()), pa.array(proof, pa.string()), pa.array(folded, pa.string())],
                                                  names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"])

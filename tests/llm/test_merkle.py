@@ -88,3 +88,22 @@ def test_long_texts_and_an_empty_table(spark):
     none = merkle.manifest(spark.createDataFrame([], ROW))
     assert none.count() == 0 and none.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
 
+
+def test_a_version_copies_the_path_and_shares_every_other_node():
+    def nodes(x):
+        return [x, *[y for c in x.children for y in nodes(c)]]
+
+    leaves = [digest(str(i)).encode() for i in range(700)]
+    block = merkle.Block(leaves, True)
+    root, height = merkle.tree_of(block), len(block.levels) - 1
+    before, own = {id(x) for x in nodes(root)}, [x.digest for x in nodes(root)]
+    for at in (0, 16, 337, 699):
+        new = merkle.copy_path(root, at, height, merkle.Node(digest("changed").encode()))
+        plain_leaves = [*leaves[:at], digest("changed").encode(), *leaves[at + 1:]]
+        assert new.digest.decode() == reduce([x.decode() for x in plain_leaves])[-1][0]
+        assert sum(id(x) not in before for x in nodes(new)) == height + 1
+        assert [x.digest for x in nodes(root)] == own
+        upper, places = merkle.path_tree([(b"".join(leaves[:3]), leaves[4]), (b"", leaves[5])], root)
+        above = merkle.copy_above(upper, places, new)
+        assert above.digest == merkle.folded_root(new.digest, [(b"".join(leaves[:3]), leaves[4]), (b"", leaves[5])])
+        assert above.children[1] is upper.children[1]
