@@ -24,6 +24,7 @@ from ..functions.hashing import HASH_BITS
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 DEFAULT_ROWS_PER_SLICE = 2_000_000
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def salt_bits_for(df: DataFrame, group: Sequence[str], rows_per_slice: int = DEFAULT_ROWS_PER_SLICE) -> int:
@@ -83,6 +84,7 @@ def range_row_index(
     order: Sequence[tuple[str, bool]],
     out: str = "idx",
     group: Sequence[str] = (),
+    by_row: bool = False,
 ) -> DataFrame:
     """0-based position ``out`` under ``order`` = [(column, ascending), ...], NULL first; end with a unique key.
 
@@ -91,22 +93,28 @@ def range_row_index(
     is sorted and written with its row numbers. A position is the row number plus the counts of the group's earlier
     partitions: one row per (partition, group) pair that occurs. The numbers are read from the written result, so a
     task that runs again finds the rows where they were. Rows alike in all of ``order`` keep one arbitrary order.
+    ``by_row`` deals only the keys by range and joins the other columns by row: for orders under which some ranges hold much longer rows.
     """
     group = list(group)
     keys = [F.col(g).asc_nulls_first() for g in group]
     keys += [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_first() for c, asc in order]
     ensure_checkpoint_dir(df.sparkSession)
-    dealt = df.checkpoint(eager=True).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = kept = df.checkpoint(eager=True)
+    if by_row:
+        kept = kept.withColumn("__rriid", F.monotonically_increasing_id())
+        rows = kept.select("__rriid", *dict.fromkeys([*group, *[c for c, _ in order]]))
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranked = dealt.withColumn("__rrirow", F.monotonically_increasing_id()).checkpoint(eager=True)
     part = F.shiftright("__rrirow", 33)
     runs = ranked.groupBy(part.alias("__rripart"), *group).agg(F.min("__rrirow").alias("__rrifirst"), F.count(F.lit(1)).alias("__rrin"))
     before = Window.partitionBy(*group).orderBy("__rripart").rowsBetween(Window.unboundedPreceding, -1)
     shift = (F.coalesce(F.sum("__rrin").over(before), F.lit(0)) - F.col("__rrifirst")).alias("__rrishift")
-    joined = null_safe_join(ranked.withColumn("__rripart", part), runs.select("__rripart", *group, shift), ["__rripart", *group])
-    return joined.withColumn(out, F.col("__rrirow") + F.col("__rrishift")).drop("__rrirow", "__rripart", "__rrishift")
-
-
-MAX_BROADCAST_GROUPS = 100_000
+    shifts = cut_lineage(runs.select("__rripart", *group, shift))
+    if shifts.count() <= MAX_BROADCAST_GROUPS:  # the rows stay where they are; a join by partition would gather a whole one again
+        shifts = F.broadcast(shifts)
+    joined = null_safe_join(ranked.withColumn("__rripart", part), shifts, ["__rripart", *group])
+    placed = joined.withColumn(out, F.col("__rrirow") + F.col("__rrishift")).drop("__rrirow", "__rripart", "__rrishift")
+    return kept.drop(out).join(placed.select("__rriid", out), "__rriid").drop("__rriid") if by_row else placed
 
 
 def _with_cells(d: DataFrame, cells: DataFrame, group: list[str], groups: int) -> DataFrame:

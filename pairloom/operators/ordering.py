@@ -17,7 +17,7 @@ def dense_index(flat: DataFrame, out: str = "emb_idx", order: Sequence[tuple[str
     """``emb_idx`` = position after the length-descending sort (ties by subset, id, column[, slot])."""
     if order is None:
         order = FLAT_ORDER + ([("slot", True)] if "slot" in flat.columns else [])
-    return range_row_index(flat, order, out=out)
+    return range_row_index(flat, order, out=out, by_row=True)  # the longest texts are one range
 
 
 def drop_shortest(indexed: DataFrame, n: int, idx: str = "emb_idx", share: float = 0.01) -> DataFrame:

@@ -93,6 +93,49 @@ def test_lines_of_a_file_stay_in_several_tasks(spark, monkeypatch, most):
     assert got == {("hot", i, 0, "a", str(i), None) for i in range(300)} | {(None, i, 0, "x", str(i), None) for i in range(3)}
 
 
+@pytest.mark.parametrize("by_row", [False, True])
+def test_range_positions_do_not_gather_partitions(spark, by_row):
+    """The offsets go to the rows by broadcast, not by the number of their partition; texts are joined by row."""
+    rows = spark.createDataFrame([(i % 3 or None, i, "t" * (i % 7)) for i in range(200)], "g long, k long, t string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = range_row_index(rows, [("k", False)], out="p", group=["g"], by_row=by_row)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(__rripart" not in plan and ("hashpartitioning(__rriid" in plan) == by_row
+    for g in (None, 1, 2):
+        assert [r.k for r in sorted((r for r in got if r.g == g), key=lambda r: r.p)] == sorted((i for i in range(200) if (i % 3 or None) == g), reverse=True)
+
+
+def test_keys_are_unique_by_hash_before_they_are_compared(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], "k string, n int")
+    J.assert_unique(df, ["k", "n"], "t")
+    with pytest.raises(ValueError):
+        J.assert_unique(df.unionByName(df.where("k IS NULL")), ["k", "n"], "t")
+    with monkeypatch.context() as m:  # a hash that repeats is no repeated key
+        m.setattr(J.F, "xxhash64", lambda *c: F.lit(7))
+        J.assert_unique(df, ["k", "n"], "t")
+
+
+def test_drawn_texts_move_packed(spark):
+    texts = ["", "word " * 2000, "Ünï \U0001f600", "x"]
+    pool = spark.createDataFrame(list(enumerate(texts)), "_gi long, text string")
+    lists = spark.createDataFrame([(0, [1, 1, 2]), (1, [3]), (2, [0, 1])], "_gi long, l array<long>")
+    out = TR._texts_at(lists, pool, "l", "text", "found")
+    assert out.schema["found"].dataType.simpleString() == "array<binary>"
+    out = TR._unpacked(out, {"found": "array<string>"})
+    assert {r._gi: r.found for r in out.collect()} == {0: [texts[1], texts[1], texts[2]], 1: ["x"], 2: ["", texts[1]]}
+
+
+def test_texts_are_encoded_where_their_key_is(spark):
+    df = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(20)], "emb_idx long, text string")
+    plan = VO.encode_texts(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_instruction_strip(spark):
     df = spark.createDataFrame([("Instruct:x\nQuery:q Query: r",)], "t string")
     r = df.select(TO.strip_after_query(F.col("t")).alias("a"), TO.normalize_query(F.col("t")).alias("b")).first()
