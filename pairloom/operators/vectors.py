@@ -193,13 +193,14 @@ def hashed_ngrams(df: DataFrame, key: Sequence[str], text: str = "text", dim: in
     """(*key, text) → (*key, embedding): each character n-gram of `` text `` (NULL: empty) adds or subtracts one in a bucket that
     the first 32 bits of its md5 name (bucket: modulo ``dim``; sign: bit 16); the vector is scaled to length one.
 
-    ``key`` names a text (NULL is a key). Grams are summed by (key, bucket) before they move, so at most ``dim`` rows a text are shuffled.
+    ``key`` names a text (NULL is a key). Texts move once, dealt by key; their grams are summed by (key, bucket) where they are.
     """
-    chars = F.split(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" ")), "")
-    d = df.select(*key, chars.alias("__hnc"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("__hnc") - n, F.lit(0)))
-    gram = F.transform(starts, lambda i: F.concat(*[F.coalesce(F.get("__hnc", i + j), F.lit("")) for j in range(n)]))
-    d = d.select(*key, F.explode(gram).alias("__hng"))
+    d = df.select(*key, F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" ")).alias("__hnc"))
+    # dealt by key first: texts that stand in order of length would leave most characters to a few tasks, and the sums need no other shuffle
+    d = d.repartition(*key).select(*key, F.split("__hnc", "").alias("__hnc"))
+    # places are exploded and not grams: the rest is plain columns, which are compiled, where a lambda is interpreted
+    d = d.select(*key, "__hnc", F.explode(F.sequence(F.lit(0), F.greatest(F.size("__hnc") - n, F.lit(0)))).alias("__hni"))
+    d = d.select(*key, F.concat(*[F.coalesce(F.get("__hnc", F.col("__hni") + j), F.lit("")) for j in range(n)]).alias("__hng"))
     d = d.select(*key, F.conv(F.substring(F.md5("__hng"), 1, 8), 16, 10).cast("bigint").alias("__hnd"))
     sign = F.shiftright("__hnd", 16).bitwiseAND(F.lit(1)) * 2 - 1
     cells = d.groupBy(*key, F.pmod("__hnd", F.lit(dim)).cast("int").alias("__hnb")).agg(F.sum(sign).cast("double").alias("__hnv"))
