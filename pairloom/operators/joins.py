@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
+from ..session import cut_lineage
 from .indexing import null_safe_join, range_row_index, select_first
 from .ordering import one_limit
 from .textops import normalize_query
@@ -34,7 +35,12 @@ def positives_by_query(qrels: DataFrame, queries: DataFrame) -> tuple[DataFrame,
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    dup = df.groupBy(*keys).count().filter(F.col("count") > 1)
+    # equal keys have equal hashes: only rows whose hash repeats are compared by their keys, so the keys' texts stay where they are
+    hashed = df.select(F.xxhash64(*keys).alias("__auh"), *keys)
+    twice = cut_lineage(hashed.groupBy("__auh").count().filter(F.col("count") > 1).select("__auh"))
+    if twice.isEmpty():
+        return
+    dup = hashed.join(twice, "__auh", "left_semi").groupBy(*keys).count().filter(F.col("count") > 1)
     if not dup.isEmpty():
         raise ValueError(f"{what}: join keys {list(keys)} are not unique")
 

@@ -67,7 +67,7 @@ SELECT b.anc, b.pos, b.anc_emb_idx, b.pos_emb_idx, b.subset, b.id,
 FROM enc b LEFT JOIN (SELECT * FROM enc WHERE label = 'en') n
   ON n.anc = b.anc AND n.pos = b.pos AND n.anc_emb_idx = b.anc_emb_idx AND n.pos_emb_idx = b.pos_emb_idx AND n.subset = b.subset""")
 def q_attach_negatives(t: Tables):
-    enc = P.regroup_triplets(O.dense_index(flat_triplets(t)))
+    enc = t.memo("attach_encoded", lambda: P.regroup_triplets(O.dense_index(flat_triplets(t))))  # read by both checks and both sides
     base = enc.select("anc", "pos", "anc_emb_idx", "pos_emb_idx", "subset", "id")
     negs = enc.filter(F.col("label") == "en")
     return J.attach_negatives(base, negs)
