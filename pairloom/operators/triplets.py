@@ -14,10 +14,14 @@ Label-pool sampling without holding any pool in memory and without drawing again
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.hashing import h, h60
 from ..functions.text import clean_and_check, py_strip
@@ -121,10 +125,43 @@ def draw_negatives(rows: DataFrame, pools: LabelPools, seed: int, num_negs: int)
     return got.select("_gi", F.transform(ordered, lambda x: x["g"]).alias("_negs"))
 
 
+@F.pandas_udf(BinaryType())
+def _packed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else zlib.compress(x.encode("utf-8", "surrogatepass")))
+
+
+UNPACK_ROWS = 256  # rows whose texts are unpacked at a time
+
+
+def _unpacked(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with its packed ``columns`` (name to ``string`` or ``array<string>``) as texts."""
+    names = df.columns
+
+    def text(x):
+        return None if x is None else zlib.decompress(x).decode("utf-8", "surrogatepass")
+
+    def run(batches):
+        for b in batches:
+            for low in range(0, b.num_rows, UNPACK_ROWS):
+                part = b.slice(low, UNPACK_ROWS)
+                out = []
+                for n, c in zip(names, part.columns):
+                    if columns.get(n) == "string":
+                        c = pa.array([text(x) for x in c.to_pylist()], pa.string())
+                    elif n in columns:
+                        c = pa.array([None if x is None else [text(t) for t in x] for x in c.to_pylist()], pa.list_(pa.string()))
+                    out.append(c)
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {columns.get(f.name, f.dataType.simpleString())}" for f in df.schema.fields))
+
+
 def _texts_at(lists: DataFrame, texts: DataFrame, positions: str, text: str, out: str) -> DataFrame:
-    """``_gi`` and the texts at the listed positions, in their order: the one join that moves texts."""
+    """``_gi`` and the packed texts at the listed positions, in their order: the one join that moves texts.
+
+    A text moves once for each list that holds it, so it is packed (zlib) before; ``_unpacked`` ends the result."""
     one = lists.select("_gi", F.posexplode(positions).alias("_at", "_g"))
-    one = one.join(texts.select(F.col("_gi").alias("_g"), F.col(text).alias("_t")), "_g")
+    one = one.join(texts.select(F.col("_gi").alias("_g"), _packed(F.col(text)).alias("_t")), "_g")
     some = one.groupBy("_gi").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_s"))
     return some.select("_gi", F.transform("_s", lambda s: s["_t"]).alias(out))
 
@@ -166,7 +203,8 @@ def triplets_by_label(
     lists = with_pos.select("_gi", "_p").join(negs, "_gi", "left")
     lists = lists.select("_gi", F.concat(F.array("_p"), F.coalesce("_negs", F.array().cast("array<bigint>"))).alias("_list"))
     found = _texts_at(lists, pools.texts, "_list", "text", "_texts")
-    return anchors.join(found, "_gi").select(
+    rows = _unpacked(anchors.withColumn("text", _packed(F.col("text"))).join(found, "_gi"), {"text": "string", "_texts": "array<string>"})
+    return rows.select(
         F.col(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
         F.slice("_texts", F.lit(2), F.greatest(F.size("_texts") - 1, F.lit(0))).alias("neg"), "label", *carry)
 
@@ -196,7 +234,7 @@ def triplets_given_pos(
     pools = build_label_pools(valid, key, "pos", "label")
     negs = draw_negatives(pools.rows.withColumn("_excl", F.array_sort("_runs")), pools, seed, num_negs)
     found = _texts_at(negs, pools.texts, "_negs", "pos", "_neg")
-    return pools.texts.join(found, "_gi", "left").select(
+    return _unpacked(pools.texts.join(found, "_gi", "left"), {"_neg": "array<string>"}).select(
         key, "anc", "pos", F.coalesce("_neg", F.array().cast("array<string>")).alias("neg"), "label", *carry)
 
 
@@ -245,7 +283,8 @@ def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_neg
         prev = by_key.join(before, "_k").select("_gi", "_prev")
         lists = lists.join(prev, "_gi").withColumn("_list", F.concat("_list", F.array_repeat("_prev", F.greatest(missing, F.lit(0)))))
     found = _texts_at(lists, base, "_list", "text", "_texts")
-    return base.join(found, "_gi").select(F.col("_key").alias(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
+    rows = _unpacked(base.withColumn("text", _packed(F.col("text"))).join(found, "_gi"), {"text": "string", "_texts": "array<string>"})
+    return rows.select(F.col("_key").alias(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
                                           F.slice("_texts", 2, K).alias("neg"), "label")
 
 
