@@ -36,6 +36,7 @@ TREES, LABEL, RECALL = 32, 8, 0.9999
 CHUNK_BYTES = 1 << 20
 BUCKET_BLOCK, GROUP_BLOCK = 2048, 384
 HOME, VISIT = 0.9, 0.56
+KEY_BITS, PAGE_BITS = 1 << 24, 1 << 15  # Spark's bitmaps have 32,768 bits each
 
 
 def depth_for(threshold: float, trees: int, label: int, recall: float) -> int:
@@ -294,6 +295,21 @@ def verified(members: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary, links long")
 
 
+# ---------- texts that stay where they are ----------
+
+def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``, false only where their ``id, text_hash`` are surely not among those of ``keys``.
+
+    The keys are bits of a map of fixed size (2 MB), so what is broadcast doesn't grow with the tables. Where keys share a bit, rows are
+    marked that are not among them: the join that follows decides."""
+    at = F.pmod(F.xxhash64("id", "text_hash"), F.lit(KEY_BITS))
+    page, bit = F.floor(at / PAGE_BITS), F.pmod(at, F.lit(PAGE_BITS))
+    pages = keys.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return rows.withColumn("__page", page).join(F.broadcast(pages), "__page", "left").withColumn("__maybe", F.coalesce(set_, F.lit(False))).drop("__page", "__bits")
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, text_hash, class_id, n_links`` for every row: the smallest id of its class and the number of its similar documents."""
     spark = docs.sparkSession
@@ -305,7 +321,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     release(spark)
     info = kept_table(near.join(nodes.select("node", "docs", "one.id", "one.text_hash"), "node"), folder, "members")
     t = F.col(text).cast("string")
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(t).alias("hash"), t.alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    texts = maybe_among(texts, info).where("__maybe").select(F.col("id").alias("doc"), F.col("text_hash").alias("hash"), "text")  # only members' texts move
     # one plan at every size: texts meet their members in a shuffle, also where the members would be small enough to broadcast
     member = info.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["node"]).select("component", "node", "docs", "text")
     found = kept_table(verified(member), folder, "links")
@@ -324,11 +341,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = settle(near_classes(docs, key, text))
     none = F.col("class_id").isNull()
     first = found.groupBy("class_id", F.when(none, F.col("text_hash")).alias("alone")).agg(F.min(F.struct("id", "text_hash")).alias("one"))
-    stay = first.select(F.col("one.id").alias("__stay_id"), F.col("one.text_hash").alias("__stay_hash"))
+    stay = first.select("one.id", "one.text_hash")
+    # rows that stay and have no copy are written from where they are; the others, and the few that share their bits, meet ``stay``
+    counted = found.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
+    one = stay.select(F.col("id").alias("one_id"), F.col("text_hash").alias("one_hash"))
+    same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))
+    doubt = counted.join(one, same, "left").where((F.col("n") > 1) | F.col("one_hash").isNull())
     names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select(*[docs[c].alias(n) for c, n in names.items()])
-    t = F.xxhash64(F.col(names[text]).cast("string"))
-    kept = own.join(stay, F.col(names[key]).cast("long").eqNullSafe(F.col("__stay_id")) & (t == F.col("__stay_hash"))).dropDuplicates(["__stay_id", "__stay_hash"])
+    own = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text].cast("string")).alias("text_hash"), *[docs[c].alias(n) for c, n in names.items()])
+    own = maybe_among(own, doubt)
+    # the join and the removal of repeated rows go by the same columns without nulls, so that a text moves once
+    by = [F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__none"), F.col("text_hash").alias("__hash")]
+    met = own.where("__maybe").select(*by, *names.values()).join(stay.select(*by), ["__id", "__none", "__hash"]).dropDuplicates(["__id", "__none", "__hash"])
+    kept = own.where("NOT __maybe").select(*names.values()).unionByName(met.select(*names.values()))
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
