@@ -36,7 +36,7 @@ TREES, LABEL, RECALL = 32, 8, 0.9999
 CHUNK_BYTES = 1 << 20
 BUCKET_BLOCK, GROUP_BLOCK = 2048, 384
 HOME, VISIT = 0.9, 0.56
-KEY_BITS, PAGE_BITS = 1 << 24, 1 << 15  # Spark's bitmaps have 32,768 bits each
+KEY_BITS = 1 << 23
 
 
 def depth_for(threshold: float, trees: int, label: int, recall: float) -> int:
@@ -300,14 +300,12 @@ def verified(members: DataFrame) -> DataFrame:
 def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` with ``__maybe``, false only where their ``id, text_hash`` are surely not among those of ``keys``.
 
-    The keys are bits of a map of fixed size (2 MB), so what is broadcast doesn't grow with the tables. Where keys share a bit, rows are
-    marked that are not among them: the join that follows decides."""
+    The keys are bits in at most ``KEY_BITS / 64`` longs, so what is broadcast is bounded at any size of the tables. Where keys share a
+    bit, rows are marked that are not among them: the join that follows decides."""
     at = F.pmod(F.xxhash64("id", "text_hash"), F.lit(KEY_BITS))
-    page, bit = F.floor(at / PAGE_BITS), F.pmod(at, F.lit(PAGE_BITS))
-    pages = keys.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_ = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
-    return rows.withColumn("__page", page).join(F.broadcast(pages), "__page", "left").withColumn("__maybe", F.coalesce(set_, F.lit(False))).drop("__page", "__bits")
+    page, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    pages = keys.select(page.alias("__page"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__page").agg(F.bit_or("__bit").alias("__bits"))
+    return rows.withColumn("__page", page).join(F.broadcast(pages), "__page", "left").withColumn("__maybe", F.coalesce(F.getbit("__bits", bit) == 1, F.lit(False))).drop("__page", "__bits")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
