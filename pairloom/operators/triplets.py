@@ -9,51 +9,57 @@ Label-pool sampling without holding any pool in memory and without drawing again
 * Negatives: ``num_negs`` uniform draws of another label; a label drawn m times gives m of its usable positions by Floyd's subset
   sampling, which is distinct by construction. A draw whose label has none left is taken from all other usable positions,
   so a list is short only when the usable texts end. The order is by hash.
-* Picks are 60-bit hashes. Texts are joined once, by position, at the end.
+* Picks are 60-bit hashes. Texts are written once to a :class:`TextStore`; their handles are joined once, by position, and the last
+  step reads the nine texts of each row. A shuffle of texts would keep nine copies of the table on disk.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import StringType
 
 from ..functions.hashing import h, h60
 from ..functions.text import clean_and_check, py_strip
 from ..session import cut_lineage
 from .indexing import null_safe_join, range_row_index
+from .text_store import TextStore, tasks_for
+from .text_store import packed as _packed
+from .text_store import unpacked as _unpacked  # noqa: F401
 
 MAX_LITERAL_LABELS = 10_000  # label tables up to this many rows are broadcast
 
 
 @dataclass
 class LabelPools:
-    texts: DataFrame  # the rows with their position ``_gi``
+    texts: DataFrame  # the rows with their position ``_gi``, handles in place of their texts
     rows: DataFrame  # _gi, _lno, _off, _n (of the row's label), _runs: the runs of the row's text in all labels
     labels: DataFrame  # _lno, _off, _n; a NULL label is a label
     n_labels: int
     total: int
+    store: TextStore
+    size: int  # bytes of the pools' texts
 
 
-def build_label_pools(valid: DataFrame, key: str, text: str, label: str) -> LabelPools:
-    """Positions of ``valid`` rows, their label runs and the runs of each row's text."""
-    texts = range_row_index(valid.withColumn("_th", F.sha2(text, 256)), [(label, True), ("_th", True), (key, True)], out="_gi")
-    narrow = texts.select("_gi", label, "_th")
-    sizes = narrow.groupBy(label).agg(F.min("_gi").alias("_off"), F.count(F.lit(1)).alias("_n"))
+def build_label_pools(valid: DataFrame, key: str, text: str, label: str, others: tuple[str, ...] = ()) -> LabelPools:
+    """Positions of ``valid`` rows, their label runs and the runs of each row's text. ``others``: more text columns to store."""
+    store = TextStore(valid.sparkSession)
+    kept = store.put(valid.withColumn("_th", F.sha2(text, 256)), [text, *others])
+    texts = range_row_index(kept, [(label, True), ("_th", True), (key, True)], out="_gi")
+    narrow = texts.select("_gi", label, "_th", store.size(text).alias("_size"))
+    sizes = narrow.groupBy(label).agg(F.min("_gi").alias("_off"), F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_size"))
     # one row per label; up to MAX_LITERAL_LABELS of them are broadcast
     labels = cut_lineage(sizes.withColumn("_lno", (F.row_number().over(Window.orderBy("_off")) - 1).cast("bigint")))
-    n_labels, total = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    n_labels, total, size = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    labels = labels.drop("_size")
     small = F.broadcast(labels) if n_labels <= MAX_LITERAL_LABELS else labels
-    numbered = null_safe_join(narrow, small, [label]).drop(label)
+    numbered = null_safe_join(narrow.drop("_size"), small, [label]).drop(label)
     runs = numbered.groupBy("_th", "_lno").agg(F.min("_gi").alias("start"), F.count(F.lit(1)).alias("cnt"))
     runs = runs.groupBy("_th").agg(F.collect_list(F.struct("_lno", "start", "cnt")).alias("_runs"))  # at most one a label
     rows = cut_lineage(numbered.join(runs, "_th").drop("_th"))
-    return LabelPools(texts.drop("_th"), rows, small.select("_lno", "_off", "_n"), n_labels, total)
+    return LabelPools(texts.drop("_th"), rows, small.select("_lno", "_off", "_n"), n_labels, total, store, size)
 
 
 def _skip(position: Column, runs: Column | str) -> Column:
@@ -125,43 +131,14 @@ def draw_negatives(rows: DataFrame, pools: LabelPools, seed: int, num_negs: int)
     return got.select("_gi", F.transform(ordered, lambda x: x["g"]).alias("_negs"))
 
 
-@F.pandas_udf(BinaryType())
-def _packed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else zlib.compress(x.encode("utf-8", "surrogatepass")))
+def _texts_at(lists: DataFrame, texts: DataFrame, positions: str, text: str, out: str, tasks: int | None = None) -> DataFrame:
+    """``_gi`` and the handles of the texts at the listed positions, in their order, dealt over ``tasks``.
 
-
-UNPACK_ROWS = 256  # rows whose texts are unpacked at a time
-
-
-def _unpacked(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``df`` with its packed ``columns`` (name to ``string`` or ``array<string>``) as texts."""
-    names = df.columns
-
-    def text(x):
-        return None if x is None else zlib.decompress(x).decode("utf-8", "surrogatepass")
-
-    def run(batches):
-        for b in batches:
-            for low in range(0, b.num_rows, UNPACK_ROWS):
-                part = b.slice(low, UNPACK_ROWS)
-                out = []
-                for n, c in zip(names, part.columns):
-                    if columns.get(n) == "string":
-                        c = pa.array([text(x) for x in c.to_pylist()], pa.string())
-                    elif n in columns:
-                        c = pa.array([None if x is None else [text(t) for t in x] for x in c.to_pylist()], pa.list_(pa.string()))
-                    out.append(c)
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {columns.get(f.name, f.dataType.simpleString())}" for f in df.schema.fields))
-
-
-def _texts_at(lists: DataFrame, texts: DataFrame, positions: str, text: str, out: str) -> DataFrame:
-    """``_gi`` and the packed texts at the listed positions, in their order: the one join that moves texts.
-
-    A text moves once for each list that holds it, so it is packed (zlib) before; ``_unpacked`` ends the result."""
+    A handle moves once for each list that holds it, so a column of texts is packed (zlib) before; ``TextStore.get`` ends the result."""
+    handle = _packed(F.col(text)) if texts.schema[text].dataType == StringType() else F.col(text)
     one = lists.select("_gi", F.posexplode(positions).alias("_at", "_g"))
-    one = one.join(texts.select(F.col("_gi").alias("_g"), _packed(F.col(text)).alias("_t")), "_g")
+    one = one.join(texts.select(F.col("_gi").alias("_g"), handle.alias("_t")), "_g").drop("_g")
+    one = one.repartition(tasks, "_gi") if tasks else one
     some = one.groupBy("_gi").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_s"))
     return some.select("_gi", F.transform("_s", lambda s: s["_t"]).alias(out))
 
@@ -202,8 +179,10 @@ def triplets_by_label(
     negs = draw_negatives(with_pos, pools, seed, num_negs)
     lists = with_pos.select("_gi", "_p").join(negs, "_gi", "left")
     lists = lists.select("_gi", F.concat(F.array("_p"), F.coalesce("_negs", F.array().cast("array<bigint>"))).alias("_list"))
-    found = _texts_at(lists, pools.texts, "_list", "text", "_texts")
-    rows = _unpacked(anchors.withColumn("text", _packed(F.col("text"))).join(found, "_gi"), {"text": "string", "_texts": "array<string>"})
+    share = 1 if limit is None else min(limit, pools.total) / max(pools.total, 1)
+    tasks = tasks_for(pools.size * share * (num_negs + 2))
+    found = _texts_at(lists, pools.texts, "_list", "text", "_texts", tasks)
+    rows = pools.store.get(anchors.repartition(tasks, "_gi").join(found, "_gi").drop("_gi"), ["text", "_texts"])
     return rows.select(
         F.col(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
         F.slice("_texts", F.lit(2), F.greatest(F.size("_texts") - 1, F.lit(0))).alias("neg"), "label", *carry)
@@ -231,10 +210,12 @@ def triplets_given_pos(
     keep = F.filter(F.array(both), lambda s: is_valid_text(s["anc"]) & is_valid_text(s["pos"]))
     valid = df.select(F.col(key), F.col(label).cast("string").alias("label"), *carry, F.explode(keep).alias("_ap"))
     valid = valid.select(key, "label", *carry, F.col("_ap.anc").alias("anc"), F.col("_ap.pos").alias("pos"))
-    pools = build_label_pools(valid, key, "pos", "label")
+    pools = build_label_pools(valid, key, "pos", "label", ("anc",))
     negs = draw_negatives(pools.rows.withColumn("_excl", F.array_sort("_runs")), pools, seed, num_negs)
-    found = _texts_at(negs, pools.texts, "_negs", "pos", "_neg")
-    return _unpacked(pools.texts.join(found, "_gi", "left"), {"_neg": "array<string>"}).select(
+    tasks = tasks_for(pools.size * (num_negs + 2))
+    found = _texts_at(negs, pools.texts, "_negs", "pos", "_neg", tasks)
+    rows = pools.texts.repartition(tasks, "_gi").join(found, "_gi", "left").drop("_gi")
+    return pools.store.get(rows, ["anc", "pos", "_neg"]).select(
         key, "anc", "pos", F.coalesce("_neg", F.array().cast("array<string>")).alias("neg"), "label", *carry)
 
 
