@@ -233,9 +233,11 @@ def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_neg
     K = num_negs
     base = df.select(F.col(key).alias("_key"), py_strip(F.coalesce(F.col(text), F.lit(""))).alias("text"),
                      F.col(label).cast("string").alias("label"))
-    base = range_row_index(base, [("label", True), ("_key", True)], out="_gi")
-    sizes = cut_lineage(base.groupBy("label").agg(F.min("_gi").alias("_off"), F.count(F.lit(1)).alias("_n")))
-    n_labels, n = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    store = TextStore(df.sparkSession)
+    base = range_row_index(store.put(base, ["text"]), [("label", True), ("_key", True)], out="_gi")
+    sizes = cut_lineage(base.groupBy("label").agg(F.min("_gi").alias("_off"), F.count(F.lit(1)).alias("_n"), F.sum(store.size("text")).alias("_size")))
+    n_labels, n, size_all = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    sizes = sizes.drop("_size")
     rows = null_safe_join(base.select("_gi", "_key", "label"), F.broadcast(sizes) if n_labels <= MAX_LITERAL_LABELS else sizes, ["label"])
     gi, off, size = F.col("_gi"), F.col("_off"), F.col("_n")
     other = off + F.pmod(h60(seed, gi, "pos"), F.greatest(size - 1, F.lit(1)))
@@ -263,8 +265,9 @@ def triplets_row_uniform(df: DataFrame, key: str, text: str, label: str, num_neg
         before = by_key.select(F.col("_gi").alias("_prev"), F.pmod(F.col("_k") + 1, F.lit(n)).alias("_k"))
         prev = by_key.join(before, "_k").select("_gi", "_prev")
         lists = lists.join(prev, "_gi").withColumn("_list", F.concat("_list", F.array_repeat("_prev", F.greatest(missing, F.lit(0)))))
-    found = _texts_at(lists, base, "_list", "text", "_texts")
-    rows = _unpacked(base.withColumn("text", _packed(F.col("text"))).join(found, "_gi"), {"text": "string", "_texts": "array<string>"})
+    tasks = tasks_for(size_all * (K + 2))
+    found = _texts_at(lists, base, "_list", "text", "_texts", tasks)
+    rows = store.get(base.repartition(tasks, "_gi").join(found, "_gi").drop("_gi"), ["text", "_texts"])
     return rows.select(F.col("_key").alias(key), F.col("text").alias("anc"), F.col("_texts")[0].alias("pos"),
                                           F.slice("_texts", 2, K).alias("neg"), "label")
 
